@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, near_dup, packing, quality_rules
 
 QUERIES = {
+    "op3_genetic_packing": packing.query,
+    "op4_hierarchical_mix": mixing.query,
+    "op5_circulant_minhash": near_dup.query,
     "op8_host_quality": quality_rules.query,
 }
 
