@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, quality_rules
+from . import mixing, near_dup, packing, pii, quality_rules
 
 QUERIES = {
+    "op2_semi_markov_pii": pii.query,
     "op3_genetic_packing": packing.query,
     "op4_hierarchical_mix": mixing.query,
     "op5_circulant_minhash": near_dup.query,
