@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, pii, quality_rules
+from . import licenses, mixing, near_dup, packing, pii, quality_rules, sharding
 
 QUERIES = {
+    "op6_hypergeometric_shards": sharding.query,
+    "op9_license_index": licenses.query,
     "op2_semi_markov_pii": pii.query,
     "op3_genetic_packing": packing.query,
     "op4_hierarchical_mix": mixing.query,
