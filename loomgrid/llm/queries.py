@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, near_dup, packing, pii, quality_rules, sharding
+from . import ann, classifier, licenses, mixing, near_dup, packing, pii, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op1_subword_quality": classifier.query,
+    "op7_trie_token_counts": token_counts.query,
+    "op10_ivfpq_neighbours": ann.query,
     "op6_hypergeometric_shards": sharding.query,
     "op9_license_index": licenses.query,
     "op2_semi_markov_pii": pii.query,
