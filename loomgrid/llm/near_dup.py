@@ -6,8 +6,9 @@ coordinates bring documents together, and each candidate pair is confirmed on th
 
 Texts with equal shingle sets collapse into one class before banding, so copies cost one row each. Within a
 bucket pairs are not expanded: members are tested against a centre, those that link become one component, and
-only members of different components are tested again, against new centres first. Buckets that still hold many
-components are split by bands of further coordinates (same two permutations, larger shifts).
+only members of different components are tested again. Buckets that still hold many components, such as clouds of
+copies with many edits each, are finished exactly by their differences from the centre: two members can only link
+if their differences overlap, so an index on each member's rarest difference shingles finds all pairs to test.
 
 Edge cases: null, empty and blank texts have no shingles and stay alone; fewer than five words make one shingle;
 rows with one doc_id count as one document; null ids stay out of links and get a null component; an empty table
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordCache, materialize, small, table
 from .components import connected_components
@@ -31,7 +33,6 @@ from .components import connected_components
 WORDS = 5
 #: 40 bands of 8: a pair at similarity 0.85 shares none with probability 3e-6; at 0.5 it shares one with 0.15.
 BANDS, ROWS = 40, 8
-LEVELS = 4
 SLOTS = 1 << 18
 SEED = 20011
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -59,26 +60,25 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 @cache
-def _ranks(level: int) -> np.ndarray:
-    """Row s: ranks of the slots s + k, for the coordinates k of this level."""
-    k = BANDS * ROWS
+def _ranks() -> np.ndarray:
+    """Row s: ranks of the slots s + k, for each coordinate k."""
     rank = np.random.default_rng(SEED).permutation(SLOTS).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([rank, rank])[level * k : level * k + SLOTS + k - 1], k)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([rank, rank[: BANDS * ROWS - 1]]), BANDS * ROWS)
 
 
-def signature(s: np.ndarray, level: int = 0) -> np.ndarray:
+def signature(s: np.ndarray) -> np.ndarray:
     """BANDS * ROWS coordinates of a non-empty set of shingle hashes."""
     slots = np.unique((s * np.uint64(_M[1])) >> np.uint64(64 - 18)).astype(np.int64)
-    ranks, least = _ranks(level), None
+    ranks, least = _ranks(), None
     for at in range(0, len(slots), 1024):
         part = ranks[slots[at : at + 1024]].min(axis=0)
         least = part if least is None else np.minimum(least, part)
     return least
 
 
-def band_keys(s: np.ndarray, level: int = 0) -> np.ndarray:
-    x = signature(s, level).reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1 + level * BANDS, 1 + (level + 1) * BANDS, dtype=np.uint64) * np.uint64(_M[0])
+def band_keys(s: np.ndarray) -> np.ndarray:
+    x = signature(s).reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_M[0])
     for k in range(ROWS):
         h = _mix(h + x[:, k] * np.uint64(_M[2]))
     return h.view(np.int64)
@@ -113,15 +113,19 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
-def _rebanded(level: int):
-    def bands(texts: pa.Array) -> pa.Array:
-        return _lists([band_keys(s, level) if len(s := shingles(t.as_py())) else np.empty(0, np.int64) for t in texts])
-
-    return bands
+def _compared(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Number of shared shingles, and the shingles that only one of the two sets has."""
+    shared, apart = [], []
+    for x, y in zip(a, b):
+        x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        d = np.setxor1d(x, y, assume_unique=True)
+        shared.append((len(x) + len(y) - len(d)) // 2)
+        apart.append(d.view(np.int64))
+    return pa.StructArray.from_arrays([pa.array(shared, pa.int64()), _lists(apart)], names=["shared", "apart"])
 
 
 def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(a, b)], pa.int64())
+    return _compared(a, b).field("shared")
 
 
 class _Texts:
@@ -137,14 +141,16 @@ class _Texts:
     def sizes_fit(self, x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b), already written, whose full sets reach the similarity."""
+    def compare(self, pairs: DataFrame, apart: bool = False) -> DataFrame:
+        """Pairs (a, b), already written, with ``linked`` and, if asked for, the shingles ``apart``."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         sets = materialize(self.of(ids).select("id", F.arrow_udf(_sets, "binary")("text").alias("s")), "sets")
         x = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         x = x.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        x = x.select("a", "b", F.arrow_udf(_shared, "bigint")("sa", "sb").alias("i"), (F.octet_length("sa") / 8).cast("long").alias("na"), (F.octet_length("sb") / 8).cast("long").alias("nb"))
-        return x.where(100 * F.col("i") >= self.percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+        both = F.arrow_udf(_compared, "struct<shared:bigint,apart:array<bigint>>") if apart else F.arrow_udf(_shared, "bigint")
+        x = x.withColumn("d", both("sa", "sb"))
+        i, n = (F.col("d.shared") if apart else F.col("d")), (F.octet_length("sa") + F.octet_length("sb")) / 8
+        return x.select("a", "b", (100 * i >= self.percent * (n - i)).alias("linked"), *[F.col("d.apart")] * apart)
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -154,33 +160,71 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open(entries: DataFrame) -> DataFrame:
-    """Entries of buckets that hold several components, with the number of rows outside the bucket's largest one."""
-    c = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    b = c.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), (F.sum("rows") - F.max("rows")).alias("strays")).where("comps > 1").select("key", "strays")
+    """Entries of buckets that hold several components, with the bucket's number of rows."""
+    b = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
     return entries.join(b, "key")
 
 
-def _star_pairs(entries: DataFrame, salt: int, texts: _Texts) -> DataFrame:
-    """Each member with the centre of its bucket (the member of least hash), if they are of different components."""
-    pick = F.struct(F.xxhash64(F.col("id"), F.lit(salt)).alias("h"), "id", "n", "comp") if salt else F.struct("id", "n", "comp")
-    c = entries.groupBy("key").agg(F.min(pick).alias("c")).select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
-    x = entries.join(c, "key").where((F.col("comp") != F.col("cc")) & texts.sizes_fit("n", "cn"))
-    return x.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+def _centres(entries: DataFrame, by_size: bool) -> DataFrame:
+    """(key, cid, cn, cc): a bucket's member of least id, or the one that stands in most open buckets."""
+    if by_size:
+        seats = entries.groupBy("id").agg(F.count(F.lit(1)).alias("seats"))
+        entries = entries.join(seats, "id")
+        least = F.struct((-F.col("seats")).alias("s"), "id", "n", "comp")
+    else:
+        least = F.struct("id", "n", "comp")
+    return entries.groupBy("key").agg(F.min(least).alias("c")).select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _star_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
+    """Each member with the centre of its bucket, if they are of different components."""
+    x = entries.join(_centres(entries, False), "key").where((F.col("comp") != F.col("cc")) & texts.sizes_fit("n", "cn"))
+    return x.select(*_pair("id", "cid")).distinct()
 
 
 def _cross_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     """Members of one bucket that are of different components."""
     o = entries.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
     x = entries.join(o, "key").where((F.col("comp") < F.col("comp2")) & texts.sizes_fit("n", "n2"))
-    return x.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return x.select(*_pair("id", "id2")).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, stars: int = 3, strays: int = 64, broadcast_ids: int = 2_000_000) -> DataFrame:
+def _difference_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
+    """Members of different components that may link, by their differences from their bucket's centre.
+
+    With D(x) the shingles that x and the centre don't share, a pair differs by |D(x)| + |D(y)| - 2 * overlap and
+    may differ by at most T = (nx + ny) * (100 - percent) / (100 + percent). So a member that doesn't link to the
+    centre needs an overlap of at least max(1, |D(x)| - T): all but so many minus one of D(x), rarest first, must
+    meet D(y). At the first shingle two members share, what is left of both must still reach their overlap.
+    """
+    c = _centres(entries, True)
+    x = materialize(entries.join(c, "key").where("id <> cid").select(F.col("cid").alias("a"), F.col("id").alias("b"), "n", "comp", "cc").distinct(), "spokes")
+    d = materialize(texts.compare(x.select("a", "b"), apart=True), "differences")
+    e = d.join(x, ["a", "b"]).withColumn("stray", F.col("comp") != F.col("cc"))
+    linked = e.where("linked AND stray").select(*_pair("a", "b"))
+    p = texts.percent
+    share = (100 - p) / (100 + p)
+    need = F.greatest(F.lit(1), F.ceil(F.size("apart") - F.col("n") * ((1 + 100 / p) * share) - 1e-6))
+    e = e.select("a", "b", "n", "comp", "stray", F.size("apart").alias("d"), F.when(F.col("stray"), F.size("apart") - need + 1).otherwise(F.size("apart")).alias("keep"), F.explode("apart").alias("s"))
+    e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("a", "s")))
+    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "s"))).where("rank <= keep AND df > 1")
+    e = materialize(e.select("a", "b", "n", "comp", "stray", "d", "rank", "s"), "rarest")
+    o = e.select("a", "s", *(F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "stray", "d", "rank")))
+    overlap = (F.col("d") + F.col("d2") - (F.col("n") + F.col("n2")) * share) / 2 - 1e-6
+    left = 1 + F.least(F.col("d") - F.col("rank"), F.col("d2") - F.col("rank2"))
+    m = e.where("stray").join(o, ["a", "s"]).where((F.col("comp") != F.col("comp2")) & (~F.col("stray2") | (F.col("b") < F.col("b2"))) & texts.sizes_fit("n", "n2") & (left >= overlap))
+    return m.select(*_pair("b", "b2")).unionByName(linked).distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bucket_rows: int = 16, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(id, n_shingles, component) per row of ``docs``; linked: 100 * shared >= percent * union of shingles.
 
-    stars: rounds in which members meet one centre per bucket. Buckets with up to ``strays`` rows outside their
-    largest component are then finished pair by pair (different components only); others are split by the bands
-    of the next level, and those of the last level finished pair by pair.
+    Members first meet their bucket's centre. Buckets that then hold several components are finished pair by pair
+    (different components only) if they have at most ``bucket_rows`` rows, else by differences from a centre.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     d = materialize(given.select("id", describe(F.col("text")).alias("d")).select("id", "d.n", "d.key", F.when(F.col("id").isNotNull(), F.col("d.bands")).alias("bands")), "described")
@@ -194,30 +238,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         if pairs.isEmpty():
             return
         tested = tested.unionByName(pairs) if tested is not None else pairs
-        new = materialize(texts.confirm(pairs), "links")
+        new = materialize(texts.compare(pairs).where("linked").select("a", "b"), "links")
         if not new.isEmpty():
             links = links.unionByName(new) if links is not None else new
             labels = materialize(connected_components(links), "labels")
 
+    def still_open() -> DataFrame:
+        return materialize(_open(_labelled(entries, labels)), "open")
+
     entries = heads.select("id", "n", F.explode("bands").alias("key"))
-    for level in range(LEVELS):
-        met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-        entries = materialize(entries.join(met, "key"), "entries")
-        for salt in range(stars):
-            here = materialize(_open(_labelled(entries, labels)), "open")
-            if here.isEmpty():
-                break
-            link(_star_pairs(here, salt, texts))
-        here = materialize(_open(_labelled(entries, labels)), "open")
-        last = level + 1 == LEVELS
-        link(_cross_pairs(here if last else here.where(F.col("strays") <= strays), texts))
-        wide = here.where(F.col("strays") > strays).select("id", "n", "key")
-        if last or wide.isEmpty():
-            break
-        ids = materialize(wide.select("id").distinct(), "ids")
-        bands = materialize(texts.of(ids).select("id", F.arrow_udf(_rebanded(level + 1), "array<bigint>")("text").alias("bands")), "bands")
-        split = wide.join(bands, "id").select("id", "n", "key", F.explode("bands").alias("band"))
-        entries = split.select("id", "n", F.xxhash64("key", "band").alias("key"))
+    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    entries = materialize(entries.join(met, "key"), "entries")
+    link(_star_pairs(still_open(), texts))
+    link(_cross_pairs(still_open().where(F.col("rows") <= bucket_rows), texts))
+    wide = materialize(still_open().where(F.col("rows") > bucket_rows), "wide")
+    if not wide.isEmpty():
+        link(_difference_pairs(wide, texts))
+
     heads = heads.select("key", "id")
     heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component")) if labels is not None else heads.select("key", F.col("id").alias("component"))
     return d.select("id", F.col("n").alias("n_shingles"), "key").join(heads, "key", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
