@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's word cache may hold; it is emptied beyond.
-CACHE_WORDS = 200_000
+#: Entries that either generation of a worker's word cache may hold.
+CACHE_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +42,21 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 class WordCache(dict):
-    """word -> value of ``make(word)``, remembered until ``limit`` words are held (call ``trim`` between documents)."""
+    """word -> value of ``make(word)``. ``trim``, called between documents, starts a new generation once this one is
+    full; words asked for again move over from the last one, so frequent words stay and memory is bounded."""
 
     def __init__(self, make, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.last = make, limit, {}
 
     def __missing__(self, word):
-        value = self[word] = self.make(word)
+        value = self.last.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.last = dict(self)
             self.clear()

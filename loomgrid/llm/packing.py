@@ -32,8 +32,11 @@ TOKENIZER = "word_bpe_49k.json"
 BLOCK_PIECES = 4096
 ISLANDS, ERAS, POPULATION, GENERATIONS = 2, 2, 4, 4
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
-#: Texts with these are tokenised whole: white space on which libraries differ, and special tokens.
-_WHOLE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
+#: Texts of these characters alone (ASCII, Latin and Cyrillic letters, common punctuation) are split here into the
+#: tokenizer's pre-tokens and those looked up; others, and any with special tokens, are tokenised as a whole.
+_OTHER = re.compile("[^\\t\\n\\r -~\\u00a1\\u00ab\\u00bb\\u00bf-\\u012f\\u0131-\\u0148\\u014a-\\u017e\\u0410-\\u044f\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026]|<\\|")
+#: The split of word_bpe_49k.json, on lower-cased text of those characters.
+_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
 
 @cache
@@ -47,24 +50,49 @@ def _ids(path: str, text: str) -> bytes:
     return np.asarray(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+#: Entries in either generation of a worker's cache of ids, about 200 bytes each.
+CACHE_CHUNKS = 500_000
+
+
 @cache
 def _chunks(path: str) -> WordCache:
-    return WordCache(lambda chunk: _ids(path, chunk))
+    """Ids by text between white space; pre-tokens are such texts too."""
+    letters, model = _byte_letters(), _tokenizer(path).model
 
+    def pre_token(x: str) -> bytes:
+        if not x.isascii():
+            x = x.encode().decode("latin-1").translate(letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(x)])
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """All ids of a text and the end id, little-endian unsigned 32-bit.
+    def split(chunk: str) -> bytes:
+        if chunk.isalpha():
+            return pre_token(chunk)
+        if chunk[:-1].isalpha():  # and then a character that is no letter: two pre-tokens
+            return known[chunk[:-1]] + known[chunk[-1]]
+        parts = _PRE.findall(chunk)
+        return pre_token(chunk) if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+
+    known = WordCache(split, CACHE_CHUNKS)
+    return known
 
-    The tokenizer never joins characters across white space, so chunks between white space are looked up one by one.
-    """
+
+def token_bytes(text: str | None, path: str) -> bytes:
+    """All ids of a text and the end id, little-endian unsigned 32-bit."""
     end = END.to_bytes(4, "little")
     if not text:
         return end
-    if _WHOLE.search(text):
+    if _OTHER.search(text):
         return _ids(path, text) + end
     chunks = _chunks(path)
     chunks.trim()
-    return b"".join(map(chunks.__getitem__, text.split())) + end
+    return b"".join(map(chunks.__getitem__, text.lower().split())) + end
 
 
 def cut(ids: bytes) -> list[tuple[int, int, int, int]]:
