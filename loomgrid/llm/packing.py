@@ -108,7 +108,8 @@ def pieces(text: Column, path: str) -> Column:
         of = pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int32()), *(pa.array(flat[:, k], pa.int64()) for k in (1, 2, 3))], names=["piece", "start", "length", "ids_crc32"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), of)
 
-    return F.arrow_udf(arrow, PIECES)(text)
+    # else Spark runs it once more, for the filter that it puts before an inline of its result
+    return F.arrow_udf(arrow, PIECES).asNondeterministic()(text)
 
 
 # -- the genetic algorithm, on item sizes; a packing is a list of bins, a bin a list of items --
