@@ -1,0 +1,404 @@
+"""Corpus operators against brute force, on small fixtures with nulls, empties, ties, repeats and clashing columns."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgrid.llm import ann, classifier, licenses, mixing, near_dup, packing, pii, quality_rules, sharding, token_counts
+from loomgrid.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{k}" for k in range(200)] + ["mit", "license", "the", "Ünï", "a.", "x,y"]
+
+
+def corpus(n=60, seed=1):
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(1, 160))]
+        if k % 5 == 4:
+            words = out[k - 1][1].split()
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+        out.append((k, " ".join(words).replace("w7 ", "w7\n"), rng.choice(["en", "de"]), f"src{k % 7 if k % 3 else 0}", None))
+    texts = [None, "", " \n\t ", "one", "one two", out[3][1], out[3][1], "a b c", "x " * 400 + "end", "mit license " * 40]
+    out += [(n + k, t, None if k % 2 else "en", None if k == 3 else "src1", None) for k, t in enumerate(texts)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # extra columns with names that the operators use inside
+    return spark.createDataFrame(corpus(), SCHEMA).withColumn("id", F.lit("x")).withColumn("key", F.lit(1)).withColumn("h", F.lit(2)).withColumn("leaf", F.lit(3)).repartition(5).cache()
+
+
+def words_of(text):
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
+def shingles(text):
+    w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_match_brute_force(spark, docs, percent):
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    parent = {k: k for k in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.id: (r.n_shingles, r.component) for r in near_dup.classes(docs, percent=percent).collect()}
+    assert got == {k: (len(s), find(k)) for k, s in sets.items()}
+    kept = near_dup.deduplicate(docs, percent=percent)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k in sets if find(k) == k)
+
+
+def test_wide_clouds_of_copies_lose_no_link(spark):
+    """Copies with many edits each: few link to any centre, so the difference index must find the rest."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+        if k % 3 == 0:
+            w[rng.randrange(len(w))] = "z"
+            rows.append((1000 + k, " ".join(w)))
+    sets = {k: shingles(t) for k, t in rows}
+    parent = {k: k for k in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows=3)
+    assert {r.id: r.component for r in got.collect()} == {k: find(k) for k in sets}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None)]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.id, r.component) for r in got.collect()), key=str) == sorted([(1, 1), (1, 1), (None, None), (2, 1), (3, 3)], key=str)
+
+
+def test_components_of_a_path_and_stars(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (5, 4), (5, 4)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_measures(text):
+    w = words_of(text)
+    grams = collections.Counter(zip(w, w[1:], w[2:]))
+    covered = {k + j for k in range(len(w) - 2) for j in range(3) if grams[tuple(w[k : k + 3])] > 1}
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), sum(x in lines[:k] for k, x in enumerate(lines)), len(covered)
+
+
+def test_quality_measures_and_host_verdicts(spark, docs):
+    rows = {r.doc_id: r for r in quality_rules.assess(docs).select("doc_id", "text", "source", "quality_rules.*").collect()}
+    for r in rows.values():
+        m = brute_measures(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
+        failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        assert r.base_failed == failed and r.kept == (not failed and r.host_rate is None)
+    text = "# a\n# a\nb b b b b b c | d\n\x0b\n" + "w " * 60
+    assert quality_rules.measure_text(text) == brute_measures(text)
+    assert quality_rules.repeated_words([b"a", b"b"] * 40_000) == 80_000
+
+
+def test_a_bad_host_rejects_its_documents(spark):
+    good, bad = "word%d " * 60, "x"
+    rows = [(k, " ".join(f"t{k}w{j}" for j in range(60)) if k % 10 == 0 or k >= 50 else bad, "en", "bad" if k < 50 else f"h{k % 4}", 0) for k in range(100)]
+    got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "quality_rules.kept").collect()}
+    assert not any(got[k] for k in range(50)) and all(got[k] for k in range(50, 100))
+
+
+def brute_base(text):
+    """The contract's patterns, by the plain engine."""
+    out = []
+    for kind, p in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 16 <= len(d) <= 19 and pii.luhn(d) if kind == "card" else True, "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_match_plain_patterns():
+    rng = random.Random(2)
+    parts = ["a@b.c", "@", "x.y+z@mail-1.example.com", "1.2.3.4", "256.1.1.1", "10.0.0.255.7", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "+12", "12345678901234567890", ".", "-", " ", "é@x.de", "0", "00012.1.1.1", "\n"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        base = pii.base_spans(t)
+        assert [(k, a, b) for k in pii.BASE_KINDS for a, b in base[k]] == brute_base(t), t
+
+
+def test_crf_finds_held_out_entities_and_leaves_look_alikes():
+    crf, rng = pii.model(), np.random.default_rng(12345)
+    hit = wrong = missed = 0
+    for _ in range(150):
+        text, spans = pii._generate(rng)
+        lat = pii.Lattice(text)
+        got = {(lat.tokens[s][0], lat.tokens[e - 1][1], k) for s, e, k in crf.decode(lat)}
+        hit, wrong, missed = hit + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
+    assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97
+
+
+def test_crf_decodes_the_best_segmentation():
+    crf, rng = pii.model(), np.random.default_rng(4)
+    for _ in range(20):
+        lat = pii.Lattice(pii._generate(rng)[0][:40])
+        score = lat.x @ crf.weights.T
+        memo = {}
+
+        def best(t, y):
+            if t == len(lat.tokens):
+                return 0.0
+            if (t, y) not in memo:
+                memo[t, y] = max([crf.moves[y, 0] + best(t + 1, 0)] + [crf.moves[y, z + 1] + score[i, z] + best(e, z + 1) for i, (s, e) in enumerate(lat.segments) if s == t for z in range(len(pii.KINDS))])
+            return memo[t, y]
+
+        found, total, t, y = crf.decode(lat), 0.0, 0, 0
+        for s, e, k in [*found, (len(lat.tokens), 0, None)]:
+            while t < s:
+                total, y, t = total + crf.moves[y, 0], 0, t + 1
+            if k is not None:
+                total += crf.moves[y, k + 1] + score[lat.segments.index((s, e)), k]
+                t, y = e, k + 1
+        assert not lat.segments or abs(total - best(0, 0)) < 1e-9
+
+
+def test_redaction(spark):
+    rows = [(1, "call +1 (826) 555-4081 190.137.223.20 now"), (2, None), (3, ""), (4, "clean text, version 2.0 of 2024"), (5, 'mail a.b@x.org token = "908038b7daaf91e730d2f64001c52934d43d9336"')]
+    got = {r.doc_id: r.t for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", pii.redact(F.col("text")).alias("t")).collect()}
+    assert got == {1: "call [PHONE] [IP] now", 2: None, 3: "", 4: rows[3][1], 5: 'mail [EMAIL] token = "[SECRET]"'}
+
+
+def test_packing_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    long = spark.createDataFrame([(900, "many words here " * 3000), (901, "a b " * 2048)], "doc_id long, text string")
+    x = docs.select("doc_id", "text").unionByName(long)
+    rows = packing.pack_documents(x).collect()
+    texts = {r.doc_id: r.text for r in x.collect()}
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for k, t in texts.items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want = [(j // 4096, j, len(p := ids[j : j + 4096]), zlib.crc32(np.array(p, "<u4").tobytes())) for j in range(0, len(ids), 4096)]
+        assert sorted(by_doc[k]) == want
+    for places in by_seq.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by_seq) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
+
+
+def test_tokens_of_odd_texts_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    tok, rng = Tokenizer.from_file(path), random.Random(1)
+    alphabet = "abZÉñß_'!.,0123 \n\t~^|<>$#ŒœÆæ¿¡«»–—‘’“”…АБяжsdmtrelv\\/-+=²½ªẞΣςｱ漢´́  \x1c\x0b\x85"
+    for _ in range(4000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(packing.token_bytes(t, path), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
+
+
+def test_genetic_steps_keep_every_item():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(900, 3000, 120).tolist()
+    first = packing._best_fit([], range(120), sizes)
+    people = packing.evolve(sizes, 3)
+    for p in people:
+        assert sorted(i for b in p for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= packing.LENGTH for b in p)
+    assert len(people[0]) <= len(first)
+
+
+def test_budgets_redistribute_shortages_among_siblings_first():
+    leaves = {("a", "x"): 10, ("a", "y"): 1000, ("b", "x"): 1000, ("b", "y"): 1000}
+    got = mixing.leaf_budgets(leaves, 400, {}, 1)
+    assert got == {("a", "x"): 10, ("a", "y"): 190, ("b", "x"): 100, ("b", "y"): 100}
+    got = mixing.leaf_budgets({("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 1000}, 400, {("a",): 3, ("b",): 1}, 1)
+    assert got == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 370}
+    assert mixing.leaf_budgets({}, 10, {}, 1) == {}
+
+
+def test_mix_takes_prefixes_of_seeded_epochs(spark, docs):
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    got = mixing.choose(docs, levels, budget_share=0.7, max_epochs=2, weights={("de",): 4.0}, bucket_docs=2)
+    take = {r.doc_id: r._mix_take for r in got.collect()}
+    rows = docs.select("doc_id", "lang", "source", mixing.words(F.col("text")).alias("n"), *(F.xxhash64(F.lit(11), F.lit(e), "doc_id").alias(f"h{e}") for e in range(3))).collect()
+    have = collections.Counter()
+    for r in rows:
+        have[r.lang, r.source] += r.n
+    want = mixing.leaf_budgets(have, 0.7 * sum(have.values()), {("de",): 4.0}, 2)
+    for leaf, budget in want.items():
+        own = [r for r in rows if (r.lang, r.source) == leaf]
+        used = sum(r.n * take.get(r.doc_id, 0) for r in own)
+        assert used <= budget
+        base = min(2, budget // have[leaf]) if have[leaf] else 2
+        extra = [r for r in own if take.get(r.doc_id, 0) > base]
+        left = sorted((r for r in own if take.get(r.doc_id, 0) == base), key=lambda r: r[4 + base])
+        if left and base < 2:  # the prefix stops only where the next document would exceed the budget
+            unsigned = lambda r: r[4 + base] % (1 << 64)
+            rest = budget - base * have[leaf]
+            buckets = max(1, -(-len(own) // 2))
+            order = sorted(own, key=lambda r: ((unsigned(r) >> 32) * buckets >> 32, r[4 + base], r.doc_id))
+            upto, prefix = 0, set()
+            for r in order:
+                upto += r.n
+                if upto > rest:
+                    break
+                prefix.add(r.doc_id)
+            assert {r.doc_id for r in extra} == (prefix if rest else set())
+    one = mixing.select(docs, levels, budget_share=0.9)
+    assert one.columns == docs.columns and one.count() == one.select("doc_id").distinct().count()
+
+
+def test_shards_have_exact_sizes_and_gapless_slots(spark, docs):
+    x = docs.select("doc_id", "text")
+    for n in (1, 3, 16):
+        got = sharding.shard(x, n).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in x.collect())
+        slots = collections.defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r.slot)
+        sizes = [len(v) for v in slots.values()]
+        assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shard(x.limit(0), 4).count() == 0
+
+
+def test_hypergeometric_law_and_matrix_sums():
+    rng = np.random.default_rng(0)
+    draws = np.array([sharding.hypergeometric(rng, 30, 70, 20) for _ in range(6000)])
+    assert abs(draws.mean() - 6) < 0.1 and abs(draws.var() - 20 * 0.3 * 0.7 * 80 / 99) < 0.25
+    big = sharding.hypergeometric(rng, 10**11, 15 * 10**11, 10**9)
+    assert abs(big - 10**9 / 16) < 10 * (10**9 / 16) ** 0.5
+    m = sharding.communication_matrix([5, 0, 9, 6], [7, 7, 6], 1)
+    assert [sum(r) for r in m] == [5, 0, 9, 6] and [sum(c) for c in zip(*m)] == [7, 7, 6]
+
+
+def test_license_scan_matches_brute_force(spark, docs):
+    more = [(500, "x MIT-License y apache license GNU General Public License, version 3."), (501, "Licensed under CC BY-NC 4.0."), (502, "general public licence"), (503, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (504, "MİT license"), (505, "all rights")]
+    x = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = {r.doc_id: r for r in licenses.scan(x).collect()}
+    for r in x.collect():
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        want = sorted((k, label) for p, label in licenses.BASE for k in range(len(w)) if tuple(w[k : k + len(p)]) == p)
+        got = rows[r.doc_id]
+        assert got.n_words == len(w) and sorted((p.start, p.label) for p in got.places) == want
+        # every reported template agrees at its place, and its key phrase stands whole
+        for f in got.found:
+            fits = []
+            for t in licenses.templates():
+                agree = [0 <= f.start + k < len(w) and w[f.start + k] == v for k, v in enumerate(t["words"])]
+                fits.append(t["label"] == f.label and all(agree[t["key"] : t["key_end"]]) and abs(sum(agree) / len(agree) - f.share) < 1e-9)
+            assert any(fits)
+    labels = {k: {f.label for f in r.found} for k, r in rows.items()}
+    assert labels[501] == {"cc-by-nc"} and labels[503] == {"mit"} and not labels[505] and "gpl" in labels[500]
+
+
+def test_token_counts_match_the_plain_dynamic_program(spark, docs):
+    v = token_counts.vocabulary(token_counts.public_tokenizers.path(token_counts.MODEL))
+
+    def plain(word):
+        best = [(0.0, 0)] + [None] * len(word)
+        for e in range(1, len(word) + 1):
+            options = [(best[s][0] + v.scores[word[s:e]], best[s][1] - 1) for s in range(e) if word[s:e] in v.scores]
+            if word[e - 1] not in v.scores:
+                n = len(word[e - 1].encode())
+                options.append((best[e - 1][0] + n * v.missing, best[e - 1][1] - n))
+            best[e] = max(options)
+        return -best[-1][1]
+
+    for r in docs.select("text", token_counts.token_counts(F.col("text")).alias("c")).collect():
+        w = words_of(r.text)
+        assert (r.c.n_words, r.c.n_tokens) == (len(w), sum(plain(token_counts.MARK + x) for x in w))
+
+
+def test_classifier_learns_and_never_sees_held_out_labels(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + rng.choice(["", "s", "ed"]) for _ in range(40))
+    rows = [(k, good() if k % 2 else good().upper().replace(" ", "!! ")) for k in range(240)]
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1002, rows[1][1])], "doc_id long, text string")
+    held = {r.doc_id for r in docs.where(classifier.fold(F.col("doc_id")) == 1).collect()}
+    assert held == {k for k in [*range(240), 1000, 1001, 1002] if zlib.crc32(str(k).encode()) % 3 == 1}
+    # held-out labels are wrong on purpose, so learning from them would show
+    labels = spark.createDataFrame([(k, (k % 2) ^ (k in held)) for k in range(240)] + [(5, 0), (7, None)], "doc_id long, quality int")
+    model = classifier.fit(docs, labels)
+    got = {r.doc_id: r.s for r in docs.select("doc_id", classifier.score(F.col("text"), model).alias("s")).collect()}
+    assert np.mean([(got[k] >= 0.5) == k % 2 for k in held if k < 240]) > 0.97
+    assert got[1000] == got[1001] and 0 < got[1000] < 1 and got[1002] == got[1]
+    none = classifier.fit(docs, labels.limit(0))
+    assert {r.s for r in docs.select(classifier.score(F.col("text"), none).alias("s")).collect()} == {0.5}
+
+
+def test_neighbours_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(400, 8)).astype(np.float32)
+    v[50:90] = v[50]  # a hot vector
+    rows = [(k, v[k].tolist(), k) for k in range(400)] + [(400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] + [1.0] * 7, 0), (403, [None] + [1.0] * 7, 0), (404, [1.0], 0)]
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = collections.defaultdict(list)
+    for r in ann.search(x, F.col("vec_id") % 50 == 0).collect():
+        got[r["query"]].append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 400, 50):
+        d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        top = np.lexsort((np.arange(400), d))[:10]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 11))
+        assert all(abs(d[i] - s) < 1e-12 for _, i, s in mine) and [m[1:] for m in mine] == sorted((m[1:] for m in mine), key=lambda m: (m[1], m[0]))
+        hits += len({m[1] for m in mine} & set(top.tolist()))
+    assert set(got) == set(range(0, 400, 50)) and hits >= 72
+    assert [m[1] for m in sorted(got[50])] == list(range(51, 61))
+    few = ann.search(x.where("vec_id < 4"), F.col("vec_id") == 0).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3]
+    assert ann.search(x.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert near_dup.classes(none).count() == 0
+    assert quality_rules.assess(none).count() == 0
+    assert none.select(pii.entities(F.col("text"))).count() == 0
+    assert packing.pack_documents(none).count() == 0
+    assert mixing.choose(none, {"lang": F.col("lang")}).count() == 0
+    assert licenses.scan(none).count() == 0
+    assert none.select(token_counts.token_counts(F.col("text"))).count() == 0
