@@ -47,11 +47,11 @@ def phrase_score(a: Column, b: Column) -> Column:
 
 def prompt_items(c: Column) -> Column:
     """Array of (label, phrases) from lines such as ``label = a | b``; separators are line ends, commas and semicolons."""
-    parts = F.filter(F.transform(F.split(c, "[\\n,;，；]+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, "[\\n,;，；]+"), lambda x: F.trim(x)), lambda p: p != "")
 
     def item(p: Column) -> Column:
         sides = F.split(p, "\\s*=\\s*", 2)
-        phrases = F.filter(F.transform(F.split(F.element_at(sides, -1), "\\|"), F.trim), lambda x: x != "")
+        phrases = F.filter(F.transform(F.split(F.element_at(sides, -1), "\\|"), lambda x: F.trim(x)), lambda x: x != "")
         return F.struct(slug(F.element_at(sides, 1)).alias("label"), F.array_distinct(phrases).alias("phrases"))
 
     return F.filter(F.transform(parts, item), lambda i: i["label"] != "")
@@ -59,9 +59,13 @@ def prompt_items(c: Column) -> Column:
 
 def shingles(c: Column, n: int) -> Column:
     """Distinct n-token shingles of a normalized text; none if it has fewer tokens."""
-    t = tokens(c)
-    at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n))
-    return F.array_distinct(F.coalesce(F.transform(at, lambda i: F.array_join(F.slice(t, i + 1, n), " ")), F.array().cast("array<string>")))
+
+    def all_of(t: Column) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n))
+        return F.array_distinct(F.coalesce(F.transform(at, lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n)))), F.array().cast("array<string>")))
+
+    # bound by a lambda, so that the tokens are made once and not at every position
+    return F.element_at(F.transform(F.array(tokens(c)), all_of), 1)
 
 
 def first_json_object(text: Column) -> Column:

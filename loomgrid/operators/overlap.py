@@ -42,6 +42,22 @@ def overlap_pairs(elem: DataFrame, min_iou: float = 0.0) -> DataFrame:
     return _measures(x).where(F.col("iou") >= min_iou - 1e-12)
 
 
+def containment_pairs(elem: DataFrame, least: float) -> DataFrame:
+    """Measures of set pairs a < b whose smaller set lies in the larger one by at least ``least``.
+
+    A smaller set of n elements must meet the larger one in one of its n - ceil(least * n) + 1 rarest elements.
+    """
+    e = elem.select("case_id", "set_id", "e").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("case_id", "set_id")))
+    e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("case_id", "e")))
+    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "set_id").orderBy("df", "e")))
+    rare = e.where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)).select("case_id", "e", F.col("set_id").alias("s"), F.col("n").alias("ns"))
+    all_ = e.where("df > 1").select("case_id", "e", F.col("set_id").alias("t"), F.col("n").alias("nt"))
+    c = rare.join(all_, ["case_id", "e"]).where("s <> t AND ns <= nt").select("case_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.when(F.col("s") < F.col("t"), F.col("ns")).otherwise(F.col("nt")).alias("na"), F.when(F.col("s") < F.col("t"), F.col("nt")).otherwise(F.col("ns")).alias("nb")).distinct()
+    ea, eb = e.select("case_id", F.col("set_id").alias("a"), "e"), e.select("case_id", F.col("set_id").alias("b"), "e")
+    x = c.join(ea, ["case_id", "a"]).join(eb, ["case_id", "b", "e"]).groupBy("case_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("inter"))
+    return _measures(x).where(F.col("containment") >= least - 1e-12)
+
+
 def cross_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Measures of every pair of a ``left`` and a ``right`` set of one case that share an element."""
     n = lambda x, s, k: x.select("case_id", "set_id", "e").distinct().select("case_id", "e", F.col("set_id").alias(s), F.count(F.lit(1)).over(Window.partitionBy("case_id", "set_id")).alias(k))

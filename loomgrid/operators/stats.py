@@ -41,7 +41,8 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         return n.withColumn("r", F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2.0).select(c, F.col("r").alias(f"_{c}"))
 
     both = rows.join(ranks(x), x).join(ranks(y), y)
-    return both.agg(F.coalesce(F.nanvl(F.corr(f"_{x}", f"_{y}"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    spread = F.stddev_pop(f"_{x}") * F.stddev_pop(f"_{y}")
+    return both.agg(F.when(spread > 0, F.covar_pop(f"_{x}", f"_{y}") / spread).otherwise(0.0).alias("rho"))
 
 
 def paired_delta(rows: DataFrame, case: str, variant: str, value: str, reference: str, variants: list[str]) -> DataFrame:

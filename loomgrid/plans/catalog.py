@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text, vectors
-from ..operators import assignment, graph, ordered, overlap, ownership, retrieval, stats, suppression, validation
+from ..operators import assignment, evaluation, graph, ordered, overlap, ownership, parents, priors, retrieval, routing, stats, suppression, validation
 from ..storage import table
 from ..streaming import windows
 
@@ -527,3 +527,80 @@ def next_cosine(spark, d):
     e = table(spark, d, "embeddings")
     f = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
     return e.join(f, "vec_id").select(F.col("vec_id").alias("doc_id"), F.round(vectors.cosine(F.col("embedding"), F.col("b")), 5).alias("cosine"))
+
+
+@named(f"""WITH {_W}, x AS (SELECT CASE WHEN na >= nb THEN b ELSE a END c, CASE WHEN na >= nb THEN a ELSE b END p, greatest(na, nb) n FROM m WHERE containment >= 0.9 AND least(na, nb) <= 0.72 * greatest(na, nb)),
+t AS (SELECT c, p FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n, p) k FROM x) WHERE k = 1) SELECT t.c AS child, t.p AS parent, CASE WHEN u.c IS NULL THEN 1 ELSE 2 END AS depth FROM t LEFT JOIN t u ON u.c = t.p""")
+def enclosing_documents(spark, d):
+    """Documents inside larger ones, by their shingles."""
+    return parents.enclosing(overlap.containment_pairs(worded(spark, d), 0.9)).select("child", "parent", "depth")
+
+
+@named("""WITH x AS (SELECT l_orderkey c, l_suppkey p, l_linenumber % 3 t, l_discount o, l_tax d, l_quantity s FROM lineitem), m AS (SELECT *, min(t) OVER (PARTITION BY c) mt FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o DESC, d, s DESC, p) k FROM m WHERE t = mt)
+SELECT c AS child, p AS parent FROM r WHERE k = 1 AND (o >= 0.02 OR d <= 0.01)""")
+def best_parent(spark, d):
+    x = table(spark, d, "lineitem").select(F.lit(0).alias("case_id"), F.col("l_orderkey").alias("child"), F.col("l_suppkey").alias("parent"), (F.col("l_linenumber") % 3).alias("tier"), F.col("l_discount").alias("overlap"), F.col("l_tax").alias("distance"), F.col("l_quantity").alias("support"))
+    return parents.best_parent(x, 0.02, 0.01).select("child", "parent")
+
+
+@named("""WITH c AS (SELECT p_type, p_brand, count(*) c, min(p_partkey) f FROM part GROUP BY 1, 2) SELECT p_type, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY c DESC, f) k FROM c) WHERE k = 1""")
+def first_mode(spark, d):
+    return priors.mode(table(spark, d, "part"), ["p_type"], "p_brand", "p_partkey")
+
+
+@named("""WITH e AS (SELECT o_custkey a, 1.0 + o_custkey % 3 w, o_orderpriority n, o_totalprice / 500000 g FROM orders), t AS (SELECT sum(w) t FROM (SELECT DISTINCT a, w FROM e)), p AS (SELECT n, a, max(w) w, count(*) c FROM e GROUP BY 1, 2)
+SELECT p.n AS name, round(max(x.w) / max(t), 6) AS prevalence, max(x.s) AS support, max(x.q)::INT AS maximum_instances, round(avg(g), 6) AS mean, round(greatest(stddev_pop(g), 0.04), 6) AS std FROM (SELECT DISTINCT n FROM p) p JOIN (SELECT n, sum(w) w, count(*) s, ceil(quantile_cont(c::DOUBLE, 0.9)) q FROM p GROUP BY 1) x ON x.n = p.n JOIN e ON e.n = p.n, t GROUP BY 1""")
+def part_priors(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("asset"), (1.0 + F.col("o_custkey") % 3).alias("weight"), F.col("o_orderpriority").alias("name"), F.array(F.col("o_totalprice") / 500000).alias("geometry"))
+    p = priors.part_priors(e)
+    return p.select("name", r6(F.col("prevalence")).alias("prevalence"), "support", "maximum_instances", r6(F.col("geometry_mean")[0]).alias("mean"), r6(F.col("geometry_std")[0]).alias("std"))
+
+
+@named("""WITH c AS (SELECT p_type, count(*) n FROM part GROUP BY 1) SELECT p_type, round(1 / sqrt(n) / (SELECT sum(n / sqrt(n)) / sum(n) FROM c), 6) AS weight FROM c""")
+def frequency_weights(spark, d):
+    return priors.frequency_weights(table(spark, d, "part"), "p_type").select("p_type", r6(F.col("weight")).alias("weight"))
+
+
+@named("""WITH c AS (SELECT o_custkey c, o_orderpriority m, sum(o_totalprice) / 1e6 s, min(o_orderpriority) OVER (PARTITION BY o_custkey) u FROM orders GROUP BY o_custkey, o_orderpriority, o_orderstatus),
+g AS (SELECT c, m, count(*) n, sum(s) s, max(s) b, min(u) u FROM c GROUP BY 1, 2), h AS (SELECT *, max(b) OVER w t, sum(n) OVER w a, max(CASE WHEN m = u AND b >= (SELECT max(b) FROM g x WHERE x.c = g.c) - 0.02 THEN 1 ELSE 0 END) OVER w z, row_number() OVER (PARTITION BY c ORDER BY n DESC, s DESC, b DESC, m) k FROM g WINDOW w AS (PARTITION BY c))
+SELECT c AS case_id, CASE WHEN z = 1 THEN u WHEN n / a >= 0.6 THEN m ELSE u END AS domain, z = 1 OR n / a < 0.6 AS kept FROM h WHERE k = 1""")
+def domain_votes(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("domain"), "o_orderstatus").agg((F.sum("o_totalprice") / 1e6).alias("score"))
+    return routing.domain_votes(o.withColumn("current", F.min("domain").over(Window.partitionBy("case_id"))).drop("o_orderstatus"))
+
+
+@named("""WITH f AS (SELECT l_orderkey c, l_returnflag l, max(l_discount) s FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey c, l_returnflag l, max(l_tax) s FROM lineitem GROUP BY 1, 2),
+x AS (SELECT f.c, f.l, f.s sf, g.s sc, max(g.s) OVER (PARTITION BY f.c) t, row_number() OVER (PARTITION BY f.c ORDER BY f.s DESC, f.l) k, (f.s + g.s) / 2 s FROM f JOIN g ON f.c = g.c AND f.l = g.l), y AS (SELECT *, max(s) FILTER (k > 1) OVER (PARTITION BY c) o FROM x)
+SELECT c AS case_id, l AS label, round(s, 6) AS score, round(s - coalesce(o, 0), 6) AS margin FROM y WHERE k = 1 AND sc >= t - 0.015""")
+def cross_view(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("label"), "l_discount", "l_tax")
+    v = lambda c: x.groupBy("case_id", "label").agg(F.max(c).alias("score"))
+    return routing.cross_view(v("l_discount"), v("l_tax")).select("case_id", "label", r6(F.col("score")).alias("score"), r6(F.col("margin")).alias("margin"))
+
+
+@named("""WITH p AS (SELECT l_partkey e, max(l_returnflag) p, min(l_linestatus) t0, CASE WHEN min(l_linestatus) = 'F' THEN 'A' ELSE 'N' END t FROM lineitem GROUP BY 1), c AS (SELECT p, t, count(*) n FROM p GROUP BY 1, 2), l AS (SELECT p l FROM c UNION SELECT t FROM c),
+g AS (SELECT l, coalesce(sum(n) FILTER (p = l AND t = l), 0) i, coalesce(sum(n) FILTER (p = l), 0) a, coalesce(sum(n) FILTER (t = l), 0) b FROM l, c GROUP BY 1) SELECT l AS label, round(i / (a + b - i), 6) AS iou, round(i / greatest(a, 1), 6) AS "precision", round(i / greatest(b, 1), 6) AS recall FROM g""")
+def class_metrics(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("e")).agg(F.max("l_returnflag").alias("p"), F.when(F.min("l_linestatus") == "F", "A").otherwise("N").alias("t")).withColumn("case_id", F.lit(0))
+    m = evaluation.class_metrics(x.select("case_id", "e", F.col("p").alias("label")), x.select("case_id", "e", F.col("t").alias("label")))
+    return m.select("label", *(r6(F.col(k)).alias(k) for k in ("iou", "precision", "recall")))
+
+
+@named("""WITH o AS (SELECT o_custkey r, count(DISTINCT o_orderkey) n, min(o_orderkey) i FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1) SELECT c_custkey AS request, CASE WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS state, coalesce(n = 1 AND i % 2 = 0, false) AS correct FROM customer LEFT JOIN o ON r = c_custkey""")
+def resolution_states(spark, d):
+    o = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("item"))
+    even = o.where("item % 2 = 0").groupBy("request").agg(F.min("item").alias("target"))
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("request")).join(even, "request", "left")
+    return evaluation.resolution_states(o, q)
+
+
+@named(f"""WITH {_DELTA}, z AS (SELECT v, delta x, rank() OVER (PARTITION BY v ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY v, abs(delta)) - 1) / 2.0 r FROM d WHERE delta <> 0)
+SELECT v AS variant, count(*) AS n, sum(r) FILTER (x > 0)::DOUBLE AS w_plus, sum(r) FILTER (x < 0)::DOUBLE AS w_minus FROM z GROUP BY 1""")
+def signed_ranks(spark, d):
+    return evaluation.signed_ranks(_deltas(spark, d), "variant", "delta").select("variant", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"))
+
+
+@named("""WITH t AS (SELECT unnest([0.02, 0.05, 0.08]) t) SELECT t::DOUBLE AS threshold, round(count(*) FILTER (l_discount >= t AND l_returnflag = 'R') / count(*) FILTER (l_discount >= t OR l_returnflag = 'R'), 6) AS iou, round(count(*) FILTER (l_discount >= t AND l_returnflag <> 'R') / count(*), 6) AS false_share FROM lineitem, t GROUP BY 1""")
+def probability_thresholds(spark, d):
+    x = evaluation.probability_thresholds(table(spark, d, "lineitem"), "l_discount", F.col("l_returnflag") == "R", [0.02, 0.05, 0.08])
+    return x.select("threshold", r6(F.col("iou")).alias("iou"), r6(F.col("false_share")).alias("false_share"))

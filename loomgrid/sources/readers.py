@@ -29,8 +29,8 @@ def annotations(spark: SparkSession, path: str, categories: list[str], min_parts
     take = lambda k: doc.select(F.explode(k).alias("x")).select("x.*")
     cat = take("categories").select(F.col("id").alias("category_id"), "name")
     a = take("annotations").join(F.broadcast(cat), "category_id")
-    parts = a.where(F.contains("name", F.lit(":"))).groupBy("obj_ann_id").agg(F.countDistinct("name").alias("parts"))
-    objects = a.where(F.col("name").isin(categories)).join(parts, a["id"] == parts["obj_ann_id"]).where((F.col("parts") >= min_parts) & (F.least(F.element_at("bbox", 3), F.element_at("bbox", 4)) >= min_side))
+    parts = a.where(F.contains("name", F.lit(":"))).groupBy(F.col("obj_ann_id").alias("whole")).agg(F.countDistinct("name").alias("parts"))
+    objects = a.where(F.col("name").isin(categories)).join(parts, F.col("id") == F.col("whole")).where((F.col("parts") >= min_parts) & (F.least(F.element_at("bbox", 3), F.element_at("bbox", 4)) >= min_side))
     area = F.element_at("bbox", 3) * F.element_at("bbox", 4)
     w = Window.partitionBy("name").orderBy(F.desc("parts"), F.desc(area), "id")
     return objects.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_category).select("name", "rank", "id", "image_id", "parts", "bbox")

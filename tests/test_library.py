@@ -103,6 +103,7 @@ def test_assignment_is_optimal():
         n, m = rng.integers(1, 6, 2)
         c = rng.random((n, m))
         got = sum(c[i, j] for i, j in assignment.solve(c))
+        n, m = int(n), int(m)
         k = min(n, m)
         want = min(sum(c[i, j] for i, j in zip(a, b)) for a in itertools.permutations(range(n), k) for b in itertools.permutations(range(m), k))
         assert abs(got - want) < 1e-9 and len(assignment.solve(c)) == k
