@@ -94,6 +94,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _describe(texts: pa.Array) -> pa.Array:
+    _WORDS.take()
     n, keys, bands, before = [], [], [], (None, None)
     for t in texts:
         s = shingles(t.as_py())
@@ -110,6 +111,7 @@ def describe(text: Column) -> Column:
 
 
 def _sets(texts: pa.Array) -> pa.Array:
+    _WORDS.take()
     return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
@@ -269,3 +271,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classes(table(spark, sf_dir, "documents"), percent=85)
     return c.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+#: All pairs by brute force, for small tables.
+SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, e FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) e FROM t)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+r AS (SELECT a, a b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""

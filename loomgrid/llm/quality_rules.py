@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import WordCache, materialize, small, table
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _SYMBOLS = b"#*$%&|<>"
@@ -57,6 +57,7 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _measure(texts: pa.Array) -> pa.Array:
+    WordCache.release()
     rows = np.array([measure_text(x.as_py()) for x in texts], np.int64).reshape(-1, 5)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(5)], names=names)
@@ -133,3 +134,18 @@ def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.select("doc_id", "quality_rules.*")
+
+
+SQL = r"""WITH t AS (SELECT doc_id, source, coalesce(text, '') x, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM t)),
+o AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) n FROM g JOIN o USING (doc_id, g), range(0, 3) r(k) GROUP BY 1),
+m AS (SELECT t.doc_id, source, len(w) n_words, length(regexp_replace(x, '[\x09-\x0D ]', '', 'g')) word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) n_symbols,
+  len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x09-\x0D ]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x09-\x0D ]')))) n_dup_lines, coalesce(c.n, 0) n_repeat_words FROM t LEFT JOIN c ON c.doc_id = t.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM m),
+h AS (SELECT source, count(*) d, count(*) FILTER (base_failed OR n_symbols > 0.1 * n_words OR n_dup_lines > 30 OR NOT (word_chars / greatest(n_words, 1) BETWEEN 2 AND 15)) f FROM b GROUP BY 1),
+s AS (SELECT count(*) h, sum(d) d, sum(f) f, sum(d * d) d2, sum(f * f / d) f2, least(greatest(sum(f) / sum(d), 0.5 / sum(d)), 1 - 0.5 / sum(d)) q FROM h),
+v AS (SELECT *, d - d2 / d - (h - 1) room, q * (1 - q) w FROM s),
+a AS (SELECT q, 1 / least(greatest(CASE WHEN room > 0 THEN (f2 - q * q * d - w * (h - 1)) / (w * room) ELSE 0 END, 0.001), 0.5) - 1 z FROM v),
+e AS (SELECT source, (f + q * z) / (d + z) r FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN r > 0.5 THEN r END AS host_rate, NOT base_failed AND NOT coalesce(r > 0.5, false) AS kept FROM b LEFT JOIN e ON e.source IS NOT DISTINCT FROM b.source"""

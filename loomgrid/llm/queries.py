@@ -17,4 +17,7 @@ QUERIES = {
     "op8_host_quality": quality_rules.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_circulant_minhash": near_dup.SQL,
+    "op8_host_quality": quality_rules.SQL,
+}
