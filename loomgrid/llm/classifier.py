@@ -138,7 +138,7 @@ def score(text: Column, model: Model) -> Column:
 
     def arrow(texts: pa.Array) -> pa.Array:
         memo[:] = memo or [WordCache(word)]
-        known, out = memo[0], []
+        known, out = memo[0].take(), []
         for t in texts:
             words = (t.as_py() or "").split()
             new, again = repeats(words)

@@ -1,49 +1,49 @@
-"""What the corpus operators share: reading tables, cutting lineage, size-checked broadcasts."""
+"""What the corpus operators share: cutting lineage with bounded Arrow batches, and workers' caches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..storage import shared_dir, small, table
+
+__all__ = ["WordCache", "lean_batches", "materialize", "shared_dir", "small", "table"]
 
 #: Entries that either generation of a worker's word cache may hold.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of an Arrow batch while a table is written; sets of shingles make rows of some kilobytes.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; on local masters a temporary one if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+def lean_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """From now on this session's Arrow batches hold at most ``rows`` rows, which bounds what executors hold of long texts."""
+    before = int(spark.conf.get(_ROWS))
+    spark.conf.set(_ROWS, str(min(rows, before) if before > 0 else rows))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, so later stages start from files, not lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is (Spark then shuffles both sides)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 class WordCache(dict):
     """word -> value of ``make(word)``. ``trim``, called between documents, starts a new generation once this one is
-    full; words asked for again move over from the last one, so frequent words stay and memory is bounded."""
+    full; words asked for again move over from the last one, so frequent words stay and memory is bounded. A worker
+    holds one cache at a time: ``take``, called for each batch, empties the one that another operator has left."""
+
+    taken: WordCache | None = None
 
     def __init__(self, make, limit: int = CACHE_WORDS):
         super().__init__()
@@ -56,6 +56,20 @@ class WordCache(dict):
         self[word] = value
         return value
 
+    def take(self) -> WordCache:
+        if WordCache.taken is not self:
+            WordCache.release()
+        WordCache.taken = self
+        return self
+
+    @staticmethod
+    def release() -> None:
+        """Empty the cache that this worker holds."""
+        if WordCache.taken is not None:
+            WordCache.taken.clear()
+            WordCache.taken.last = {}
+            WordCache.taken = None
+
     def trim(self) -> None:
         if len(self) > self.limit:
             self.last = dict(self)

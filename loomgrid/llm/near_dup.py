@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import connected_components
 from .common import WordCache, materialize, small, table
-from .components import connected_components
 
 WORDS = 5
 #: 40 bands of 8: a pair at similarity 0.85 shares none with probability 3e-6; at 0.5 it shares one with 0.15.
@@ -94,6 +94,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _describe(texts: pa.Array) -> pa.Array:
+    _WORDS.take()
     _WORDS.take()
     n, keys, bands, before = [], [], [], (None, None)
     for t in texts:
@@ -111,6 +112,7 @@ def describe(text: Column) -> Column:
 
 
 def _sets(texts: pa.Array) -> pa.Array:
+    _WORDS.take()
     _WORDS.take()
     return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
 

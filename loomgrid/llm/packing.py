@@ -58,7 +58,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 #: Entries in either generation of a worker's cache of ids, about 200 bytes each.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 
 
 @cache
@@ -90,7 +90,7 @@ def token_bytes(text: str | None, path: str) -> bytes:
         return end
     if _OTHER.search(text):
         return _ids(path, text) + end
-    chunks = _chunks(path)
+    chunks = _chunks(path).take()
     chunks.trim()
     return b"".join(map(chunks.__getitem__, text.lower().split())) + end
 
@@ -193,7 +193,8 @@ def _genes(bins: list[list[int]], n: int) -> np.ndarray:
     return g
 
 
-_ITEM = "block long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
+#: Ids travel as text: pandas has no null integers, and ids may be of any type.
+_ITEM = "doc_id string, piece int, start long, length long, ids_crc32 long"
 _ORDER = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
@@ -233,16 +234,15 @@ def _settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def pack(items: DataFrame, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Add sequence_id and offset to ``items`` (doc_id, piece, start, length, ids_crc32)."""
     blocks = max(1, -(-items.count() // block_pieces))
-    id_type = items.schema["doc_id"].dataType.simpleString()
-    item = _ITEM.format(id=id_type)
-    state = f"{item}, island int, origin int, genes array<int>, bins int"
+    id_type = items.schema["doc_id"].dataType
+    state = f"block long, {_ITEM}, island int, origin int, genes array<int>, bins int"
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
-    x = items.select(block.alias("block"), *_ORDER, F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"))
+    x = items.select(block.alias("block"), F.col("doc_id").cast("string").alias("doc_id"), *_ORDER[1:], F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"))
     x = x.withColumn("origin", F.col("island")).withColumn("genes", F.array().cast("array<int>")).withColumn("bins", F.lit(0))
     for era in range(ERAS):
         x = x.groupBy("block", "island").applyInPandas(_era(era), state)
-    packed = x.groupBy("block").applyInPandas(_settle, f"{item[len('block long, '):]}, sequence_id long, offset long")
-    return packed
+    packed = x.groupBy("block").applyInPandas(_settle, f"{_ITEM}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -399,6 +399,7 @@ def entities(text: Column) -> Column:
 
     def arrow(texts: pa.Array) -> pa.Array:
         memo[:] = memo or [_decoder(crf)]
+        memo[0].take()
         out = []
         for t in texts:
             out.append([{"kind": k, "start": a, "end": b, "base": f} for k, a, b, f in find(t.as_py(), memo[0].__getitem__)])
@@ -414,6 +415,7 @@ def redact(text: Column) -> Column:
 
     def arrow(texts: pa.Array) -> pa.Array:
         memo[:] = memo or [_decoder(crf)]
+        memo[0].take()
         out = []
         for t in texts:
             out.append(redact_text(t.as_py(), memo[0].__getitem__) if t.is_valid else None)

@@ -94,7 +94,7 @@ def token_counts(text: Column, model_path: str | None = None) -> Column:
 
     def arrow(texts: pa.Array) -> pa.Array:
         memo[:] = memo or [WordCache(lambda w: 0)]
-        known, n_words, n_tokens, group, chars = memo[0], [], [], [], 0
+        known, n_words, n_tokens, group, chars = memo[0].take(), [], [], [], 0
 
         def settle() -> None:
             new = {w for words in group for w in words if w not in known}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm import ann, classifier, licenses, mixing, near_dup, packing, pii, quality_rules, sharding, token_counts
-from loomgrid.llm.components import connected_components
+from loomgrid.operators.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{k}" for k in range(200)] + ["mit", "license", "the", "Ünï", "a.", "x,y"]
@@ -228,6 +228,12 @@ def test_packing_round_trip(spark, docs):
     assert len(by_seq) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
 
 
+def test_packing_of_null_and_large_ids(spark):
+    rows = [(None, "a"), (2**60 + 1, "b"), (2**60 + 2, None), (2**60 + 2, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((r[0] for r in rows), key=str)
+
+
 def test_tokens_of_odd_texts_match_the_tokenizer():
     from tokenizers import Tokenizer
 
