@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgrid.functions import scores, text, vectors
-from loomgrid.operators import assignment, graph, ordered, overlap, ownership, raster, retrieval, stats, suppression, validation
+from loomgrid.operators import assignment, evaluation, graph, ordered, overlap, ownership, parents, priors, raster, regions, retrieval, routing, stats, suppression, validation
 from loomgrid.sources import readers, writers
 from loomgrid.streaming import windows
 
@@ -235,3 +235,45 @@ def test_stream_windows_agree_with_batch(spark, tmp_path):
     want = sorted(map(tuple, windows.tumbling(batch, "1 hour", ["k"], "value").collect()))
     assert sorted(map(tuple, spark.table("tumbled").collect())) == want and want
     assert windows.sessions(batch, "10 minutes", "k").count() == 50 and windows.first_seen(batch.union(batch), "event_id").count() == 50
+
+
+def test_regions(spark):
+    e = elems(spark, box("c", 1, 0, 0, 20, 2) + box("c", 2, 0, 10, 5, 15))
+    s = {r.set_id: r.elongation for r in regions.shape(e, F.lit(64)).collect()}
+    assert s[1] > 8 and abs(s[2] - 1) < 1e-6
+    x = spark.createDataFrame([(1.0, 1), (1.1, 1), (9.0, 1), (2.0, 2), (2.1, 2)], "v double, k int")
+    assert {(r.v, r.side) for r in regions.log_gap_split(x, "k", "v", 0.5).collect()} == {(1.0, "low"), (1.1, "low"), (9.0, "high"), (2.0, "low"), (2.1, "low")}
+    o = spark.createDataFrame([("c", "g1", "a", 9), ("c", "g2", "a", 8), ("c", "g2", "b", 1), ("c", "g1", "d", 2), ("c", "g3", "a", 1)], "case_id string, group_id string, part_id string, n long")
+    assert {(r.group_id, r.part_id) for r in regions.rebind(o).collect()} == {("g1", "a"), ("g2", "b"), ("g3", "a"), ("g1", "d")}
+    g = spark.createDataFrame([("r", "wheel", False), ("r", "door", False), ("r", "x", True), ("q", "y", True)], "root string, semantic string, generic boolean")
+    assert sorted(r.semantic for r in regions.ensemble_gate(g, 2).collect()) == ["door", "wheel", "y"]
+    p = spark.createDataFrame([("c", "a", "wheel", 2, "p2", 0, 0, 4, 4, 16), ("c", "a", "wheel", 1, "p1", 8, 0, 12, 4, 16)], "case_id string, asset_id string, semantic string, instance_index int, part_id string, x0 int, y0 int, x1 int, y1 int, area long")
+    r = regions.groups(p).first()
+    assert r.members == ["p1", "p2"] and tuple(r.bbox) == (0, 0, 12, 4) and r.area == 32
+    c = spark.createDataFrame([(1, "a", "A", 0.5), (1, "b", "B", 0.5)], "item int, label string, parent string, p double")
+    q = spark.createDataFrame([(1, "A", 0.8), (1, "B", 0.2)], "item int, parent string, p double")
+    assert {v.label: round(v.probability, 6) for v in regions.conditioned(c, q, 1.0).collect()} == {"a": 0.8, "b": 0.2}
+    one = spark.range(1)
+    t = one.select(regions.nearest_colour(F.lit(250), F.lit(3), F.lit(0), [(0, 0, 0), (255, 0, 0), (255, 0, 0)]).alias("n"), regions.canonical(F.lit("tyre"), {}, {"tyre": "wheel"}).alias("w"), regions.completion_reason(F.lit(0.9), F.lit(0.9), F.lit(0.5), F.lit(1.0), F.lit(1.0)).alias("r"), regions.compose(F.lit(False), F.lit(True), F.lit(1), F.lit(2)).alias("v")).first()
+    assert tuple(t) == (1, "wheel", "low_precision", 2)
+
+
+def test_parents_priors_routing_and_audits(spark):
+    e = elems(spark, box("c", 1, 0, 0, 10, 10) + box("c", 2, 0, 0, 6, 6) + box("c", 3, 1, 1, 3, 3))
+    got = {r.child: (r.parent, r.depth) for r in parents.enclosing(overlap.overlap_pairs(e)).collect()}
+    assert got == {2: (1, 1), 3: (2, 2)}
+    assert {(r.a, r.b) for r in overlap.containment_pairs(e, 0.9).collect()} == {(1, 2), (1, 3), (2, 3)}
+    r = spark.createDataFrame([(1, "hub", None), (2, "wheel", None), (3, "car", 1)], "item long, semantic string, assembly_parent long")
+    links = spark.createDataFrame([("hub", "wheel"), ("wheel", "car")], "semantic string, parent string")
+    assert {(x.item, x.other) for x in parents.non_occluders(r, links).collect()} == {(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (3, 1)}
+    g = spark.range(1).select(priors.compatibility(F.array(F.lit(0.2), F.lit(0.5)), F.array(F.array(F.lit(0.8), F.lit(0.5))), F.array(F.lit(0.1), F.lit(0.1))).alias("c")).first().c
+    assert abs(g - 1) < 1e-9  # mirrored
+    a = spark.createDataFrame([("red car", "car", "road"), ("car", "auto", "road"), ("boat", "boat", "sea")], "alias string, label string, domain string")
+    q = spark.createDataFrame([("red car",), ("a blue car",), ("car boat",), ("cart",)], "prompt string")
+    got = {x.prompt: (x.label, round(x.score, 4), x.resolved) for x in routing.resolve_prompts(q, a).collect()}
+    assert got == {"red car": ("car", 1.0, True), "a blue car": ("auto", round(0.84 + 0.08 / 3, 4), True), "car boat": ("boat", 0.88, False)}
+    p = spark.createDataFrame([("c", "p1", None, "g1"), ("c", "p1", "p9", "g2")], "case_id string, part_id string, parent_id string, group_id string")
+    m = spark.createDataFrame([("c", "g1", "p1"), ("c", "g1", "p7")], "case_id string, group_id string, member_id string")
+    assert tuple(evaluation.identity_audit(p, m).first())[1:] == (1, 1, 1, 1)
+    o = spark.createDataFrame([("c", 4, 4, 4, 4, 0, 4)], "case_id string, visible long, full long, completed long, both_full long, added_hidden long, kept_visible long")
+    assert tuple(evaluation.occlusion(o).first())[1:] == (1.0, 1.0, 1.0, 1.0, 0.0, 1.0)
