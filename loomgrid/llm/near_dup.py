@@ -94,7 +94,6 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _describe(texts: pa.Array) -> pa.Array:
-    _WORDS.take()
     _WORDS.take()
     n, keys, bands, before = [], [], [], (None, None)
     for t in texts:
@@ -112,7 +111,6 @@ def describe(text: Column) -> Column:
 
 
 def _sets(texts: pa.Array) -> pa.Array:
-    _WORDS.take()
     _WORDS.take()
     return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
 
@@ -247,17 +245,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             links = links.unionByName(new) if links is not None else new
             labels = materialize(connected_components(links), "labels")
 
-    def still_open() -> DataFrame:
-        return materialize(_open(_labelled(entries, labels)), "open")
-
     entries = heads.select("id", "n", F.explode("bands").alias("key"))
     met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
     entries = materialize(entries.join(met, "key"), "entries")
-    link(_star_pairs(still_open(), texts))
-    link(_cross_pairs(still_open().where(F.col("rows") <= bucket_rows), texts))
-    wide = materialize(still_open().where(F.col("rows") > bucket_rows), "wide")
-    if not wide.isEmpty():
-        link(_difference_pairs(wide, texts))
+    link(_star_pairs(_labelled(entries, None), texts))
+    here = materialize(_open(_labelled(entries, labels)), "open")
+    pairs, wide = _cross_pairs(here.where(F.col("rows") <= bucket_rows), texts), here.where(F.col("rows") > bucket_rows)
+    link(pairs if wide.isEmpty() else pairs.unionByName(_difference_pairs(wide, texts)).distinct())
 
     heads = heads.select("key", "id")
     heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component")) if labels is not None else heads.select("key", F.col("id").alias("component"))
