@@ -35,11 +35,18 @@ def features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, its ends marked."""
     out = [zlib.crc32(word.encode()) % BUCKETS]
     marked = f"<{word}>"
+    if marked.isascii():  # then characters are bytes, and slices need no encoding
+        raw, crc = marked.encode(), zlib.crc32
+        for n in NGRAMS:
+            out += [crc(raw[k : k + n], n) % BUCKETS for k in range(len(raw) - n + 1)]
+        return out
     for n in NGRAMS:
         out += [zlib.crc32(marked[k : k + n].encode(), n) % BUCKETS for k in range(len(marked) - n + 1)]
     return out
 
 
+#: Words in either generation of a worker's cache of scores, about 200 bytes each.
+CACHE_SCORES = 250_000
 #: Buckets of new and of repeated three-word n-grams, and how many features each n-gram counts as.
 NEW, AGAIN, NGRAM_WEIGHT = BUCKETS, BUCKETS + 1, 8
 
@@ -131,13 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(text: Column, model: Model) -> Column:
     """Probability of class 1."""
     (logits, bias), memo = model.logit(), []
+    logits = logits.tolist()
 
     def word(w: str) -> complex:
         f = features(w)
-        return complex(math.fsum(logits[f]), len(f))
+        return complex(math.fsum(map(logits.__getitem__, f)), len(f))
 
     def arrow(texts: pa.Array) -> pa.Array:
-        memo[:] = memo or [WordCache(word)]
+        memo[:] = memo or [WordCache(word, CACHE_SCORES)]
         known, out = memo[0].take(), []
         for t in texts:
             words = (t.as_py() or "").split()

@@ -26,6 +26,8 @@ from .common import WordCache, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+#: Words in either generation of a worker's cache of counts, about 150 bytes each.
+CACHE_COUNTS = 250_000
 #: Texts are taken together until they hold so many characters.
 BATCH_CHARS = 2_000_000
 
@@ -93,7 +95,7 @@ def token_counts(text: Column, model_path: str | None = None) -> Column:
     path, memo = model_path or public_tokenizers.path(MODEL), []
 
     def arrow(texts: pa.Array) -> pa.Array:
-        memo[:] = memo or [WordCache(lambda w: 0)]
+        memo[:] = memo or [WordCache(lambda w: 0, CACHE_COUNTS)]
         known, n_words, n_tokens, group, chars = memo[0].take(), [], [], [], 0
 
         def settle() -> None:
