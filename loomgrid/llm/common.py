@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import shared_dir, small, table
 
-__all__ = ["WordCache", "lean_batches", "materialize", "shared_dir", "small", "table"]
+__all__ = ["WordCache", "fresh", "lean_batches", "materialize", "shared_dir", "small", "table"]
 
 #: Entries that either generation of a worker's word cache may hold.
 CACHE_WORDS = 80_000
@@ -19,6 +19,14 @@ BATCH_ROWS = 1_000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lean_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """From now on this session's Arrow batches hold at most ``rows`` rows, which bounds what executors hold of long texts."""
     before = int(spark.conf.get(_ROWS))

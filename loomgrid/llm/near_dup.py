@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .common import WordCache, materialize, small, table
+from .common import WordCache, fresh, materialize, small, table
 
 WORDS = 5
 #: 40 bands of 8: a pair at similarity 0.85 shares none with probability 3e-6; at 0.5 it shares one with 0.15.
@@ -260,8 +260,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, broadcast_ids: int = 2_000_000) -> DataFrame:
     """``docs`` without the members of a group whose id isn't the group's smallest; rows of null id stay."""
-    gone = materialize(classes(docs, id_col, text_col, percent).where("id <> component").select(F.col("id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, broadcast_ids), docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = materialize(classes(docs, id_col, text_col, percent).where("id <> component").select(F.col("id").alias(name)).distinct(), "gone")
+    return docs.join(small(gone, broadcast_ids), F.col(id_col) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

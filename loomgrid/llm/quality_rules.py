@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, materialize, small, table
+from .common import WordCache, fresh, materialize, small, table
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _SYMBOLS = b"#*$%&|<>"
@@ -104,7 +104,8 @@ def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
     Two passes over the texts: one pools failures by host (partial aggregation, so hot hosts cost one row per
     task), one judges documents. Texts are never shuffled unless more than ``broadcast_hosts`` hosts are rejected.
     """
-    m, h = f"_{out}_m", f"_{out}_h"
+    m, h = fresh("measures", docs), fresh("host_", docs)
+    rate_ = fresh("host_rate_", docs)
     hosts = materialize(
         docs.select(F.col(host_col).alias("host"), measure(F.col(text_col)).alias(m))
         .groupBy("host")
@@ -117,18 +118,19 @@ def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
     ).first()
     a, b = beta_prior(**t.asDict())
     rate = (F.col("fails") + a) / (F.col("docs") + a + b)
-    bad = small(hosts.select(F.col("host").alias(h), rate.alias(f"{h}_rate")).where(F.col(f"{h}_rate") > max_host_rate), broadcast_hosts)
+    bad = small(hosts.select(F.col("host").alias(h), rate.alias(rate_)).where(F.col(rate_) > max_host_rate), broadcast_hosts)
     judged = docs.withColumn(m, measure(F.col(text_col))).join(bad, F.col(host_col).eqNullSafe(F.col(h)), "left")
     failed = base_failed(m)
     return judged.withColumn(
         out,
-        F.struct(f"{m}.*", failed.alias("base_failed"), F.col(f"{h}_rate").alias("host_rate"), (~failed & F.col(f"{h}_rate").isNull()).alias("kept")),
-    ).drop(m, h, f"{h}_rate")
+        F.struct(f"{m}.*", failed.alias("base_failed"), F.col(rate_).alias("host_rate"), (~failed & F.col(rate_).isNull()).alias("kept")),
+    ).drop(m, h, rate_)
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return assess(docs, text_col, host_col).where("quality_rules.kept").drop("quality_rules")
+    out = fresh("quality_rules", docs)
+    return assess(docs, text_col, host_col, out=out).where(F.col(f"{out}.kept")).drop(out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def corpus(n=60, seed=1):
 @pytest.fixture(scope="module")
 def docs(spark):
     # extra columns with names that the operators use inside
-    return spark.createDataFrame(corpus(), SCHEMA).withColumn("id", F.lit("x")).withColumn("key", F.lit(1)).withColumn("h", F.lit(2)).withColumn("leaf", F.lit(3)).repartition(5).cache()
+    return spark.createDataFrame(corpus(), SCHEMA).withColumn("id", F.lit("x")).withColumn("key", F.lit(1)).withColumn("h", F.lit(2)).withColumn("leaf", F.lit(3)).withColumn("gone", F.lit(4)).withColumn("measures", F.lit(5)).withColumn("host_", F.lit(6)).repartition(5).cache()
 
 
 def words_of(text):
