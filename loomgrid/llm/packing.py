@@ -35,6 +35,8 @@ PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 #: Texts of these characters alone (ASCII, Latin and Cyrillic letters, common punctuation) are split here into the
 #: tokenizer's pre-tokens and those looked up; others, and any with special tokens, are tokenised as a whole.
 _OTHER = re.compile("[^\\t\\n\\r -~\\u00a1\\u00ab\\u00bb\\u00bf-\\u012f\\u0131-\\u0148\\u014a-\\u017e\\u0410-\\u044f\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026]|<\\|")
+#: What an ASCII text must not hold: white space on which libraries differ, and the start of special tokens.
+_BREAKS = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: The split of word_bpe_49k.json, on lower-cased text of those characters.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
@@ -65,11 +67,12 @@ CACHE_CHUNKS = 250_000
 def _chunks(path: str) -> WordCache:
     """Ids by text between white space; pre-tokens are such texts too."""
     letters, model = _byte_letters(), _tokenizer(path).model
+    raw = [k.to_bytes(4, "little") for k in range(_tokenizer(path).get_vocab_size())]
 
     def pre_token(x: str) -> bytes:
-        if not x.isascii():
+        if not (x.isascii() and x.isprintable()):
             x = x.encode().decode("latin-1").translate(letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(x)])
+        return b"".join([raw[t.id] for t in model.tokenize(x)])
 
     def split(chunk: str) -> bytes:
         if chunk.isalpha():
@@ -88,7 +91,7 @@ def token_bytes(text: str | None, path: str) -> bytes:
     end = END.to_bytes(4, "little")
     if not text:
         return end
-    if _OTHER.search(text):
+    if any(x in text for x in _BREAKS) if text.isascii() else _OTHER.search(text):
         return _ids(path, text) + end
     chunks = _chunks(path).take()
     chunks.trim()
