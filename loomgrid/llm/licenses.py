@@ -53,8 +53,9 @@ _KEYS = [(" ".join(w).split(), k.split()) for w, (_, _, k) in zip(_WORDS, TEMPLA
 VOCABULARY = sorted({w for t in _WORDS for w in t} | {w for p, _ in BASE for w in p})
 #: Without one of these no base phrase and no key phrase can stand; other files' word lists aren't kept.
 ANCHORS = ("license", "cc", "commons", "permission", "compliance", "redistribution", "unencumbered", "reserved")
-#: A file's rarest licence words that are looked up, and the share of a template's words that must agree.
-RARE, AGREE = 12, 0.6
+#: Words of each key phrase that are indexed (the rarest), a file's rarest indexed words that are looked up, and the
+#: share of a template's words that must agree.
+INDEXED, RARE, AGREE = 2, 24, 0.6
 
 
 def _literal(value, schema: str) -> Column:
@@ -65,12 +66,15 @@ def _key_start(words: list[str], key: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
 
 
-def postings() -> dict[str, list[dict]]:
-    """word -> templates and positions."""
-    out: dict[str, list[dict]] = {w: [] for w in VOCABULARY}
-    for t, words in enumerate(_WORDS):
-        for k, w in enumerate(words):
-            out[w].append({"t": t, "k": k})
+def postings(idf: dict[str, float]) -> dict[str, list[dict]]:
+    """word -> templates and positions, for the rarest words of each template's key phrase, which any match must hold."""
+    out: dict[str, list[dict]] = {}
+    for t, x in enumerate(templates()):
+        key = range(x["key"], x["key_end"])
+        rare = sorted({x["words"][k] for k in key}, key=lambda w: (-idf[w], w))[:INDEXED]
+        for k in key:
+            if x["words"][k] in rare:
+                out.setdefault(x["words"][k], []).append({"t": t, "k": k})
     return out
 
 
@@ -92,7 +96,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # document frequencies of the vocabulary, over all rows
     n = x.count()
     df = {r["word"]: r["count"] for r in x.select(F.explode("present").alias("word")).groupBy("word").count().collect()}
-    idf = _literal({w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}, "map<string,double>")
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
+    found_at = postings(idf)
+    indexed = sorted(found_at, key=lambda w: (-idf[w], w))
 
     w = F.col("words")
     at = lambda i: F.get(w, i)
@@ -105,11 +111,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)))
     starts = F.filter(F.transform(F.when(F.array_contains("present", "license"), every), lambda i: F.struct(i.alias("start"), base_at(i).alias("label"))), lambda s: s["label"].isNotNull())
 
-    ranked = F.transform("present", lambda p: F.struct((-idf[p]).alias("r"), p.alias("w")))
-    rare = F.transform(F.slice(F.array_sort(ranked), 1, RARE), lambda r: r["w"])
+    # the indexed words stand in order of rarity, and array_intersect keeps it
+    rare = F.slice(F.array_intersect(F.array(*map(F.lit, indexed)), F.col("present")), 1, RARE)
     x = x.withColumn("rare", F.when(w.isNotNull(), rare))
     hits = F.filter(F.transform(w, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda h: F.array_contains("rare", h["v"]))
-    index = _literal(postings(), "map<string,array<struct<t:int,k:int>>>")
+    index = _literal(found_at, "map<string,array<struct<t:int,k:int>>>")
     aligned = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(index[h["v"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("o"))))))
     known = _literal(templates(), "array<struct<label:string,words:array<string>,key:int,key_end:int>>")
 
