@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 
+#: Detector sizes that count as one family.
+_SIZES, _FAMILY = "(?i)grounding-dino-(tiny|base)", "grounding-dino"
+
+
 def clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 
@@ -15,7 +19,7 @@ def source_family(source: Column, declared: Column | None = None) -> Column:
     """A declared family, else the source up to its last slash; detector sizes fall together."""
     own = F.regexp_replace(source, "/[^/]*$", "")
     named = own if declared is None else F.coalesce(F.nullif(F.trim(declared), F.lit("")), own)
-    return F.regexp_replace(named, "(?i)grounding-dino-(tiny|base)", "grounding-dino")
+    return F.regexp_replace(named, _SIZES, _FAMILY)
 
 
 def root_key(origin: Column, index: Column) -> Column:
@@ -26,6 +30,7 @@ def scope_key(scene: Column, root: Column) -> Column:
     return F.coalesce(F.concat(F.lit("scene::"), scene), root, F.lit("unscoped"))
 
 
+# The weights of the two formulas below.
 def calibrated(score: Column, reliability: Column, agreement: Column) -> Column:
     return clip((0.45 + 0.55 * clip(score, 0.0, 1.0)) * reliability * agreement, 0.01, 0.995)
 
