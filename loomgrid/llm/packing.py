@@ -158,11 +158,17 @@ def _child(a: list[list[int]], b: list[list[int]], sizes, rng) -> list[list[int]
     return _best_fit(kept[: len(kept) - max(1, len(kept) // 50)], loose, sizes)
 
 
+def fewest(sizes: list[int]) -> int:
+    return math.ceil(sum(sizes) / LENGTH)
+
+
 def evolve(sizes: list[int], seed: int, immigrants: list[list[list[int]]] = ()) -> list[list[list[int]]]:
     """A population of packings, best first. Stops once a packing is as small as any can be."""
     rng = np.random.default_rng(seed)
-    least = math.ceil(sum(sizes) / LENGTH)
-    people = [*immigrants]
+    least = fewest(sizes)
+    people = sorted(immigrants, key=len)
+    if people and len(people[0]) <= least:
+        return people[:1]
     while len(people) < POPULATION:
         some = rng.random(len(sizes)) < 0.1 * (len(people) > 0)
         first = [[int(i)] for i in np.flatnonzero(some)]
@@ -217,7 +223,7 @@ def _era(era: int):
         genes = np.stack([_genes(p, len(sizes)) for p in people], axis=1)
         stay = own.assign(genes=list(genes), island=island, origin=island, bins=len(people[0]))
         to = (island + 1) % ISLANDS
-        if to == island:
+        if to == island or len(people[0]) <= fewest(sizes):  # nothing that the next island could better
             return stay
         return pd.concat([stay, own.assign(genes=list(genes[:, :1]), island=to, origin=island, bins=len(people[0]))])
 
