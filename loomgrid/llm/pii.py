@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans, which always stay. A semi-Markov CRF then adds what they miss (phone numbers
 without a plus, spelled-out addresses, credentials): features of a whole candidate span score it for each type,
-and dynamic programming over entities of bounded length chooses boundaries and types together. A candidate must
+and dynamic programming over entities chooses boundaries and types together. An entity has a bounded number of words,
+each of any length; an unbroken run of key characters is also one candidate as a whole. A candidate must
 hold a digit, an at sign or a spelled-out dot, so text far from these is outside by definition and only zones
 around them are decoded; that is the same optimum. The model is trained at first use, by exact likelihood
 gradients on generated text, and sent to the workers with the function.
@@ -14,7 +15,7 @@ searched whole in time linear in their length; equal rows get equal spans; other
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import numpy as np
@@ -30,6 +31,7 @@ BASE_KINDS = KINDS[:4]
 ENTITIES = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+=-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -77,14 +79,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # -- zones, tokens and candidates --
 
-#: Characters of text on either side of a trigger, and the most tokens in an entity.
-REACH, LONGEST = 48, 26
+#: Characters of text on either side of a trigger, the most tokens in an entity that isn't a whole run of key
+#: characters, and the longest word that an address can have (RFC 5321: local parts have 64 characters, labels 63).
+REACH, LONGEST, WORD = 48, 26, 64
 _TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
-_TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|.", re.S)
+_TOKEN = re.compile(r"[^\W_]+|.", re.S)
+_LONG_WORD = re.compile(rf"[^\W_]{{{WORD + 1}}}")
+_SECRET_RUN = re.compile(r"[A-Za-z0-9_/+=-]+")
+_KEY_RUN = re.compile(r"[A-Za-z0-9_/+-]+")
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches of a line within REACH of a trigger, widened to whole words where those are short."""
+    """Stretches of a line within REACH of a trigger, widened to whole runs of key characters."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -96,7 +102,20 @@ def zones(text: str) -> list[tuple[int, int]]:
             a = max(a if line < 0 else line + 1, out[-1][1] if out else 0)
             line = text.find("\n", m.end(), b)
             out.append([a, b if line < 0 else line])
-    return [(a, b) for a, b in out if b > a]
+    wide: list[list[int]] = []
+    for a, b in out:
+        if b <= a or wide and b <= wide[-1][1]:
+            continue
+        least = wide[-1][1] if wide else 0
+        while least < a < len(text) and text[a] in _KEY and text[a - 1] in _KEY:
+            a -= 1
+        if text[b - 1] in _KEY and (m := _SECRET_RUN.match(text, b)):
+            b = m.end()
+        if wide and a <= least:
+            wide[-1][1] = b
+        else:
+            wide.append([a, b])
+    return [(a, b) for a, b in wide]
 
 
 _SECRET_KEY = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|credential)s?\W{0,4}$", re.I)
@@ -111,7 +130,7 @@ _SHAPES = (
     re.compile(r"[0-9a-f]{16,}"),
     re.compile(r"[A-Za-z0-9_/+=-]{16,}"),
 )
-FEATURES = 24
+FEATURES, KEY_CHARS = 24, 256
 
 
 def _features(text: str, a: int, b: int) -> list[float]:
@@ -120,7 +139,8 @@ def _features(text: str, a: int, b: int) -> list[float]:
     letters = sum(c.isalpha() for c in s)
     n = len(digits)
     before = text[max(0, a - 24) : a]
-    whole = [1.0 if p.fullmatch(s) else 0.0 for p in _SHAPES]
+    # the first two are of addresses
+    whole = [1.0 if p.fullmatch(s) else 0.0 for p in _SHAPES] if not _LONG_WORD.search(s) else [0.0, 0.0, *(1.0 if p.fullmatch(s) else 0.0 for p in _SHAPES[2:])]
     quad = whole[2] and all(int(p) <= 255 for p in s.split("."))
     return [
         1.0,
@@ -137,33 +157,47 @@ def _features(text: str, a: int, b: int) -> list[float]:
         1.0 if " " in s else 0.0,
         1.0 if s[0] == "(" and ")" not in s or s[-1] == "(" else 0.0,
         1.0 if before[-1:] in "+@._%-/" and before else 0.0,
-        1.0 if text[b : b + 1] in "@%-/" and text[b : b + 1] else 0.0,
-        len(s) / 32.0,
+        1.0 if text[b : b + 1] in "@%-/+_" and text[b : b + 1] else 0.0,
+        # longer keys than the training's count as its longest
+        min(len(s), KEY_CHARS) / 32.0,
     ]
 
 
-_SECRET_CHARS = re.compile(r"[A-Za-z0-9_/+=-]+")
 _NUMBER_CHARS = re.compile(r"[+(]?[0-9][ ().0-9-]*[0-9]")
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Token ranges that may be entities: bounded, at word boundaries, of one of the general forms."""
+    """Token ranges that may be entities: at word boundaries, of one of the general forms, of up to LONGEST tokens or
+    whole runs of key characters. Words longer than WORD are in keys only."""
     out = []
     starts = [k for k, (a, b) in enumerate(tokens) if (text[a].isalnum() or text[a] in "+(") and (k == 0 or not text[a - 1].isalnum() or not text[a].isalnum())]
     ends = [k + 1 for k, (a, b) in enumerate(tokens) if text[b - 1].isalnum() and (k + 1 == len(tokens) or not text[b].isalnum())]
+    long = [k for k, (a, b) in enumerate(tokens) if b - a > WORD]
+    run = 0  # end of the run of key characters that holds the start
     for s in starts:
         a = tokens[s][0]
-        for e in ends:
-            if e <= s:
-                continue
-            if e - s > LONGEST:
-                break
+        if a >= run:
+            run = m.end() if (m := _SECRET_RUN.match(text, a)) else a
+        k = bisect_right(long, s - 1)
+        word = long[k] if k < len(long) else len(tokens)
+        for e in ends[bisect_right(ends, s) :]:
             b = tokens[e - 1][1]
+            if e - s > LONGEST or e > word and b > run:
+                break
             if b - a < 7 or not _TRIGGER.search(text, a, b):
                 continue
-            x = text[a:b]
-            if _NUMBER_CHARS.fullmatch(x) or (_SECRET_CHARS.fullmatch(x) and b - a >= 12) or _SHAPES[0].fullmatch(x) or _SHAPES[1].fullmatch(x):
+            if b <= run and b - a >= 12:
                 out.append((s, e))
+                continue
+            x = text[a:b] if e <= word else ""
+            if _NUMBER_CHARS.fullmatch(x) or _SHAPES[0].fullmatch(x) or _SHAPES[1].fullmatch(x):
+                out.append((s, e))
+    at = [tokens[s][0] for s in starts]
+    to = [tokens[e - 1][1] for e in ends]
+    for m in _KEY_RUN.finditer(text) if len(tokens) > LONGEST else ():
+        i, j = bisect_left(at, m.start()), bisect_right(to, m.end()) - 1
+        if i < len(starts) and j >= 0 and ends[j] - starts[i] > LONGEST and _TRIGGER.search(text, at[i], to[j]):
+            out.append((starts[i], ends[j]))
     return out
 
 
@@ -261,6 +295,8 @@ class SemiCRF:
 
 # -- generated training text --
 
+_WORD_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
 
 def _generate(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """A line of invented words with entities and look-alikes: (text, [(start, end, kind)])."""
@@ -294,6 +330,11 @@ def _generate(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]
         if which == 0:
             return "", "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
         body = letters(int(rng.integers(18, 41)), "0123456789abcdef")
+        if rng.random() < 0.5:
+            # keys of any alphabet and length; their ends are word boundaries, and some digit is in them
+            n, more = int(rng.integers(40, KEY_CHARS)), pick("", "+/", "-_")
+            of = pick("0123456789abcdef", _WORD_CHARS + more)
+            body = letters(1, _WORD_CHARS) + letters(n // 2, of) + num(1) + letters(n - n // 2, of) + letters(1, _WORD_CHARS)
         return pick("password=", 'token = "', "secret: ", "api_key=", "key = "), body
 
     def lookalike() -> str:
@@ -329,8 +370,9 @@ def model(samples: int = 320, epochs: int = 6, seed: int = 7) -> SemiCRF:
         lat = Lattice(text)
         starts, ends = {a: k for k, (a, _) in enumerate(lat.tokens)}, {b: k + 1 for k, (_, b) in enumerate(lat.tokens)}
         gold = [(starts.get(a, -1), ends.get(b, -1), k) for a, b, k in spans]
-        if {(s, e) for s, e, _ in gold} <= set(lat.segments):
-            data.append((lat, gold))
+        if lost := {(s, e) for s, e, _ in gold} - set(lat.segments):
+            raise ValueError(f"no candidate for {lost} in generated text {text!r}")
+        data.append((lat, gold))
     crf = SemiCRF()
     gw, gm = np.full_like(crf.weights, 1e-2), np.full_like(crf.moves, 1e-2)
     for _ in range(epochs):

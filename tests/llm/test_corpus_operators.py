@@ -202,6 +202,24 @@ def test_redaction(spark):
     assert got == {1: "call [PHONE] [IP] now", 2: None, 3: "", 4: rows[3][1], 5: 'mail [EMAIL] token = "[SECRET]"'}
 
 
+def test_redaction_of_whole_keys():
+    rng, crf = random.Random(5), pii.model()
+    spans = pii._decoder(crf)
+    spans.take()
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["1a6c4f7bcf8c070fc75a8f6f8ed4b9a36b13d44c", "a1" * 64, "kq" * 40 + "4829" + "zx" * 40 + "7351", "Ab9-" * 40 + "z"]
+    keys += ["A" + "".join(rng.choice(of) for _ in range(n)) + "A" for of in ("0123456789abcdef", word, word + "+/", word + "-_") for n in (40, 64, 88, 200)]
+    for key in keys:
+        if not any(pii.base_spans(key).values()):
+            assert pii.redact_text(f'some words token = "{key}" and more', spans.__getitem__) == 'some words token = "[SECRET]" and more', key
+
+
+def test_training_fails_for_entities_without_candidates(monkeypatch):
+    monkeypatch.setattr(pii, "LONGEST", 4)
+    with pytest.raises(ValueError, match="no candidate"):
+        pii.model.__wrapped__(samples=40, epochs=0)
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
