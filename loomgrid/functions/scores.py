@@ -76,6 +76,11 @@ def threshold_key(value: Column) -> Column:
     return F.lpad(F.bround(value * 100).cast("int").cast("string"), 3, "0")
 
 
+def two_digits(number: Column) -> Column:
+    """At least two digits; longer numbers stay whole."""
+    return F.format_string("%02d", number)
+
+
 def numbered(prefix: Column, partition: list[str], order: list) -> Column:
     """``prefix-01``, ``prefix-02``, ... inside a partition."""
-    return F.concat(prefix, F.lit("-"), F.lpad(F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("string"), 2, "0"))
+    return F.concat(prefix, F.lit("-"), two_digits(F.row_number().over(Window.partitionBy(*partition).orderBy(*order))))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import two_digits
 from .overlap import cross_overlap
 
 THRESHOLDS = [round(0.25 + 0.05 * k, 2) for k in range(11)]
@@ -80,4 +81,4 @@ def carry_ids(current: DataFrame, previous: DataFrame, pairs: DataFrame, least:
     x = current.join(m, ["case_id", "set_id"], "left").join(last, "case_id", "left")
     new = F.row_number().over(Window.partitionBy("case_id", F.col("part_id").isNull()).orderBy("set_id"))
     number = F.coalesce("last", F.lit(0)) + new
-    return x.withColumn("part_id", F.coalesce("part_id", F.concat(F.lit("part-"), F.lpad(number.cast("string"), 2, "0")))).drop("last")
+    return x.withColumn("part_id", F.coalesce("part_id", F.concat(F.lit("part-"), two_digits(number)))).drop("last")

@@ -120,6 +120,15 @@ def test_scores_at_thresholds_and_ids(spark):
     assert {r.set_id: r.part_id for r in ids.collect()} == {8: "wheel-01", 9: "wheel-02", 10: "part-03"}
 
 
+def test_ids_beyond_99_stay_distinct(spark):
+    x = spark.range(1, 121).select(F.lit("c").alias("case_id"), F.col("id").alias("set_id"))
+    prev = x.withColumn("part_id", scores.numbered(F.lit("part"), ["case_id"], [F.col("set_id")]))
+    assert {r.set_id: r.part_id for r in prev.collect()} == {k: f"part-{k:02d}" for k in range(1, 121)}
+    pairs = spark.createDataFrame([("c", 200, 120, 1.0)], "case_id string, a long, b long, score double")
+    now = spark.createDataFrame([("c", 200), ("c", 201)], "case_id string, set_id long")
+    assert {r.set_id: r.part_id for r in assignment.carry_ids(now, prev, pairs).collect()} == {200: "part-120", 201: "part-121"}
+
+
 def test_ordered_clusters_differ_from_components(spark):
     i = spark.createDataFrame([("c", k, k, 10.0 if k < 3 else 20.0) for k in range(4)], "case_id string, item long, place long, area double")
     p = spark.createDataFrame([("c", 0, 1, 0.9), ("c", 1, 2, 0.9), ("c", 2, 3, 0.9)], "case_id string, a long, b long, affinity double")
