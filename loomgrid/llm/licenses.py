@@ -1,7 +1,8 @@
 """Licence scan by a positional rare-token index.
 
 An index holds, for each word of the licence templates, the templates and positions at which it stands. A file's
-licence words are ranked by inverse document frequency over the whole corpus; the rarest are looked up, each
+licence words are ranked by inverse document frequency over the whole corpus; the rarest of each key phrase are
+indexed and all of a file's indexed words are looked up, each
 posting proposes a template at a relative position, and a proposal is taken if the template's words agree there
 well enough and its mandatory key phrases stand whole. Only DataFrame functions are used.
 
@@ -53,9 +54,8 @@ _KEYS = [(" ".join(w).split(), k.split()) for w, (_, _, k) in zip(_WORDS, TEMPLA
 VOCABULARY = sorted({w for t in _WORDS for w in t} | {w for p, _ in BASE for w in p})
 #: Without one of these no base phrase and no key phrase can stand; other files' word lists aren't kept.
 ANCHORS = ("license", "cc", "commons", "permission", "compliance", "redistribution", "unencumbered", "reserved")
-#: Words of each key phrase that are indexed (the rarest), a file's rarest indexed words that are looked up, and the
-#: share of a template's words that must agree.
-INDEXED, RARE, AGREE = 2, 24, 0.6
+#: Words of each key phrase that are indexed (the rarest), and the share of a template's words that must agree.
+INDEXED, AGREE = 2, 0.6
 
 
 def _literal(value, schema: str) -> Column:
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = {r["word"]: r["count"] for r in x.select(F.explode("present").alias("word")).groupBy("word").count().collect()}
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
     found_at = postings(idf)
-    indexed = sorted(found_at, key=lambda w: (-idf[w], w))
+    indexed = sorted(found_at)
 
     w = F.col("words")
     at = lambda i: F.get(w, i)
@@ -111,8 +111,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)))
     starts = F.filter(F.transform(F.when(F.array_contains("present", "license"), every), lambda i: F.struct(i.alias("start"), base_at(i).alias("label"))), lambda s: s["label"].isNotNull())
 
-    # the indexed words stand in order of rarity, and array_intersect keeps it
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, indexed)), F.col("present")), 1, RARE)
+    # all of a file's indexed words are looked up
+    rare = F.array_intersect(F.array(*map(F.lit, indexed)), F.col("present"))
     x = x.withColumn("rare", F.when(w.isNotNull(), rare))
     hits = F.filter(F.transform(w, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda h: F.array_contains("rare", h["v"]))
     index = _literal(found_at, "map<string,array<struct<t:int,k:int>>>")

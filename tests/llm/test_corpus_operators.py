@@ -337,6 +337,17 @@ def test_hypergeometric_law_and_matrix_sums():
     assert [sum(r) for r in m] == [5, 0, 9, 6] and [sum(c) for c in zip(*m)] == [7, 7, 6]
 
 
+def test_license_scan_of_a_file_that_quotes_every_template(spark):
+    # with these words common, 26 words are indexed
+    common = "4 and by files into license mit not permission terms"
+    x = spark.createDataFrame([(0, " ".join(t for _, t, _ in licenses.TEMPLATES)), *((k, common) for k in (1, 2, 3))], "doc_id long, text string")
+    got = {(f.label, f.start) for f in licenses.scan(x).where("doc_id = 0").first().found}
+    start = 0
+    for label, t, _ in licenses.TEMPLATES:
+        assert (label, start) in got
+        start += len(t.split())
+
+
 def test_license_scan_matches_brute_force(spark, docs):
     more = [(500, "x MIT-License y apache license GNU General Public License, version 3."), (501, "Licensed under CC BY-NC 4.0."), (502, "general public licence"), (503, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (504, "MİT license"), (505, "all rights"), (506, "This work is licensed under the GNU General Public License, version 3.")]
     x = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
