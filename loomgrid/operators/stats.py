@@ -19,9 +19,17 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
 
 
 def mcnemar(b: int, c: int) -> float:
-    """Exact two-sided p-value of b against c discordant pairs."""
-    n = b + c
-    return 1.0 if not n else min(1.0, 2 * math.fsum(math.comb(n, k) for k in range(min(b, c) + 1)) / 2.0**n) if n < 1000 else math.erfc(abs(b - c) / math.sqrt(2 * n))
+    """Exact two-sided p-value of b against c discordant pairs, for any counts."""
+    n, k = b + c, min(b, c)
+    # the tail's terms over its largest one, which stands last; terms too small to change the sum end it
+    term, terms = 1.0, 0.0
+    while k >= 0 and term > terms * 1e-18:
+        terms += term
+        term *= k / (n - k + 1)
+        k -= 1
+    k = min(b, c)
+    tail = math.log(terms) + math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    return min(1.0, 2 * math.exp(min(tail, 0.0)))
 
 
 def confusion(rows: DataFrame, keys: list[str], predicted: Column, truth: Column) -> DataFrame:

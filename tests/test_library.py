@@ -1,5 +1,7 @@
 """Library operators on small fixtures: edge cases, ties and order."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -138,6 +140,15 @@ def test_ordered_clusters_differ_from_components(spark):
     assert take(ordered.bounded_clusters(i, p, 0.5)) == [0, 0, 0, 1]
 
 
+def test_mcnemar_is_exact_for_many_pairs():
+    from fractions import Fraction
+
+    for b, c in ((450, 560), (500, 501), (900, 1100), (20, 1500), (1000, 1000)):
+        want = min(1.0, float(Fraction(2 * sum(math.comb(b + c, k) for k in range(min(b, c) + 1)), 2 ** (b + c))))
+        assert stats.mcnemar(b, c) == pytest.approx(want, rel=1e-9)
+    assert 0 < stats.mcnemar(500_000_000, 500_040_000) < 1
+
+
 def test_statistics(spark):
     d = spark.createDataFrame([(float(v),) for v in (-1, 1, -1, 1)], "difference double")
     b = stats.bootstrap(d, "difference", 2000, 7).first()
