@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from ..storage import materialize
 
 
-def greedy_suppression(items: DataFrame, conflicts: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def greedy_suppression(items: DataFrame, conflicts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``items`` (item, place) with ``kept``: in order of place an item is kept unless it conflicts with a kept one.
 
     conflicts: (a, b) in either order. Each round settles every item whose earlier neighbours are settled, so the
-    number of rounds is the longest chain of conflicts, not the number of items.
+    number of rounds is the longest chain of conflicts, not the number of items. Rounds go on until every item is
+    settled; it raises if ``max_rounds`` are too few, or if conflicting items of one place wait for each other.
     """
     a = items.select(F.col("item").alias("a"), F.col("place").alias("pa"))
     b = items.select(F.col("item").alias("b"), F.col("place").alias("pb"))
@@ -22,11 +23,15 @@ def greedy_suppression(items: DataFrame, conflicts: DataFrame, max_rounds: int =
     open_, settled = before.select("item").distinct(), None
     # items without an earlier neighbour are kept at once
     settled = materialize(items.select("item").join(open_, "item", "left_anti").withColumn("kept", F.lit(True)), "settled")
-    for _ in range(max_rounds):
+    rounds = 0
+    while not before.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
+        rounds += 1
         s = before.join(settled.withColumnsRenamed({"item": "first", "kept": "fk"}), "first", "left").groupBy("item").agg(F.bool_or(F.coalesce("fk", F.lit(False))).alias("hit"), F.bool_and(F.col("fk").isNotNull()).alias("all"))
         new = materialize(s.where("hit OR all").select("item", (~F.col("hit")).alias("kept")), "new")
         if new.isEmpty():
-            break
+            raise ValueError("items of one place conflict both ways")
         settled = materialize(settled.unionByName(new), "settled")
         before = materialize(before.join(new.select("item"), "item", "left_anti"), "before")
     return items.join(settled, "item", "left")

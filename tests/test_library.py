@@ -63,6 +63,14 @@ def test_greedy_suppression_follows_order_not_components(spark):
     assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: True, 6: True}
 
 
+def test_greedy_suppression_leaves_no_item_open(spark):
+    items = spark.createDataFrame([(k, k) for k in range(8)], "item long, place long")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(7)], "a long, b long")
+    assert {r.item: r.kept for r in suppression.greedy_suppression(items, chain, None).collect()} == {k: k % 2 == 0 for k in range(8)}
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        suppression.greedy_suppression(items, chain, 2)
+
+
 def test_caps_quotas_and_turns(spark):
     g = spark.createDataFrame([("s", k, 2 if k == 1 else 0, float(k)) for k in range(4)] + [("t", 9, 0, 1.0)], "scope string, id long, cap long, score double")
     assert sorted(r.id for r in suppression.instance_cap(g, ["scope"], "cap", [F.desc("score")]).collect()) == [2, 3, 9]
