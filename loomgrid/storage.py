@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Rows and bytes of an Arrow batch while a table is written; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+@contextlib.contextmanager
+def lean_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Inside the block this session's Arrow batches are bounded by rows and by bytes; the settings then return."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in most}
+    for k, v in most.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back, so later stages start from files."""
+    """Write ``df`` as Parquet under the shared folder, with bounded Arrow batches, and read it back, so later stages start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    with lean_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
