@@ -45,8 +45,6 @@ def features(word: str) -> list[int]:
     return out
 
 
-#: Words in either generation of a worker's cache of scores, about 200 bytes each.
-CACHE_SCORES = 250_000
 #: Buckets of new and of repeated three-word n-grams, and how many features each n-gram counts as.
 NEW, AGAIN, NGRAM_WEIGHT = BUCKETS, BUCKETS + 1, 8
 
@@ -60,7 +58,7 @@ def repeats(words: list[str]) -> tuple[int, int]:
 
 def _bags(texts: pa.Array) -> pa.Array:
     """Distinct buckets and their counts, by document."""
-    known = WordCache(lambda w: np.array(features(w), np.int32), 20_000)
+    known = WordCache(lambda w: np.array(features(w), np.int32), size=lambda w, f: len(w) + f.nbytes)
     ids, counts = [], []
     for t in texts:
         words = (t.as_py() or "").split()
@@ -145,7 +143,7 @@ def score(text: Column, model: Model) -> Column:
         return complex(math.fsum(map(logits.__getitem__, f)), len(f))
 
     def arrow(texts: pa.Array) -> pa.Array:
-        memo[:] = memo or [WordCache(word, CACHE_SCORES)]
+        memo[:] = memo or [WordCache(word)]
         known, out = memo[0].take(), []
         for t in texts:
             words = (t.as_py() or "").split()

@@ -1,22 +1,15 @@
-"""What the corpus operators share: cutting lineage with bounded Arrow batches, and workers' caches."""
+"""What the corpus operators share: names that don't clash, and workers' caches of bounded size."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..storage import shared_dir, small, table
+from ..storage import lean_batches, materialize, shared_dir, small, table
 
 __all__ = ["WordCache", "fresh", "lean_batches", "materialize", "shared_dir", "small", "table"]
 
-#: Entries that either generation of a worker's word cache may hold.
-CACHE_WORDS = 80_000
-
-
-#: Rows of an Arrow batch while a table is written; sets of shingles make rows of some kilobytes.
-BATCH_ROWS = 1_000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that either generation of a worker's cache may hold, and what an entry costs besides its text and value.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 170
 
 
 def fresh(name: str, df: DataFrame) -> str:
@@ -27,43 +20,29 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def lean_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """From now on this session's Arrow batches hold at most ``rows`` rows, which bounds what executors hold of long texts."""
-    before = int(spark.conf.get(_ROWS))
-    spark.conf.set(_ROWS, str(min(rows, before) if before > 0 else rows))
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back, so later stages start from files, not lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}/{label}"
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordCache(dict):
-    """word -> value of ``make(word)``. ``trim``, called between documents, starts a new generation once this one is
-    full; words asked for again move over from the last one, so frequent words stay and memory is bounded. A worker
-    holds one cache at a time: ``take``, called for each batch, empties the one that another operator has left."""
+    """word -> value of ``make(word)``. ``trim``, called between documents, starts a new generation once this one's
+    bytes are spent; words asked for again move over from the last one, so frequent words stay and memory is bounded.
+    A worker holds one cache at a time: ``take``, called for each batch, empties the one that another operator has
+    left. ``size``: bytes of a word and its value."""
 
     taken: WordCache | None = None
 
-    def __init__(self, make, limit: int = CACHE_WORDS):
+    def __init__(self, make, limit: int = CACHE_BYTES, size=lambda word, value: len(word)):
         super().__init__()
-        self.make, self.limit, self.last = make, limit, {}
+        self.make, self.limit, self.size, self.last, self.held = make, limit, size, {}, 0
 
     def __missing__(self, word):
         value = self.last.get(word)
         if value is None:
             value = self.make(word)
-        self[word] = value
+        self.add(word, value)
         return value
 
+    def add(self, word, value) -> None:
+        self[word] = value
+        self.held += ENTRY_BYTES + self.size(word, value)
+
     def take(self) -> WordCache:
         if WordCache.taken is not self:
             WordCache.release()
@@ -74,11 +53,12 @@ class WordCache(dict):
     def release() -> None:
         """Empty the cache that this worker holds."""
         if WordCache.taken is not None:
-            WordCache.taken.clear()
+            WordCache.taken.trim(0)
             WordCache.taken.last = {}
             WordCache.taken = None
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
+    def trim(self, limit: int | None = None) -> None:
+        if self.held > (self.limit if limit is None else limit):
             self.last = dict(self)
             self.clear()
+            self.held = 0

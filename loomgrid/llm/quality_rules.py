@@ -1,8 +1,9 @@
 """Host-level quality rules: rule failures are pooled by host, host rates are shrunk towards an
 empirical beta prior, and the hosts' verdicts are joined back to their documents.
 
-Edge cases: a null or empty text has no words and so fails the base rule; null hosts form one host;
-an empty table gives an empty result; equal rows are judged alike; other columns pass through.
+Edge cases: a null or empty text has no words and so fails the base rule; texts of any length are measured whole;
+null hosts form one host; a host exactly at the rate stays (ties favour it); repeated rows and ids count each and are
+judged alike; an empty table gives an empty result; other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, fresh, materialize, small, table
+from .common import WordCache, fresh, materialize, table
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
 #: Beyond so many words repeats are counted on integer arrays, which need less memory than tuples.
 _TUPLE_WORDS = 50_000
+#: Parts into which a host's rows fall where hosts are too many to broadcast.
+SALTS = 32
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -98,28 +101,32 @@ def beta_prior(hosts: int, docs: float, fails: float, docs2: float, fails2_per_d
     return m * strength, (1 - m) * strength
 
 
-def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000, out: str = "quality_rules") -> DataFrame:
+def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000, out: str = "quality_rules", texts: bool = True) -> DataFrame:
     """``docs`` with a struct column ``out``: the measures, base_failed, host_rate (of rejected hosts, else null) and kept.
 
-    Two passes over the texts: one pools failures by host (partial aggregation, so hot hosts cost one row per
-    task), one judges documents. Texts are never shuffled unless more than ``broadcast_hosts`` hosts are rejected.
+    Texts are read and measured once; the measured rows are written (without the text column unless ``texts``), and
+    both the pooling by host (partial aggregation, so hot hosts cost one row per task) and the verdicts start from
+    there. If more than ``broadcast_hosts`` hosts are rejected, rows meet them by host and salt.
     """
-    m, h = fresh("measures", docs), fresh("host_", docs)
+    m, h, s = (fresh(k, docs) for k in ("measures", "host_", "salt_"))
     rate_ = fresh("host_rate_", docs)
-    hosts = materialize(
-        docs.select(F.col(host_col).alias("host"), measure(F.col(text_col)).alias(m))
-        .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum(rule_failed(m).cast("long")).alias("fails")),
-        "hosts",
-    )
+    measured = docs.withColumn(m, measure(F.col(text_col)))
+    measured = materialize(measured if texts else measured.drop(text_col), "measured")
+    hosts = materialize(measured.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(rule_failed(m).cast("long")).alias("fails")), "hosts")
     t = hosts.agg(
         F.count(F.lit(1)).alias("hosts"),
         *(F.coalesce(F.sum(e).cast("double"), F.lit(0.0)).alias(k) for k, e in (("docs", F.col("docs")), ("fails", F.col("fails")), ("docs2", F.col("docs").cast("double") ** 2), ("fails2_per_doc", F.col("fails").cast("double") ** 2 / F.col("docs")))),
     ).first()
     a, b = beta_prior(**t.asDict())
     rate = (F.col("fails") + a) / (F.col("docs") + a + b)
-    bad = small(hosts.select(F.col("host").alias(h), rate.alias(rate_)).where(F.col(rate_) > max_host_rate), broadcast_hosts)
-    judged = docs.withColumn(m, measure(F.col(text_col))).join(bad, F.col(host_col).eqNullSafe(F.col(h)), "left")
+    bad = hosts.select(F.col("host").alias(h), rate.alias(rate_)).where(F.col(rate_) > max_host_rate)
+    same = F.col(host_col).eqNullSafe(F.col(h))
+    if bad.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+        judged = measured.join(F.broadcast(bad), same, "left")
+    else:
+        mine = fresh("salt", docs)
+        salted = bad.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = measured.withColumn(mine, F.pmod(F.xxhash64(m, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(mine) == F.col(s)), "left").drop(mine, s)
     failed = base_failed(m)
     return judged.withColumn(
         out,
@@ -130,11 +137,11 @@ def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
 def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     out = fresh("quality_rules", docs)
-    return assess(docs, text_col, host_col, out=out).where(F.col(f"{out}.kept")).drop(out)
+    return assess(docs, text_col, host_col, out=out).where(F.col(f"{out}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    judged = assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), texts=False)
     return judged.select("doc_id", "quality_rules.*")
 
 
