@@ -1,12 +1,15 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
-Documents are cut into pieces; pieces fall by hash into blocks of bounded size. A block evolves on several
-islands: a child takes over whole well-filled bins of one parent, bins of the other parent that hold the same
-pieces are taken apart, and what they lose is put back best-fit. After each era the islands' elites migrate to
-the next island of their block; the best packing of each block stays. Blocks are independent tasks.
-
-Edge cases: a null or empty text is one piece, the end id; pieces of full length fill a sequence alone; equal
-rows are packed each; an empty table gives an empty result; extra columns are ignored.
+Documents are cut into pieces; pieces fall by row number into blocks of bounded size. A block evolves on several
+islands, each of which starts from its own best-fit packings in random order. A child takes over whole well-filled
+bins of one parent; bins of the other parent that hold the same pieces are taken apart, as are its emptiest, and what
+they lose is put back best-fit. After each era an island's elite migrates to the next island of its block; the best
+packing of a block stays. Blocks are independent tasks. The part-filled bins that blocks end with are then packed once
+more, together, in the same way.
+
+Edge cases: a null or empty text is one piece, the end id; texts of any length are cut into pieces of full length,
+which fill a sequence alone, and a rest; equal rows, repeated and null ids are packed each; ties between packings go
+to the earlier one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from bisect import bisect_left, insort
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +30,14 @@ from .common import WordCache, materialize, table
 
 LENGTH, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: A block holds about so many pieces.
+#: A block holds about so many pieces. Each of its islands keeps so many packings, and breeds as many children a
+#: generation; after each era elites migrate.
 BLOCK_PIECES = 4096
-ISLANDS, ERAS, POPULATION, GENERATIONS = 2, 2, 4, 4
+ISLANDS, ERAS, POPULATION, GENERATIONS = 2, 2, 3, 3
+#: Bins filled to this share may be injected whole; as many as this share of a child's bins, the emptiest, are taken apart.
+WELL_FILLED, TAKEN_APART = 0.995, 0.1
+#: A block ends with bins that are filled to less than this; they are packed with those of other blocks.
+ENDS = 0.97
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 #: Texts of these characters alone (ASCII, Latin and Cyrillic letters, common punctuation) are split here into the
 #: tokenizer's pre-tokens and those looked up; others, and any with special tokens, are tokenised as a whole.
@@ -59,10 +66,6 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(rest)}
 
 
-#: Entries in either generation of a worker's cache of ids, about 200 bytes each.
-CACHE_CHUNKS = 250_000
-
-
 @cache
 def _chunks(path: str) -> WordCache:
     """Ids by text between white space; pre-tokens are such texts too."""
@@ -82,7 +85,7 @@ def _chunks(path: str) -> WordCache:
         parts = _PRE.findall(chunk)
         return pre_token(chunk) if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
 
-    known = WordCache(split, CACHE_CHUNKS)
+    known = WordCache(split, size=lambda chunk, ids: len(chunk) + len(ids))
     return known
 
 
@@ -118,147 +121,188 @@ def pieces(text: Column, path: str) -> Column:
 # -- the genetic algorithm, on item sizes; a packing is a list of bins, a bin a list of items --
 
 
-def _best_fit(bins: list[list[int]], items, sizes) -> list[list[int]]:
-    """Put ``items``, largest first, each into the fullest bin that has room."""
-    room = sorted((LENGTH - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
-    for i in sorted(items, key=lambda i: -sizes[i]):
-        at = bisect_left(room, (sizes[i], -1))
-        if at < len(room):
-            left, k = room.pop(at)
-            bins[k].append(i)
-        else:
-            left, k = LENGTH, len(bins)
-            bins.append([i])
-        if left > sizes[i]:
-            insort(room, (left - sizes[i], k))
-    return bins
-
-
-def _fitness(bins: list[list[int]], sizes) -> tuple[int, float]:
-    """Fewer bins first, then uneven filling, which leaves room that can be used."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / LENGTH) ** 2 for b in bins)
-
-
-def _child(a: list[list[int]], b: list[list[int]], sizes, rng) -> list[list[int]]:
-    fills = np.array([sum(sizes[i] for i in x) for x in b]) / LENGTH
-    good = np.argsort(-fills, kind="stable")[: max(1, len(b) // 2)]
-    injected = [b[k] for k in good if rng.random() < 0.5] or [b[good[0]]]
-    taken = {i for x in injected for i in x}
-    kept = [list(x) for x in injected]
-    loose: list[int] = []
-    for x in a:
+class Packing:
+    """bins: lists of items; fills: their sizes' sums."""
+
+    def __init__(self, bins: list[list[int]], fills: list[int]):
+        self.bins, self.fills = bins, fills
+
+    @staticmethod
+    def of(bins: list[list[int]], sizes) -> Packing:
+        return Packing(bins, [sum(map(sizes.__getitem__, b)) for b in bins])
+
+    def put(self, items, sizes) -> Packing:
+        """Each of ``items``, in order, goes into the fullest bin that has room."""
+        bins, fills = self.bins, self.fills
+        room = sorted((LENGTH - f, k) for k, f in enumerate(fills) if f < LENGTH)
+        for i in items:
+            size = sizes[i]
+            at = bisect_left(room, (size, -1))
+            if at < len(room):
+                left, k = room.pop(at)
+                bins[k].append(i)
+                fills[k] += size
+            else:
+                left, k = LENGTH, len(bins)
+                bins.append([i])
+                fills.append(size)
+            if left > size:
+                insort(room, (left - size, k))
+        return self
+
+    def fitness(self) -> tuple[int, float]:
+        """Fewer bins first, then uneven filling, which leaves room that can be used."""
+        return -len(self.bins), math.fsum(f * f for f in self.fills)
+
+
+def random_packing(sizes, rng) -> Packing:
+    return Packing([], []).put(rng.permutation(len(sizes)).tolist(), sizes)
+
+
+def crossover(a: Packing, b: Packing, sizes, rng) -> Packing:
+    """``a`` with whole well-filled bins of ``b``: bins of ``a`` that share an item with them are taken apart, as are
+    the emptiest, and the items that lose their place go back best-fit, largest first."""
+    good = [k for k, f in enumerate(b.fills) if f >= WELL_FILLED * LENGTH and len(b.bins[k]) > 1] or [max(range(len(b.fills)), key=b.fills.__getitem__)]
+    chosen = [k for k, x in zip(good, rng.random(len(good))) if x < 0.5] or good[:1]
+    taken = {i for k in chosen for i in b.bins[k]}
+    kept, loose = [], []
+    for k, x in enumerate(a.bins):
         if taken.isdisjoint(x):
-            kept.append(list(x))
+            kept.append(k)
         else:
             loose += [i for i in x if i not in taken]
-    # mutation: the emptiest bins are taken apart as well
-    kept.sort(key=lambda x: -sum(sizes[i] for i in x))
-    for x in kept[len(kept) - max(1, len(kept) // 50) :]:
-        loose += x
-    return _best_fit(kept[: len(kept) - max(1, len(kept) // 50)], loose, sizes)
+    kept.sort(key=a.fills.__getitem__)
+    apart = max(1, int(TAKEN_APART * len(a.bins)))
+    for k in kept[:apart]:
+        loose += a.bins[k]
+    child = Packing([*(list(b.bins[k]) for k in chosen), *(list(a.bins[k]) for k in kept[apart:])], [*(b.fills[k] for k in chosen), *(a.fills[k] for k in kept[apart:])])
+    return child.put(sorted(loose, key=sizes.__getitem__, reverse=True), sizes)
 
 
-def fewest(sizes: list[int]) -> int:
+def fewest(sizes) -> int:
     return math.ceil(sum(sizes) / LENGTH)
 
 
-def evolve(sizes: list[int], seed: int, immigrants: list[list[list[int]]] = ()) -> list[list[list[int]]]:
-    """A population of packings, best first. Stops once a packing is as small as any can be."""
+def evolve(sizes: list[int], seed, people: list[Packing] = ()) -> list[Packing]:
+    """A population after an era, best first. ``people``: the last era's, and immigrants; without any, random ones."""
     rng = np.random.default_rng(seed)
-    least = fewest(sizes)
-    people = sorted(immigrants, key=len)
-    if people and len(people[0]) <= least:
+    people = [*people] or [random_packing(sizes, rng) for _ in range(POPULATION)]
+    if len(sizes) < 2:
         return people[:1]
-    while len(people) < POPULATION:
-        some = rng.random(len(sizes)) < 0.1 * (len(people) > 0)
-        first = [[int(i)] for i in np.flatnonzero(some)]
-        people.append(_best_fit(first, [i for i in range(len(sizes)) if not some[i]], sizes))
-        if len(people[-1]) <= least:
-            break
-    rank = lambda p: _fitness(p, sizes)
-    people.sort(key=rank, reverse=True)
     for _ in range(GENERATIONS):
-        if len(people[0]) <= least:
-            break
+        people.sort(key=Packing.fitness, reverse=True)
         n = len(people)
         for _ in range(POPULATION):
-            i, j = sorted(rng.integers(0, n, 2))
-            people.append(_child(people[i], people[j if i != j else (j + 1) % n], sizes, rng))
-        people = sorted(people, key=rank, reverse=True)[:POPULATION]
-    return people
+            i, j = rng.integers(0, n, 2).tolist()
+            people.append(crossover(people[i], people[j if i != j else (j + 1) % n], sizes, rng))
+    return sorted(people, key=Packing.fitness, reverse=True)[:POPULATION]
 
 
-def _bins(genes: list[int]) -> list[list[int]]:
-    bins: dict[int, list[int]] = {}
-    for i, g in enumerate(genes):
-        bins.setdefault(int(g), []).append(i)
-    return list(bins.values())
+# -- on tables --
+
+_ORDER = ["row", "piece"]
+
 
+def _ints(x, kind: str) -> bytes:
+    return np.asarray(x, kind).tobytes()
 
-def _genes(bins: list[list[int]], n: int) -> np.ndarray:
-    g = np.empty(n, np.int32)
-    for k, b in enumerate(bins):
+
+def _genes(p: Packing, n: int) -> bytes:
+    """The bin of each item."""
+    g = np.empty(n, "<i4")
+    for k, b in enumerate(p.bins):
         g[b] = k
-    return g
+    return g.tobytes()
+
+
+def _packing(genes: bytes, sizes) -> Packing:
+    bins: dict[int, list[int]] = {}
+    for i, g in enumerate(np.frombuffer(genes, "<i4").tolist()):
+        bins.setdefault(g, []).append(i)
+    return Packing.of(list(bins.values()), sizes)
+
+
+_STATE = "block long, island int, home int, sizes binary, people array<binary>, bins int, children int, immigrants int"
 
 
-#: Ids travel as text: pandas has no null integers, and ids may be of any type.
-_ITEM = "doc_id string, piece int, start long, length long, ids_crc32 long"
-_ORDER = ["doc_id", "piece", "start", "length", "ids_crc32"]
+def _found(items: pa.Table) -> pa.Table:
+    """A block's islands, still without packings: the sizes of its pieces in their order."""
+    t = items.sort_by([(k, "ascending") for k in _ORDER])
+    sizes, block = _ints(t["length"].to_numpy(), "<i4"), t["block"][0].as_py()
+    rows = [{"block": block, "island": i, "home": i, "sizes": sizes, "people": [], "bins": None, "children": 0, "immigrants": 0} for i in range(ISLANDS)]
+    return pa.Table.from_pylist(rows, _schema())
+
+
+def _schema() -> pa.Schema:
+    return pa.schema([("block", pa.int64()), ("island", pa.int32()), ("home", pa.int32()), ("sizes", pa.binary()), ("people", pa.list_(pa.binary())), ("bins", pa.int32()), ("children", pa.int32()), ("immigrants", pa.int32())])
 
 
 def _era(era: int):
-    """One island for one era: own packings and immigrants in; own packings, and the elite for the next island, out."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(key[0]), int(key[1])
-        pdf = pdf.sort_values([*_ORDER, "origin"], kind="stable", na_position="first")
-        people = []
-        for _, x in pdf.groupby("origin"):
-            genes = np.stack(x["genes"].to_numpy()) if len(x["genes"].iloc[0]) else np.empty((len(x), 0), np.int32)
-            people += [_bins(genes[:, k]) for k in range(genes.shape[1])]
-        own = pdf[pdf["origin"] == island].reset_index(drop=True)
-        sizes = own["length"].tolist()
-        people = evolve(sizes, hash((block, island, era)) & 0x7FFFFFFF, people)
-        genes = np.stack([_genes(p, len(sizes)) for p in people], axis=1)
-        stay = own.assign(genes=list(genes), island=island, origin=island, bins=len(people[0]))
-        to = (island + 1) % ISLANDS
-        if to == island or len(people[0]) <= fewest(sizes):  # nothing that the next island could better
-            return stay
-        return pd.concat([stay, own.assign(genes=list(genes[:, :1]), island=to, origin=island, bins=len(people[0]))])
+    """An island's era: its packings and the immigrants in; its packings, and the elite for the next island, out."""
+
+    def run(state: pa.Table) -> pa.Table:
+        rows = sorted(state.to_pylist(), key=lambda r: (r["home"] != r["island"], r["home"]))
+        own, guests = rows[0], rows[1:]
+        sizes = np.frombuffer(own["sizes"], "<i4").tolist()
+        people = evolve(sizes, [own["block"] & 0x7FFFFFFF, own["island"], era], [_packing(g, sizes) for r in rows for g in r["people"]])
+        genes = [_genes(p, len(sizes)) for p in people]
+        stay = {**own, "people": genes, "bins": len(people[0].bins), "children": own["children"] + POPULATION * GENERATIONS * (len(sizes) > 1), "immigrants": own["immigrants"] + sum(len(r["people"]) for r in guests)}
+        elite = {**stay, "people": genes[:1], "island": (own["island"] + 1) % ISLANDS}
+        return pa.Table.from_pylist([stay, elite] if ISLANDS > 1 and era + 1 < ERAS else [stay], _schema())
 
     return run
 
 
-def _settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best packing of a block, with places in its sequences."""
-    home = pdf[pdf["origin"] == pdf["island"]]
-    best = min(home.groupby("island")["bins"].first().items(), key=lambda x: (x[1], x[0]))[0]
-    x = home[home["island"] == best].sort_values(_ORDER, kind="stable", na_position="first").reset_index(drop=True)
-    bin_ = x["genes"].map(lambda g: g[0]).astype("int64")
-    offset = x["length"].groupby(bin_).cumsum() - x["length"]
-    return x.assign(sequence_id=int(key[0]) * (BLOCK_PIECES * 1024) + bin_, offset=offset)[[*_ORDER, "sequence_id", "offset"]]
+def evolve_blocks(items: DataFrame) -> DataFrame:
+    """One row per block and island of ``items`` (block, row, piece, length): its packings as the bin of each piece
+    (best first), the best one's number of bins, and how many children were bred and immigrants taken in."""
+    x = items.select("block", *_ORDER, "length").groupBy("block").applyInArrow(_found, _STATE)
+    for era in range(ERAS):
+        x = x.groupBy("block", "island").applyInArrow(_era(era), _STATE)
+    return x
+
 
+def _place(key, items: pa.Table, best: pa.Table) -> pa.Table:
+    """A block's pieces with their places: pieces lie in a bin in their order."""
+    t = items.sort_by([(k, "ascending") for k in _ORDER])
+    length, bin_ = t["length"].to_numpy(), np.frombuffer(best["genes"][0].as_py(), "<i4").astype(np.int64)
+    by_bin = np.argsort(bin_, kind="stable")
+    upto = np.cumsum(length[by_bin])
+    first = np.searchsorted(bin_[by_bin], bin_[by_bin])
+    offset = np.empty(len(length), np.int64)
+    offset[by_bin] = upto - length[by_bin] - (upto[first] - length[by_bin][first])
+    fill = np.bincount(bin_, length).astype(np.int64)
+    return t.append_column("bin", pa.array(bin_)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill[bin_]))
 
-def pack(items: DataFrame, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Add sequence_id and offset to ``items`` (doc_id, piece, start, length, ids_crc32)."""
+
+def _packed(items: DataFrame) -> DataFrame:
+    """``items``, which have a block, with bin, offset and fill (the bin's)."""
+    best = evolve_blocks(items).groupBy("block").agg(F.min(F.struct("bins", "island", F.get("people", 0).alias("genes"))).alias("best")).select("block", "best.genes")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return items.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(_place, f"{kinds}, bin long, offset long, fill long")
+
+
+def blocked(items: DataFrame, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """``items`` (row, piece, ...) with the block that they fall into by hash of their row number."""
     blocks = max(1, -(-items.count() // block_pieces))
-    id_type = items.schema["doc_id"].dataType
-    state = f"block long, {_ITEM}, island int, origin int, genes array<int>, bins int"
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
-    x = items.select(block.alias("block"), F.col("doc_id").cast("string").alias("doc_id"), *_ORDER[1:], F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"))
-    x = x.withColumn("origin", F.col("island")).withColumn("genes", F.array().cast("array<int>")).withColumn("bins", F.lit(0))
-    for era in range(ERAS):
-        x = x.groupBy("block", "island").applyInPandas(_era(era), state)
-    packed = x.groupBy("block").applyInPandas(_settle, f"{_ITEM}, sequence_id long, offset long")
-    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))
+    return items.withColumn("block", F.pmod(F.xxhash64(*_ORDER), F.lit(blocks)))
+
+
+def pack(items: DataFrame, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """Add sequence_id and offset to ``items`` (row, piece, start, length, ...), where (row, piece) is a key."""
+    x = materialize(_packed(blocked(items, block_pieces)), "packed")
+    part_filled = F.col("fill") < ENDS * LENGTH
+    once = x.where(~part_filled).withColumn("round", F.lit(0))
+    ends = _packed(blocked(x.where(part_filled).drop("block", "bin", "offset", "fill"), block_pieces)).withColumn("round", F.lit(1))
+    sequence = (F.col("block") * 2 + F.col("round")) * (BLOCK_PIECES * 1024) + F.col("bin")
+    return once.unionByName(ends).withColumn("sequence_id", sequence).drop("block", "bin", "fill", "round")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """The pieces of ``docs`` with their places. ``tokenizer``: path of a tokenizer file on every worker."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    p = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), path).alias("p"))
-    return pack(materialize(p.select("doc_id", F.inline("p")), "pieces"))
+    p = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), path).alias("p"), F.monotonically_increasing_id().alias("row"))
+    return pack(materialize(p.select("doc_id", "row", F.inline("p")), "pieces")).drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
