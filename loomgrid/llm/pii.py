@@ -4,12 +4,16 @@ Fixed patterns give the base spans, which always stay. A semi-Markov CRF then ad
 without a plus, spelled-out addresses, credentials): features of a whole candidate span score it for each type,
 and dynamic programming over entities chooses boundaries and types together. An entity has a bounded number of words,
 each of any length; an unbroken run of key characters is also one candidate as a whole. A candidate must
-hold a digit, an at sign or a spelled-out dot, so text far from these is outside by definition and only zones
-around them are decoded; that is the same optimum. The model is trained at first use, by exact likelihood
-gradients on generated text, and sent to the workers with the function.
+hold a digit, an at sign or a spelled-out dot and be of a form that stops at certain characters. So every candidate
+lies whole in one zone: a longest stretch of text in which such forms can lie, with whole words at its ends. Words
+outside all zones can't be in any entity, and decoding zone by zone, each seen with what stands around it, gives the
+optimum of the whole text. The model is trained at first use, by exact likelihood gradients on generated text, and
+sent to the workers with the function.
 
 Edge cases: null and empty texts have no spans; offsets are code points, ends exclusive; texts of any length are
-searched whole in time linear in their length; equal rows get equal spans; other columns pass through.
+searched whole in time linear in their length, lines of numbers included; of overlapping base spans all stay, and the
+method adds none that overlaps one; equal rows get equal spans; an empty table gives an empty result; other columns
+pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -79,43 +83,66 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # -- zones, tokens and candidates --
 
-#: Characters of text on either side of a trigger, the most tokens in an entity that isn't a whole run of key
-#: characters, and the longest word that an address can have (RFC 5321: local parts have 64 characters, labels 63).
-REACH, LONGEST, WORD = 48, 26, 64
+#: The most tokens in an entity that isn't a whole run of key characters, and the longest word that an address can
+#: have (RFC 5321: local parts have 64 characters, labels 63).
+LONGEST, WORD = 26, 64
+#: Characters before a candidate that its features see; of those after it they see one.
+BEFORE = 24
+#: No candidate is shorter.
+SHORTEST = 7
 _TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
 _TOKEN = re.compile(r"[^\W_]+|.", re.S)
 _LONG_WORD = re.compile(rf"[^\W_]{{{WORD + 1}}}")
 _SECRET_RUN = re.compile(r"[A-Za-z0-9_/+=-]+")
 _KEY_RUN = re.compile(r"[A-Za-z0-9_/+-]+")
+#: What candidates consist of: runs of address or key characters; at most two spaces and a bracket link such runs if
+#: one of them ends or begins with a spelled-out sign; blanks and brackets link runs that end and begin with digits.
+_RUN = re.compile(r"[A-Za-z0-9._%+@/=-]+")
+_LINK = re.compile(r" ?[\[\](){}]? ?")
+_SIGN_BEFORE, _SIGN_AFTER = re.compile(r"(?:at|AT|dot|DOT|@)$"), re.compile(r"at|AT|dot|DOT|@")
+_NUMBER_LINK = re.compile(r"[ ()]+")
+_DIGIT_ENDS, _DIGIT_STARTS = re.compile(r"[0-9.-]$"), re.compile(r"[0-9.-]")
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches of a line within REACH of a trigger, widened to whole runs of key characters."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1] and "\n" not in text[out[-1][1] : m.start()] and b > out[-1][1]:
-            line = text.find("\n", max(out[-1][1], m.end()), b)
-            out[-1][1] = b if line < 0 else line
-        elif not out or m.start() >= out[-1][1]:
-            line = text.rfind("\n", a, m.start())
-            a = max(a if line < 0 else line + 1, out[-1][1] if out else 0)
-            line = text.find("\n", m.end(), b)
-            out.append([a, b if line < 0 else line])
-    wide: list[list[int]] = []
-    for a, b in out:
-        if b <= a or wide and b <= wide[-1][1]:
-            continue
-        least = wide[-1][1] if wide else 0
-        while least < a < len(text) and text[a] in _KEY and text[a - 1] in _KEY:
-            a -= 1
-        if text[b - 1] in _KEY and (m := _SECRET_RUN.match(text, b)):
-            b = m.end()
-        if wide and a <= least:
-            wide[-1][1] = b
+    """Longest stretches in which a candidate can lie, with whole words at their ends, that hold a trigger."""
+    out: list[tuple[int, int]] = []
+    triggers = [m.start() for m in _TRIGGER.finditer(text)]
+    t = 0
+    a = b = -1  # the stretch that is being made
+
+    def settle() -> None:
+        nonlocal t
+        if a < 0:
+            return
+        lo, hi = a, b
+        if lo and text[lo - 1] in "(":  # numbers may begin with it
+            lo -= 1
+        while lo and text[lo].isalnum() and text[lo - 1].isalnum():
+            lo -= 1
+        while hi < len(text) and text[hi].isalnum() and text[hi - 1].isalnum():
+            hi += 1
+        while t < len(triggers) and triggers[t] < lo:
+            t += 1
+        if hi - lo >= SHORTEST and t < len(triggers) and triggers[t] < hi:
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+
+    if not triggers:
+        return out
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        if a >= 0 and s - b <= 3 and _LINK.fullmatch(text, b, s) and (_SIGN_AFTER.match(text, s) or _SIGN_BEFORE.search(text, max(a, b - 3), b)):
+            b = e
+        elif a >= 0 and _NUMBER_LINK.fullmatch(text, b, s) and _DIGIT_STARTS.match(text, s) and _DIGIT_ENDS.search(text, b - 1, b):
+            b = e
         else:
-            wide.append([a, b])
-    return [(a, b) for a, b in wide]
+            settle()
+            a, b = s, e
+    settle()
+    return out
 
 
 _SECRET_KEY = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|credential)s?\W{0,4}$", re.I)
@@ -138,7 +165,7 @@ def _features(text: str, a: int, b: int) -> list[float]:
     digits = "".join(c for c in s if "0" <= c <= "9")
     letters = sum(c.isalpha() for c in s)
     n = len(digits)
-    before = text[max(0, a - 24) : a]
+    before = text[max(0, a - BEFORE) : a]
     # the first two are of addresses
     whole = [1.0 if p.fullmatch(s) else 0.0 for p in _SHAPES] if not _LONG_WORD.search(s) else [0.0, 0.0, *(1.0 if p.fullmatch(s) else 0.0 for p in _SHAPES[2:])]
     quad = whole[2] and all(int(p) <= 255 for p in s.split("."))
@@ -170,31 +197,42 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
     """Token ranges that may be entities: at word boundaries, of one of the general forms, of up to LONGEST tokens or
     whole runs of key characters. Words longer than WORD are in keys only."""
     out = []
-    starts = [k for k, (a, b) in enumerate(tokens) if (text[a].isalnum() or text[a] in "+(") and (k == 0 or not text[a - 1].isalnum() or not text[a].isalnum())]
-    ends = [k + 1 for k, (a, b) in enumerate(tokens) if text[b - 1].isalnum() and (k + 1 == len(tokens) or not text[b].isalnum())]
+    n = len(tokens)
+    starts = [k for k, (a, b) in enumerate(tokens) if (text[a].isalnum() or text[a] in "+(") and (a == 0 or not text[a - 1].isalnum() or not text[a].isalnum())]
+    ends = [k + 1 for k, (a, b) in enumerate(tokens) if text[b - 1].isalnum() and (b == len(text) or not text[b].isalnum())]
     long = [k for k, (a, b) in enumerate(tokens) if b - a > WORD]
-    run = 0  # end of the run of key characters that holds the start
+    triggers = [m.start() for m in _TRIGGER.finditer(text, tokens[0][0], tokens[-1][1])] if tokens else []
+    run = number = 0  # ends of the run of key characters, and of the number, that hold the start
+    j, near = 0, 0
     for s in starts:
         a = tokens[s][0]
         if a >= run:
             run = m.end() if (m := _SECRET_RUN.match(text, a)) else a
+        number = m.end() if (m := _NUMBER_CHARS.match(text, a)) else a
+        while near < len(triggers) and triggers[near] < a:
+            near += 1
+        if near == len(triggers):
+            break
         k = bisect_right(long, s - 1)
-        word = long[k] if k < len(long) else len(tokens)
-        for e in ends[bisect_right(ends, s) :]:
+        word = long[k] if k < len(long) else n
+        while j < len(ends) and ends[j] <= s:
+            j += 1
+        for i in range(j, len(ends)):
+            e = ends[i]
             b = tokens[e - 1][1]
             if e - s > LONGEST or e > word and b > run:
                 break
-            if b - a < 7 or not _TRIGGER.search(text, a, b):
+            if b - a < SHORTEST or triggers[near] >= b:
                 continue
             if b <= run and b - a >= 12:
                 out.append((s, e))
                 continue
             x = text[a:b] if e <= word else ""
-            if _NUMBER_CHARS.fullmatch(x) or _SHAPES[0].fullmatch(x) or _SHAPES[1].fullmatch(x):
+            if b <= number and _NUMBER_CHARS.fullmatch(x) or _SHAPES[0].fullmatch(x) or _SHAPES[1].fullmatch(x):
                 out.append((s, e))
     at = [tokens[s][0] for s in starts]
     to = [tokens[e - 1][1] for e in ends]
-    for m in _KEY_RUN.finditer(text) if len(tokens) > LONGEST else ():
+    for m in _KEY_RUN.finditer(text, tokens[0][0], tokens[-1][1]) if n > LONGEST else ():
         i, j = bisect_left(at, m.start()), bisect_right(to, m.end()) - 1
         if i < len(starts) and j >= 0 and ends[j] - starts[i] > LONGEST and _TRIGGER.search(text, at[i], to[j]):
             out.append((starts[i], ends[j]))
@@ -202,10 +240,12 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
 
 
 class Lattice:
-    """A zone's tokens, candidate segments and their features."""
+    """The tokens, candidate segments and their features of a stretch of text (all of it, if no stretch is given)."""
 
-    def __init__(self, text: str):
-        self.tokens = [m.span() for m in _TOKEN.finditer(text)]
+    def __init__(self, text: str, lo: int = 0, hi: int | None = None):
+        hi = len(text) if hi is None else hi
+        self.followed = hi < len(text)
+        self.tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
         self.segments = candidates(text, self.tokens)
         self.x = np.array([_features(text, self.tokens[s][0], self.tokens[e - 1][1]) for s, e in self.segments]).reshape(-1, FEATURES)
 
@@ -240,7 +280,8 @@ class SemiCRF:
                 value = to[prev, range(k - 1)] + score[i]
                 for z in np.flatnonzero(value > best[t, 1:]):
                     best[t, z + 1], back[t][z + 1] = value[z], (s, int(prev[z]), i)
-        out, t, y = [], n, int(best[n].argmax())
+        # what follows a stretch is outside
+        out, t, y = [], n, int((best[n] + self.moves[:, 0] * lat.followed).argmax())
         while t > 0:
             s, before, i = back[t][y]
             if i >= 0:
@@ -390,7 +431,8 @@ def model(samples: int = 320, epochs: int = 6, seed: int = 7) -> SemiCRF:
 
 
 def find(text: str | None, zone_spans) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base) by kind, then start. ``zone_spans``: zone text -> [(kind number, start, end)]."""
+    """(kind, start, end, base) by kind, then start. ``zone_spans``: what stands before a zone, the zone, and what stands
+    after it -> [(kind number, start, end) in the zone]."""
     if not text:
         return []
     base = base_spans(text)
@@ -403,7 +445,7 @@ def find(text: str | None, zone_spans) -> list[tuple[str, int, int, bool]]:
             starts.append(a)
             ends.append(b)
     for lo, hi in zones(text):
-        for kind, a, b in zone_spans(text[lo:hi]):
+        for kind, a, b in zone_spans((text[max(0, lo - BEFORE) : lo], text[lo:hi], text[hi : hi + 1])):
             a, b = a + lo, b + lo
             k = bisect_right(ends, a)
             if k == len(starts) or starts[k] >= b:
@@ -412,20 +454,22 @@ def find(text: str | None, zone_spans) -> list[tuple[str, int, int, bool]]:
 
 
 def _decoder(crf: SemiCRF):
-    def spans(zone: str) -> list[tuple[int, int, int]]:
-        lat = Lattice(zone)
-        return [(k, lat.tokens[s][0], lat.tokens[e - 1][1]) for s, e, k in crf.decode(lat)]
+    def spans(seen: tuple[str, str, str]) -> list[tuple[int, int, int]]:
+        before, zone, after = seen
+        lo = len(before)
+        lat = Lattice(before + zone + after, lo, lo + len(zone))
+        return [(k, lat.tokens[s][0] - lo, lat.tokens[e - 1][1] - lo) for s, e, k in crf.decode(lat)]
 
     # equal zones (copies of documents) are decoded once
-    return WordCache(spans, 5_000)
+    return WordCache(spans, size=lambda seen, found: 200 + sum(map(len, seen)) + 120 * len(found))
 
 
 def redact_text(text: str, zone_spans) -> str:
-    """The text with each span replaced by its kind in brackets; overlapping spans become one."""
-    for _ in range(4):
-        spans = sorted((a, b, k) for k, a, b, _ in find(text, zone_spans))
-        if not spans:
-            break
+    """The text with each span replaced by its kind in brackets; overlapping spans become one.
+
+    Repeated until nothing is found: each pass takes digits, at signs or spelled-out dots away and adds none.
+    """
+    while spans := sorted((a, b, k) for k, a, b, _ in find(text, zone_spans)):
         out, at = [], 0
         for a, b, k in spans:
             if a >= at:
@@ -435,36 +479,30 @@ def redact_text(text: str, zone_spans) -> str:
     return text
 
 
-def entities(text: Column) -> Column:
-    """Array of (kind, start, end, base) of a text."""
+def _column(text: Column, of_text, kind: pa.DataType, spark_kind: str) -> Column:
+    """``of_text(text, decoder)`` of each text; workers keep what they have decoded."""
     crf, memo = model(), []
 
     def arrow(texts: pa.Array) -> pa.Array:
         memo[:] = memo or [_decoder(crf)]
-        memo[0].take()
-        out = []
+        known, out = memo[0].take(), []
         for t in texts:
-            out.append([{"kind": k, "start": a, "end": b, "base": f} for k, a, b, f in find(t.as_py(), memo[0].__getitem__)])
-            memo[0].trim()
-        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])))
+            out.append(of_text(t.as_py(), known.__getitem__))
+            known.trim()
+        return pa.array(out, kind)
 
-    return F.arrow_udf(arrow, ENTITIES)(text)
+    return F.arrow_udf(arrow, spark_kind)(text)
 
 
-def redact(text: Column) -> Column:
-    """A text without personal data; null stays null."""
-    crf, memo = model(), []
+def entities(text: Column) -> Column:
+    """Array of (kind, start, end, base) of a text."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+    return _column(text, lambda t, known: [{"kind": k, "start": a, "end": b, "base": f} for k, a, b, f in find(t, known)], kind, ENTITIES)
 
-    def arrow(texts: pa.Array) -> pa.Array:
-        memo[:] = memo or [_decoder(crf)]
-        memo[0].take()
-        out = []
-        for t in texts:
-            out.append(redact_text(t.as_py(), memo[0].__getitem__) if t.is_valid else None)
-            memo[0].trim()
-        return pa.array(out, pa.string())
 
-    return F.arrow_udf(arrow, "string")(text)
+def redact(text: Column) -> Column:
+    """A text without personal data; null stays null."""
+    return _column(text, lambda t, known: t if t is None else redact_text(t, known), pa.string(), "string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,4 +510,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("e", lambda s: s["base"])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return x.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("e")).alias("spans"))
+    return x.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("e")).alias("spans"), F.size("e").cast("long").alias("n_spans"))
