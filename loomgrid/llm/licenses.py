@@ -1,19 +1,22 @@
 """Licence scan by a positional rare-token index.
 
 An index holds, for each word of the licence templates, the templates and positions at which it stands. A file's
-licence words are ranked by inverse document frequency over the whole corpus; the rarest of each key phrase are
-indexed and all of a file's indexed words are looked up, each
-posting proposes a template at a relative position, and a proposal is taken if the template's words agree there
-well enough and its mandatory key phrases stand whole. Only DataFrame functions are used.
-
-Edge cases: null and empty texts have no words and no labels; texts are read whole; equal rows get equal
-results; repeated ids are rows like others; an empty table gives an empty result; extra columns are ignored.
+licence words are ranked by inverse document frequency over the whole corpus, and the rarest of each key phrase are
+indexed. All of a file's indexed words are looked up: each posting of a template, moved by its position, gives the
+places where the template may start, and only places in the intersection of all its postings are proposals. A
+proposal is taken if the template's words agree there well enough and its mandatory key phrase stands whole. Only
+DataFrame functions are used.
+
+Edge cases: null and empty texts have no words and no labels; texts of any length are read whole, in time linear in
+their words; of words of equal frequency the smaller ones are indexed (ties); equal rows get equal results; repeated
+ids are rows like others; an empty table gives an empty result; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
-import json
 import math
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,23 +61,17 @@ ANCHORS = ("license", "cc", "commons", "permission", "compliance", "redistributi
 INDEXED, AGREE = 2, 0.6
 
 
-def _literal(value, schema: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), schema)
-
-
 def _key_start(words: list[str], key: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
 
 
-def postings(idf: dict[str, float]) -> dict[str, list[dict]]:
-    """word -> templates and positions, for the rarest words of each template's key phrase, which any match must hold."""
-    out: dict[str, list[dict]] = {}
-    for t, x in enumerate(templates()):
+def postings(idf: dict[str, float]) -> list[list[tuple[str, int]]]:
+    """For each template its postings: (word, position) of the rarest words of its key phrase, which any match must hold."""
+    out = []
+    for x in templates():
         key = range(x["key"], x["key_end"])
         rare = sorted({x["words"][k] for k in key}, key=lambda w: (-idf[w], w))[:INDEXED]
-        for k in key:
-            if x["words"][k] in rare:
-                out.setdefault(x["words"][k], []).append({"t": t, "k": k})
+        out.append([(x["words"][k], k) for k in key if x["words"][k] in rare])
     return out
 
 
@@ -98,7 +95,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = {r["word"]: r["count"] for r in x.select(F.explode("present").alias("word")).groupBy("word").count().collect()}
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
     found_at = postings(idf)
-    indexed = sorted(found_at)
+    indexed = sorted({v for t in found_at for v, _ in t})
 
     w = F.col("words")
     at = lambda i: F.get(w, i)
@@ -111,25 +108,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)))
     starts = F.filter(F.transform(F.when(F.array_contains("present", "license"), every), lambda i: F.struct(i.alias("start"), base_at(i).alias("label"))), lambda s: s["label"].isNotNull())
 
-    # all of a file's indexed words are looked up
-    rare = F.array_intersect(F.array(*map(F.lit, indexed)), F.col("present"))
-    x = x.withColumn("rare", F.when(w.isNotNull(), rare))
-    hits = F.filter(F.transform(w, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda h: F.array_contains("rare", h["v"]))
-    index = _literal(found_at, "map<string,array<struct<t:int,k:int>>>")
-    aligned = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(index[h["v"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("o"))))))
-    known = _literal(templates(), "array<struct<label:string,words:array<string>,key:int,key_end:int>>")
-
-    def judged(a: Column) -> Column:
-        t = F.get(known, a["t"])
-        agree = F.filter(F.sequence(F.lit(0), F.size(t["words"]) - 1), lambda k: F.get(w, F.when(a["o"] + k >= 0, a["o"] + k)) == F.get(t["words"], k))
-        whole = F.size(F.filter(agree, lambda k: (k >= t["key"]) & (k < t["key_end"]))) == t["key_end"] - t["key"]
-        return F.struct(t["label"].alias("label"), a["o"].alias("start"), F.when(whole, F.size(agree) / F.size(t["words"])).alias("share"))
-
-    found = F.filter(F.transform("aligned", judged), lambda f: f["share"] >= AGREE)
+    # all of a file's indexed words are looked up; positions by word
+    hits = F.filter(F.transform(w, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda h: h["v"].isin(indexed))
+    places_of = lambda v: F.transform(F.filter("hits", lambda h: h["v"] == v), lambda h: h["i"])
+
+    def proposed(t: int) -> Column:
+        """Starts of template ``t`` at which all its postings meet."""
+        moved = lambda v, k: F.transform(F.col(f"at_{indexed.index(v)}"), lambda i: i - k)
+        return reduce(F.array_intersect, (moved(v, k) for v, k in found_at[t]))
+
+    def judged(t: int) -> Column:
+        x = templates()[t]
+
+        def one(o: Column) -> Column:
+            same = lambda k: F.coalesce(F.get(w, F.when(o + k >= 0, o + k)) == x["words"][k], F.lit(False))
+            whole = reduce(and_, (same(k) for k in range(x["key"], x["key_end"])))
+            agree = reduce(add, (same(k).cast("int") for k in range(len(x["words"]))))
+            return F.struct(F.lit(x["label"]).alias("label"), o.alias("start"), F.when(whole, agree / len(x["words"])).alias("share"))
+
+        return F.filter(F.transform(F.col(f"start_{t}"), one), lambda f: f["share"] >= AGREE)
+
     x = x.select(id_col, "n_words", "words", starts.alias("places"), hits.alias("hits"))
-    x = x.select(id_col, "n_words", "words", "places", aligned.alias("aligned"))
     none = F.array().cast("array<struct<label:string,start:int,share:double>>")
-    return x.select(id_col, "n_words", F.coalesce("places", F.array().cast("array<struct<start:int,label:string>>")).alias("places"), F.coalesce(found, none).alias("found"))
+    held = F.size("hits") > 0
+    x = x.select(id_col, "n_words", "words", "places", *(F.when(held, places_of(v)).alias(f"at_{k}") for k, v in enumerate(indexed)))
+    x = x.select(id_col, "n_words", "words", "places", *(proposed(t).alias(f"start_{t}") for t in range(len(found_at))))
+    found = F.concat(*(F.coalesce(judged(t), none) for t in range(len(found_at))))
+    return x.select(id_col, "n_words", F.coalesce("places", F.array().cast("array<struct<start:int,label:string>>")).alias("places"), found.alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
