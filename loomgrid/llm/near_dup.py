@@ -10,9 +10,12 @@ only members of different components are tested again. Buckets that still hold m
 copies with many edits each, are finished exactly by their differences from the centre: two members can only link
 if their differences overlap, so an index on each member's rarest difference shingles finds all pairs to test.
 
+Rows of a bucket, class or difference that many documents share meet what is known of it by broadcast, not by shuffle.
+
 Edge cases: null, empty and blank texts have no shingles and stay alone; fewer than five words make one shingle;
-rows with one doc_id count as one document; null ids stay out of links and get a null component; an empty table
-gives an empty result; other columns of the input are ignored (``deduplicate`` passes them through).
+texts of any length are read whole; of copies and ties the smallest id stands for its group; rows with one doc_id
+count as one document; null ids stay out of links and get a null component; an empty table gives an empty result;
+other columns of the input are ignored, whatever they are called (``deduplicate`` passes them through).
 """
 
 from __future__ import annotations
@@ -161,10 +164,26 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+#: Keys with more rows are hot; so many hot keys are broadcast (beyond, adaptive execution splits skewed joins).
+HOT_ROWS, HOT_KEYS = 500, 200_000
+
+
+def _meet(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_key``, a written table of one row a key with its number of ``rows``.
+
+    There are at most all rows / HOT_ROWS hot keys; these are broadcast, so their rows are not shuffled to one task.
+    """
+    hot = per_key.where(F.col("rows") > HOT_ROWS)
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(per_key, on, how)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(per_key.where(F.col("rows") <= HOT_ROWS), on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def _open(entries: DataFrame) -> DataFrame:
     """Entries of buckets that hold several components, with the bucket's number of rows."""
     b = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
-    return entries.join(b, "key")
+    return _meet(entries.drop("rows"), materialize(b, "buckets"), ["key"])
 
 
 def _centres(entries: DataFrame, by_size: bool) -> DataFrame:
@@ -175,7 +194,8 @@ def _centres(entries: DataFrame, by_size: bool) -> DataFrame:
         least = F.struct((-F.col("seats")).alias("s"), "id", "n", "comp")
     else:
         least = F.struct("id", "n", "comp")
-    return entries.groupBy("key").agg(F.min(least).alias("c")).select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
+    c = entries.groupBy("key").agg(F.min(least).alias("c"), F.count(F.lit(1)).alias("rows"))
+    return materialize(c.select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"), "rows"), "centres")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -184,7 +204,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def _star_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     """Each member with the centre of its bucket, if they are of different components."""
-    x = entries.join(_centres(entries, False), "key").where((F.col("comp") != F.col("cc")) & texts.sizes_fit("n", "cn"))
+    x = _meet(entries.drop("rows"), _centres(entries, False), ["key"]).where((F.col("comp") != F.col("cc")) & texts.sizes_fit("n", "cn"))
     return x.select(*_pair("id", "cid")).distinct()
 
 
@@ -203,8 +223,7 @@ def _difference_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     centre needs an overlap of at least max(1, |D(x)| - T): all but so many minus one of D(x), rarest first, must
     meet D(y). At the first shingle two members share, what is left of both must still reach their overlap.
     """
-    c = _centres(entries, True)
-    x = materialize(entries.join(c, "key").where("id <> cid").select(F.col("cid").alias("a"), F.col("id").alias("b"), "n", "comp", "cc").distinct(), "spokes")
+    x = materialize(_meet(entries.drop("rows"), _centres(entries, True), ["key"]).where("id <> cid").select(F.col("cid").alias("a"), F.col("id").alias("b"), "n", "comp", "cc").distinct(), "spokes")
     d = materialize(texts.compare(x.select("a", "b"), apart=True), "differences")
     e = d.join(x, ["a", "b"]).withColumn("stray", F.col("comp") != F.col("cc"))
     linked = e.where("linked AND stray").select(*_pair("a", "b"))
@@ -212,7 +231,8 @@ def _difference_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     share = (100 - p) / (100 + p)
     need = F.greatest(F.lit(1), F.ceil(F.size("apart") - F.col("n") * ((1 + 100 / p) * share) - 1e-6))
     e = e.select("a", "b", "n", "comp", "stray", F.size("apart").alias("d"), F.when(F.col("stray"), F.size("apart") - need + 1).otherwise(F.size("apart")).alias("keep"), F.explode("apart").alias("s"))
-    e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("a", "s")))
+    e = materialize(e, "strays")
+    e = _meet(e, materialize(e.groupBy("a", "s").agg(F.count(F.lit(1)).alias("rows")), "frequencies"), ["a", "s"]).withColumnRenamed("rows", "df")
     e = e.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "s"))).where("rank <= keep AND df > 1")
     e = materialize(e.select("a", "b", "n", "comp", "stray", "d", "rank", "s"), "rarest")
     o = e.select("a", "s", *(F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "stray", "d", "rank")))
@@ -230,7 +250,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     d = materialize(given.select("id", describe(F.col("text")).alias("d")).select("id", "d.n", "d.key", F.when(F.col("id").isNotNull(), F.col("d.bands")).alias("bands")), "described")
-    heads = materialize(d.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands")), "heads")
+    heads = materialize(d.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "heads")
     texts = _Texts(given, percent, broadcast_ids)
     links = tested = labels = None
 
@@ -246,16 +266,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             labels = materialize(connected_components(links), "labels")
 
     entries = heads.select("id", "n", F.explode("bands").alias("key"))
-    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    entries = materialize(entries.join(met, "key"), "entries")
+    met = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "met")
+    entries = materialize(_meet(entries, met, ["key"]), "entries")
     link(_star_pairs(_labelled(entries, None), texts))
     here = materialize(_open(_labelled(entries, labels)), "open")
     pairs, wide = _cross_pairs(here.where(F.col("rows") <= bucket_rows), texts), here.where(F.col("rows") > bucket_rows)
     link(pairs if wide.isEmpty() else pairs.unionByName(_difference_pairs(wide, texts)).distinct())
 
-    heads = heads.select("key", "id")
-    heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component")) if labels is not None else heads.select("key", F.col("id").alias("component"))
-    return d.select("id", F.col("n").alias("n_shingles"), "key").join(heads, "key", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    heads = heads.select("key", "id", "rows")
+    heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "rows") if labels is not None else heads.select("key", F.col("id").alias("component"), "rows")
+    d = d.select("id", F.col("n").alias("n_shingles"), "key")
+    alone = d.where("key IS NULL").withColumn("component", F.col("id"))
+    found = _meet(d.where("key IS NOT NULL"), materialize(heads, "classes"), ["key"], "left").drop("rows")
+    return found.unionByName(alone).select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, broadcast_ids: int = 2_000_000) -> DataFrame:
