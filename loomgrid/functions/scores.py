@@ -84,3 +84,51 @@ def two_digits(number: Column) -> Column:
 def numbered(prefix: Column, partition: list[str], order: list) -> Column:
     """``prefix-01``, ``prefix-02``, ... inside a partition."""
     return F.concat(prefix, F.lit("-"), two_digits(F.row_number().over(Window.partitionBy(*partition).orderBy(*order))))
+
+
+def root_label(origin: Column, index: Column, missing: str | None = None) -> Column:
+    """Key of a root for reports: absent origins are ``legacy``; without an index null, or ``missing`` in its place."""
+    at = index.cast("string") if missing is None else F.coalesce(index.cast("string"), F.lit(missing))
+    return F.concat(F.coalesce(origin, F.lit("legacy")), F.lit("::"), at)
+
+
+#: Endings of names that own broad surfaces.
+_BROAD = "_(base_panel|body|frame|housing|panel|receiver|shell|surface|torso)$"
+
+
+def broad_host(name: Column) -> Column:
+    return name.rlike(_BROAD)
+
+
+def broad_scene_layer(role: Column, derived: Column, area_share: Column) -> Column:
+    """A scene layer that comes from the background or covers much of the image."""
+    return F.coalesce((role == "scene_layer") & (F.coalesce(derived, F.lit(False)) | (F.coalesce(area_share, F.lit(0.0)) >= 0.24)), F.lit(False))
+
+
+def dedup_quality(score: Column, reliability: Column, mask_quality: Column, dense: list[Column], contrast: list[Column]) -> Column:
+    """Rank of alternate masks of one source; dense evidence takes part where there is any. The weights."""
+    most = lambda cs: F.greatest(*cs, F.lit(None).cast("double"))  # noqa: E731  (nulls are passed over)
+    base = clip((0.45 + 0.55 * clip(score, 0.0, 1.0)) * reliability, 0.0, 1.0)
+    own = clip(F.coalesce(mask_quality, F.lit(0.5)), 0.0, 1.0)
+    edge = clip(F.coalesce(most(contrast), F.lit(0.0)) / 0.12, 0.0, 1.0)
+    return F.when(most(dense).isNull(), 0.72 * base + 0.28 * own).otherwise(0.34 * base + 0.22 * own + 0.22 * clip(most(dense), 0.0, 1.0) + 0.22 * edge)
+
+
+def visibility_sliver(visible: Column, whole: Column, image: Column, least_area: int, most_image_share: float, least_share: float) -> Column:
+    """A visible rest that is small in the image and a small share of its object."""
+    small = visible < F.greatest(F.lit(4 * least_area), F.bround(image * most_image_share))
+    return (visible > 0) & (whole > 0) & small & (visible / whole < least_share)
+
+
+def area_prior(share: Column, lo: Column, hi: Column) -> Column:
+    """1 inside the expected range of area shares, falling in proportion outside."""
+    return F.when(share.between(lo, hi), 1.0).when(share < lo, F.greatest(F.lit(0.0), share / F.greatest(lo, F.lit(1e-8)))).otherwise(F.greatest(F.lit(0.0), hi / F.greatest(share, F.lit(1e-8))))
+
+
+def image_box(box: Column, system: Column, width: Column, height: Column) -> Column:
+    """Whole-pixel box (x0, y0, x1, y1) inside the image of four numbers in pixels or thousandths; null if it is empty,
+    incomplete, not finite or of another system."""
+    ok = (F.size(box) == 4) & ~F.exists(box, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & system.isin("normalized_1000", "pixels")
+    at = lambda k, side: F.greatest(F.lit(0), F.least(side, F.bround(F.get(box, k) * F.when(system == "pixels", 1.0).otherwise(side / 1000.0)).cast("int")))
+    out = F.struct(at(0, width).alias("x0"), at(1, height).alias("y0"), at(2, width).alias("x1"), at(3, height).alias("y1"))
+    return F.when(ok & (out["x1"] > out["x0"]) & (out["y1"] > out["y0"]), out)

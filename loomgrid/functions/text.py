@@ -22,6 +22,32 @@ def humanize(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[_\\-\\s]+", " "))
 
 
+def before_last(c: Column, sep: str = "/") -> Column:
+    """What stands before the last separator; all of it without one."""
+    at = F.length(c) - F.length(F.substring_index(c, sep, -1)) - len(sep)
+    return F.when(F.contains(c, F.lit(sep)), F.substring(c, F.lit(1), at)).otherwise(c)
+
+
+def without_prefix(c: Column, prefix: Column) -> Column:
+    """``c`` without ``prefix`` if it begins with it."""
+    return F.when(c.startswith(prefix), F.substring(c, F.length(prefix) + 1, F.length(c))).otherwise(c)
+
+
+def token_subset(a: Column, b: Column) -> Column:
+    """Whether normalized phrase ``a`` names ``b``: its tokens are all in b, or b's (at least two) are all in a."""
+    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    within = lambda p, q: F.size(F.array_except(p, q)) == 0
+    return (a != "") & (b != "") & (within(x, y) | ((F.size(y) >= 2) & within(y, x)))
+
+
+def inventory_prompt(label: Column, domain: Column, names: Column, aliases: Column, most: int = 3) -> Column:
+    """Request for missing parts of an object, with its inventory line by line; ``aliases``: an array for each name."""
+    line = lambda n, a: F.concat(F.lit("- "), n, F.lit(": "), F.array_join(F.slice(a, 1, most), ", "))
+    lines = F.array_join(F.zip_with(names, aliases, line), "\n")
+    known = F.when(F.coalesce(F.size(names), F.lit(0)) > 0, lines).otherwise("- none")
+    return F.format_string("Object: %s (%s)\nKnown parts:\n%s\nName the visible physical parts that are missing.", label, domain, known)
+
+
 def contains_phrase(text: Column, phrase: Column) -> Column:
     """Whole-token containment of one normalized text in another; an empty phrase is in nothing."""
     return (phrase != "") & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
@@ -57,12 +83,14 @@ def prompt_items(c: Column) -> Column:
     return F.filter(F.transform(parts, item), lambda i: i["label"] != "")
 
 
-def shingles(c: Column, n: int) -> Column:
-    """Distinct n-token shingles of a normalized text; none if it has fewer tokens."""
+def shingles(c: Column, n: int, hashed: bool = False) -> Column:
+    """Distinct n-token shingles of a normalized text, or 64-bit hashes of them; none if it has fewer tokens."""
+    one = (lambda *t: F.xxhash64(*t)) if hashed else (lambda *t: F.concat_ws(" ", *t))
+    none = F.array().cast("array<bigint>" if hashed else "array<string>")
 
     def all_of(t: Column) -> Column:
         at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n))
-        return F.array_distinct(F.coalesce(F.transform(at, lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n)))), F.array().cast("array<string>")))
+        return F.array_distinct(F.coalesce(F.transform(at, lambda i: one(*(F.get(t, i + k) for k in range(n)))), none))
 
     # bound by a lambda, so that the tokens are made once and not at every position
     return F.element_at(F.transform(F.array(tokens(c)), all_of), 1)

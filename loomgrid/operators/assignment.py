@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import two_digits
 from .overlap import cross_overlap
 
+#: The IoU thresholds of the evaluation.
 THRESHOLDS = [round(0.25 + 0.05 * k, 2) for k in range(11)]
 
 
@@ -49,9 +50,9 @@ def assign(pairs: DataFrame, score: str, least: float = 0.0) -> DataFrame:
     kinds = dict(pairs.dtypes)
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(t["a"].unique()), sorted(t["b"].unique())
+        (i, a), (j, b) = pd.factorize(t["a"], sort=True), pd.factorize(t["b"], sort=True)
         m = np.zeros((len(a), len(b)))
-        m[[a.index(x) for x in t["a"]], [b.index(x) for x in t["b"]]] = t[score]
+        m[i, j] = t[score]
         out = [(t["case_id"].iloc[0], a[i], b[j], m[i, j]) for i, j in solve(-m) if m[i, j] > 0 and m[i, j] >= least]
         return pd.DataFrame(out, columns=["case_id", "a", "b", score])
 

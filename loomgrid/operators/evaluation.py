@@ -53,13 +53,23 @@ def identity_audit(parts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def signed_ranks(deltas: DataFrame, key: str, delta: str) -> DataFrame:
-    """(key, n, w_plus, w_minus, effect): signed-rank sums of non-zero paired differences, ties at mean ranks; ranks come from value counts."""
+    """(key, n, w_plus, w_minus, effect, z, p): signed-rank sums of paired differences, ties at mean ranks.
+
+    Zero differences are ranked and split between both sums; z is the sums' normal approximation, with the variance of
+    all ranks, and p its two-sided p-value. Ranks come from value counts.
+    """
     from pyspark.sql.window import Window
 
-    c = deltas.where(F.col(delta) != 0).groupBy(key, F.abs(delta).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(delta) > 0).alias("plus"))
+    from .stats import normal_p
+
+    c = deltas.where(F.col(delta).isNotNull()).groupBy(key, F.abs(delta).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(delta) > 0).alias("plus"), F.count_if(F.col(delta) < 0).alias("minus"))
     r = F.sum("n").over(Window.partitionBy(key).orderBy("m")) - (F.col("n") - 1) / 2.0
-    g = c.withColumn("r", r).groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("plus") * F.col("r")).alias("w_plus"), F.sum((F.col("n") - F.col("plus")) * F.col("r")).alias("w_minus"))
-    return g.withColumn("effect", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
+    zero = F.col("n") - F.col("plus") - F.col("minus")
+    side = lambda s: F.sum((F.col(s) + zero / 2) * F.col("r"))
+    g = c.withColumn("r", r).groupBy(key).agg(F.sum("n").alias("n"), side("plus").alias("w_plus"), side("minus").alias("w_minus"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("squares"))
+    g = g.withColumn("effect", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
+    g = g.withColumn("z", F.when(F.col("squares") > 0, (F.col("w_plus") - F.col("w_minus")) / F.sqrt("squares")).otherwise(0.0))
+    return g.withColumn("p", normal_p(F.col("z"))).drop("squares")
 
 
 def probability_thresholds(rows: DataFrame, p: str, truth: Column, thresholds: list[float]) -> DataFrame:

@@ -43,25 +43,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def descendants(links: DataFrame, max_depth: int = 64, on_cycle: str = "raise") -> DataFrame:
     """(ancestor, descendant, depth) of every pair below one another in ``links`` (parent, child).
 
-    depth is the longest path. on_cycle: "raise", or "stop" to leave out paths that come back to a node.
+    Level k holds the distinct pairs that k links join, so shared children don't multiply; depth is the longest path.
+    on_cycle: "raise", or "stop", which goes on from new pairs only and gives the shortest path.
     """
-    step = links.select("parent", "child").distinct()
-    level = step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path"))
+    step = materialize(links.select("parent", "child").distinct(), "links")
+    level = step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
     done = None
-    for _ in range(max_depth):
-        level = materialize(level, "level")
+    for depth in range(1, max_depth + 2):
+        level = level.where("ancestor <> descendant") if on_cycle == "stop" else level
+        if on_cycle == "stop" and done is not None:
+            level = level.join(done.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")
+        level = materialize(level.withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
             break
-        cyclic = level.where(F.size(F.array_distinct("path")) < F.size("path"))
-        if on_cycle == "raise" and not cyclic.isEmpty():
-            raise ValueError(f"cycle: {cyclic.first()['path']}")
-        level = level.where(F.size(F.array_distinct("path")) == F.size("path"))
+        if on_cycle == "raise" and not (back := level.where("ancestor = descendant")).isEmpty():
+            raise ValueError(f"cycle through {back.first()['ancestor']}")
+        if depth > max_depth:
+            raise ValueError(f"deeper than {max_depth}")
         done = level if done is None else done.unionByName(level)
-        level = level.join(step, level["descendant"] == step["parent"]).select("ancestor", F.col("child").alias("descendant"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-    else:
-        raise ValueError(f"deeper than {max_depth}")
+        level = level.join(step, level["descendant"] == step["parent"]).select("ancestor", F.col("child").alias("descendant")).distinct()
     if done is None:
-        return level.drop("path")
+        return level
     return done.groupBy("ancestor", "descendant").agg(F.max("depth").alias("depth"))
 
 

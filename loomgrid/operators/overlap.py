@@ -1,10 +1,17 @@
-"""Joins of element sets (case_id, set_id, e) and boxes by overlap."""
+"""Joins of element sets (case_id, set_id, e) and boxes by overlap.
+
+Threshold joins work on one row a set, (case_id, set_id, n, s): ``s`` holds its distinct elements as 64-bit numbers
+(integers as they are, others hashed). An element that only one set has joins nothing; of the others each set offers
+its rarest ones only, as many as a partner that reaches the threshold can't all miss.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegralType
+
+from ..storage import materialize, meet
 
 
 def _measures(x: DataFrame) -> DataFrame:
@@ -16,53 +23,122 @@ def _measures(x: DataFrame) -> DataFrame:
     )
 
 
+def gather(elem: DataFrame) -> DataFrame:
+    """One row a set (case_id, set_id, n, s) of elements (case_id, set_id, e)."""
+    e = F.col("e").cast("long") if isinstance(elem.schema["e"].dataType, IntegralType) else F.xxhash64("e")
+    return with_sizes(elem.groupBy("case_id", "set_id").agg(F.collect_set(e).alias("s")))
+
+
+def with_sizes(sets: DataFrame) -> DataFrame:
+    """(case_id, set_id, n, s) of rows (case_id, set_id, s) whose arrays hold distinct numbers; empty sets are left out."""
+    return sets.select("case_id", "set_id", F.size("s").cast("long").alias("n"), "s").where("n > 0")
+
+
+def _frequencies(sets: DataFrame) -> DataFrame:
+    """(case_id, h, rows) of the elements that several sets have."""
+    e = sets.select("case_id", F.explode("s").alias("h"))
+    return materialize(e.groupBy("case_id", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "frequencies")
+
+
+def _ranked(sets: DataFrame, frequencies: DataFrame, prefix: Column) -> DataFrame:
+    """(case_id, set_id, n, m, h, rank): a set's first ``prefix`` of its ``m`` shared elements, rarest first."""
+    e = meet(sets.select("case_id", "set_id", "n", F.explode("s").alias("h")), frequencies, ["case_id", "h"])
+    g = e.groupBy("case_id", "set_id", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "h"))).alias("shared")).withColumn("m", F.size("shared"))
+    g = g.withColumn("shared", F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int")))
+    return g.select("case_id", "set_id", "n", "m", F.posexplode("shared").alias("rank", "x")).select("case_id", "set_id", "n", "m", F.col("x.h").alias("h"), F.col("rank").cast("long").alias("rank"))
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Measures of pairs (case_id, a, b) by the sets themselves, fetched once a side."""
+    a = left.select("case_id", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    b = right.select("case_id", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    x = pairs.join(a, ["case_id", "a"]).join(b, ["case_id", "b"])
+    return _measures(x.select("case_id", "a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter")))
+
+
+def set_pairs(sets: DataFrame, min_iou: float) -> DataFrame:
+    """Measures of set pairs a < b that reach ``min_iou`` > 0; ``sets`` as from ``gather``.
+
+    A set of n elements only reaches t with one that meets its first n - ceil(t * n) + 1. At the first element that
+    two sets share, what is left of both must still reach the overlap that t asks for.
+    """
+    sets = materialize(sets, "sets")
+    need = F.ceil(min_iou * F.col("n") - 1e-9)
+    # elements of its own come first, so of the m shared ones a set offers m - need + 1
+    p = materialize(_ranked(sets, _frequencies(sets), F.col("m") - need + 1), "prefixes")
+    q = p.select("case_id", "h", *(F.col(k).alias(f"{k}2") for k in ("set_id", "n", "m", "rank")))
+    fits = F.least("n", "n2") >= min_iou * F.greatest("n", "n2") - 1e-9
+    reach = F.least(F.col("m") - F.col("rank"), F.col("m2") - F.col("rank2")) >= min_iou / (1 + min_iou) * (F.col("n") + F.col("n2")) - 1e-6
+    c = p.join(q, ["case_id", "h"]).where((F.col("set_id") < F.col("set_id2")) & fits & reach)
+    c = c.select("case_id", F.col("set_id").alias("a"), F.col("set_id2").alias("b")).distinct()
+    return _verified(c, sets, sets).where(F.col("iou") >= min_iou - 1e-12)
+
+
 def overlap_pairs(elem: DataFrame, min_iou: float = 0.0) -> DataFrame:
     """(case_id, a, b, inter, na, nb, iou, containment, area_coherence) of set pairs a < b that share an element.
 
-    With ``min_iou`` only pairs that reach it, found through each set's rarest elements: a set of n elements can
-    only reach t with one that meets its first n - ceil(t * n) + 1. Frequent elements then join nothing.
+    With ``min_iou`` only pairs that reach it, by ``set_pairs``; without, the result itself is all overlapping pairs.
     """
-    e = elem.select("case_id", "set_id", "e").distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy("case_id", "set_id"))
-    e = e.withColumn("n", n)
     if min_iou > 0:
-        e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("case_id", "e")))
-        e = e.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "set_id").orderBy("df", "e")))
-        p = e.where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(min_iou * F.col("n") - 1e-9) + 1)).select("case_id", "e", "set_id", "n")
-        a, b = p.withColumnsRenamed({"set_id": "a", "n": "na"}), p.withColumnsRenamed({"set_id": "b", "n": "nb"})
-        fits = F.least("na", "nb") >= min_iou * F.greatest("na", "nb") - 1e-9
-        c = a.join(b, ["case_id", "e"]).where((F.col("a") < F.col("b")) & fits).select("case_id", "a", "b", "na", "nb").distinct()
-        ea, eb = e.select("case_id", F.col("set_id").alias("a"), "e"), e.select("case_id", F.col("set_id").alias("b"), "e")
-        x = c.join(ea, ["case_id", "a"]).join(eb, ["case_id", "b", "e"])
-    else:
-        a = e.select("case_id", "e", F.col("set_id").alias("a"), F.col("n").alias("na"))
-        b = e.select("case_id", "e", F.col("set_id").alias("b"), F.col("n").alias("nb"))
-        x = a.join(b, ["case_id", "e"]).where("a < b")
-    x = x.groupBy("case_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("inter"))
-    return _measures(x).where(F.col("iou") >= min_iou - 1e-12)
+        return set_pairs(gather(elem), min_iou)
+    e = elem.select("case_id", "set_id", "e").distinct()
+    n = e.groupBy("case_id", "set_id").agg(F.count(F.lit(1)).alias("n"))
+    a = e.select("case_id", "e", F.col("set_id").alias("a"))
+    b = e.select("case_id", "e", F.col("set_id").alias("b"))
+    x = a.join(b, ["case_id", "e"]).where("a < b").groupBy("case_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    for s in ("a", "b"):
+        x = x.join(n.select("case_id", F.col("set_id").alias(s), F.col("n").alias(f"n{s}")), ["case_id", s])
+    return _measures(x)
 
 
-def containment_pairs(elem: DataFrame, least: float) -> DataFrame:
-    """Measures of set pairs a < b whose smaller set lies in the larger one by at least ``least``.
+def contained_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Measures of set pairs a < b whose smaller set lies in the larger one by at least ``least``; ``sets`` as from ``gather``.
 
     A smaller set of n elements must meet the larger one in one of its n - ceil(least * n) + 1 rarest elements.
     """
-    e = elem.select("case_id", "set_id", "e").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("case_id", "set_id")))
-    e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("case_id", "e")))
-    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "set_id").orderBy("df", "e")))
-    rare = e.where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)).select("case_id", "e", F.col("set_id").alias("s"), F.col("n").alias("ns"))
-    all_ = e.where("df > 1").select("case_id", "e", F.col("set_id").alias("t"), F.col("n").alias("nt"))
-    c = rare.join(all_, ["case_id", "e"]).where("s <> t AND ns <= nt").select("case_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.when(F.col("s") < F.col("t"), F.col("ns")).otherwise(F.col("nt")).alias("na"), F.when(F.col("s") < F.col("t"), F.col("nt")).otherwise(F.col("ns")).alias("nb")).distinct()
-    ea, eb = e.select("case_id", F.col("set_id").alias("a"), "e"), e.select("case_id", F.col("set_id").alias("b"), "e")
-    x = c.join(ea, ["case_id", "a"]).join(eb, ["case_id", "b", "e"]).groupBy("case_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("inter"))
-    return _measures(x).where(F.col("containment") >= least - 1e-12)
+    sets = materialize(sets, "sets")
+    f = _frequencies(sets)
+    rare = _ranked(sets, f, F.col("m") - F.ceil(least * F.col("n") - 1e-9) + 1).select("case_id", "h", F.col("set_id").alias("s"), F.col("n").alias("ns"))
+    t = sets.select("case_id", F.col("set_id").alias("t"), F.col("n").alias("nt"), F.explode("s").alias("h"))
+    c = rare.join(t, ["case_id", "h"]).where("s <> t AND ns <= nt").select("case_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    return _verified(c, sets, sets).where(F.col("containment") >= least - 1e-12)
+
+
+def containment_pairs(elem: DataFrame, least: float) -> DataFrame:
+    """``contained_pairs`` of elements (case_id, set_id, e)."""
+    return contained_pairs(gather(elem), least)
+
+
+def held_in(parts: DataFrame, wholes: DataFrame, least: float) -> DataFrame:
+    """Measures of pairs of a whole (a) and a part (b), of one case, that lies in it by at least ``least`` of its elements.
+
+    Both as from ``gather``. A part must meet the whole in one of its n - ceil(least * n) + 1 elements that fewest
+    wholes have; only these elements are joined.
+    """
+    parts, wholes = materialize(parts, "parts"), materialize(wholes, "wholes")
+    p = parts.select("case_id", F.col("set_id").alias("b"), "n", F.explode("s").alias("h"))
+    w = wholes.select("case_id", F.col("set_id").alias("a"), F.explode("s").alias("h"))
+    f = w.join(p.select("case_id", "h").distinct(), ["case_id", "h"], "left_semi").groupBy("case_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    p = meet(p, materialize(f, "frequencies"), ["case_id", "h"])
+    g = p.groupBy("case_id", "b", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "h"))).alias("shared"))
+    prefix = F.size("shared") - F.ceil(least * F.col("n") - 1e-9) + 1
+    rare = materialize(g.select("case_id", "b", F.explode(F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("case_id", "b", "x.h"), "rare")
+    c = w.join(rare, ["case_id", "h"]).select("case_id", "a", "b").distinct()
+    return _verified(c, wholes, parts).where(F.col("inter") >= least * F.col("nb") - 1e-9)
 
 
 def cross_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Measures of every pair of a ``left`` and a ``right`` set of one case that share an element."""
-    n = lambda x, s, k: x.select("case_id", "set_id", "e").distinct().select("case_id", "e", F.col("set_id").alias(s), F.count(F.lit(1)).over(Window.partitionBy("case_id", "set_id")).alias(k))
-    x = n(left, "a", "na").join(n(right, "b", "nb"), ["case_id", "e"])
-    return _measures(x.groupBy("case_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("inter")))
+    e = lambda x, s: x.select("case_id", F.col("set_id").alias(s), "e").distinct()
+    n = lambda x, s, k: x.groupBy("case_id", F.col("set_id").alias(s)).agg(F.countDistinct("e").alias(k))
+    x = e(left, "a").join(e(right, "b"), ["case_id", "e"]).groupBy("case_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    x = x.join(n(left, "a", "na"), ["case_id", "a"]).join(n(right, "b", "nb"), ["case_id", "b"])
+    return _measures(x)
+
+
+def affinity(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the greater of IoU and .85 of the containment (fixed value)."""
+    return pairs.withColumn("affinity", F.greatest("iou", 0.85 * F.col("containment")))
 
 
 def hierarchy_duplicates(candidates: DataFrame, pairs: DataFrame, min_iou: float = 0.82, keep_ratio: float = 0.9) -> DataFrame:

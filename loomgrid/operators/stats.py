@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
+
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
     """(low, high) of a binomial share; nulls if n is 0."""
@@ -40,17 +43,72 @@ def confusion(rows: DataFrame, keys: list[str], predicted: Column, truth: Column
     return x.withColumns({"precision": p, "recall": r, "f1": 2 * p * r / F.greatest(p + r, F.lit(1e-12)), "review_rate": (F.col("tp") + F.col("fp")) / F.greatest(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.lit(1))})
 
 
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho, with mean ranks for ties; 0 if one side is constant. Ranks come from value counts, so hot values cost one row."""
+def mean_ranks(rows: DataFrame, value: str, parts: int = 200) -> DataFrame:
+    """(value, n, rank): each value's number of rows and mean rank among all rows.
 
-    def ranks(c: str) -> DataFrame:
-        n = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        # cumulative counts over value ranges: ranges are summed first, so no task orders all values
-        return n.withColumn("r", F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2.0).select(c, F.col("r").alias(f"_{c}"))
+    Values are counted, dealt into ``parts`` ranges and summed by range first; each task then orders one range.
+    """
+    n = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    n = materialize(n.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id()), "counts")
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``parts`` rows
+    before = n.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(up), F.lit(0)).alias("before"))
+    here = F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return n.join(F.broadcast(before), "part").select(value, "n", (F.col("before") + here - (F.col("n") - 1) / 2.0).alias("rank"))
 
-    both = rows.join(ranks(x), x).join(ranks(y), y)
+
+def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: rho, with mean ranks for ties, the number of pairs, and the two-sided p-value of rho by Student's t with
+    n - 2 degrees of freedom; rho 0 and p 1 if one side is constant. Hot values cost one row."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    for c in (x, y):
+        both = both.join(mean_ranks(both, c).select(c, F.col("rank").alias(f"_{c}")), c)
     spread = F.stddev_pop(f"_{x}") * F.stddev_pop(f"_{y}")
-    return both.agg(F.when(spread > 0, F.covar_pop(f"_{x}", f"_{y}") / spread).otherwise(0.0).alias("rho"))
+    rho = both.agg(F.when(spread > 0, F.covar_pop(f"_{x}", f"_{y}") / spread).otherwise(0.0).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return rho.withColumn("p", student_p("rho", "n"))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 10_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def correlation_p(rho: float, n: int) -> float:
+    """Two-sided p-value of a correlation of ``n`` pairs by Student's t; 1 if it is 0 or there are fewer than 3 pairs."""
+    if n < 3 or not rho:
+        return 1.0
+    # t has n - 2 degrees of freedom, and (n - 2) / (n - 2 + t t) is 1 - rho rho
+    return incomplete_beta((n - 2) / 2, 0.5, max(0.0, 1 - rho * rho))
+
+
+def student_p(rho: str, n: str) -> Column:
+    """``correlation_p`` of two columns of a few rows."""
+    return F.udf(lambda r, k: correlation_p(r, k), "double")(rho, n)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p-value of a standard normal ``z``, of a few rows."""
+    return F.udf(lambda v: None if v is None else math.erfc(abs(v) / math.sqrt(2)), "double")(z)
 
 
 def paired_delta(rows: DataFrame, case: str, variant: str, value: str, reference: str, variants: list[str]) -> DataFrame:
@@ -60,36 +118,60 @@ def paired_delta(rows: DataFrame, case: str, variant: str, value: str, reference
     return wide.select(case, each.alias("_")).select(case, "_.*").where("delta IS NOT NULL")
 
 
-def bootstrap(values: DataFrame, value: str, draws: int = 2000, seed: int = 7, level: float = 0.95, stratum: str | None = None) -> DataFrame:
-    """Percentile interval of the mean, per stratum: Poisson-free multinomial resampling of each stratum's value counts.
+#: Resampled units of a block, and blocks of a stratum at most.
+BLOCK_UNITS, MAX_BLOCKS = 4096, 4096
+
 
-    A stratum's distinct values and their counts are enough, since equal cases are interchangeable; they are
-    resampled in one task per stratum.
+def _resampled(units: DataFrame, draws: int, seed: int, level: float) -> DataFrame:
+    """Per stratum: mean, percentile interval and number of ``units`` (stratum, x, w, n) drawn with replacement.
+
+    n equal units have sum x and weight w each; a draw's mean is the sum of x over that of w, and draws without weight
+    are left out. Units fall into blocks by hash; a draw is first dealt out to a stratum's blocks and then inside each
+    block, which is the same multinomial law, so no task holds more than a block.
     """
-    key = stratum or "_s"
-    v = (values if stratum else values.withColumn("_s", F.lit(0))).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    kind = dict(v.dtypes)[key]
+    units = materialize(units, "units")
+    kind = dict(units.dtypes)["stratum"]
+    size = units.groupBy("stratum").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0
+    blocks = max(1, min(MAX_BLOCKS, -(-size // BLOCK_UNITS)))
+    units = units.withColumn("block", F.pmod(F.xxhash64("x", "w"), F.lit(blocks)).cast("int"))
+    rng = lambda *of: np.random.default_rng([seed, *(zlib.crc32(repr(k).encode()) for k in of)])
+
+    def deal(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("block")
+        n = t["n"].to_numpy()
+        dealt = rng(t["stratum"].iloc[0]).multinomial(int(n.sum()), n / n.sum(), draws)
+        return pd.DataFrame({"stratum": t["stratum"], "block": t["block"], "taken": list(dealt.T)})
+
+    def draw(u: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        u = u.sort_values(["x", "w"])
+        x, w, p = u["x"].to_numpy(float), u["w"].to_numpy(float), u["n"].to_numpy() / u["n"].sum()
+        r = rng(u["stratum"].iloc[0], int(u["block"].iloc[0]))
+        sums = [(m @ x, m @ w) for m in (r.multinomial(int(k), p) for k in d["taken"].iloc[0])]
+        out = pd.DataFrame(sums, columns=["x", "w"]).assign(draw=range(len(sums)))
+        return out.assign(stratum=u["stratum"].iloc[0])[["stratum", "draw", "x", "w"]]
+
+    counts = units.groupBy("stratum", "block").agg(F.sum("n").alias("n"))
+    dealt = counts.groupBy("stratum").applyInPandas(deal, f"stratum {kind}, block int, taken array<long>")
+    sums = units.groupBy("stratum", "block").cogroup(dealt.groupBy("stratum", "block")).applyInPandas(draw, f"stratum {kind}, draw int, x double, w double")
+    means = sums.groupBy("stratum", "draw").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).where("w > 0").withColumn("m", F.col("x") / F.col("w"))
+    ends = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    whole = units.groupBy("stratum").agg((F.sum(F.col("n") * F.col("x")) / F.sum(F.col("n") * F.col("w"))).alias("mean"), F.sum("n").alias("units"))
+    return whole.join(means.groupBy("stratum").agg(ends.alias("e")), "stratum").select("stratum", "mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "units")
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(value)
-        x, n = t[value].to_numpy(float), t["n"].to_numpy()
-        total = int(n.sum())
-        means = np.random.default_rng(seed).multinomial(total, n / total, draws) @ x / total
-        lo, hi = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame({key: [t[key].iloc[0]], "mean": [float(x @ n / total)], "low": [float(lo)], "high": [float(hi)], "cases": [total]})
 
-    return v.groupBy(key).applyInPandas(one, f"{key} {kind}, mean double, low double, high double, cases long").drop("_s")
+def bootstrap(values: DataFrame, value: str, draws: int = 2000, seed: int = 7, level: float = 0.95, stratum: str | None = None) -> DataFrame:
+    """Percentile interval of the mean, per stratum, when cases are drawn with replacement. Equal values are one row."""
+    v = values.select((F.col(stratum) if stratum else F.lit(0)).alias("stratum"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    v = v.groupBy("stratum", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lit(1.0))
+    x = _resampled(v, draws, seed, level).withColumnRenamed("units", "cases")
+    return x.withColumnRenamed("stratum", stratum) if stratum else x.drop("stratum")
 
 
 def cluster_bootstrap(values: DataFrame, cluster: str, value: str, draws: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the case mean when whole clusters are drawn with replacement; only cluster sums are collected."""
-    g = values.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(cluster).toPandas()
-    s, n = g["s"].to_numpy(float), g["n"].to_numpy(float)
-    picks = np.random.default_rng(seed).multinomial(len(s), np.full(len(s), 1 / len(s)), draws)
-    weight = picks @ n
-    means = (picks @ s)[weight > 0] / weight[weight > 0]
-    lo, hi = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-    return values.sparkSession.createDataFrame([(float(s.sum() / n.sum()), float(lo), float(hi), len(s))], "mean double, low double, high double, clusters long")
+    """Percentile interval of the case mean when whole clusters are drawn with replacement; draws without a case are left out."""
+    g = values.groupBy(cluster).agg(F.sum(value).cast("double").alias("x"), F.count(value).cast("double").alias("w"))
+    g = g.select(F.lit(0).alias("stratum"), F.coalesce("x", F.lit(0.0)).alias("x"), "w").groupBy("stratum", "x", "w").agg(F.count(F.lit(1)).alias("n"))
+    return _resampled(g, draws, seed, level).select("mean", "low", "high", F.col("units").alias("clusters"))
 
 
 def reliability_bins(rows: DataFrame, weight: str, hit: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import materialize
+from .overlap import box_pairs
 
 
 def greedy_suppression(items: DataFrame, conflicts: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -19,34 +20,76 @@ def greedy_suppression(items: DataFrame, conflicts: DataFrame, max_rounds: int |
     a = items.select(F.col("item").alias("a"), F.col("place").alias("pa"))
     b = items.select(F.col("item").alias("b"), F.col("place").alias("pb"))
     e = conflicts.select("a", "b").join(a, "a").join(b, "b").where("a <> b")
-    before = materialize(e.select(F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("item")).distinct(), "before")
-    open_, settled = before.select("item").distinct(), None
+    first = F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b"))
+    second = F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a"))
+    edges = materialize(e.select(first.alias("first"), second.alias("item")).distinct(), "edges")
     # items without an earlier neighbour are kept at once
-    settled = materialize(items.select("item").join(open_, "item", "left_anti").withColumn("kept", F.lit(True)), "settled")
-    rounds = 0
-    while not before.isEmpty():
+    new = materialize(items.select("item").join(edges.select("item").distinct(), "item", "left_anti").withColumn("kept", F.lit(True)), "settled")
+    settled, rounds = new, 0
+    while not edges.isEmpty():
         if rounds == max_rounds:
             raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
         rounds += 1
-        s = before.join(settled.withColumnsRenamed({"item": "first", "kept": "fk"}), "first", "left").groupBy("item").agg(F.bool_or(F.coalesce("fk", F.lit(False))).alias("hit"), F.bool_and(F.col("fk").isNotNull()).alias("all"))
-        new = materialize(s.where("hit OR all").select("item", (~F.col("hit")).alias("kept")), "new")
+        # a round looks at what the last one settled and at the edges that are left
+        x = edges.join(new.select(F.col("item").alias("first"), F.col("kept").alias("fk")), "first", "left")
+        gone = materialize(x.where("fk").select("item").distinct(), "gone")
+        left = materialize(x.where("fk IS NULL").select("first", "item").join(gone, "item", "left_anti"), "edges")
+        free = edges.select("item").distinct().join(gone, "item", "left_anti").join(left.select("item").distinct(), "item", "left_anti")
+        new = materialize(gone.withColumn("kept", F.lit(False)).unionByName(free.withColumn("kept", F.lit(True))), "settled")
         if new.isEmpty():
             raise ValueError("items of one place conflict both ways")
-        settled = materialize(settled.unionByName(new), "settled")
-        before = materialize(before.join(new.select("item"), "item", "left_anti"), "before")
+        settled, edges = settled.unionByName(new), left
+        if rounds % 32 == 0:  # else the plan grows with the rounds
+            settled = materialize(settled, "settled")
     return items.join(settled, "item", "left")
 
 
+def resolved(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """``items`` (item, place) with kept, and for those that go the kept item that comes first (``by``) and why.
+
+    conflicts: (first, second, reason), where ``first`` has the earlier place; others don't count.
+    """
+    c = conflicts.select(F.col("first").alias("a"), F.col("second").alias("b"), "reason")
+    out = materialize(greedy_suppression(items, c.select("a", "b")), "resolved")
+    kept = out.where("kept").select(F.col("item").alias("a"), "place")
+    by = c.join(kept, "a").groupBy(F.col("b").alias("item")).agg(F.min_by(F.struct(F.col("a").alias("by"), "reason"), "place").alias("x"))
+    return out.join(by, "item", "left").select("item", "kept", F.when(~F.col("kept"), F.col("x.by")).alias("by"), F.when(~F.col("kept"), F.col("x.reason")).alias("reason"))
+
+
+def box_nms(boxes: DataFrame, cell_x: float, cell_y: float, threshold: float, limit: int | None = None) -> DataFrame:
+    """``boxes`` (case_id, box_id, x0, y0, x1, y1, score) that no kept box of higher score overlaps by ``threshold``;
+    at most ``limit`` a case, best first (ties: smaller id)."""
+    p = box_pairs(boxes, cell_x, cell_y).where(F.col("iou") >= threshold)
+    items = boxes.select(F.col("box_id").alias("item"), F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("b")).alias("place"))
+    kept = greedy_suppression(items, p.select("a", "b")).where("kept").select(F.col("item").alias("box_id"))
+    out = boxes.join(kept, "box_id", "left_semi")
+    return quota(out, ["case_id"], [F.desc("score"), F.col("box_id")], limit) if limit is not None else out
+
+
+def root_detections(boxes: DataFrame, cell_x: float, cell_y: float, threshold: float, limit: int) -> DataFrame:
+    """Boxes (with a label) distinct across labels, dealt in turns over the labels; the places of a case go to turns in order."""
+    return round_robin(box_nms(boxes, cell_x, cell_y, threshold), ["case_id"], ["label"], [F.desc("score"), F.col("box_id")], limit)
+
+
+def child_detections(boxes: DataFrame, cell_x: float, cell_y: float, threshold: float, limit: int) -> DataFrame:
+    """Boxes (with label, most and priority): distinct inside a label, at most ``most`` of each, dealt in turns of score
+    times priority."""
+    each = box_nms(boxes.withColumn("case_id", F.struct("case_id", "label")), cell_x, cell_y, threshold).withColumn("case_id", F.col("case_id.case_id"))
+    best = [F.desc("score"), F.col("box_id")]
+    capped = each.withColumn("_k", F.row_number().over(Window.partitionBy("case_id", "label").orderBy(*best))).where("_k <= most").drop("_k")
+    return round_robin(capped, ["case_id"], ["label"], best, limit, [F.desc(F.col("score") * F.col("priority")), F.col("box_id")])
+
+
 def quota(items: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group."""
     return items.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
 
 
-def round_robin(items: DataFrame, scope: list[str], group: list[str], order: list[Column], limit: int) -> DataFrame:
-    """Rows in turns: every group's best, then every group's second, ... up to ``limit`` per scope."""
+def round_robin(items: DataFrame, scope: list[str], group: list[str], order: list[Column], limit: int, inside: list[Column] | None = None) -> DataFrame:
+    """Rows in turns: every group's best, then every group's second, ... up to ``limit`` per scope. ``inside``: order of a turn's rows."""
     turn = F.row_number().over(Window.partitionBy(*scope, *group).orderBy(*order))
     x = items.withColumn("turn", turn)
-    return x.withColumn("_n", F.row_number().over(Window.partitionBy(*scope).orderBy("turn", *order))).where(F.col("_n") <= limit).drop("_n")
+    return x.withColumn("_n", F.row_number().over(Window.partitionBy(*scope).orderBy("turn", *(inside or order)))).where(F.col("_n") <= limit).drop("_n")
 
 
 def instance_cap(groups: DataFrame, scope: list[str], cap: str, order: list[Column]) -> DataFrame:
@@ -57,13 +100,27 @@ def instance_cap(groups: DataFrame, scope: list[str], cap: str, order: list[Colu
 
 
 def ambiguous_duplicates(items: DataFrame, conflicts: DataFrame, min_gap: float = 0.08) -> DataFrame:
-    """``items`` (item, score) without those whose conflict set has a top-two gap below ``min_gap``.
+    """``items`` (item, score, name, parent) that stay, with the names that ``collapsed`` into them (null if none).
 
-    A conflict set is an item and its direct neighbours, not a component; a set that is too close goes as a whole.
+    An item with its direct neighbours is a conflict set, not a component. If some member is the parent of all others
+    the best such member stays and the others go; else a set whose two best scores are closer than ``min_gap`` goes as
+    a whole; else the set says nothing.
     """
-    both = conflicts.select("a", "b").union(conflicts.select("b", "a")).union(items.select("item", "item"))
-    s = both.distinct().join(items.select(F.col("item").alias("b"), "score"), "b")
-    top = s.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")))
-    gap = top.groupBy("a").agg((F.max(F.when(F.col("_n") == 1, F.col("score"))) - F.max(F.when(F.col("_n") == 2, F.col("score")))).alias("gap"))
-    gone = s.join(gap.where(F.col("gap") < min_gap), "a").select(F.col("b").alias("item")).distinct()
-    return items.join(gone, "item", "left_anti")
+    both = conflicts.select("a", "b").union(conflicts.select("b", "a")).distinct().where("a <> b")
+    sets = both.union(both.select("a", "a").distinct()).join(items.select(F.col("item").alias("b"), "score", "name", "parent"), "b")
+    # a member is the parent of all others if as many members as there are others have its name as parent
+    names = sets.groupBy("a", F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("below"))
+    size = sets.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    m = sets.join(names, ["a", "name"], "left").join(size, "a")
+    own = F.when(F.col("parent") == F.col("name"), 1).otherwise(0)
+    m = materialize(m.withColumn("anchor", F.coalesce("below", F.lit(0)) - own == F.col("size") - 1), "conflict_sets")
+    best = m.groupBy("a").agg(
+        F.max_by(F.when(F.col("anchor"), F.col("b")), F.when(F.col("anchor"), F.struct("score", (-F.col("b")).alias("b")))).alias("anchor_id"),
+        F.slice(F.sort_array(F.collect_list("score"), False), 1, 2).alias("top"),
+    )
+    close = F.get("top", 0) - F.get("top", 1) < min_gap
+    m = m.drop("anchor").join(best, "a")
+    goes = F.when(F.col("anchor_id").isNotNull(), F.col("b") != F.col("anchor_id")).otherwise(close)
+    gone = m.where(goes).select(F.col("b").alias("item")).distinct()
+    taken = m.where("b <> anchor_id").groupBy(F.col("anchor_id").alias("item")).agg(F.sort_array(F.collect_set("name")).alias("collapsed"))
+    return items.join(gone, "item", "left_anti").join(taken, "item", "left")

@@ -41,14 +41,15 @@ def supplied(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.lit(0).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e")).distinct()
 
 
-def worded(spark: SparkSession, d: str) -> DataFrame:
-    """Elements: three-word shingles (e) of a document (set)."""
-    return table(spark, d, "documents").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("set_id"), F.explode(text.shingles(F.col("text"), 3)).alias("e"))
+def word_sets(spark: SparkSession, d: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """Sets of hashed three-word shingles, one row a text."""
+    x = table(spark, d, name).select(F.lit(0).alias("case_id"), F.col(key).alias("set_id"), text.shingles(F.col("text"), 3, hashed=True).alias("s"))
+    return overlap.with_sizes(x)
 
 
 _E = "e AS (SELECT DISTINCT l_suppkey s, l_partkey e FROM lineitem)"
-_W = """w AS (SELECT DISTINCT doc_id s, array_to_string(t[i:i+2], ' ') e FROM (
-  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') t FROM documents), range(1, 20001) r(i) WHERE i <= len(t) - 2),
+_W = """w AS (SELECT DISTINCT doc_id s, array_to_string(t[i:i+2], ' ') e FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) i FROM (
+  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') t FROM documents))),
 n AS (SELECT s, count(*) n FROM w GROUP BY s),
 p AS (SELECT a.s a, b.s b, count(*) i FROM w a JOIN w b ON a.e = b.e AND a.s < b.s GROUP BY 1, 2),
 m AS (SELECT a, b, i, x.n na, y.n nb, i / (x.n + y.n - i) iou, i / least(x.n, y.n) containment FROM p JOIN n x ON x.s = a JOIN n y ON y.s = b)"""
@@ -63,7 +64,7 @@ def set_geometry(spark, d):
 
 @named(f"WITH {_W} SELECT a, b, i AS inter, round(iou, 6) AS iou, round(containment, 6) AS containment, round(least(na, nb) / greatest(na, nb), 6) AS area_coherence FROM m WHERE iou >= 0.5")
 def overlap_pairs(spark, d):
-    x = overlap.overlap_pairs(worded(spark, d), 0.5)
+    x = overlap.set_pairs(word_sets(spark, d), 0.5)
     return x.select("a", "b", "inter", *(r6(F.col(k)).alias(k) for k in ("iou", "containment", "area_coherence")))
 
 
@@ -78,7 +79,7 @@ g AS (SELECT x, max(o) o FROM o JOIN documents dx ON dx.doc_id = x JOIN document
 SELECT doc_id AS set_id, round(coalesce(o, 0), 6) AS agreement FROM documents LEFT JOIN g ON x = doc_id""")
 def agreement(spark, d):
     c = table(spark, d, "documents").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("set_id"), F.col("lang").alias("semantic"), F.col("source").alias("family"))
-    return overlap.agreement(c, overlap.overlap_pairs(worded(spark, d), 0.3)).select("set_id", r6(F.col("agreement")).alias("agreement"))
+    return overlap.agreement(c, overlap.set_pairs(word_sets(spark, d), 0.3)).select("set_id", r6(F.col("agreement")).alias("agreement"))
 
 
 @named(f"""WITH {_W}, x AS (SELECT a p, b c FROM m WHERE iou >= 0.82 UNION ALL SELECT b, a FROM m WHERE iou >= 0.82)
@@ -87,33 +88,40 @@ WHERE dp.doc_id % 3 = 0 AND dc.doc_id % 3 <> 0 AND dp.lang = dc.lang AND dc.n_ch
 def hierarchy_duplicates(spark, d):
     top = F.col("doc_id") % 3 == 0
     c = table(spark, d, "documents").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("set_id"), F.when(top, "whole").otherwise("part").alias("name"), F.when(~top, "whole").alias("parent"), F.col("lang").alias("root"), F.col("n_chars").alias("score"))
-    return overlap.hierarchy_duplicates(c, overlap.overlap_pairs(worded(spark, d), 0.82)).select("set_id")
+    return overlap.hierarchy_duplicates(c, overlap.set_pairs(word_sets(spark, d), 0.82)).select("set_id")
 
 
 @named(f"""WITH RECURSIVE {_W}, l AS (SELECT a, b FROM m WHERE iou >= 0.82 UNION SELECT b, a FROM m WHERE iou >= 0.82),
 r AS (SELECT a, a b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
 def components(spark, d):
-    return graph.connected_components(overlap.overlap_pairs(worded(spark, d), 0.82))
+    return graph.connected_components(overlap.set_pairs(word_sets(spark, d), 0.82))
 
 
-@named()
+@named(f"""WITH RECURSIVE {_W}, it AS (SELECT doc_id id, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) place FROM documents), cf AS (SELECT CASE WHEN x.place < y.place THEN a ELSE b END f, CASE WHEN x.place < y.place THEN b ELSE a END s FROM m JOIN it x ON x.id = a JOIN it y ON y.id = b WHERE iou >= 0.82 AND x.lang = y.lang),
+nb AS (SELECT s id, list(f) nb FROM cf GROUP BY 1), od AS (SELECT id, nb, row_number() OVER (ORDER BY place) o FROM it JOIN nb USING (id)), g AS (SELECT 0::BIGINT k, []::BIGINT[] g UNION ALL SELECT k + 1, CASE WHEN len(list_filter(nb, lambda x: NOT list_contains(g, x))) > 0 THEN list_append(g, id) ELSE g END FROM g JOIN od ON o = k + 1)
+SELECT id AS doc_id, NOT list_contains((SELECT g FROM g ORDER BY k DESC LIMIT 1), id) AS kept FROM it""")
 def nms_documents(spark, d):
     """Greedy suppression of near-identical documents of one language, longest first."""
     docs = table(spark, d, "documents")
     place = F.struct((-F.col("n_chars")).alias("n"), "doc_id")
     items = docs.select(F.col("doc_id").alias("item"), place.alias("place"))
     lang = lambda k: docs.select(F.col("doc_id").alias(k), F.col("lang").alias(f"l{k}"))
-    pairs = overlap.overlap_pairs(worded(spark, d), 0.82).join(lang("a"), "a").join(lang("b"), "b").where("la = lb")
+    pairs = overlap.set_pairs(word_sets(spark, d), 0.82).join(lang("a"), "a").join(lang("b"), "b").where("la = lb")
     return suppression.greedy_suppression(items, pairs.select("a", "b")).select(F.col("item").alias("doc_id"), "kept")
 
 
-@named(f"""WITH {_W}, c AS (SELECT a, b FROM m WHERE iou >= 0.3 UNION SELECT b, a FROM m WHERE iou >= 0.3 UNION SELECT doc_id, doc_id FROM documents),
-k AS (SELECT a, b, n_chars / 1000.0 s, row_number() OVER (PARTITION BY a ORDER BY n_chars DESC, b) n FROM c JOIN documents ON doc_id = b),
-g AS (SELECT a FROM k GROUP BY a HAVING max(s) FILTER (n = 1) - max(s) FILTER (n = 2) < 0.08)
-SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT k.b FROM k JOIN g USING (a))""")
+@named(f"""WITH {_W}, d AS (SELECT doc_id, n_chars / 1000.0 s, CASE WHEN doc_id % 4 = 0 THEN 'whole' ELSE 'part' || doc_id % 3 END n, 'whole' p FROM documents), c AS (SELECT a, b FROM m WHERE iou >= 0.3 UNION SELECT b, a FROM m WHERE iou >= 0.3), f AS (SELECT c.a, c.b FROM c JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE x.n <> y.n),
+k AS (SELECT a, b, d.* FROM (SELECT a, b FROM f UNION SELECT a, a FROM f) JOIN d ON d.doc_id = b), o AS (SELECT k.*, (SELECT bool_and(q.p = k.n) FROM k q WHERE q.a = k.a AND q.b <> k.b) h FROM k),
+g AS (SELECT a, arg_max(b, (s, -b)) FILTER (h) r, list_sort(list(s), 'DESC')[1] - list_sort(list(s), 'DESC')[2] gap FROM o GROUP BY 1), x AS (SELECT DISTINCT b FROM o JOIN g USING (a) WHERE CASE WHEN r IS NOT NULL THEN b <> r ELSE gap < 0.08 END),
+t AS (SELECT r, array_to_string(list_sort(list_distinct(list(n))), ',') l FROM o JOIN g USING (a) WHERE b <> r GROUP BY 1) SELECT doc_id, l AS collapsed FROM documents LEFT JOIN t ON r = doc_id WHERE doc_id NOT IN (SELECT b FROM x)""")
 def ambiguous_duplicates(spark, d):
-    items = table(spark, d, "documents").select(F.col("doc_id").alias("item"), (F.col("n_chars") / 1000).alias("score"))
-    return suppression.ambiguous_duplicates(items, overlap.overlap_pairs(worded(spark, d), 0.3).select("a", "b")).select(F.col("item").alias("doc_id"))
+    """Documents of unclear kind: parents take their copies in, close scores reject the whole set."""
+    k = F.col("doc_id")
+    items = table(spark, d, "documents").select(k.alias("item"), (F.col("n_chars") / 1000).alias("score"), F.when(k % 4 == 0, "whole").otherwise(F.concat(F.lit("part"), k % 3)).alias("name"), F.lit("whole").alias("parent"))
+    p = overlap.set_pairs(word_sets(spark, d), 0.3)
+    for s in ("a", "b"):
+        p = p.join(items.select(F.col("item").alias(s), F.col("name").alias(f"n{s}_")), s)
+    return suppression.ambiguous_duplicates(items, p.where("na_ <> nb_").select("a", "b")).select(F.col("item").alias("doc_id"), F.array_join("collapsed", ",").alias("collapsed"))
 
 
 @named("""WITH b AS (SELECT o_orderkey k, epoch(o_orderdate) / 86400.0 x0, epoch(o_orderdate) / 86400.0 + 3 x1, o_totalprice y0, o_totalprice + 500 y1, o_orderpriority c FROM orders),
@@ -320,12 +328,11 @@ def prompt_parse(spark, d):
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("i.label").alias("labels"))
 
 
-@named(f"""WITH {_W}, q AS (SELECT DISTINCT item_id q, array_to_string(t[i:i+2], ' ') e FROM (SELECT item_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> '') t FROM benchmark), range(1, 20001) r(i) WHERE i <= len(t) - 2),
+@named(f"""WITH {_W}, q AS (SELECT DISTINCT item_id q, array_to_string(t[i:i+2], ' ') e FROM (SELECT item_id, t, unnest(range(1, len(t) - 1)) i FROM (SELECT item_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> '') t FROM benchmark))),
 nq AS (SELECT q, count(*) n FROM q GROUP BY 1) SELECT s AS doc_id, q AS item_id, count(*) AS inter, round(count(*) / max(nq.n), 6) AS contained FROM w JOIN q USING (e) JOIN nq USING (q) GROUP BY 1, 2 HAVING count(*) / max(nq.n) >= 0.5""")
 def benchmark_containment(spark, d):
-    q = table(spark, d, "benchmark").select(F.lit(0).alias("case_id"), F.col("item_id").alias("set_id"), F.explode(text.shingles(F.col("text"), 3)).alias("e"))
-    x = overlap.cross_overlap(worded(spark, d), q)
-    return x.withColumn("contained", F.col("inter") / F.col("nb")).where("contained >= 0.5").select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "inter", r6(F.col("contained")).alias("contained"))
+    x = overlap.held_in(word_sets(spark, d, "benchmark", "item_id"), word_sets(spark, d), 0.5)
+    return x.withColumn("contained", F.col("inter") / F.col("nb")).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "inter", r6(F.col("contained")).alias("contained"))
 
 
 @named("SELECT event_type, count(*) AS n, sum((props::JSON->>'k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
@@ -495,7 +502,7 @@ def anchor_clusters(spark, d):
     case = F.concat_ws(":", "lang", "source")
     items = docs.select(case.alias("case_id"), F.col("doc_id").alias("item"), F.col("doc_id").alias("place"), F.col("n_chars").alias("area"))
     key = lambda k: docs.select(F.col("doc_id").alias(k), case.alias(f"c{k}"))
-    p = overlap.overlap_pairs(worded(spark, d), 0.3).join(key("a"), "a").join(key("b"), "b").where("ca = cb")
+    p = overlap.set_pairs(word_sets(spark, d), 0.3).join(key("a"), "a").join(key("b"), "b").where("ca = cb")
     near = p.select(F.col("ca").alias("case_id"), "a", "b", F.col("iou").alias("affinity"))
     linked = near.select("case_id", F.explode(F.array("a", "b")).alias("item")).distinct()
     # an item without a near one in its case is a cluster of its own, and needs no batch
@@ -533,7 +540,7 @@ def next_cosine(spark, d):
 t AS (SELECT c, p FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n, p) k FROM x) WHERE k = 1) SELECT t.c AS child, t.p AS parent, CASE WHEN u.c IS NULL THEN 1 ELSE 2 END AS depth FROM t LEFT JOIN t u ON u.c = t.p""")
 def enclosing_documents(spark, d):
     """Documents inside larger ones, by their shingles."""
-    return parents.enclosing(overlap.containment_pairs(worded(spark, d), 0.9)).select("child", "parent", "depth")
+    return parents.enclosing(overlap.contained_pairs(word_sets(spark, d), 0.9)).select("child", "parent", "depth")
 
 
 @named("""WITH x AS (SELECT l_orderkey c, l_suppkey p, l_linenumber % 3 t, l_discount o, l_tax d, l_quantity s FROM lineitem), m AS (SELECT *, min(t) OVER (PARTITION BY c) mt FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o DESC, d, s DESC, p) k FROM m WHERE t = mt)
@@ -594,10 +601,10 @@ def resolution_states(spark, d):
     return evaluation.resolution_states(o, q)
 
 
-@named(f"""WITH {_DELTA}, z AS (SELECT v, delta x, rank() OVER (PARTITION BY v ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY v, abs(delta)) - 1) / 2.0 r FROM d WHERE delta <> 0)
-SELECT v AS variant, count(*) AS n, sum(r) FILTER (x > 0)::DOUBLE AS w_plus, sum(r) FILTER (x < 0)::DOUBLE AS w_minus FROM z GROUP BY 1""")
+@named(f"""WITH {_DELTA}, z AS (SELECT v, delta x, rank() OVER (PARTITION BY v ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY v, abs(delta)) - 1) / 2.0 r FROM d)
+SELECT v AS variant, count(*) AS n, sum(CASE WHEN x > 0 THEN r WHEN x = 0 THEN r / 2 ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN x < 0 THEN r WHEN x = 0 THEN r / 2 ELSE 0 END)::DOUBLE AS w_minus, round((sum(CASE WHEN x > 0 THEN r WHEN x < 0 THEN -r ELSE 0 END) / sqrt(sum(r * r)))::DOUBLE, 6) AS z FROM z GROUP BY 1""")
 def signed_ranks(spark, d):
-    return evaluation.signed_ranks(_deltas(spark, d), "variant", "delta").select("variant", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"))
+    return evaluation.signed_ranks(_deltas(spark, d), "variant", "delta").select("variant", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), r6(F.col("z")).alias("z"))
 
 
 @named("""WITH t AS (SELECT unnest([0.02, 0.05, 0.08]) t) SELECT t::DOUBLE AS threshold, round(count(*) FILTER (l_discount >= t AND l_returnflag = 'R') / count(*) FILTER (l_discount >= t OR l_returnflag = 'R'), 6) AS iou, round(count(*) FILTER (l_discount >= t AND l_returnflag <> 'R') / count(*), 6) AS false_share FROM lineitem, t GROUP BY 1""")

@@ -54,15 +54,76 @@ def lean_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+class Scratch:
+    """Tables that are written inside a ``with`` block, deleted at its end unless ``keep`` names them.
+
+    Kept ones belong to the block around it, if there is one. With ``delete=False`` they stay, and ``delete`` can be
+    called once what was made from them is written.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession, delete: bool = True):
+        self.spark, self.at_end, self.tables = spark, delete, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *failed) -> None:
+        Scratch._open.remove(self)
+        if self.at_end:
+            self.delete()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = df._loomgrid_table
+        self.tables.remove(path)
+        around = Scratch._open[: Scratch._open.index(self)]
+        if around:
+            around[-1].tables.append(path)
+        return df
+
+    def delete(self) -> None:
+        for path in self.tables:
+            delete_table(self.spark, path)
+        self.tables = []
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder, with bounded Arrow batches, and read it back, so later stages start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}/{label}"
     with lean_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if Scratch._open:
+        Scratch._open[-1].tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomgrid_table = path
+    return out
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is (Spark then shuffles both sides)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: Keys with more rows are hot; so many hot keys are broadcast.
+HOT_ROWS, HOT_KEYS = 500, 200_000
+
+
+def meet(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_key``, a written table of one row a key with its number of ``rows``.
+
+    There are at most all rows / HOT_ROWS hot keys; these are broadcast, so that no task gets all rows of one. Beyond
+    HOT_KEYS of them both sides are shuffled, and adaptive execution splits skewed partitions.
+    """
+    hot = per_key.where(F.col("rows") > HOT_ROWS)
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(per_key, on, how)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(per_key.where(F.col("rows") <= HOT_ROWS), on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
