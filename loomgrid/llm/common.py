@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..storage import lean_batches, materialize, shared_dir, small, table
+from ..storage import Scratch, delete_table, lean_batches, materialize, meet, shared_dir, small, table
 
-__all__ = ["WordCache", "fresh", "lean_batches", "materialize", "shared_dir", "small", "table"]
+__all__ = ["Scratch", "WordCache", "delete_table", "fresh", "lean_batches", "materialize", "meet", "shared_dir", "small", "table"]
 
 #: Bytes that either generation of a worker's cache may hold, and what an entry costs besides its text and value.
 CACHE_BYTES, ENTRY_BYTES = 24 << 20, 170

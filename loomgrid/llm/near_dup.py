@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .common import WordCache, fresh, materialize, small, table
+from .common import Scratch, WordCache, fresh, materialize, meet, small, table
 
 WORDS = 5
 #: 40 bands of 8: a pair at similarity 0.85 shares none with probability 3e-6; at 0.5 it shares one with 0.15.
@@ -164,26 +164,10 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-#: Keys with more rows are hot; so many hot keys are broadcast (beyond, adaptive execution splits skewed joins).
-HOT_ROWS, HOT_KEYS = 500, 200_000
-
-
-def _meet(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``per_key``, a written table of one row a key with its number of ``rows``.
-
-    There are at most all rows / HOT_ROWS hot keys; these are broadcast, so their rows are not shuffled to one task.
-    """
-    hot = per_key.where(F.col("rows") > HOT_ROWS)
-    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
-        return rows.join(per_key, on, how)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(per_key.where(F.col("rows") <= HOT_ROWS), on, how)
-    return rows.join(F.broadcast(hot), on).unionByName(cold)
-
-
 def _open(entries: DataFrame) -> DataFrame:
     """Entries of buckets that hold several components, with the bucket's number of rows."""
     b = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
-    return _meet(entries.drop("rows"), materialize(b, "buckets"), ["key"])
+    return meet(entries.drop("rows"), materialize(b, "buckets"), ["key"])
 
 
 def _centres(entries: DataFrame, by_size: bool) -> DataFrame:
@@ -204,7 +188,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def _star_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     """Each member with the centre of its bucket, if they are of different components."""
-    x = _meet(entries.drop("rows"), _centres(entries, False), ["key"]).where((F.col("comp") != F.col("cc")) & texts.sizes_fit("n", "cn"))
+    x = meet(entries.drop("rows"), _centres(entries, False), ["key"]).where((F.col("comp") != F.col("cc")) & texts.sizes_fit("n", "cn"))
     return x.select(*_pair("id", "cid")).distinct()
 
 
@@ -223,7 +207,7 @@ def _difference_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     centre needs an overlap of at least max(1, |D(x)| - T): all but so many minus one of D(x), rarest first, must
     meet D(y). At the first shingle two members share, what is left of both must still reach their overlap.
     """
-    x = materialize(_meet(entries.drop("rows"), _centres(entries, True), ["key"]).where("id <> cid").select(F.col("cid").alias("a"), F.col("id").alias("b"), "n", "comp", "cc").distinct(), "spokes")
+    x = materialize(meet(entries.drop("rows"), _centres(entries, True), ["key"]).where("id <> cid").select(F.col("cid").alias("a"), F.col("id").alias("b"), "n", "comp", "cc").distinct(), "spokes")
     d = materialize(texts.compare(x.select("a", "b"), apart=True), "differences")
     e = d.join(x, ["a", "b"]).withColumn("stray", F.col("comp") != F.col("cc"))
     linked = e.where("linked AND stray").select(*_pair("a", "b"))
@@ -231,8 +215,7 @@ def _difference_pairs(entries: DataFrame, texts: _Texts) -> DataFrame:
     share = (100 - p) / (100 + p)
     need = F.greatest(F.lit(1), F.ceil(F.size("apart") - F.col("n") * ((1 + 100 / p) * share) - 1e-6))
     e = e.select("a", "b", "n", "comp", "stray", F.size("apart").alias("d"), F.when(F.col("stray"), F.size("apart") - need + 1).otherwise(F.size("apart")).alias("keep"), F.explode("apart").alias("s"))
-    e = materialize(e, "strays")
-    e = _meet(e, materialize(e.groupBy("a", "s").agg(F.count(F.lit(1)).alias("rows")), "frequencies"), ["a", "s"]).withColumnRenamed("rows", "df")
+    e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("a", "s")))
     e = e.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "s"))).where("rank <= keep AND df > 1")
     e = materialize(e.select("a", "b", "n", "comp", "stray", "d", "rank", "s"), "rarest")
     o = e.select("a", "s", *(F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "stray", "d", "rank")))
@@ -249,42 +232,54 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     (different components only) if they have at most ``bucket_rows`` rows, else by differences from a centre.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    d = materialize(given.select("id", describe(F.col("text")).alias("d")).select("id", "d.n", "d.key", F.when(F.col("id").isNotNull(), F.col("d.bands")).alias("bands")), "described")
-    heads = materialize(d.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "heads")
-    texts = _Texts(given, percent, broadcast_ids)
-    links = tested = labels = None
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal links, tested, labels
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        if pairs.isEmpty():
-            return
-        tested = tested.unionByName(pairs) if tested is not None else pairs
-        new = materialize(texts.compare(pairs).where("linked").select("a", "b"), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new) if links is not None else new
-            labels = materialize(connected_components(links), "labels")
-
-    entries = heads.select("id", "n", F.explode("bands").alias("key"))
-    met = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "met")
-    entries = materialize(_meet(entries, met, ["key"]), "entries")
-    link(_star_pairs(_labelled(entries, None), texts))
-    here = materialize(_open(_labelled(entries, labels)), "open")
-    pairs, wide = _cross_pairs(here.where(F.col("rows") <= bucket_rows), texts), here.where(F.col("rows") > bucket_rows)
-    link(pairs if wide.isEmpty() else pairs.unionByName(_difference_pairs(wide, texts)).distinct())
-
-    heads = heads.select("key", "id", "rows")
-    heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "rows") if labels is not None else heads.select("key", F.col("id").alias("component"), "rows")
-    d = d.select("id", F.col("n").alias("n_shingles"), "key")
-    alone = d.where("key IS NULL").withColumn("component", F.col("id"))
-    found = _meet(d.where("key IS NOT NULL"), materialize(heads, "classes"), ["key"], "left").drop("rows")
-    return found.unionByName(alone).select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    spark = docs.sparkSession
+    with Scratch(spark) as made:
+        d = materialize(given.select("id", describe(F.col("text")).alias("d")).select("id", "d.n", "d.key", F.when(F.col("id").isNotNull(), F.col("d.bands")).alias("bands")), "described")
+        heads = materialize(d.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "heads")
+        texts = _Texts(given, percent, broadcast_ids)
+        links = tested = labels = None
+
+        def link(of) -> None:
+            """Test the pairs that ``of()`` names, unless they were tested before, and bring links and labels up to date."""
+            nonlocal links, tested, labels
+            with Scratch(spark) as here:
+                pairs = of()
+                pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
+                if pairs.isEmpty():
+                    return
+                here.keep(pairs)
+                tested = tested.unionByName(pairs) if tested is not None else pairs
+                new = materialize(texts.compare(pairs).where("linked").select("a", "b"), "links")
+                if not new.isEmpty():
+                    here.keep(new)
+                    links = links.unionByName(new) if links is not None else new
+                    labels = here.keep(materialize(connected_components(links), "labels"))
+
+        entries = heads.select("id", "n", F.explode("bands").alias("key"))
+        met = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "met")
+        entries = materialize(meet(entries, met, ["key"]), "entries")
+        link(lambda: _star_pairs(_labelled(entries, None), texts))
+
+        def rest() -> DataFrame:
+            here = materialize(_open(_labelled(entries, labels)), "open")
+            pairs, wide = _cross_pairs(here.where(F.col("rows") <= bucket_rows), texts), here.where(F.col("rows") > bucket_rows)
+            return pairs if wide.isEmpty() else pairs.unionByName(_difference_pairs(wide, texts)).distinct()
+
+        link(rest)
+        heads = heads.select("key", "id", "rows")
+        heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "rows") if labels is not None else heads.select("key", F.col("id").alias("component"), "rows")
+        d = d.select("id", F.col("n").alias("n_shingles"), "key")
+        alone = d.where("key IS NULL").withColumn("component", F.col("id"))
+        found = meet(d.where("key IS NOT NULL"), materialize(heads, "classes"), ["key"], "left").drop("rows")
+        out = found.unionByName(alone).select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+        return made.keep(materialize(out, "components"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, broadcast_ids: int = 2_000_000) -> DataFrame:
     """``docs`` without the members of a group whose id isn't the group's smallest; rows of null id stay."""
     name = fresh("gone", docs)
-    gone = materialize(classes(docs, id_col, text_col, percent).where("id <> component").select(F.col("id").alias(name)).distinct(), "gone")
+    with Scratch(docs.sparkSession) as made:
+        gone = made.keep(materialize(classes(docs, id_col, text_col, percent).where("id <> component").select(F.col("id").alias(name)).distinct(), "gone"))
     return docs.join(small(gone, broadcast_ids), F.col(id_col) == F.col(name), "left_anti")
 
 
