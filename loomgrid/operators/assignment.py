@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import two_digits
@@ -83,3 +83,56 @@ def carry_ids(current: DataFrame, previous: DataFrame, pairs: DataFrame, least:
     new = F.row_number().over(Window.partitionBy("case_id", F.col("part_id").isNull()).orderBy("set_id"))
     number = F.coalesce("last", F.lit(0)) + new
     return x.withColumn("part_id", F.coalesce("part_id", F.concat(F.lit("part-"), two_digits(number)))).drop("last")
+
+
+def assign_plans(pairs: DataFrame, plans: DataFrame, least: float) -> DataFrame:
+    """(case_id, plan, region, score) of the matching of greatest total score in which every plan may stay alone.
+
+    pairs: (case_id, plan, region, score); plans: (case_id, plan). Each plan has a place of its own that scores 0, so
+    a bad pair is never forced; of the chosen pairs those below ``least`` are left out. Plans without a region have nulls.
+    """
+    kinds = dict(pairs.dtypes)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        (i, a), (j, b) = pd.factorize(t["plan"], sort=True), pd.factorize(t["region"], sort=True)
+        m = np.zeros((len(a), len(b) + len(a)))
+        m[i, j] = t["score"]
+        # a plan's own place is closed to the others
+        m[:, len(b) :] = -1e6 * (1 - np.eye(len(a)))
+        out = [(t["case_id"].iloc[0], a[r], b[c], m[r, c]) for r, c in solve(-m) if c < len(b) and m[r, c] >= least]
+        return pd.DataFrame(out, columns=["case_id", "plan", "region", "score"])
+
+    got = pairs.select("case_id", "plan", "region", "score").groupBy("case_id").applyInPandas(one, f"case_id {kinds['case_id']}, plan {kinds['plan']}, region {kinds['region']}, score double")
+    return plans.select("case_id", "plan").join(got, ["case_id", "plan"], "left")
+
+
+def carry_scores(pairs: DataFrame, current: DataFrame, previous: DataFrame, diagonal: Column) -> DataFrame:
+    """``pairs`` (case_id, a, b, iou) of sets of one name with score: .8 IoU + .2 exp(-4 distance / diagonal) (fixed values).
+
+    current, previous: (case_id, set_id, name, cx, cy).
+    """
+    side = lambda x, s: x.select("case_id", F.col("set_id").alias(s), F.col("name").alias(f"{s}n"), F.col("cx").alias(f"{s}x"), F.col("cy").alias(f"{s}y"))
+    all_ = side(current, "a").join(side(previous, "b"), "case_id").where("an = bn")
+    x = all_.join(pairs.select("case_id", "a", "b", "iou"), ["case_id", "a", "b"], "left")
+    apart = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    return x.select("case_id", "a", "b", (0.8 * F.coalesce("iou", F.lit(0.0)) + 0.2 * F.exp(-4 * apart / F.greatest(diagonal, F.lit(1.0)))).alias("score"))
+
+
+def layer_scores(truth: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """``threshold_scores`` of several prediction layers (parts, groups), with their name as ``layer``."""
+    out = None
+    for name, rows in layers.items():
+        one = threshold_scores(rows, truth).withColumn("layer", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def semantic_threshold_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """``threshold_scores`` where a pair only matches under one name (case_id, set_id, name, e); unnamed predictions count in the precision."""
+    pair = lambda x: x.select(F.struct("case_id", "name").alias("case_id"), "set_id", "e")
+    m = assign(cross_overlap(pair(predicted.where("name IS NOT NULL")), pair(truth)), "iou").select("case_id.case_id", "iou")
+    sides = [x.select("case_id", "set_id").distinct().groupBy("case_id").agg(F.count(F.lit(1)).alias(n)) for x, n in ((predicted, "np"), (truth, "nt"))]
+    counts = sides[0].join(sides[1], "case_id", "full").na.fill(0, ["np", "nt"]).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
+    hits = counts.join(m, "case_id", "left").groupBy("case_id", "threshold", "np", "nt").agg(F.count_if(F.col("iou") >= F.col("threshold")).alias("tp"))
+    p, r = F.col("tp") / F.greatest("np", F.lit(1)), F.col("tp") / F.greatest("nt", F.lit(1))
+    return hits.select("case_id", "threshold", p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-12))).alias("f1"))

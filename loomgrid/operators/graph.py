@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..storage import materialize
 
@@ -72,3 +73,47 @@ def depths(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("parent").alias("node")).union(links.select(F.col("child").alias("node"))).distinct()
     below = descendants(links).groupBy(F.col("descendant").alias("node")).agg(F.max("depth").alias("depth"))
     return nodes.join(below, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def safe_depths(links: DataFrame) -> DataFrame:
+    """(node, depth) of nodes with one parent each (the smallest): steps to the root; on a way that comes back to a node the steps until then.
+
+    Unlike ``depths`` a cycle doesn't raise: a node that the way has seen counts as a root.
+    """
+    one = materialize(links.groupBy("child").agg(F.min("parent").alias("parent")), "parents")
+    level = one.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("seen"))
+    out = None
+    while True:
+        level = materialize(level, "level")
+        if level.isEmpty():
+            break
+        # the way goes one step up; it ends at a root or at a node that it has seen
+        up = level.join(one.select(F.col("child").alias("at"), F.col("parent").alias("above")), "at", "left")
+        ends = F.col("above").isNull() | F.array_contains("seen", F.col("at"))
+        done = up.where(ends).select("node", F.size("seen").alias("depth"))
+        out = done if out is None else out.unionByName(done)
+        level = up.where(~ends).select("node", F.col("above").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
+    roots = links.select(F.col("parent").alias("node")).distinct().join(one.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0))
+    return roots if out is None else roots.unionByName(out)
+
+
+def closure(links: DataFrame, selected: DataFrame) -> DataFrame:
+    """(node) of ``selected`` and all that they need, over any number of ``links`` (child, parent); cycles end."""
+    step = materialize(links.where("parent IS NOT NULL").select(F.col("child").alias("node"), "parent").distinct(), "links")
+    new = materialize(selected.select("node").distinct(), "nodes")
+    found = new
+    while not new.isEmpty():
+        up = new.join(step, "node").select(F.col("parent").alias("node")).distinct()
+        new = materialize(up.join(found, "node", "left_anti"), "nodes")
+        found = found.unionByName(new)
+    return found
+
+
+def class_order(links: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(node, depth, place): classes after all that they depend on, by longest path and then name. ``extra``: further (parent, child)."""
+    x = depths(links if extra is None else links.unionByName(extra.select(*links.columns)))
+    # the number of classes before a depth is summed over depths, so only classes of one depth are ordered together
+    per = x.groupBy("depth").agg(F.count(F.lit(1)).alias("_n"))
+    before = per.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("depth").orderBy("node"))
+    return x.join(F.broadcast(before), "depth").select("node", "depth", (F.col("_b") + own).alias("place"))

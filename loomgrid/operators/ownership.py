@@ -12,10 +12,20 @@ def noisy_or(evidence: DataFrame, keys: list[str], family: str, p: str) -> DataF
     return strongest.groupBy(*keys).agg((1 - F.product(1 - F.col("_p"))).alias("probability"))
 
 
-def argmax_owner(scores: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """The label of greatest score per key; ties go to the smaller label."""
-    best = F.max(F.struct(F.col(score), -F.col(label))).alias("_b")
-    return scores.groupBy(*keys).agg(best).select(*keys, (-F.col("_b.col2")).alias("owner"), F.col(f"_b.{score}").alias("owner_score"))
+def argmax_owner(scores: DataFrame, keys: list[str], label: str, score: str, gate: Column | None = None, least_area: int = 0) -> DataFrame:
+    """The label of greatest score per key; ties go to the smaller label.
+
+    Where ``gate`` holds for some label of a key only such labels compete. Owners of fewer than ``least_area`` keys of
+    a case (the first of ``keys``) lose them.
+    """
+    shut = F.lit(False) if gate is None else F.coalesce(gate, F.lit(False))
+    best = F.max(F.struct(shut.alias("_g"), F.col(score), -F.col(label))).alias("_b")
+    out = scores.groupBy(*keys).agg(best).select(*keys, (-F.col("_b.col3")).alias("owner"), F.col(f"_b.{score}").alias("owner_score"))
+    if least_area <= 0:
+        return out
+    scope = [keys[0], "owner"] if len(keys) > 1 else ["owner"]
+    large = out.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_area).drop("_n")
+    return out.join(large, scope, "left_semi")
 
 
 def geometry(elem: DataFrame, width: Column) -> DataFrame:
@@ -73,3 +83,12 @@ def parent_residual(values: DataFrame, links: DataFrame) -> DataFrame:
     """(node, residual): a node's value less what its children account for, not below 0. values: (node, value)."""
     below = links.join(values.withColumnRenamed("node", "child"), "child").groupBy(F.col("parent").alias("node")).agg(F.sum("value").alias("_below"))
     return values.join(below, "node", "left").select("node", F.greatest(F.col("value") - F.coalesce("_below", F.lit(0)), F.lit(0)).alias("residual"))
+
+
+def ensemble(runs: dict[str, DataFrame]) -> DataFrame:
+    """All rows of several models' runs, each with its ``model``; nothing is merged, absent columns are null."""
+    out = None
+    for model, rows in runs.items():
+        one = rows.withColumn("model", F.lit(model))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

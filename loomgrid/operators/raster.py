@@ -116,3 +116,265 @@ def adjacency(owners: DataFrame, width: int) -> DataFrame:
     step = F.explode(F.array(F.when(F.col("e") % width < width - 1, F.col("e") + 1), F.col("e") + width))
     x = owners.select("case_id", "set_id", step.alias("e2")).where("e2 IS NOT NULL").join(o, ["case_id", "e2"]).where("set_id <> s2")
     return x.groupBy("case_id", F.least("set_id", "s2").alias("a"), F.greatest("set_id", "s2").alias("b")).agg(F.count(F.lit(1)).alias("length"))
+
+
+def distance_transform(mask: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each true pixel from the nearest false one; infinite if there is none."""
+    h, w = mask.shape
+    # distance inside a row first, then the least of all rows' (exact, unlike chamfer masks)
+    far = h + w + 1
+    row = np.where(mask, far, 0).astype(float)
+    for x in range(1, w):
+        row[:, x] = np.minimum(row[:, x], row[:, x - 1] + 1)
+    for x in range(w - 2, -1, -1):
+        row[:, x] = np.minimum(row[:, x], row[:, x + 1] + 1)
+    square = np.where(row >= far, np.inf, row * row)
+    dy = np.arange(h)[:, None] - np.arange(h)[None, :]
+    out = np.stack([(square + (dy[y] ** 2)[:, None]).min(0) for y in range(h)]) if h else square
+    return np.sqrt(out) * mask
+
+
+def _each_set(elem: DataFrame, width: int, height: int, of, columns: str) -> DataFrame:
+    """``of(mask)`` -> (elements, value columns) of each set, one Arrow batch a set."""
+    kinds = dict(elem.dtypes)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros(width * height, bool)
+        m[t["e"].to_numpy()] = True
+        e, values = of(m.reshape(height, width))
+        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "set_id": t["set_id"].iloc[0], "e": e, **values})
+
+    return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, e long, {columns}")
+
+
+def depth(elem: DataFrame, width: int, height: int) -> DataFrame:
+    """(case_id, set_id, e, distance) of each element from the nearest pixel of the image outside its set; null if all are inside."""
+
+    def of(mask: np.ndarray):
+        d, e = distance_transform(mask).ravel(), np.flatnonzero(mask)
+        return e, {"distance": [float(v) if np.isfinite(v) else None for v in d[e]]}
+
+    return _each_set(elem, width, height, of, "distance double")
+
+
+def reach(elem: DataFrame, others: DataFrame, width: int, height: int) -> DataFrame:
+    """(case_id, set_id, other, distance): least distance of sets of one case from ``others``' sets. others: (case_id, set_id, e)."""
+    kinds = dict(others.dtypes)
+    sets = elem.select("case_id", "set_id", "e").withColumnRenamed("set_id", "own")
+
+    def one(key, x: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for s, g in o.groupby("set_id"):
+            free = np.ones(width * height, bool)
+            free[g["e"].to_numpy()] = False
+            d = distance_transform(free.reshape(height, width)).ravel()
+            out += [(key[0], own, s, float(d[h["e"].to_numpy()].min())) for own, h in x.groupby("own")]
+        return pd.DataFrame(out, columns=["case_id", "set_id", "other", "distance"])
+
+    return sets.groupBy("case_id").cogroup(others.select(F.col("case_id").alias("case_id"), "set_id", "e").groupBy("case_id")).applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, other {kinds['set_id']}, distance double")
+
+
+def soft_membership(elem: DataFrame, width: int, height: int, sigma: float = 1.1) -> DataFrame:
+    """(case_id, set_id, e, p): .52 at a set's edge rising to 1 inside, and .12 of its blur outside where that counts. The numbers."""
+    at = np.arange(-4, 5)
+    kernel = np.exp(-(at**2) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+
+    def blur(a: np.ndarray) -> np.ndarray:
+        wide = np.pad(a, 4, mode="reflect" if min(a.shape) > 4 else "edge")
+        wide = sum(k * wide[:, i : i + a.shape[1]] for i, k in enumerate(kernel))
+        return sum(k * wide[i : i + a.shape[0]] for i, k in enumerate(kernel))
+
+    def of(mask: np.ndarray):
+        scale = max(1.0, mask.sum() ** 0.5 * 0.08)
+        inside = np.clip(np.where(np.isfinite(d := distance_transform(mask)), d, scale) / scale, 0, 1)
+        p = np.where(mask, 0.52 + 0.48 * inside, 0.12 * blur(mask.astype(float))).ravel()
+        e = np.flatnonzero(p > 1e-4)
+        return e, {"p": p[e]}
+
+    return _each_set(elem, width, height, of, "p double")
+
+
+def clean_labels(owners: DataFrame, fallback: dict[int, int], width: int, height: int, least: int, passes: int = 3) -> DataFrame:
+    """``owners`` (case_id, e, label) whose components smaller than ``least`` take their label's ``fallback``, or that of most pixels around them if it
+    is the same; nothing around is label 0, which is left out. Up to ``passes`` times over, labels in order."""
+    kinds = dict(owners.dtypes)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros(width * height, np.int64)
+        a[t["e"].to_numpy()] = t["label"].to_numpy()
+        a = a.reshape(height, width)
+        for _ in range(passes):
+            changed = False
+            for label in sorted(set(a[a > 0].tolist())):
+                parts = label_components(a == label)
+                for k, n in enumerate(np.bincount(parts.ravel())[1:], 1):
+                    if n >= least:
+                        continue
+                    here, to = parts == k, fallback.get(label, 0)
+                    if to == label:
+                        wide = np.pad(here, 1)
+                        ring = sum(wide[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width].astype(int) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) > 0
+                        near = a[ring & ~here & (a != label)]
+                        to = int(np.bincount(near).argmax()) if len(near) else 0
+                    a[here] = to
+                    changed = True
+            if not changed:
+                break
+        e = np.flatnonzero(a.ravel())
+        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "e": e, "label": a.ravel()[e]})
+
+    return owners.select("case_id", "e", "label").groupBy("case_id").applyInPandas(one, f"case_id {kinds['case_id']}, e long, label long")
+
+
+def merge_regions(regions: DataFrame, shared: DataFrame, least: float) -> DataFrame:
+    """(case_id, region, merged): regions (case_id, region, perimeter) that join, best share of common boundary first.
+
+    shared: (case_id, a, b, length). The share is of the smaller perimeter, which for joined regions leaves out what is
+    inside; joining stops below ``least``. A group is named by its smallest region; ties go to the smaller names.
+    """
+    kinds = dict(regions.dtypes)
+
+    def one(key, r: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        size = dict(zip(r["region"], r["perimeter"]))
+        near: dict = {k: {} for k in size}
+        for a, b, n in zip(s["a"], s["b"], s["length"]):
+            near[a][b] = near[b][a] = near[a].get(b, 0) + n
+        group = {k: k for k in size}
+        while True:
+            options = [(-n / max(1, min(max(1, size[a]), max(1, size[b]))), a, b) for a in near for b, n in near[a].items() if a < b]
+            if not options or -min(options)[0] < least:
+                break
+            _, a, b = min(options)
+            size[a] += size.pop(b) - 2 * near[a].pop(b)
+            for c, n in near.pop(b).items():
+                if c != a:
+                    del near[c][b]
+                    near[a][c] = near[c][a] = near[a].get(c, 0) + n
+            group = {k: a if g == b else g for k, g in group.items()}
+        return pd.DataFrame({"case_id": key[0], "region": list(group), "merged": list(group.values())})
+
+    return regions.select("case_id", "region", "perimeter").groupBy("case_id").cogroup(shared.select(F.col("case_id").alias("case_id"), "a", "b", "length").groupBy("case_id")).applyInPandas(one, f"case_id {kinds['case_id']}, region {kinds['region']}, merged {kinds['region']}")
+
+
+def contacts(sets: DataFrame, owners: DataFrame, width: int, height: int, ring: int, search: int) -> DataFrame:
+    """(case_id, set_id, visible_area, other, other_area, contact, search) of sets and the owners (case_id, set_id, e) of the pixels around them."""
+    own = sets.select("case_id", "set_id", "e").distinct()
+    other = owners.select("case_id", F.col("set_id").alias("other"), "e")
+    area = lambda x, s, n: x.groupBy("case_id", s).agg(F.count(F.lit(1)).alias(n))
+    around = lambda r, n: dilate(own, width, height, r).join(own, ["case_id", "set_id", "e"], "left_anti").join(other, ["case_id", "e"]).where("other <> set_id").groupBy("case_id", "set_id", "other").agg(F.count(F.lit(1)).alias(n))
+    x = around(ring, "contact").join(around(search, "search"), ["case_id", "set_id", "other"])
+    return x.join(area(own, "set_id", "visible_area"), ["case_id", "set_id"]).join(area(other, "other", "other_area"), ["case_id", "other"])
+
+
+def counts_of_text(text: Column) -> Column:
+    """Run lengths of a compressed text: five bits a character from ``0``, low ones first, the sixth says that more follow;
+    from the third number on each is the difference from the one two before. Negative lengths raise."""
+
+    def decode(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            out, at = [], 0
+            while at < len(x):
+                n = shift = 0
+                while True:
+                    c = ord(x[at]) - 48
+                    at += 1
+                    n |= (c & 31) << shift
+                    shift += 5
+                    if not c & 32:
+                        break
+                if c & 16:
+                    n -= 1 << shift
+                n += out[-2] if len(out) > 2 else 0
+                if n < 0:
+                    raise ValueError("negative run length")
+                out.append(n)
+            return out
+
+        return s.map(one)
+
+    return F.pandas_udf(decode, "array<long>")(text)
+
+
+def text_of_counts(counts: Column) -> Column:
+    """The inverse of ``counts_of_text``."""
+
+    def encode(s: pd.Series) -> pd.Series:
+        def one(a):
+            if a is None:
+                return None
+            out = []
+            for k, n in enumerate(a):
+                n = int(n) - (int(a[k - 2]) if k > 2 else 0)
+                while True:
+                    c = n & 31
+                    n >>= 5
+                    more = n != -1 if c & 16 else n != 0
+                    out.append(chr((c | 32 if more else c) + 48))
+                    if not more:
+                        break
+            return "".join(out)
+
+        return s.map(one)
+
+    return F.pandas_udf(encode, "string")(counts)
+
+
+def fill_polygon(corners: list[float], width: int, height: int) -> np.ndarray:
+    """Mask of a polygon x0, y0, x1, y1, ..., its corners cut to the image and rounded, edges included; fewer than three corners are nothing."""
+    mask = np.zeros((height, width), bool)
+    p = np.asarray(corners, float)
+    if len(p) < 6:
+        return mask
+    p = p[: len(p) // 2 * 2].reshape(-1, 2)
+    p = np.rint(np.column_stack([np.clip(p[:, 0], 0, width - 1), np.clip(p[:, 1], 0, height - 1)]))
+    ys, xs = np.mgrid[0:height, 0:width]
+    for (x0, y0), (x1, y1) in zip(p, np.roll(p, -1, axis=0)):
+        crosses = (y0 <= ys) != (y1 <= ys)
+        if y0 != y1:
+            mask ^= crosses & (xs < (x1 - x0) * (ys - y0) / (y1 - y0) + x0)
+    for (x0, y0), (x1, y1) in zip(p, np.roll(p, -1, axis=0)):
+        n = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
+        mask[np.rint(np.linspace(y0, y1, n)).astype(int), np.rint(np.linspace(x0, x1, n)).astype(int)] = True
+    return mask
+
+
+def decode_polygons(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """Elements (case_id, set_id, e) of the union of each set's polygons: rows (case_id, set_id, polygon array<double>)."""
+    kinds = dict(rows.dtypes)
+
+    def of(batches):
+        for t in batches:
+            out = [(c, s, int(e)) for c, s, p in zip(t["case_id"], t["set_id"], t["polygon"]) for e in np.flatnonzero(fill_polygon(p, width, height))]
+            yield pd.DataFrame(out, columns=["case_id", "set_id", "e"])
+
+    return rows.select("case_id", "set_id", "polygon").mapInPandas(of, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, e long").distinct()
+
+
+def unpack_bits(rows: DataFrame, width: int) -> DataFrame:
+    """Elements of bit-packed masks: rows (case_id, set_id, bits binary), each image row in whole bytes, high bit first."""
+    kinds = dict(rows.dtypes)
+
+    def of(batches):
+        for t in batches:
+            out = []
+            for c, s, b in zip(t["case_id"], t["set_id"], t["bits"]):
+                a = np.unpackbits(np.frombuffer(b, np.uint8).reshape(-1, -(-width // 8)), axis=1)[:, :width]
+                out += [(c, s, int(e)) for e in np.flatnonzero(a)]
+            yield pd.DataFrame(out, columns=["case_id", "set_id", "e"])
+
+    return rows.select("case_id", "set_id", "bits").mapInPandas(of, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, e long")
+
+
+def pack_bits(elem: DataFrame, width: int, height: int) -> DataFrame:
+    """(case_id, set_id, bits): the inverse of ``unpack_bits``."""
+    kinds = dict(elem.dtypes)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros(width * height, np.uint8)
+        m[t["e"].to_numpy()] = 1
+        return pd.DataFrame({"case_id": [t["case_id"].iloc[0]], "set_id": [t["set_id"].iloc[0]], "bits": [np.packbits(m.reshape(height, width), axis=1).tobytes()]})
+
+    return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, bits binary")

@@ -67,6 +67,7 @@ def rebind(overlaps: DataFrame) -> DataFrame:
 
 def representatives(views: DataFrame) -> DataFrame:
     """The row of each cluster (cluster, item, score, agreement, edge) with the greatest .60 score + .24 agreement + .16 edge."""
+    # fixed values: the weights
     s = 0.60 * F.col("score") + 0.24 * F.col("agreement") + 0.16 * F.col("edge")
     w = Window.partitionBy("cluster").orderBy(F.desc("value"), "item")
     return views.withColumn("value", s).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -89,9 +90,75 @@ def compose(visible: Column, full: Column, source: Column, generated: Column) ->
     return F.when(visible, source).when(full, generated)
 
 
-def completion_reason(quality: Column, recall: Column, precision: Column, expansion: Column, span: Column) -> Column:
-    """Why a completed mask is rejected, or accepted."""
-    return ladder([("low_quality", quality < 0.30), ("low_recall", recall < 0.82), ("low_precision", precision < 0.65), ("too_large", expansion > 1.5), ("too_long", span > 1.30)], "accepted")
+def completion_score(quality: Column, recall: Column, precision: Column, added: Column, visible: Column, lateral: Column, span: Column) -> Column:
+    """Combined evidence of a completed mask. ``added``, ``visible``: areas; ``lateral``: precision across the seam. The numbers."""
+    least = F.greatest(F.lit(6), F.bround(visible * 0.003))
+    s = quality * recall * precision * lateral * F.least(F.lit(1.0), 1.30 / span) * F.least(F.lit(1.0), added / F.greatest(F.lit(1), least * 4))
+    return F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
+
+
+def completion_reason(quality: Column, recall: Column, precision: Column, added: Column, visible: Column, lateral: Column, span: Column) -> Column:
+    """Why a completed mask is rejected, or accepted; the first rule that holds counts. The limits."""
+    return ladder(
+        [
+            ("low_model_quality", quality < 0.30),
+            ("visible_target_not_preserved", recall < 0.82),
+            ("proposal_leaks_outside_occluder_search", precision < 0.65),
+            ("no_supported_hidden_continuation", added < F.greatest(F.lit(6), F.bround(visible * 0.003))),
+            ("implausible_expansion", added > F.bround(visible * 1.5)),
+            ("implausible_lateral_spread", lateral < 0.78),
+            ("implausible_orthogonal_span", span > 1.30),
+            ("weak_combined_evidence", completion_score(quality, recall, precision, added, visible, lateral, span) < 0.45),
+        ],
+        "accepted",
+    )
+
+
+def occluders(contacts: DataFrame, most: int = 3) -> DataFrame:
+    """The neighbours that most likely hide a set, ranked: (case_id, set_id, other, score, rank).
+
+    contacts: (case_id, set_id, visible_area, other, other_area, contact, search), contact being the neighbour's part of
+    the ring around the set and search its part within reach. Fixed values: the numbers.
+    """
+    c = F.col
+    near = (c("contact") >= F.greatest(F.lit(3), F.bround(F.sqrt("visible_area") * 0.08))) & (c("search") >= F.greatest(F.lit(8), F.bround(c("visible_area") * 0.003)))
+    share = c("contact") / F.greatest(F.lit(1.0), F.sqrt(c("visible_area") * c("other_area")))
+    reach = F.least(F.lit(1.0), c("search") / F.greatest(F.lit(1.0), c("visible_area") * 0.35))
+    x = contacts.where(near).withColumn("score", share * (0.65 + 0.35 * reach))
+    w = Window.partitionBy("case_id", "set_id").orderBy(F.desc("score"), "other")
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("case_id", "set_id", "other", "score", "rank")
+
+
+def slug_ids(rows: DataFrame, scope: list[str], slug: str, place: str) -> DataFrame:
+    """``rows`` with ``slug_id``: the slug, with _2, _3, ... where it repeats in its scope, by place."""
+    n = F.row_number().over(Window.partitionBy(*scope, slug).orderBy(place))
+    return rows.withColumn("slug_id", F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("_"), n.cast("string"))))
+
+
+def width_profile(elem: DataFrame, bins: int) -> DataFrame:
+    """(root, bin, n, width) along the main axis of elements (root, x, y): the width of a bin is the distance of the 5th and 95th
+    percentile across the axis; bins without one are interpolated, and three neighbours averaged (ends count twice).
+
+    Roots of fewer than max(24, bins) elements, shorter than 8 or with too few filled bins have no profile.
+    """
+    m = elem.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_samp("x", "x").alias("a"), F.covar_samp("y", "y").alias("b"), F.covar_samp("x", "y").alias("c")).where(F.col("n") >= max(24, bins))
+    angle = 0.5 * F.atan2(2 * F.col("c"), F.col("a") - F.col("b"))
+    x = elem.join(m.select("root", "mx", "my", F.cos(angle).alias("dx"), F.sin(angle).alias("dy")), "root")
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    x = x.select("root", (dx * F.col("dx") + dy * F.col("dy")).alias("u"), (dy * F.col("dx") - dx * F.col("dy")).alias("v"))
+    span = x.groupBy("root").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("hi - lo >= 8.0")
+    x = x.join(span, "root").withColumn("bin", F.least(F.floor((F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int"))
+    width = F.percentile("v", F.lit(0.95)) - F.percentile("v", F.lit(0.05))
+    g = x.groupBy("root", "bin").agg(F.count(F.lit(1)).alias("n"), width.alias("w")).withColumn("w", F.when((F.col("n") >= 2) & (F.col("w") > 0), F.col("w")))
+    filled = g.groupBy("root").agg(F.count("w").alias("_f")).where(F.col("_f") >= max(4, bins // 4)).select("root")
+    g = filled.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(g, ["root", "bin"], "left")
+    w = Window.partitionBy("root").orderBy("bin")
+    here = F.when(F.col("w").isNotNull(), F.struct("bin", "w"))
+    g = g.withColumn("_p", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_q", F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    between = F.col("_p.w") + (F.col("_q.w") - F.col("_p.w")) * (F.col("bin") - F.col("_p.bin")) / F.greatest(F.col("_q.bin") - F.col("_p.bin"), F.lit(1))
+    g = g.withColumn("w", F.coalesce(between, "_p.w", "_q.w"))
+    near = (F.coalesce(F.lag("w").over(w), F.col("w")) + F.col("w") + F.coalesce(F.lead("w").over(w), F.col("w"))) / 3
+    return g.select("root", "bin", F.coalesce("n", F.lit(0)).alias("n"), near.alias("width"))
 
 
 def nearest_colour(r: Column, g: Column, b: Column, palette: list[tuple[int, int, int]]) -> Column:
@@ -104,3 +171,9 @@ def canonical(name: Column, by_category: dict[str, str], by_domain: dict[str, st
     """A name's alias in its category, else in its domain, else itself."""
     pick = lambda m: F.try_element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), name) if m else F.lit(None)
     return F.coalesce(pick(by_category), pick(by_domain), name)
+
+
+def known_classes(rows: DataFrame, column: str, classes: int) -> DataFrame:
+    """``rows`` whose class is a number from 0; others raise when they are read."""
+    ok = F.col(column).between(0, classes - 1)
+    return rows.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))))

@@ -83,3 +83,26 @@ def lexical(names: DataFrame, phrases: DataFrame, min_score: float = 0.5) -> Dat
     p = phrases.select("phrase", "label").distinct().withColumn("t", F.explode(F.array_distinct(F.split("phrase", " "))))
     x = n.join(p, "t").select("name", "phrase", "label").distinct()
     return x.withColumn("score", phrase_score(F.col("name"), F.col("phrase"))).where(F.col("score") >= min_score)
+
+
+def blended(hits: DataFrame, scores: DataFrame, nearest: int = 3, weight: float = 0.3) -> DataFrame:
+    """(query, label, score): label scores (query, label, score) mixed with the mean of the label's ``nearest`` assets among hits
+    (query, id, label, similarity); ties between assets go to the larger id."""
+    w = Window.partitionBy("query", "label").orderBy(F.desc("similarity"), F.desc("id"))
+    near = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nearest).groupBy("query", "label").agg(F.avg("similarity").alias("_m"))
+    return scores.join(near, ["query", "label"]).select("query", "label", ((1 - weight) * F.col("score") + weight * F.col("_m")).alias("score"))
+
+
+def alternatives(scores: DataFrame) -> DataFrame:
+    """(region, label, score, margin, rank) of the compatible labels of rows (region, label, similarity, shape, axis, compatible).
+
+    The score adds shape and axis priors; the margin is against the best other label of all, compatible or not, and 1
+    without one.
+    """
+    w = Window.partitionBy("region").orderBy(F.desc("score"), "label")
+    x = scores.withColumn("score", F.col("similarity") + F.coalesce("shape", F.lit(0.0)) + F.coalesce("axis", F.lit(0.0)))
+    whole = Window.partitionBy("region")
+    x = x.withColumn("_n", F.row_number().over(w))
+    best, second = (F.max(F.when(F.col("_n") == k, F.col("score"))).over(whole) for k in (1, 2))
+    x = x.withColumn("margin", F.col("score") - F.coalesce(F.when(F.col("_n") == 1, second).otherwise(best), F.col("score") - 1.0)).where("compatible")
+    return x.select("region", "label", "score", "margin", F.row_number().over(w).alias("rank"))

@@ -41,11 +41,12 @@ def domain_votes(candidates: DataFrame, near: float = 0.02, least_share: float =
     return g.select("case_id", F.when(F.col("stays") == 1, F.col("current")).when(wins, F.col("domain")).otherwise(F.col("current")).alias("domain"), ((F.col("stays") == 1) | ~wins).alias("kept"))
 
 
-def cross_view(full: DataFrame, crop: DataFrame, near: float = 0.015, least: float = 0.0) -> DataFrame:
+def cross_view(full: DataFrame, crop: DataFrame, near: float = 0.015, least: float = 0.0, lenient: DataFrame | None = None) -> DataFrame:
     """(case_id, label, score, margin) where two views (case_id, label, score) agree on the full view's first label.
 
-    In the crop it must be first or within ``near`` of the first; the score is the mean of both, the margin its lead
-    over the best other label's mean.
+    In the crop it must be first or within ``near`` of the first; with ``lenient`` (case_id), only those cases, whose
+    root is the first global proposal, may be near. The score is the mean of both, the margin its lead over the best
+    other label's mean.
     """
     w = Window.partitionBy("case_id")
     f = full.withColumn("kf", F.row_number().over(w.orderBy(F.desc("score"), "label"))).withColumnRenamed("score", "sf")
@@ -53,4 +54,24 @@ def cross_view(full: DataFrame, crop: DataFrame, near: float = 0.015, least: flo
     x = f.join(c, ["case_id", "label"]).withColumn("score", (F.col("sf") + F.col("sc")) / 2)
     others = F.max(F.when(F.col("kf") > 1, F.col("score"))).over(w)
     x = x.withColumn("margin", F.col("score") - F.coalesce(others, F.lit(0.0))).where("kf = 1")
-    return x.where((F.col("sc") >= F.col("top") - near) & (F.least("sf", "sc") >= least)).select("case_id", "label", "score", "margin")
+    slack = F.lit(near)
+    if lenient is not None:
+        x = x.join(lenient.select("case_id").distinct().withColumn("_l", F.lit(True)), "case_id", "left")
+        slack = F.when(F.col("_l"), near).otherwise(0.0)
+    return x.where((F.col("sc") >= F.col("top") - slack) & (F.least("sf", "sc") >= least)).select("case_id", "label", "score", "margin")
+
+
+def domain_prior(alternatives: DataFrame, least_score: float, least_margin: float, least_share: float = 0.8, most: int = 5) -> DataFrame:
+    """(case_id, domain, support, accepted, reason) of full-image routes (case_id, rank, domain, score, margin, accepted).
+
+    Of the first ``most`` alternatives with a domain the first names it. An accepted route of that domain is taken;
+    else its score, margin and the share of alternatives of its domain must all be large enough.
+    """
+    w = Window.partitionBy("case_id")
+    x = alternatives.where((F.col("rank") <= most) & (F.trim(F.coalesce("domain", F.lit(""))) != ""))
+    first = F.first("domain").over(w.orderBy("rank"))
+    x = x.withColumn("_d", first).withColumn("_n", F.row_number().over(w.orderBy("rank")))
+    g = x.groupBy("case_id").agg(F.first("_d").alias("domain"), F.avg((F.col("domain") == F.col("_d")).cast("double")).alias("support"), *(F.max(F.when(F.col("_n") == 1, F.col(k))).alias(k) for k in ("score", "margin", "accepted")))
+    near = (F.col("score") >= least_score) & (F.col("margin") >= least_margin) & (F.col("support") >= least_share)
+    why = F.when(F.col("accepted"), "accepted_exact_full_image_domain").when(near, "accepted_near_threshold_domain_consensus").otherwise("insufficient_full_image_domain_evidence")
+    return g.select("case_id", F.when(F.col("accepted") | near, F.col("domain")).alias("domain"), "support", (F.col("accepted") | near).alias("accepted"), why.alias("reason"))

@@ -237,8 +237,9 @@ def id_carryover(spark, d):
     previous, current = _halves(spark, d)
     ids = previous.select("case_id", "set_id").distinct()
     ids = ids.withColumn("part_id", scores.numbered(F.lit("part"), ["case_id"], [F.col("set_id")]))
-    pairs = overlap.cross_overlap(current, previous).withColumn("score", F.col("iou"))
-    return assignment.carry_ids(current.select("case_id", "set_id").distinct(), ids, pairs, 0.01)
+    place = lambda x: ownership.geometry(x, F.lit(64)).select("case_id", "set_id", F.lit("part").alias("name"), "cx", "cy")
+    pairs = assignment.carry_scores(overlap.cross_overlap(current, previous), place(current), place(previous), F.lit(80.0))
+    return assignment.carry_ids(current.select("case_id", "set_id").distinct(), ids, pairs, 0.2)
 
 
 @named()
@@ -299,15 +300,6 @@ def candidate_set(spark, d):
     return retrieval.candidate_set(_hits(spark, d), "query", "similarity", 0.05, 3, [F.col("label")]).select(F.col("query").alias("vec_id"), "label")
 
 
-@named("""WITH s AS (SELECT p_type, avg(p_size) ms, stddev_pop(p_size) ss, avg(p_retailprice) mp, stddev_pop(p_retailprice) sp FROM part GROUP BY 1)
-SELECT p_partkey, round(exp(-0.5 * (((p_size - ms) / greatest(ss, 0.04)) ** 2 + ((p_retailprice - mp) / greatest(sp, 0.04)) ** 2) / 2), 5) AS compatibility FROM part JOIN s USING (p_type)""")
-def geometry_compat(spark, d):
-    p = table(spark, d, "part")
-    s = p.groupBy("p_type").agg(F.avg("p_size").alias("ms"), F.stddev_pop("p_size").alias("ss"), F.avg("p_retailprice").alias("mp"), F.stddev_pop("p_retailprice").alias("sp"))
-    z = lambda x, m, v: ((F.col(x) - F.col(m)) / F.greatest(F.col(v), F.lit(0.04))) ** 2
-    return p.join(s, "p_type").select("p_partkey", F.round(F.exp(-0.5 * (z("p_size", "ms", "ss") + z("p_retailprice", "mp", "sp")) / 2), 5).alias("compatibility"))
-
-
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -359,7 +351,12 @@ def coverage_tiers(spark, d):
     return x.select("policy", r6(F.col("coverage")).alias("coverage"), r6(F.col("failure_rate")).alias("failure_rate"), F.round("mean", 4).alias("mean"))
 
 
-@named()
+_RULES = {"short": "n_chars < 300", "shouting": "len(string_split(text, '!!')) - 1 > 5", "tables": "len(string_split(text, '|')) - 1 > 5", "marks": "len(regexp_extract_all(text, '[#*$%&]{3}')) > 5"}
+
+
+@named(f"""WITH f AS (SELECT quality = 0 t, {', '.join(f"coalesce({v}, false) {k}" for k, v in _RULES.items())} FROM labels JOIN documents USING (doc_id)),
+p AS ({' UNION ALL '.join(f"SELECT '{a}' a, {b if b == 'NULL' else repr(b)} b, 2 * count(*) FILTER (({a}{'' if b == 'NULL' else ' OR ' + b}) AND t) / greatest(1, count(*) FILTER ({a}{'' if b == 'NULL' else ' OR ' + b}) + count(*) FILTER (t)) f1, count(*) FILTER ({a}{'' if b == 'NULL' else ' OR ' + b}) / count(*) r FROM f" for a in _RULES for b in ['NULL', *_RULES] if a != b)}),
+x AS (SELECT a, f1 FROM p WHERE b IS NULL ORDER BY f1 DESC, r, a LIMIT 1), y AS (SELECT p.b, p.f1 FROM p JOIN x ON x.a = p.a WHERE p.b IS NOT NULL ORDER BY p.f1 DESC, r, p.b LIMIT 1) SELECT 0 AS place, a AS rule FROM x WHERE f1 >= 0.02 UNION ALL SELECT 1, b FROM y, x WHERE x.f1 >= 0.02 AND y.f1 - x.f1 >= 0.02""")
 def rule_selection(spark, d):
     """The rules that best predict low quality, chosen greedily."""
     rules = {"short": F.col("n_chars") < 300, "shouting": F.regexp_count("text", F.lit("!!")) > 5, "tables": F.regexp_count("text", F.lit("[|]")) > 5, "marks": F.regexp_count("text", F.lit("[#*$%&]{3}")) > 5}
@@ -406,13 +403,14 @@ def wilson(spark, d):
     return x.select("lang", r6(F.col("w.low")).alias("low"), r6(F.col("w.high")).alias("high"))
 
 
-@named()
+@named("""WITH x AS (SELECT (n_chars >= 300) = (quality = 1) a, (len(string_split(text, '!!')) - 1 <= 5) = (quality = 1) b FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) FILTER (a AND NOT b) b, count(*) FILTER (NOT a AND b) c FROM x),
+t AS (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))) t FROM n, range(0, (SELECT least(b, c) + 1 FROM n)) r(k)) SELECT b AS only_first, c AS only_second, round(least(1.0, 2 * t), 9) AS p FROM n, t""")
 def mcnemar(spark, d):
     """Exact test of two quality rules that disagree."""
     a, b = F.col("n_chars") >= 300, F.regexp_count("text", F.lit("!!")) <= 5
     right = lambda rule: rule == (F.col("quality") == 1)
     r = _judged(spark, d).agg(F.count_if(right(a) & ~right(b)).alias("b"), F.count_if(~right(a) & right(b)).alias("c")).first()
-    return spark.createDataFrame([(r["b"], r["c"], stats.mcnemar(r["b"], r["c"]))], "only_first long, only_second long, p double")
+    return spark.createDataFrame([(r["b"], r["c"], round(stats.mcnemar(r["b"], r["c"]), 9))], "only_first long, only_second long, p double")
 
 
 @named("""WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 b FROM part) SELECT round(corr(a, b), 6) AS rho FROM r""")
@@ -455,15 +453,6 @@ def rule_table(spark, d):
     return validation.rule_table(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", F.broadcast(rules))
 
 
-@named("""WITH h AS (SELECT vec_id, label, sha256('split:' || vec_id) h FROM embeddings), f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) n, count(*) OVER (PARTITION BY label) c FROM h) SELECT vec_id, n <= greatest(1, c // 5) AS holdout FROM f""")
-def stratified_split(spark, d):
-    h = F.sha2(F.concat(F.lit("split:"), F.col("vec_id").cast("string")), 256)
-    w = Window.partitionBy("label")
-    x = table(spark, d, "embeddings").withColumn("h", h)
-    n, c = F.row_number().over(w.orderBy("h", "vec_id")), F.count(F.lit(1)).over(w)
-    return x.withColumn("n", n).withColumn("c", c).select("vec_id", (F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("c") / 5))).alias("holdout"))
-
-
 @named("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600 THEN 0 ELSE 1 END s FROM events),
 g AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY n) i FROM f) SELECT user_id, max(i)::BIGINT AS islands, count(*) AS n FROM g GROUP BY 1""")
 def islands(spark, d):
@@ -495,20 +484,6 @@ def stage_funnel(spark, d):
     return out
 
 
-@named()
-def anchor_clusters(spark, d):
-    """Order-dependent clusters of near documents, one batch per language and source."""
-    docs = table(spark, d, "documents")
-    case = F.concat_ws(":", "lang", "source")
-    items = docs.select(case.alias("case_id"), F.col("doc_id").alias("item"), F.col("doc_id").alias("place"), F.col("n_chars").alias("area"))
-    key = lambda k: docs.select(F.col("doc_id").alias(k), case.alias(f"c{k}"))
-    p = overlap.set_pairs(word_sets(spark, d), 0.3).join(key("a"), "a").join(key("b"), "b").where("ca = cb")
-    near = p.select(F.col("ca").alias("case_id"), "a", "b", F.col("iou").alias("affinity"))
-    linked = near.select("case_id", F.explode(F.array("a", "b")).alias("item")).distinct()
-    # an item without a near one in its case is a cluster of its own, and needs no batch
-    return ordered.anchor_clusters(items.join(linked, ["case_id", "item"], "left_semi"), near, 0.5)
-
-
 @named("""SELECT o_orderpriority, round(avg(m), 6) AS mean FROM (SELECT o_orderpriority, CASE WHEN max(o_totalprice) OVER w - min(o_totalprice) OVER w < 1e-12 THEN 0.5 ELSE (o_totalprice - min(o_totalprice) OVER w) / (max(o_totalprice) OVER w - min(o_totalprice) OVER w) END m FROM orders WINDOW w AS (PARTITION BY o_custkey)) GROUP BY 1""")
 def min_max_scores(spark, d):
     m = scores.min_max(F.col("o_totalprice"), Window.partitionBy("o_custkey"))

@@ -55,21 +55,21 @@ first AS (SELECT cx.s id, arg_min(cx.f, place) "by" FROM {conflicts} cx JOIN {it
 
 @named(f"""WITH RECURSIVE {_P}, {_C}, st AS (SELECT c.*, 0.58 * score + 0.14 * rel + 0.13 * 0.5 + 0.15 * score + CASE WHEN conf THEN 0.08 ELSE 0 END - CASE WHEN area >= 0.85 * pa THEN 0.14 ELSE 0 END strength FROM c LEFT JOIN (SELECT name pn, arg_max(area, s) pa FROM c GROUP BY 1) ON pn = parent),
 it AS (SELECT *, s id, row_number() OVER (ORDER BY strength DESC, name DESC, s) place FROM st), ed AS (SELECT CASE WHEN x.place < y.place THEN x.s ELSE y.s END f, CASE WHEN x.place < y.place THEN y.s ELSE x.s END s, iou, con, coh FROM p JOIN it x ON x.s = a JOIN it y ON y.s = b),
-cf AS (SELECT f, ed.s, iou >= 0.22 OR (con >= 0.5 AND coh >= 0.55) same FROM ed JOIN it x ON x.s = f JOIN it y ON y.s = ed.s WHERE x.name <> y.name AND NOT coalesce(x.root <> y.root, false) AND NOT ((x.name = y.parent OR x.parent = y.name) AND coh < 0.72)
- AND (iou >= 0.22 OR (con >= 0.5 AND coh >= 0.55) OR (con >= 0.9 AND coh >= 0.25 AND x.conf AND NOT y.conf AND x.strength >= y.strength + 0.08))), {greedy('it', 'cf')}
+cf AS (SELECT f, ed.s, iou >= 0.15 OR (con >= 0.3 AND coh >= 0.55) same FROM ed JOIN it x ON x.s = f JOIN it y ON y.s = ed.s WHERE x.name <> y.name AND NOT coalesce(x.root <> y.root, false) AND NOT ((x.name = y.parent OR x.parent = y.name) AND coh < 0.72)
+ AND (iou >= 0.15 OR (con >= 0.3 AND coh >= 0.55) OR (con >= 0.9 AND coh >= 0.25 AND x.conf AND NOT y.conf AND x.strength >= y.strength + 0.08))), {greedy('it', 'cf')}
 SELECT it.s AS set_id, gone.id IS NULL AS kept, first."by" AS "by", CASE WHEN gone.id IS NOT NULL THEN CASE WHEN cf.same THEN 'correlated-semantic-overlap' ELSE 'confirmed-over-weak-contained' END END AS reason
 FROM it LEFT JOIN gone ON gone.id = it.s LEFT JOIN first ON first.id = it.s LEFT JOIN cf ON cf.f = first."by" AND cf.s = it.s""")
 def correlated_suppression(spark, d):
     """TK6, PF7: weaker names for one region go."""
     c = candidates(spark, d)
     c = c.withColumn("strength", scores.strength(F.col("score"), F.col("reliability"), F.lit(0.5), F.col("score"), F.col("confirmed")))
-    return hypotheses.suppress_correlated(c, pairs(spark, d), 0.22, 0.5).drop("case_id")
+    return hypotheses.suppress_correlated(c, pairs(spark, d), 0.15, 0.3).drop("case_id")
 
 
 @named(f"""WITH RECURSIVE {_P}, {_C}, it AS (SELECT *, s id, row_number() OVER (ORDER BY score * rel + CASE WHEN NOT generic THEN 0.08 ELSE 0 END DESC, s DESC) place FROM c),
 ed AS (SELECT CASE WHEN x.place < y.place THEN x.s ELSE y.s END f, CASE WHEN x.place < y.place THEN y.s ELSE x.s END s, iou, con, coh FROM p JOIN it x ON x.s = a JOIN it y ON y.s = b),
-cf AS (SELECT f, ed.s, iou >= 0.25 OR (con >= 0.6 AND 1 / coh <= 1.35) same FROM ed JOIN it x ON x.s = f JOIN it y ON y.s = ed.s WHERE iou >= 0.25 OR (con >= 0.6 AND 1 / coh <= 1.35) OR
- (con < 0.7 AND con >= 0.35 AND iou >= 0.2 AND NOT (NOT x.generic AND NOT y.generic AND x.name <> y.name AND least(x.score, y.score) >= 0.55))), {greedy('it', 'cf')},
+cf AS (SELECT f, ed.s, iou >= 0.15 OR (con >= 0.3 AND 1 / coh <= 1.35) same FROM ed JOIN it x ON x.s = f JOIN it y ON y.s = ed.s WHERE iou >= 0.15 OR (con >= 0.3 AND 1 / coh <= 1.35) OR
+ (con < 0.7 AND con >= 0.25 AND iou >= 0.1 AND NOT (NOT x.generic AND NOT y.generic AND x.name <> y.name AND least(x.score, y.score) >= 0.55))), {greedy('it', 'cf')},
 lost AS (SELECT first."by" k, it.family f, it.score sc FROM first JOIN it ON it.s = first.id JOIN cf ON cf.f = first."by" AND cf.s = first.id WHERE cf.same)
 SELECT it.s AS set_id, round(greatest(max(it.score), max(sc) FILTER (f <> it.family)), 6) AS score, array_to_string(list_sort(list_distinct(list_concat([it.family], coalesce(list(f) FILTER (f <> it.family), [])))), ',') AS families, coalesce(bool_or(f <> it.family), false) AS confirmed
 FROM it LEFT JOIN lost ON lost.k = it.s WHERE it.s NOT IN (SELECT id FROM gone) GROUP BY it.s, it.family""")
@@ -77,19 +77,19 @@ def laminar_regions(spark, d):
     """TK7: nested or disjoint regions by priority; duplicates from other families confirm."""
     c = candidates(spark, d).withColumns({"utility": F.col("score"), "semantic": ~F.col("generic")})
     c = c.withColumn("priority", F.col("score") * F.col("reliability") + F.when(F.col("semantic"), 0.08).otherwise(0.0))
-    _, kept = hypotheses.resolve_regions(c, pairs(spark, d), 0.25, 0.6, laminar=0.7, partial_iou=0.2)
+    _, kept = hypotheses.resolve_regions(c, pairs(spark, d), 0.15, 0.3, laminar=0.7, partial_containment=0.25, partial_iou=0.1)
     return kept.select("set_id", r6(F.col("score")).alias("score"), F.array_join("families", ",").alias("families"), "confirmed")
 
 
 @named(f"""WITH RECURSIVE {_P}, {_C}, ql AS (SELECT *, CASE WHEN s % 3 = 0 THEN 0.72 * bs + 0.28 * m ELSE 0.34 * bs + 0.22 * m + 0.22 * least(greatest(score, rel), 1) + 0.22 * least(score / 0.12, 1) END quality FROM (SELECT *, least(greatest((0.45 + 0.55 * score) * rel, 0), 1) bs, CASE WHEN s % 2 = 0 THEN rel ELSE 0.5 END m FROM c)),
-it AS (SELECT *, s id, row_number() OVER (ORDER BY quality DESC, score DESC, s) place FROM ql WHERE area >= 50), cf AS (SELECT CASE WHEN x.place < y.place THEN x.s ELSE y.s END f, CASE WHEN x.place < y.place THEN y.s ELSE x.s END s FROM p JOIN it x ON x.s = a JOIN it y ON y.s = b WHERE x.family = y.family AND x.parent = y.parent AND (iou >= 0.2 OR con >= 0.5)), {greedy('it', 'cf')}
+it AS (SELECT *, s id, row_number() OVER (ORDER BY quality DESC, score DESC, s) place FROM ql WHERE area >= 50), cf AS (SELECT CASE WHEN x.place < y.place THEN x.s ELSE y.s END f, CASE WHEN x.place < y.place THEN y.s ELSE x.s END s FROM p JOIN it x ON x.s = a JOIN it y ON y.s = b WHERE x.family = y.family AND x.parent = y.parent AND (iou >= 0.15 OR con >= 0.3)), {greedy('it', 'cf')}
 SELECT it.s AS set_id, round(quality, 6) AS quality, gone.id IS NULL AS kept FROM it LEFT JOIN gone ON gone.id = it.s""")
 def dedup_groups(spark, d):
     """TK1, PF1, PF8: one mask of each family's alternatives, by quality; small ones don't take part."""
     c = candidates(spark, d).where("area >= 50")
     some, none = lambda x: F.when(F.col("set_id") % 3 != 0, x), F.lit(None).cast("double")
     c = c.withColumn("quality", scores.dedup_quality(F.col("score"), F.col("reliability"), F.when(F.col("set_id") % 2 == 0, F.col("reliability")), [some(F.col("score")), some(F.col("reliability")), none], [some(F.col("score")), none]))
-    p = pairs(spark, d).where("iou >= 0.2 OR containment >= 0.5")
+    p = pairs(spark, d).where("iou >= 0.15 OR containment >= 0.3")
     for s in ("a", "b"):
         p = p.join(c.select(F.col("set_id").alias(s), F.struct("family", "parent").alias(f"g{s}")), s)
     place = F.struct((-F.col("quality")).alias("q"), (-F.col("score")).alias("s"), "set_id")
@@ -115,33 +115,33 @@ def specific_parts(spark, d):
 
 
 @named(f"""WITH {_B}, {_C}, r AS (SELECT * FROM c WHERE s % 2 = 0), m AS (SELECT * FROM c WHERE s % 2 = 1), j AS (SELECT x a, y b, i, nx na, ny nb, iou, con, m.name, m.score FROM q JOIN r ON r.s = x JOIN m ON m.s = y),
-o AS (SELECT a, b, v FROM (SELECT a, b, greatest(iou, 0.85 * con) v, row_number() OVER (PARTITION BY a ORDER BY greatest(iou, 0.85 * con) DESC, b) k FROM j WHERE iou >= 0.24 OR (con >= 0.55 AND greatest(na, nb) / least(na, nb) <= 3)) WHERE k = 1),
-n AS (SELECT a, name, count(*) n, max(na) na, arg_min(b, (-score, b)) b FROM j WHERE i / nb >= 0.4 AND a NOT IN (SELECT a FROM o) GROUP BY 1, 2 HAVING count(*) >= 2),
-u AS (SELECT j.a, j.name, count(DISTINCT g.e) u FROM j JOIN n ON n.a = j.a AND n.name = j.name JOIN e f ON f.s = j.b JOIN e g ON g.s = j.a AND g.e = f.e WHERE i / nb >= 0.4 GROUP BY 1, 2),
+o AS (SELECT a, b, v FROM (SELECT a, b, greatest(iou, 0.85 * con) v, row_number() OVER (PARTITION BY a ORDER BY greatest(iou, 0.85 * con) DESC, b) k FROM j WHERE iou >= 0.2 OR (con >= 0.32 AND greatest(na, nb) / least(na, nb) <= 3)) WHERE k = 1),
+n AS (SELECT a, name, count(*) n, max(na) na, arg_min(b, (-score, b)) b FROM j WHERE i / nb >= 0.25 AND a NOT IN (SELECT a FROM o) GROUP BY 1, 2 HAVING count(*) >= 2),
+u AS (SELECT j.a, j.name, count(DISTINCT g.e) u FROM j JOIN n ON n.a = j.a AND n.name = j.name JOIN e f ON f.s = j.b JOIN e g ON g.s = j.a AND g.e = f.e WHERE i / nb >= 0.25 GROUP BY 1, 2),
 f AS (SELECT a, b, u / na + 0.03 * least(n, 4) v, row_number() OVER (PARTITION BY a ORDER BY u / na + 0.03 * least(n, 4) DESC, name) k FROM n JOIN u USING (a, name) WHERE u / na >= 0.16 AND na / u <= 6)
 SELECT a AS region, b AS set_id, round(v, 6) AS score FROM o UNION ALL SELECT a, b, round(v, 6) FROM f WHERE k = 1""")
 def semantic_match(spark, d):
     """JN9, JN24: the named candidate that explains a region, or the family of them that does."""
     c, p = candidates(spark, d), pairs(spark, d)
     both = hypotheses.both_ways(p).select("case_id", F.col("x").alias("a"), F.col("y").alias("b"), "inter", F.col("nx").alias("na"), F.col("ny").alias("nb"), "iou", "containment")
-    got = hypotheses.semantic_match(c.where("set_id % 2 = 0"), c.where("set_id % 2 = 1"), elements(spark, d), both, iou=0.24, containment=0.55, least_share=0.4)
+    got = hypotheses.semantic_match(c.where("set_id % 2 = 0"), c.where("set_id % 2 = 1"), elements(spark, d), both, iou=0.2, containment=0.32, least_share=0.25)
     return got.select("region", "set_id", r6(F.col("score")).alias("score"))
 
 
-@named(f"""WITH {_P}, {_C} SELECT a, b, round(greatest(iou, 0.85 * con), 6) AS affinity FROM p WHERE greatest(iou, 0.85 * con) >= 0.4""")
+@named(f"""WITH {_P}, {_C} SELECT a, b, round(greatest(iou, 0.85 * con), 6) AS affinity FROM p WHERE greatest(iou, 0.85 * con) >= 0.25""")
 def affinity(spark, d):
     """JN24: the greater of IoU and .85 of the containment."""
-    return overlap.affinity(pairs(spark, d)).where("affinity >= 0.4").select("a", "b", r6(F.col("affinity")).alias("affinity"))
+    return overlap.affinity(pairs(spark, d)).where("affinity >= 0.25").select("a", "b", r6(F.col("affinity")).alias("affinity"))
 
 
-_H = "j AS (SELECT a, b FROM p JOIN gm x ON x.s = a JOIN gm y ON y.s = b WHERE iou >= 0.24 OR (con >= 0.6 AND coh >= 0.38 AND sqrt((x.cx - y.cx) ** 2 + (x.cy - y.cy) ** 2) / 70 <= 0.16) OR (w * h / greatest((x.x1 - x.x0) * (x.y1 - x.y0) + (y.x1 - y.x0) * (y.y1 - y.y0) - w * h, 1) >= 0.72 AND coh >= 0.9 AND sqrt((x.cx - y.cx) ** 2 + (x.cy - y.cy) ** 2) / 70 <= 0.01))".replace("w * h", "greatest(least(x.x1, y.x1) - greatest(x.x0, y.x0), 0) * greatest(least(x.y1, y.y1) - greatest(x.y0, y.y0), 0)")
+_H = "j AS (SELECT a, b FROM p JOIN gm x ON x.s = a JOIN gm y ON y.s = b WHERE iou >= 0.16 OR (con >= 0.36 AND coh >= 0.38 AND sqrt((x.cx - y.cx) ** 2 + (x.cy - y.cy) ** 2) / 70 <= 0.16) OR (w * h / greatest((x.x1 - x.x0) * (x.y1 - x.y0) + (y.x1 - y.x0) * (y.y1 - y.y0) - w * h, 1) >= 0.72 AND coh >= 0.9 AND sqrt((x.cx - y.cx) ** 2 + (x.cy - y.cy) ** 2) / 70 <= 0.005))".replace("w * h", "greatest(least(x.x1, y.x1) - greatest(x.x0, y.x0), 0) * greatest(least(x.y1, y.y1) - greatest(x.y0, y.y0), 0)")
 
 
 @named(f"""WITH RECURSIVE {_P}, {_G}, {_H}, l AS (SELECT a, b FROM j UNION SELECT b, a FROM j UNION SELECT s, s FROM z), t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), k AS (SELECT a s, min(b) c FROM t GROUP BY 1),
 n AS (SELECT c, row_number() OVER (ORDER BY min('f::' || s), c) n FROM k GROUP BY 1) SELECT s AS set_id, 'physical:' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS "group" FROM k JOIN n USING (c)""")
 def physical_groups(spark, d):
     """JN11, GR1: candidates that show one physical object, numbered by their smallest key."""
-    same = roots.physical_hypotheses(pairs(spark, d), geometry(spark, d), F.lit(70.0), iou=0.24, containment=0.6, box_ratio=0.9, box_distance=0.01)
+    same = roots.physical_hypotheses(pairs(spark, d), geometry(spark, d), F.lit(70.0), iou=0.16, containment=0.36, box_ratio=0.9, box_distance=0.005)
     r = geometry(spark, d).select("case_id", "set_id", F.concat(F.lit("f::"), F.col("set_id").cast("string")).alias("root"))
     return roots.physical_groups(r, same).select("set_id", "group")
 
@@ -269,7 +269,7 @@ def scene_objects(spark, d):
     return roots.scene_objects(g, least_pixels=200, least_share=0.02, most=12).select("group", "reason", "object", "role")
 
 
-@named(f"""WITH {_P}, {_C}, ex AS (SELECT * FROM c WHERE s % 2 = 0), es AS (SELECT * FROM c WHERE s % 2 = 1), m AS (SELECT es.s b, max((iou, con, coh, ex.s)) v FROM (SELECT a, b, iou, con, coh FROM p UNION ALL SELECT b, a, iou, con, coh FROM p) t JOIN ex ON ex.s = t.a JOIN es ON es.s = t.b WHERE ex.s % 3 = es.s % 3 AND (iou >= 0.2 OR (con >= 0.5 AND coh >= 0.84)) GROUP BY 1),
+@named(f"""WITH {_P}, {_C}, ex AS (SELECT * FROM c WHERE s % 2 = 0), es AS (SELECT * FROM c WHERE s % 2 = 1), m AS (SELECT es.s b, max((iou, con, coh, ex.s)) v FROM (SELECT a, b, iou, con, coh FROM p UNION ALL SELECT b, a, iou, con, coh FROM p) t JOIN ex ON ex.s = t.a JOIN es ON es.s = t.b WHERE ex.s % 3 = es.s % 3 AND (iou >= 0.15 OR (con >= 0.3 AND coh >= 0.84)) GROUP BY 1),
 gi AS (SELECT v[4] a, arg_max(CASE WHEN es.s % 5 <> 0 THEN 'p' || es.s END, es.s) FILTER (es.s % 5 <> 0) pr, max(rel) r FROM m JOIN es ON es.s = b GROUP BY 1)
 SELECT ex.s AS set_id, coalesce(pr, 'p' || ex.s) AS prompt, round(greatest(rel, coalesce(r, rel)), 6) AS reliability FROM ex LEFT JOIN gi ON gi.a = ex.s UNION ALL SELECT s, CASE WHEN s % 5 <> 0 THEN 'p' || s ELSE '' END, round(rel, 6) FROM es WHERE s NOT IN (SELECT b FROM m)""")
 def reconciled_roots(spark, d):
@@ -277,7 +277,7 @@ def reconciled_roots(spark, d):
     k = F.col("set_id")
     c = candidates(spark, d).select("case_id", "set_id", F.concat(F.lit("n"), k % 3).alias("name"), F.when((k % 2 == 0) | (k % 5 != 0), F.concat(F.lit("p"), k)).otherwise("").alias("prompt"), "reliability")
     both = hypotheses.both_ways(pairs(spark, d)).select("case_id", F.col("x").alias("a"), F.col("y").alias("b"), "iou", "containment", "area_coherence")
-    out, _ = roots.reconcile(c.where("set_id % 2 = 0"), c.where("set_id % 2 = 1"), both, 0.2, 0.5)
+    out, _ = roots.reconcile(c.where("set_id % 2 = 0"), c.where("set_id % 2 = 1"), both, 0.15, 0.3)
     return out.select("set_id", "prompt", r6(F.col("reliability")).alias("reliability"))
 
 
@@ -374,19 +374,19 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BOX = """b AS (SELECT o_orderkey k, o_orderpriority c, o_orderstatus l, epoch(o_orderdate) / 86400.0 x, o_totalprice y, o_orderkey * 7919 % 1000 / 1000 sc FROM orders), it AS (SELECT *, k id, row_number() OVER (ORDER BY sc DESC, k) place FROM b),
-jo AS (SELECT p.k i, q.k j, p.place pi, q.place pj, p.l = q.l sl, (6 - abs(p.x - q.x)) * (800 - abs(p.y - q.y)) w FROM it p JOIN it q ON p.c = q.c AND p.k < q.k AND abs(p.x - q.x) < 6 AND abs(p.y - q.y) < 800), ov AS (SELECT CASE WHEN pi < pj THEN i ELSE j END f, CASE WHEN pi < pj THEN j ELSE i END s, sl FROM jo WHERE w / (9600 - w) >= 0.3)"""
+jo AS (SELECT p.k i, q.k j, p.place pi, q.place pj, p.l = q.l sl, (6 - abs(p.x - q.x)) * (800 - abs(p.y - q.y)) w FROM it p JOIN it q ON p.c = q.c AND p.k < q.k AND abs(p.x - q.x) < 6 AND abs(p.y - q.y) < 800), ov AS (SELECT CASE WHEN pi < pj THEN i ELSE j END f, CASE WHEN pi < pj THEN j ELSE i END s, sl FROM jo WHERE w / (9600 - w) >= 0.6)"""
 
 
 @named(f"""WITH RECURSIVE {_BOX}, {greedy('it', 'ov')} SELECT box_id FROM (SELECT k AS box_id, row_number() OVER (PARTITION BY c ORDER BY sc DESC, k) n FROM it WHERE k NOT IN (SELECT id FROM gone)) WHERE n <= 100""")
 def box_nms(spark, d):
     """TK2: boxes without near-equal boxes of higher score, a hundred a case."""
-    return suppression.box_nms(_boxes(spark, d), 12.0, 1600.0, 0.3, 100).select("box_id")
+    return suppression.box_nms(_boxes(spark, d), 12.0, 1600.0, 0.6, 100).select("box_id")
 
 
 @named(f"""WITH RECURSIVE {_BOX}, {greedy('it', 'ov')}, t AS (SELECT k, c, sc, row_number() OVER (PARTITION BY c, l ORDER BY sc DESC, k) turn FROM it WHERE k NOT IN (SELECT id FROM gone)) SELECT k AS box_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn, sc DESC, k) n FROM t) WHERE n <= 60""")
 def root_detections(spark, d):
     """TK3: distinct boxes across labels, dealt in turns over the labels."""
-    return suppression.root_detections(_boxes(spark, d), 12.0, 1600.0, 0.3, 60).select("box_id", "turn")
+    return suppression.root_detections(_boxes(spark, d), 12.0, 1600.0, 0.6, 60).select("box_id", "turn")
 
 
 @named(f"""WITH RECURSIVE {_BOX}, sl AS (SELECT f, s FROM ov WHERE sl), {greedy('it', 'sl')}, m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c, l ORDER BY sc DESC, k) turn FROM it WHERE k NOT IN (SELECT id FROM gone)) WHERE turn <= CASE l WHEN 'P' THEN 5 ELSE 40 END)
@@ -394,7 +394,7 @@ SELECT k AS box_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER
 def child_detections(spark, d):
     """TK4: a quota for each class, dealt in turns of score times priority."""
     b = _boxes(spark, d).withColumns({"most": F.when(F.col("label") == "P", 5).otherwise(40), "priority": F.when(F.col("label") == "O", 1.5).otherwise(1.0)})
-    return suppression.child_detections(b, 12.0, 1600.0, 0.3, 60).select("box_id", "turn")
+    return suppression.child_detections(b, 12.0, 1600.0, 0.6, 60).select("box_id", "turn")
 
 
 @named("""WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) p FROM part), n AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) p FROM part), x AS (SELECT n.p hint, t.p phrase, string_split(n.p, ' ') h, string_split(t.p, ' ') q FROM n, t)

@@ -58,6 +58,44 @@ def previous_package(spark: SparkSession, path: str) -> DataFrame:
     return x
 
 
+def merge_lists(base: DataFrame, extension: DataFrame, key: str, lists: list[str]) -> DataFrame:
+    """``base`` with its list columns followed by what ``extension`` (key, lists) adds, in order and without repeats; an unknown key raises."""
+    unknown = extension.join(base.select(key), key, "left_anti")
+    if not unknown.isEmpty():
+        raise ValueError(f"unknown {key}: {unknown.first()[key]}")
+    add = extension.select(key, *(F.col(c).alias(f"_{c}") for c in lists))
+    none = lambda c: F.array().cast(dict(base.dtypes)[c])
+    both = {c: F.array_distinct(F.concat(F.coalesce(c, none(c)), F.coalesce(f"_{c}", none(c)))) for c in lists}
+    return base.join(add, key, "left").withColumns(both).drop(*(f"_{c}" for c in lists))
+
+
+def masks(spark: SparkSession, path: str, least: int = 128) -> DataFrame:
+    """(path, width, height, e) of image files: pixels whose grey value is at least ``least``."""
+    import numpy as np
+    import pandas as pd
+
+    x = spark.read.format("image").load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+
+    def of(batches):
+        for t in batches:
+            out = []
+            for p, w, h, n, b in zip(t["origin"], t["width"], t["height"], t["nChannels"], t["data"]):
+                a = np.frombuffer(b, np.uint8).reshape(h, w, n).astype(float)
+                # stored blue, green, red
+                grey = a[:, :, 0] if n == 1 else np.rint(0.114 * a[:, :, 0] + 0.587 * a[:, :, 1] + 0.299 * a[:, :, 2])
+                out += [(p, w, h, int(e)) for e in np.flatnonzero(grey >= least)]
+            yield pd.DataFrame(out, columns=["path", "width", "height", "e"])
+
+    return x.mapInPandas(of, "path string, width int, height int, e long")
+
+
+def tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of one JSON document: each top-level list as rows of its schema, absent lists empty."""
+    schema = ", ".join(f"`{name}` array<struct<{of}>>" for name, of in schemas.items())
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    return {name: doc.select(F.explode(F.col(f"`{name}`")).alias("x")).select("x.*") for name in schemas}
+
+
 def merge_extension(base: DataFrame, extension: DataFrame, keys: list[str], domain: str) -> DataFrame:
     """Append-only merge: an extension may not repeat a key or name an unknown domain."""
     twice = extension.join(base.select(*keys), keys, "left_semi")

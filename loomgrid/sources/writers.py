@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .readers import hashed_files
 
@@ -25,6 +26,31 @@ def union_csv(parts: list[DataFrame], path: str) -> None:
     out.select(*sorted(out.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
+def json_safe(rows: DataFrame, name: str = "json") -> DataFrame:
+    """One column of JSON texts; numbers that JSON doesn't have (infinite, not a number) become null."""
+    safe = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c)
+    cols = [safe(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+    return rows.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(name))
+
+
+def summary(rows: DataFrame, folder: str, key: str = "case_id") -> DataFrame:
+    """All cases of a benchmark after this run: the folder's rows, with ``rows`` in place of those of the same key. Written beside and then moved in."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = rows
+    if fs.exists(at):
+        before = spark.read.parquet(folder)
+        out = before.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+    new = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "-new")
+    out.write.mode("overwrite").parquet(new.toString())
+    fs.delete(at, True)
+    fs.rename(new, at)
+    return spark.read.parquet(folder)
+
+
 def audit(candidates: DataFrame, folder: str) -> None:
-    """Candidates of each case, one folder per case, sorted by index inside files."""
+    """Candidates of each case, numbered from 1 by score, one folder per case, sorted by number inside files."""
+    w = Window.partitionBy("case_id").orderBy(F.desc("score"), "candidate_index")
+    candidates = candidates.withColumn("candidate_index", F.row_number().over(w))
     candidates.repartition("case_id").sortWithinPartitions("case_id", "candidate_index").write.mode("overwrite").partitionBy("case_id").parquet(folder)

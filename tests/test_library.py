@@ -77,9 +77,13 @@ def test_caps_quotas_and_turns(spark):
     assert [r.id for r in suppression.quota(g, ["scope"], [F.desc("score")], 1).orderBy("id").collect()] == [3, 9]
     x = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 8.0), ("b", 3, 1.0)], "g string, id long, score double").withColumn("s", F.lit(0))
     assert sorted(r.id for r in suppression.round_robin(x, ["s"], ["g"], [F.desc("score")], 2).collect()) == [1, 3]
-    i = spark.createDataFrame([(1, 0.9), (2, 0.88), (3, 0.2)], "item long, score double")
+    i = spark.createDataFrame([(1, 0.9, "x", "p"), (2, 0.88, "y", "p"), (3, 0.2, "z", "p")], "item long, score double, name string, parent string")
     e = spark.createDataFrame([(1, 2)], "a long, b long")
     assert [r.item for r in suppression.ambiguous_duplicates(i, e).collect()] == [3]
+    i = spark.createDataFrame([(1, 0.5, "wheel", "car"), (2, 0.88, "tyre", "wheel"), (3, 0.87, "rim", "wheel")], "item long, score double, name string, parent string")
+    e = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    kept = suppression.ambiguous_duplicates(i, e).collect()
+    assert [(r.item, r.collapsed) for r in kept] == [(1, ["rim", "tyre"])]
 
 
 def test_graph(spark):
@@ -282,8 +286,8 @@ def test_regions(spark):
     q = spark.createDataFrame([(1, "A", 0.8), (1, "B", 0.2)], "item int, parent string, p double")
     assert {v.label: round(v.probability, 6) for v in regions.conditioned(c, q, 1.0).collect()} == {"a": 0.8, "b": 0.2}
     one = spark.range(1)
-    t = one.select(regions.nearest_colour(F.lit(250), F.lit(3), F.lit(0), [(0, 0, 0), (255, 0, 0), (255, 0, 0)]).alias("n"), regions.canonical(F.lit("tyre"), {}, {"tyre": "wheel"}).alias("w"), regions.completion_reason(F.lit(0.9), F.lit(0.9), F.lit(0.5), F.lit(1.0), F.lit(1.0)).alias("r"), regions.compose(F.lit(False), F.lit(True), F.lit(1), F.lit(2)).alias("v")).first()
-    assert tuple(t) == (1, "wheel", "low_precision", 2)
+    t = one.select(regions.nearest_colour(F.lit(250), F.lit(3), F.lit(0), [(0, 0, 0), (255, 0, 0), (255, 0, 0)]).alias("n"), regions.canonical(F.lit("tyre"), {}, {"tyre": "wheel"}).alias("w"), regions.completion_reason(F.lit(0.9), F.lit(0.9), F.lit(0.5), F.lit(10.0), F.lit(100.0), F.lit(1.0), F.lit(1.0)).alias("r"), regions.compose(F.lit(False), F.lit(True), F.lit(1), F.lit(2)).alias("v")).first()
+    assert tuple(t) == (1, "wheel", "proposal_leaks_outside_occluder_search", 2)
 
 
 def test_parents_priors_routing_and_audits(spark):
