@@ -497,10 +497,10 @@ def package_status(spark, d):
     return x.select("case_id", F.array_join("reasons", ",").alias("reasons"), "status")
 
 
-@named("""WITH g AS (SELECT o_custkey c, o_orderkey k, o_orderpriority n, o_totalprice / 500000 s FROM orders), r AS (SELECT *, row_number() OVER w i, lead(s) OVER w s2, lead(n) OVER w n2 FROM g WINDOW w AS (PARTITION BY c ORDER BY s DESC, k)) SELECT c AS case_id, coalesce(s2 >= 0.55 AND (s - s2 <= 0.03 OR (n <> n2 AND s - s2 <= 0.16)), false) AS ambiguous, round(s - s2, 6) AS margin FROM r WHERE i = 1""")
+@named("""WITH g AS (SELECT o_custkey c, o_orderkey k, o_orderpriority n, o_totalprice / 512347 s FROM orders), r AS (SELECT *, row_number() OVER w i, lead(s) OVER w s2, lead(n) OVER w n2 FROM g WINDOW w AS (PARTITION BY c ORDER BY s DESC, k)) SELECT c AS case_id, coalesce(s2 >= 0.55 AND (s - s2 <= 0.03 OR (n <> n2 AND s - s2 <= 0.16)), false) AS ambiguous, round(s - s2, 6) AS margin FROM r WHERE i = 1""")
 def target_ambiguity(spark, d):
     """VL8: targets that a close second leaves open."""
-    g = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("group"), F.col("o_orderpriority").alias("name"), (F.col("o_totalprice") / 500000).alias("score"))
+    g = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("group"), F.col("o_orderpriority").alias("name"), (F.col("o_totalprice") / 512347).alias("score"))
     return validation.target_ambiguous(g).withColumn("margin", r6(F.col("margin")))
 
 
