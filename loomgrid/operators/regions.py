@@ -147,7 +147,7 @@ def width_profile(elem: DataFrame, bins: int) -> DataFrame:
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     x = x.select("root", (dx * F.col("dx") + dy * F.col("dy")).alias("u"), (dy * F.col("dx") - dx * F.col("dy")).alias("v"))
     span = x.groupBy("root").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("hi - lo >= 8.0")
-    x = x.join(span, "root").withColumn("bin", F.least(F.floor((F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int"))
+    x = x.join(span, "root").withColumn("bin", F.least(F.floor(F.round((F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins, 9)), F.lit(bins - 1)).cast("int"))
     width = F.percentile("v", F.lit(0.95)) - F.percentile("v", F.lit(0.05))
     g = x.groupBy("root", "bin").agg(F.count(F.lit(1)).alias("n"), width.alias("w")).withColumn("w", F.when((F.col("n") >= 2) & (F.col("w") > 0), F.col("w")))
     filled = g.groupBy("root").agg(F.count("w").alias("_f")).where(F.col("_f") >= max(4, bins // 4)).select("root")

@@ -195,7 +195,7 @@ def attached_pieces(spark, d):
 
 
 @named(f"""WITH e AS (SELECT DISTINCT l_suppkey r, l_partkey % 64 x, l_partkey // 64 y FROM lineitem WHERE (l_partkey % 64) * 2 BETWEEN l_partkey // 64 - 20 AND l_partkey // 64 + 60), m AS (SELECT r, avg(x) mx, avg(y) my, 0.5 * atan2(2 * covar_samp(x, y), covar_samp(x, x) - covar_samp(y, y)) t FROM e GROUP BY 1 HAVING count(*) >= 24),
-u AS (SELECT r, (x - mx) * cos(t) + (y - my) * sin(t) u, (y - my) * cos(t) - (x - mx) * sin(t) v FROM e JOIN m USING (r)), s AS (SELECT r, min(u) lo, max(u) hi FROM u GROUP BY 1 HAVING hi - lo >= 8), b AS (SELECT r, least(floor((u - lo) / (hi - lo) * 8), 7)::INT b, count(*) n, quantile_cont(v, 0.95) - quantile_cont(v, 0.05) w FROM u JOIN s USING (r) GROUP BY 1, 2),
+u AS (SELECT r, (x - mx) * cos(t) + (y - my) * sin(t) u, (y - my) * cos(t) - (x - mx) * sin(t) v FROM e JOIN m USING (r)), s AS (SELECT r, min(u) lo, max(u) hi FROM u GROUP BY 1 HAVING hi - lo >= 8), b AS (SELECT r, least(floor(round((u - lo) / (hi - lo) * 8, 9)), 7)::INT b, count(*) n, quantile_cont(v, 0.95) - quantile_cont(v, 0.05) w FROM u JOIN s USING (r) GROUP BY 1, 2),
 g AS (SELECT r, k b, coalesce(n, 0) n, CASE WHEN n >= 2 AND w > 0 THEN w END w FROM (SELECT r FROM b WHERE n >= 2 AND w > 0 GROUP BY 1 HAVING count(*) >= 4) q CROSS JOIN range(0, 8) x(k) LEFT JOIN b USING (r) WHERE b.b = k OR b.b IS NULL),
 f AS (SELECT *, last_value(CASE WHEN w IS NOT NULL THEN {{'b': b, 'w': w}} END IGNORE NULLS) OVER (PARTITION BY r ORDER BY b ROWS UNBOUNDED PRECEDING) p, first_value(CASE WHEN w IS NOT NULL THEN {{'b': b, 'w': w}} END IGNORE NULLS) OVER (PARTITION BY r ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) q FROM g),
 i AS (SELECT r, b, n, coalesce(p.w + (q.w - p.w) * (b - p.b) / greatest(q.b - p.b, 1), p.w, q.w) w FROM f) SELECT r AS root, b AS bin, n, round((coalesce(lag(w) OVER z, w) + w + coalesce(lead(w) OVER z, w)) / 3, 4) AS width FROM i WINDOW z AS (PARTITION BY r ORDER BY b)""".replace("LEFT JOIN b USING (r) WHERE b.b = k OR b.b IS NULL", "LEFT JOIN b ON b.r = q.r AND b.b = k").replace("g AS (SELECT r, k b", "g AS (SELECT q.r, k b"))
