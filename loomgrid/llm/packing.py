@@ -257,8 +257,10 @@ def evolve_blocks(items: DataFrame) -> DataFrame:
     """One row per block and island of ``items`` (block, row, piece, length): its packings as the bin of each piece
     (best first), the best one's number of bins, and how many children were bred and immigrants taken in."""
     x = items.select("block", *_ORDER, "length").groupBy("block").applyInArrow(_found, _STATE)
+    # islands are small rows and much work, so they are dealt to tasks by number and not by size
+    tasks = 4 * items.sparkSession.sparkContext.defaultParallelism
     for era in range(ERAS):
-        x = x.groupBy("block", "island").applyInArrow(_era(era), _STATE)
+        x = x.repartition(tasks, "block", "island").groupBy("block", "island").applyInArrow(_era(era), _STATE)
     return x
 
 
