@@ -378,3 +378,59 @@ def pack_bits(elem: DataFrame, width: int, height: int) -> DataFrame:
         return pd.DataFrame({"case_id": [t["case_id"].iloc[0]], "set_id": [t["set_id"].iloc[0]], "bits": [np.packbits(m.reshape(height, width), axis=1).tobytes()]})
 
     return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, bits binary")
+
+
+def tidy(elem: DataFrame, width: int, height: int, hole: int, least: int) -> DataFrame:
+    """Sets with holes of at most ``hole`` pixels that don't touch the border filled, and then, of several components, those smaller
+    than ``least`` and than the largest taken away."""
+
+    def of(mask: np.ndarray):
+        holes = label_components(~mask)
+        border = np.unique(np.concatenate([holes[0], holes[-1], holes[:, 0], holes[:, -1]]))
+        n = np.bincount(holes.ravel())
+        fill = [k for k in range(1, len(n)) if n[k] <= hole and k not in border]
+        out = mask | np.isin(holes, fill)
+        parts = label_components(out)
+        n = np.bincount(parts.ravel())
+        if len(n) > 2:
+            out &= ~np.isin(parts, [k for k in range(1, len(n)) if n[k] < least and n[k] < n[1:].max()])
+        return np.flatnonzero(out), {}
+
+    kinds = dict(elem.dtypes)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros(width * height, bool)
+        m[t["e"].to_numpy()] = True
+        e, _ = of(m.reshape(height, width))
+        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "set_id": t["set_id"].iloc[0], "e": e})
+
+    return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, e long")
+
+
+def heat_regions(heat: DataFrame, width: int, height: int, most: int, peak: float, contrast: float, quantile: float, ratio: float, padding: float) -> DataFrame:
+    """(case_id, rank, x0, y0, x1, y1, peak) of the separate hot regions of heat maps (case_id, e, p); pixels without a row don't take part.
+
+    A map needs a high enough peak over its median. Pixels above the quantile, the median plus ``contrast`` and ``ratio``
+    of the peak are hot; their components of eight pixels and more get a padded box, hottest first.
+    """
+    kinds = dict(heat.dtypes)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        p, e = t["p"].to_numpy(float), t["e"].to_numpy()
+        top, median = p.max(), float(np.median(p))
+        out = []
+        if top >= peak and top - median >= contrast:
+            grid, hot = np.full(width * height, -np.inf), np.zeros(width * height, bool)
+            grid[e] = p
+            hot[e] = p >= max(float(np.quantile(p, quantile)), median + contrast, top * ratio)
+            parts = label_components(hot.reshape(height, width))
+            for k in range(1, parts.max() + 1):
+                ys, xs = np.nonzero(parts == k)
+                if len(xs) >= 8:
+                    w, h = int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
+                    pad = max(3, round(max(w, h) * padding))
+                    out.append((float(grid[ys * width + xs].max()), max(0, int(xs.min()) - pad), max(0, int(ys.min()) - pad), min(width, int(xs.min()) + w + pad), min(height, int(ys.min()) + h + pad)))
+        out.sort(key=lambda r: (-r[0], r[1:]))
+        return pd.DataFrame([(t["case_id"].iloc[0], k + 1, *r[1:], r[0]) for k, r in enumerate(out[:most])], columns=["case_id", "rank", "x0", "y0", "x1", "y1", "peak"])
+
+    return heat.select("case_id", "e", "p").groupBy("case_id").applyInPandas(one, f"case_id {kinds['case_id']}, rank int, x0 int, y0 int, x1 int, y1 int, peak double")

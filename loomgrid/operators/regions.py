@@ -177,3 +177,28 @@ def known_classes(rows: DataFrame, column: str, classes: int) -> DataFrame:
     """``rows`` whose class is a number from 0; others raise when they are read."""
     ok = F.col(column).between(0, classes - 1)
     return rows.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))))
+
+
+def region_names(regions_: DataFrame) -> DataFrame:
+    """``regions_`` (case_id, set_id, root, root_key, generic, kind, x0, y0, area) with key and name: numbered in each root from top to bottom,
+    left to right, large ones first; generic ones are named by kind and number in it."""
+    order = ["y0", "x0", F.desc("area"), F.col("set_id")]
+    n = F.row_number().over(Window.partitionBy("case_id", "root").orderBy(*order))
+    k = F.row_number().over(Window.partitionBy("case_id", "root", "generic", "kind").orderBy(*order))
+    key = F.format_string("%s/visual-region:%02d", F.col("root_key"), n)
+    return regions_.withColumn("key", key).withColumn("name", F.when(F.col("generic"), F.format_string("%s_visual_%s_%02d", F.col("root"), F.col("kind"), k)))
+
+
+def segment_errors(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """(case_id, segment, weight, mean, error) of segments (case_id, segment, start, end) of weighted points (case_id, place, x, w):
+    the weighted mean and squared error of places start to end - 1; infinite without weight.
+
+    Running sums make every segment two look-ups, however long it is.
+    """
+    w = Window.partitionBy("case_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    up = points.select("case_id", F.col("place"), *(F.sum(e).over(w).alias(n) for n, e in (("sw", F.col("w")), ("sx", F.col("w") * F.col("x")), ("sq", F.col("w") * F.col("x") ** 2))))
+    at = lambda s: up.select("case_id", (F.col("place") + 1).alias(s), *(F.col(k).alias(f"{s}_{k}") for k in ("sw", "sx", "sq")))
+    x = segments.join(at("end"), ["case_id", "end"], "left").join(at("start"), ["case_id", "start"], "left")
+    d = lambda k: F.coalesce(f"end_{k}", F.lit(0.0)) - F.coalesce(f"start_{k}", F.lit(0.0))
+    weight, mean = d("sw"), d("sx") / d("sw")
+    return x.select("case_id", "segment", weight.alias("weight"), F.when(weight > 0, mean).otherwise(0.0).alias("mean"), F.when(weight > 0, F.greatest(d("sq") - d("sw") * mean * mean, F.lit(0.0))).otherwise(float("inf")).alias("error"))

@@ -124,3 +124,60 @@ def ambiguous_duplicates(items: DataFrame, conflicts: DataFrame, min_gap: float
     gone = m.where(goes).select(F.col("b").alias("item")).distinct()
     taken = m.where("b <> anchor_id").groupBy(F.col("anchor_id").alias("item")).agg(F.sort_array(F.collect_set("name")).alias("collapsed"))
     return items.join(gone, "item", "left_anti").join(taken, "item", "left")
+
+
+def distinct_items(items: DataFrame, pairs: DataFrame, iou: float = 0.50, containment: float = 0.85) -> DataFrame:
+    """``items`` (case_id, set_id, score) that no better kept one repeats, by overlap measures ``pairs``; ties go to the smaller id."""
+    key = lambda s: F.struct("case_id", F.col(s).alias("set_id"))
+    near = pairs.where((F.col("iou") >= iou) | (F.col("containment") >= containment)).select(key("a").alias("a"), key("b").alias("b"))
+    order = items.select(key("set_id").alias("item"), F.struct((-F.col("score")).alias("s"), "case_id", "set_id").alias("place"))
+    kept = greedy_suppression(order, near).where("kept").select("item.*")
+    return items.join(kept, ["case_id", "set_id"], "left_semi")
+
+
+def balanced(items: DataFrame, pairs: DataFrame, limits: dict[str, int], most: int, iou: float = 0.82) -> DataFrame:
+    """Distinct ``items`` (case_id, set_id, score, size) with slots reserved by size: ``limits`` in order of preference, then the
+    best of the rest, up to ``most`` a case."""
+    x = distinct_items(items, pairs, iou, 2.0)
+    best = [F.desc("score"), F.col("set_id")]
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("case_id", "size").orderBy(*best)))
+    order = list(limits)
+    most_of = F.coalesce(*(F.when(F.col("size") == s, n) for s, n in limits.items()), F.lit(0))
+    place = F.coalesce(*(F.when(F.col("size") == s, k) for k, s in enumerate(order)), F.lit(len(order)))
+    x = x.withColumn("_r", F.when(F.col("_k") <= most_of, place).otherwise(len(order)))
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("_r", *best))
+    return x.withColumn("_n", n).where(F.col("_n") <= most).drop("_k", "_r", "_n")
+
+
+def pruned_envelopes(boxes: DataFrame, cell_x: float, cell_y: float, threshold: float = 0.68) -> DataFrame:
+    """``boxes`` (case_id, box_id, x0, y0, x1, y1, envelope, quality, area) without envelopes that a better one (then the smaller) repeats."""
+    e = boxes.where("envelope").select("case_id", "box_id", "x0", "y0", "x1", "y1", "quality", "area")
+    p = box_pairs(e, cell_x, cell_y).where(F.col("iou") >= threshold)
+    place = F.struct((-F.col("quality")).alias("q"), "area", "box_id")
+    gone = greedy_suppression(e.select(F.col("box_id").alias("item"), place.alias("place")), p.select("a", "b")).where("NOT kept")
+    return boxes.join(gone.select(F.col("item").alias("box_id")), "box_id", "left_anti")
+
+
+def audit_budget(roots: DataFrame, limit: int, least: float = 2.0, minority: float = 0.12, natural: float = 0.5) -> DataFrame:
+    """The roots of a case that most need a look: (case_id, root, priority), at most ``limit`` a case.
+
+    roots: (case_id, root, name, score, evidence, global_domain, visual_domain, agreement, consensus, conflict,
+    uncertain, unresolved, manmade). Each sign of doubt adds to the priority; roots below ``least`` are left out.
+    Fixed values: the numbers below.
+    """
+    c, w = F.col, Window.partitionBy("case_id")
+    n, same = F.count(F.lit(1)).over(w), F.count(F.lit(1)).over(Window.partitionBy("case_id", "name"))
+    share = F.avg(c("name").isin("natural_object", "terrain").cast("double")).over(w)
+    scene = (share >= natural) | ((F.max((c("name") == "terrain").cast("int")).over(w) > 0) & (share >= 0.25))
+    add = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), v).otherwise(0.0)
+    known = add(c("global_domain") != c("name"), 3.0) + add(c("visual_domain") != c("name"), 2.0) + add(~c("agreement") & ~c("consensus"), 2.0) + add(c("conflict"), 2.0) + add(c("consensus"), -3.0)
+    p = add(c("uncertain"), 5.0) + F.when(c("evidence"), known).otherwise(1.5 + add(c("unresolved"), 1.0)) + add(scene & c("manmade"), 4.0) + add(same / n <= minority, 1.0) + add((c("name") == "character") & ~c("uncertain") & ~c("conflict"), -5.0)
+    x = roots.withColumn("priority", p).withColumn("_s", same).where(F.col("priority") >= least)
+    k = F.row_number().over(w.orderBy(F.desc("priority"), "_s", F.desc("score"), "root"))
+    return x.withColumn("_k", k).where(F.col("_k") <= limit).select("case_id", "root", "priority")
+
+
+def suspicion(score: Column, share: Column, most_share: Column, confirmed: Column) -> Column:
+    """How much a part's name needs a look. The numbers."""
+    clip = lambda v, hi: F.least(F.greatest(v, F.lit(0.0)), F.lit(hi))
+    return 1.0 - clip(score, 1.0) + 0.45 * clip(share / F.greatest(most_share, F.lit(1e-6)), 1.5) + F.when(confirmed, 0.0).otherwise(0.08)
