@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: two shuffles a round, O(log n) rounds, nothing collected but a
     count and a checksum.
     """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", compact=True)
     before = _state(e)
     for _ in range(max_rounds):
         if not before[0]:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = materialize(large.join(least, "u").select(F.explode(pairs).alias("x")).select("x.*").where("u <> v").distinct(), "edges")
+        e = materialize(large.join(least, "u").select(F.explode(pairs).alias("x")).select("x.*").where("u <> v").distinct(), "edges", compact=True)
         after = _state(e)
         if after == before:
             break

@@ -43,11 +43,13 @@ def confusion(rows: DataFrame, keys: list[str], predicted: Column, truth: Column
     return x.withColumns({"precision": p, "recall": r, "f1": 2 * p * r / F.greatest(p + r, F.lit(1e-12)), "review_rate": (F.col("tp") + F.col("fp")) / F.greatest(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.lit(1))})
 
 
-def mean_ranks(rows: DataFrame, value: str, parts: int = 200) -> DataFrame:
+def mean_ranks(rows: DataFrame, value: str, parts: int | None = None) -> DataFrame:
     """(value, n, rank): each value's number of rows and mean rank among all rows.
 
-    Values are counted, dealt into ``parts`` ranges and summed by range first; each task then orders one range.
+    Values are counted, dealt into ``parts`` ranges (the session's shuffle partitions) and summed by range first; each
+    task then orders one range.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     n = materialize(n.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id()), "counts")
     up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``parts`` rows

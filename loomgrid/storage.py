@@ -41,9 +41,14 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 @contextlib.contextmanager
-def lean_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
-    """Inside the block this session's Arrow batches are bounded by rows and by bytes; the settings then return."""
+def lean_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES, compact: bool = False) -> Iterator[None]:
+    """Inside the block this session's Arrow batches are bounded by rows and by bytes; the settings then return.
+
+    compact: shuffled partitions are merged up to the advisory size, so that small tables are few files.
+    """
     most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    if compact:
+        most["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
     before = {k: spark.conf.get(k, None) for k in most}
     for k, v in most.items():
         spark.conf.set(k, str(v))
@@ -94,11 +99,14 @@ def delete_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder, with bounded Arrow batches, and read it back, so later stages start from files."""
+def materialize(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, with bounded Arrow batches, and read it back, so later stages start from files.
+
+    compact: for results that are cheap to make once shuffled; small ones are then few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}/{label}"
-    with lean_batches(spark):
+    with lean_batches(spark, compact=compact):
         df.write.parquet(path)
     if Scratch._open:
         Scratch._open[-1].tables.append(path)

@@ -185,3 +185,15 @@ def test_unknown_classes_raise(spark):
     assert regions.known_classes(x, "class", 4).count() == 2
     with pytest.raises(Exception, match="unknown class 3"):
         regions.known_classes(x, "class", 3).collect()
+
+
+def test_metric_weights_favour_what_separates():
+    from loomgrid.functions.vectors import metric_weights
+
+    rng = np.random.default_rng(7)
+    labels, groups = np.repeat([0, 1, 2], 10), np.arange(30)
+    x = rng.normal(size=(30, 6))
+    x[:, 0], x[:, 1] = 1.5 * np.cos(2 * labels), 1.5 * np.sin(2 * labels)
+    w = metric_weights(x, labels, groups)
+    assert w[:2].min() > w[2:].max() and abs(w.mean() - 1) < 0.2
+    assert (metric_weights(x[:3], [0, 0, 1], [0, 0, 1]) == 1).all()
