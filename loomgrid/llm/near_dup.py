@@ -148,7 +148,7 @@ class _Texts:
 
     def compare(self, pairs: DataFrame, apart: bool = False) -> DataFrame:
         """Pairs (a, b), already written, with ``linked`` and, if asked for, the shingles ``apart``."""
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", compact=True)
         sets = materialize(self.of(ids).select("id", F.arrow_udf(_sets, "binary")("text").alias("s")), "sets")
         x = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         x = x.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -167,7 +167,7 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _open(entries: DataFrame) -> DataFrame:
     """Entries of buckets that hold several components, with the bucket's number of rows."""
     b = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
-    return meet(entries.drop("rows"), materialize(b, "buckets"), ["key"])
+    return meet(entries.drop("rows"), materialize(b, "buckets", compact=True), ["key"])
 
 
 def _centres(entries: DataFrame, by_size: bool) -> DataFrame:
@@ -179,7 +179,7 @@ def _centres(entries: DataFrame, by_size: bool) -> DataFrame:
     else:
         least = F.struct("id", "n", "comp")
     c = entries.groupBy("key").agg(F.min(least).alias("c"), F.count(F.lit(1)).alias("rows"))
-    return materialize(c.select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"), "rows"), "centres")
+    return materialize(c.select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"), "rows"), "centres", compact=True)
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -235,7 +235,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     spark = docs.sparkSession
     with Scratch(spark) as made:
         d = materialize(given.select("id", describe(F.col("text")).alias("d")).select("id", "d.n", "d.key", F.when(F.col("id").isNotNull(), F.col("d.bands")).alias("bands")), "described")
-        heads = materialize(d.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "heads")
+        heads = materialize(d.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "heads", compact=True)
         texts = _Texts(given, percent, broadcast_ids)
         links = tested = labels = None
 
@@ -244,7 +244,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             nonlocal links, tested, labels
             with Scratch(spark) as here:
                 pairs = of()
-                pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
+                pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs", compact=True)
                 if pairs.isEmpty():
                     return
                 here.keep(pairs)
@@ -253,15 +253,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
                 if not new.isEmpty():
                     here.keep(new)
                     links = links.unionByName(new) if links is not None else new
-                    labels = here.keep(materialize(connected_components(links), "labels"))
+                    labels = here.keep(materialize(connected_components(links), "labels", compact=True))
 
         entries = heads.select("id", "n", F.explode("bands").alias("key"))
-        met = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "met")
-        entries = materialize(meet(entries, met, ["key"]), "entries")
+        met = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "met", compact=True)
+        entries = materialize(meet(entries, met, ["key"]), "entries", compact=True)
         link(lambda: _star_pairs(_labelled(entries, None), texts))
 
         def rest() -> DataFrame:
-            here = materialize(_open(_labelled(entries, labels)), "open")
+            here = materialize(_open(_labelled(entries, labels)), "open", compact=True)
             pairs, wide = _cross_pairs(here.where(F.col("rows") <= bucket_rows), texts), here.where(F.col("rows") > bucket_rows)
             return pairs if wide.isEmpty() else pairs.unionByName(_difference_pairs(wide, texts)).distinct()
 
@@ -270,16 +270,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         heads = heads.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "rows") if labels is not None else heads.select("key", F.col("id").alias("component"), "rows")
         d = d.select("id", F.col("n").alias("n_shingles"), "key")
         alone = d.where("key IS NULL").withColumn("component", F.col("id"))
-        found = meet(d.where("key IS NOT NULL"), materialize(heads, "classes"), ["key"], "left").drop("rows")
+        found = meet(d.where("key IS NOT NULL"), materialize(heads, "classes", compact=True), ["key"], "left").drop("rows")
         out = found.unionByName(alone).select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-        return made.keep(materialize(out, "components"))
+        return made.keep(materialize(out, "components", compact=True))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, broadcast_ids: int = 2_000_000) -> DataFrame:
     """``docs`` without the members of a group whose id isn't the group's smallest; rows of null id stay."""
     name = fresh("gone", docs)
     with Scratch(docs.sparkSession) as made:
-        gone = made.keep(materialize(classes(docs, id_col, text_col, percent).where("id <> component").select(F.col("id").alias(name)).distinct(), "gone"))
+        gone = made.keep(materialize(classes(docs, id_col, text_col, percent).where("id <> component").select(F.col("id").alias(name)).distinct(), "gone", compact=True))
     return docs.join(small(gone, broadcast_ids), F.col(id_col) == F.col(name), "left_anti")
 
 

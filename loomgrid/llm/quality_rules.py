@@ -112,7 +112,7 @@ def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
     rate_ = fresh("host_rate_", docs)
     measured = docs.withColumn(m, measure(F.col(text_col)))
     measured = materialize(measured if texts else measured.drop(text_col), "measured")
-    hosts = materialize(measured.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(rule_failed(m).cast("long")).alias("fails")), "hosts")
+    hosts = materialize(measured.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(rule_failed(m).cast("long")).alias("fails")), "hosts", compact=True)
     t = hosts.agg(
         F.count(F.lit(1)).alias("hosts"),
         *(F.coalesce(F.sum(e).cast("double"), F.lit(0.0)).alias(k) for k, e in (("docs", F.col("docs")), ("fails", F.col("fails")), ("docs2", F.col("docs").cast("double") ** 2), ("fails2_per_doc", F.col("fails").cast("double") ** 2 / F.col("docs")))),
