@@ -9,7 +9,7 @@ from ..storage import Scratch, delete_table, lean_batches, materialize, meet, sh
 __all__ = ["Scratch", "WordCache", "delete_table", "fresh", "lean_batches", "materialize", "meet", "shared_dir", "small", "table"]
 
 #: Bytes that either generation of a worker's cache may hold, and what an entry costs besides its text and value.
-CACHE_BYTES, ENTRY_BYTES = 24 << 20, 170
+CACHE_BYTES, ENTRY_BYTES = 52 << 20, 170
 
 
 def fresh(name: str, df: DataFrame) -> str:
