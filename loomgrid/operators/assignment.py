@@ -136,3 +136,28 @@ def semantic_threshold_scores(predicted: DataFrame, truth: DataFrame) -> DataFra
     hits = counts.join(m, "case_id", "left").groupBy("case_id", "threshold", "np", "nt").agg(F.count_if(F.col("iou") >= F.col("threshold")).alias("tp"))
     p, r = F.col("tp") / F.greatest("np", F.lit(1)), F.col("tp") / F.greatest("nt", F.lit(1))
     return hits.select("case_id", "threshold", p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-12))).alias("f1"))
+
+
+def component_scores(predicted: DataFrame, truth: DataFrame, width: int, height: int, least_iou: float = 0.25, least_area: int = 12, small: float = 0.01) -> DataFrame:
+    """(case_id, precision, recall, f1, small_recall, count_error) of the four-connected components of label maps (case_id, e, label).
+
+    Components of one label match one to one by IoU. small_recall is over true components of at most ``small`` of the
+    foreground, 1 without any; count_error sums the labels' differences in number. Labels that the truth lacks don't
+    count; components below ``least_area`` don't either.
+    """
+    from .raster import components
+
+    known = truth.select("case_id", "label").distinct()
+    parts = lambda x: components(x.select("case_id", F.col("label").alias("set_id"), "e"), width, height, False, least_area).select(F.struct("case_id", F.col("set_id").alias("label")).alias("case_id"), F.col("component").alias("set_id"), "e")
+    p, t = parts(predicted.join(known, ["case_id", "label"], "left_semi")), parts(truth)
+    m = assign(cross_overlap(p, t), "iou").where(F.col("iou") >= least_iou)
+    size = t.groupBy("case_id", "set_id").agg(F.count(F.lit(1)).alias("n"))
+    front = truth.groupBy("case_id").agg(F.count(F.lit(1)).alias("front"))
+    s = size.join(m.select("case_id", F.col("b").alias("set_id"), F.lit(1).alias("hit")), ["case_id", "set_id"], "left")
+    s = s.select("case_id.case_id", "case_id.label", "n", "hit").join(front, "case_id").withColumn("is_small", F.col("n") / F.col("front") <= small)
+    per = s.groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("nt"), F.count("hit").alias("tp"), F.count_if("is_small").alias("ns"), F.count(F.when(F.col("is_small"), F.col("hit"))).alias("hs"))
+    n = p.select("case_id.case_id", "case_id.label", "set_id").distinct().groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("np"))
+    x = per.join(n, ["case_id", "label"], "full").na.fill(0, ["nt", "tp", "ns", "hs", "np"])
+    g = x.groupBy("case_id").agg(*(F.sum(k).alias(k) for k in ("nt", "tp", "ns", "hs", "np")), F.sum(F.abs(F.col("np") - F.col("nt"))).alias("count_error"))
+    a, b = F.col("tp") / F.greatest("np", F.lit(1)), F.col("tp") / F.greatest("nt", F.lit(1))
+    return g.select("case_id", a.alias("precision"), b.alias("recall"), (2 * a * b / F.greatest(a + b, F.lit(1e-12))).alias("f1"), F.when(F.col("ns") == 0, 1.0).otherwise(F.col("hs") / F.col("ns")).alias("small_recall"), "count_error")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import small
+
 CANDIDATE = (
     "case_id string, candidate_index int, semantic_name string, semantic_parent string, score double, source string, prompt string, "
     "source_reliability double, area_px long, metadata map<string,string>"
@@ -28,7 +30,7 @@ def annotations(spark: SparkSession, path: str, categories: list[str], min_parts
     doc = spark.read.option("multiLine", True).json(path)
     take = lambda k: doc.select(F.explode(k).alias("x")).select("x.*")
     cat = take("categories").select(F.col("id").alias("category_id"), "name")
-    a = take("annotations").join(F.broadcast(cat), "category_id")
+    a = take("annotations").join(small(cat, 100_000), "category_id")
     parts = a.where(F.contains("name", F.lit(":"))).groupBy(F.col("obj_ann_id").alias("whole")).agg(F.countDistinct("name").alias("parts"))
     objects = a.where(F.col("name").isin(categories)).join(parts, F.col("id") == F.col("whole")).where((F.col("parts") >= min_parts) & (F.least(F.element_at("bbox", 3), F.element_at("bbox", 4)) >= min_side))
     area = F.element_at("bbox", 3) * F.element_at("bbox", 4)

@@ -197,3 +197,13 @@ def test_metric_weights_favour_what_separates():
     w = metric_weights(x, labels, groups)
     assert w[:2].min() > w[2:].max() and abs(w.mean() - 1) < 0.2
     assert (metric_weights(x[:3], [0, 0, 1], [0, 0, 1]) == 1).all()
+
+
+def test_component_scores_of_small_maps(spark):
+    cell = lambda label, x0, y0, x1, y1: [("c", y * 32 + x, label) for y in range(y0, y1) for x in range(x0, x1)]
+    truth = cell(1, 0, 0, 5, 5) + cell(1, 10, 0, 14, 4) + cell(2, 20, 0, 30, 10)
+    found = cell(1, 0, 0, 5, 4) + cell(2, 20, 0, 30, 10) + cell(2, 0, 20, 4, 24) + cell(3, 20, 20, 30, 30)
+    x = [spark.createDataFrame(r, "case_id string, e long, label long") for r in (found, truth)]
+    r = assignment.component_scores(*x, 32, 32, small=0.15).first()
+    # three true parts, three found under true labels, two match; the missed one is small
+    assert (round(r.precision, 6), round(r.recall, 6), r.small_recall, r.count_error) == (round(2 / 3, 6), round(2 / 3, 6), 0.0, 2)
