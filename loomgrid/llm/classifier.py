@@ -85,8 +85,8 @@ class Model:
         return (self.vectors @ w).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 24_000, rate: float = 0.4, seed: int = 5) -> Model:
-    """Stochastic gradient descent, one document a step, with a falling rate."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 24_000, rate: float = 0.4, seed: int = 5, batch: int = 8) -> Model:
+    """Stochastic gradient descent with a falling rate: ``steps`` documents, the gradients of ``batch`` at a time added up."""
     rng = np.random.default_rng(seed)
     m = Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 2, DIM)).astype(np.float32), np.zeros((2, DIM), np.float32), np.zeros(2, np.float32))
     if not labels:
@@ -95,22 +95,26 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: i
     m.bias[:] = np.log([1 - share, share])
     prior = m.bias.copy()
     order = np.concatenate([rng.permutation(len(bags)) for _ in range(-(-steps // len(bags)))])[:steps]
-    for step, k in enumerate(order):
-        ids, weights = bags[k]
-        if not len(ids):
+    for step in range(0, steps, batch):
+        taken = [k for k in order[step : step + batch] if len(bags[k][0])]
+        if not taken:
             continue
         lr = rate * (1 - step / steps)
-        w = weights / weights.sum()
-        hidden = w @ m.vectors[ids]
-        z = m.output @ hidden + m.bias
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        p[labels[k]] -= 1
-        back = p @ m.output
-        m.output -= lr * np.outer(p, hidden)
+        sizes = [len(bags[k][0]) for k in taken]
+        ids, weights = np.concatenate([bags[k][0] for k in taken]), np.concatenate([bags[k][1] / bags[k][1].sum() for k in taken])
+        hidden = np.add.reduceat(weights[:, None] * m.vectors[ids], np.cumsum([0, *sizes[:-1]]))
+        z = hidden @ m.output.T + m.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(taken)), [labels[k] for k in taken]] -= 1
+        back = np.repeat(p @ m.output, sizes, axis=0)
+        m.output -= (lr * p.T @ hidden).astype(np.float32)
         # averaging divides a feature's gradient by the document's length; undone up to a bound, rare features learn
-        m.vectors[ids] -= (lr * np.minimum(w * 30, 1.0)).astype(np.float32)[:, None] * back[None, :].astype(np.float32)
-        m.bias -= 0.05 * lr * p
+        change = (lr * np.minimum(weights * 30, 1.0))[:, None] * back
+        by_id = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
+        m.vectors[ids[by_id][first]] -= np.add.reduceat(change[by_id], first).astype(np.float32)
+        m.bias -= 0.05 * lr * p.sum(0)
     m.bias[:] = np.where(np.isfinite(m.bias), m.bias, prior)
     return m
 
