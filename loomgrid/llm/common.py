@@ -24,11 +24,11 @@ class WordCache(dict):
     """word -> value of ``make(word)``. ``trim``, called between documents, starts a new generation once this one's
     bytes are spent; words asked for again move over from the last one, so frequent words stay and memory is bounded.
     A worker holds one cache at a time: ``take``, called for each batch, empties the one that another operator has
-    left. ``size``: bytes of a word and its value."""
+    left. ``size``: bytes of a word and its value, if these are more than the word's length."""
 
     taken: WordCache | None = None
 
-    def __init__(self, make, limit: int = CACHE_BYTES, size=lambda word, value: len(word)):
+    def __init__(self, make, limit: int = CACHE_BYTES, size=None):
         super().__init__()
         self.make, self.limit, self.size, self.last, self.held = make, limit, size, {}, 0
 
@@ -36,12 +36,13 @@ class WordCache(dict):
         value = self.last.get(word)
         if value is None:
             value = self.make(word)
-        self.add(word, value)
+        self[word] = value
+        self.held += ENTRY_BYTES + (len(word) if self.size is None else self.size(word, value))
         return value
 
     def add(self, word, value) -> None:
         self[word] = value
-        self.held += ENTRY_BYTES + self.size(word, value)
+        self.held += ENTRY_BYTES + (len(word) if self.size is None else self.size(word, value))
 
     def take(self) -> WordCache:
         if WordCache.taken is not self:

@@ -85,7 +85,8 @@ def _chunks(path: str) -> WordCache:
         parts = _PRE.findall(chunk)
         return pre_token(chunk) if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
 
-    known = WordCache(split, size=lambda chunk, ids: len(chunk) + len(ids))
+    # ids take about as many bytes as their text, which the cost of an entry covers
+    known = WordCache(split)
     return known
 
 
@@ -96,8 +97,11 @@ def token_bytes(text: str | None, path: str) -> bytes:
         return end
     if any(x in text for x in _BREAKS) if text.isascii() else _OTHER.search(text):
         return _ids(path, text) + end
-    chunks = _chunks(path).take()
-    chunks.trim()
+    chunks = _chunks(path)
+    if chunks is not WordCache.taken:
+        chunks.take()
+    if chunks.held > chunks.limit:
+        chunks.trim()
     return b"".join(map(chunks.__getitem__, text.lower().split())) + end
 
 
