@@ -1,5 +1,7 @@
 """The pipeline's stages against what they must keep, on a small corpus."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomgrid.llm import near_dup, pii, quality_rules
 
@@ -26,3 +28,40 @@ def test_stages_in_order(spark, tmp_path):
     assert got.where("id <> component").count() == 0
     packed = corpus_pipeline.run(spark, str(d)).collect()
     assert {r.doc_id for r in packed} == set(kept[3])
+
+
+def run_stages(spark, docs, folder):
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        docs.write.mode("overwrite").parquet(f"{folder}/{name}")
+        docs = out[name] = spark.read.parquet(f"{folder}/{name}")
+    return out
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    out = run_stages(spark, spark.createDataFrame([], SCHEMA), str(tmp_path))
+    assert all(x.count() == 0 for x in out.values())
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    clean = lambda k, n=80: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(k, clean(k), "en", f"src{k % 3}", 1) for k in range(40)]
+    # nulls, repeated rows, ties of near-duplicates, and a text of some hundred thousand words
+    rows += [(None, clean(90), "en", "src1", None), (91, clean(91), None, None, 1), (91, clean(91), None, None, 1), (92, None, "en", "src1", 1), (93, "", "en", "src1", 1), (94, clean(1), "en", "src2", 1), (95, clean(95, 200_000), "en", "src0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    extra = ["measures", "host_", "quality_rules", "gone", "id", "row", "block", "leaf", "tokens", "h"]
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(extra)))
+    out = run_stages(spark, docs, str(tmp_path))
+    for name in ("quality rules", "near-duplicates", "personal data", "mixing"):
+        assert out[name].columns == docs.columns, name
+    ids = {name: sorted((r.doc_id for r in x.select("doc_id").collect()), key=str) for name, x in out.items()}
+    assert ids["quality rules"] == sorted([*range(40), None, 91, 91, 94, 95], key=str)
+    assert ids["near-duplicates"] == sorted([*range(40), None, 91, 91, 95], key=str) == ids["personal data"]
+    assert set(ids["mixing"]) <= set(ids["personal data"]) and set(ids["packing"]) == set(ids["mixing"])
+    packed = {}
+    for r in out["packing"].select("sequence_id", "length").collect():
+        packed[r.sequence_id] = packed.get(r.sequence_id, 0) + r.length
+    assert max(packed.values()) <= 4096
