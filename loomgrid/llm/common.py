@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 
 from ..storage import Scratch, delete_table, lean_batches, materialize, meet, shared_dir, small, table
 
-__all__ = ["Scratch", "WordCache", "delete_table", "fresh", "lean_batches", "materialize", "meet", "shared_dir", "small", "table"]
+__all__ = ["SMALL_CACHE_BYTES", "Scratch", "WordCache", "delete_table", "fresh", "lean_batches", "materialize", "meet", "shared_dir", "small", "table"]
 
 #: Bytes that either generation of a worker's cache may hold, and what an entry costs besides its text and value.
 CACHE_BYTES, ENTRY_BYTES = 52 << 20, 170
+#: The same, for caches that save little.
+SMALL_CACHE_BYTES = 12 << 20
 
 
 def fresh(name: str, df: DataFrame) -> str:

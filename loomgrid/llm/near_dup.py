@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .common import Scratch, WordCache, fresh, materialize, meet, small, table
+from .common import SMALL_CACHE_BYTES, Scratch, WordCache, fresh, materialize, meet, small, table
 
 WORDS = 5
 #: 40 bands of 8: a pair at similarity 0.85 shares none with probability 3e-6; at 0.5 it shares one with 0.15.
@@ -39,7 +39,7 @@ BANDS, ROWS = 40, 8
 SLOTS = 1 << 18
 SEED = 20011
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
-_WORDS = WordCache(lambda w: xxhash.xxh3_64_intdigest(w))
+_WORDS = WordCache(lambda w: xxhash.xxh3_64_intdigest(w), SMALL_CACHE_BYTES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

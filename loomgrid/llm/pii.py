@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, table
+from .common import SMALL_CACHE_BYTES, WordCache, table
 
 #: Order of kinds in results; the last is the method's own.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -461,7 +461,7 @@ def _decoder(crf: SemiCRF):
         return [(k, lat.tokens[s][0] - lo, lat.tokens[e - 1][1] - lo) for s, e, k in crf.decode(lat)]
 
     # equal zones (copies of documents) are decoded once
-    return WordCache(spans, size=lambda seen, found: 200 + sum(map(len, seen)) + 120 * len(found))
+    return WordCache(spans, SMALL_CACHE_BYTES, size=lambda seen, found: 200 + sum(map(len, seen)) + 120 * len(found))
 
 
 def redact_text(text: str, zone_spans) -> str:
