@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, licenses, mixing, near_dup, packing, pii, quality_rules, sharding, token_counts
+from . import alignment, ann, classifier, fingerprints, licenses, mixing, near_dup, packing, pii, prefix_trie, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_subword_quality": classifier.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op4_hierarchical_mix": mixing.query,
     "op5_circulant_minhash": near_dup.query,
     "op8_host_quality": quality_rules.query,
+    "op11_byte_owner_alignment": alignment.query,
+    "op12_improbable_features": fingerprints.query,
+    "op13_refined_prefix_trie": prefix_trie.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_circulant_minhash": near_dup.SQL,
     "op8_host_quality": quality_rules.SQL,
+    "op13_refined_prefix_trie": prefix_trie.SQL,
 }

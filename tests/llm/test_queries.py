@@ -29,6 +29,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(k, k % 2, 0) for k in range(0, 70, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(k, [float((k * j) % 13) for j in range(1, 9)], 0) for k in range(1, 301)] + [(400, None, 0), (500, [0.0] * 8, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(c, t, "user", f"{c % 3} {t}") for c in range(7) for t in range(c)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d, {r[0]: r for r in rows}
 
 
@@ -38,6 +39,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
