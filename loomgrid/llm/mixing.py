@@ -6,7 +6,7 @@ token prefix of seeded epochs: whole passes, then the longest prefix of the next
 
 Edge cases: null or empty texts have no tokens and ride along in the prefix; null levels are nodes of their own;
 rows that repeat an id are taken or left together; an empty table gives an empty result; other columns pass
-through, and the added columns are named so that they can't clash.
+through, whatever they are called; ``take`` is named by the caller.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The tree may have so many leaves; they are planned on the driver and broadcast.
 MAX_LEAVES = 100_000
-_TAKE = "_mix_take"
-_LEAF, _PLAN, _HASH = "_mix_leaf", "_mix_plan", "_mix_hash"
 
 
 def words(text: Column) -> Column:
@@ -74,8 +72,8 @@ def _bucket(h: str, buckets: str) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(F.col(h), 32) * F.col(buckets), 32)
 
 
-def choose(docs: DataFrame, levels: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text", weights: Mapping[tuple, float] | None = None, budget_share: float = 0.6, max_epochs: int = 2, seed: int = 11, bucket_docs: int = 2000) -> DataFrame:
-    """``docs`` with ``_mix_take``: how many times each document is used (documents that aren't are left out).
+def choose(docs: DataFrame, levels: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text", weights: Mapping[tuple, float] | None = None, budget_share: float = 0.6, max_epochs: int = 2, seed: int = 11, bucket_docs: int = 2000, take: str = "take") -> DataFrame:
+    """``docs`` with a column ``take``: how many times each document is used (documents that aren't are left out).
 
     budget_share: of all tokens. The texts are read twice (counts, then choice) and never shuffled; what is
     shuffled are sums by leaf and hash range, and the one hash range per leaf in which its prefix ends.
@@ -111,18 +109,20 @@ def choose(docs: DataFrame, levels: Mapping[str, Column], id_col: str = "doc_id"
     cuts = materialize(edge.withColumn("upto", upto).where("upto <= rest").groupBy("leaf").agg(F.max(F.struct("h", "id")).alias("cut")).withColumnRenamed("leaf", "of3"), "cuts")
 
     plan = plan.join(ends, plan["leaf"].eqNullSafe(ends["of2"]), "left").join(cuts, plan["leaf"].eqNullSafe(cuts["of3"]), "left")
-    plan = plan.where("copies > 0 OR rest > 0").select(F.struct("leaf", "copies", "rest", "buckets", "edge", "cut").alias(_PLAN))
-    x = docs.withColumn(_LEAF, leaf).join(F.broadcast(plan), F.col(_LEAF).eqNullSafe(F.col(f"{_PLAN}.leaf")))
-    x = x.withColumn(_HASH, _hash(seed, f"{_PLAN}.copies", id_col))
-    bucket, last = _bucket(_HASH, f"{_PLAN}.buckets"), F.col(f"{_PLAN}.edge")
-    more = (F.col(f"{_PLAN}.rest") > 0) & (last.isNull() | (bucket < last) | ((bucket == last) & (F.struct(F.col(_HASH).alias("h"), F.col(id_col).alias("id")) <= F.col(f"{_PLAN}.cut"))))
-    x = x.withColumn(_TAKE, F.col(f"{_PLAN}.copies") + F.when(more, 1).otherwise(0))
-    return x.where(F.col(_TAKE) > 0).drop(_LEAF, _PLAN, _HASH)
+    leaf_, plan_, hash_ = (fresh(k, docs) for k in ("mix_leaf", "mix_plan", "mix_hash"))
+    plan = plan.where("copies > 0 OR rest > 0").select(F.struct("leaf", "copies", "rest", "buckets", "edge", "cut").alias(plan_))
+    x = docs.withColumn(leaf_, leaf).join(F.broadcast(plan), F.col(leaf_).eqNullSafe(F.col(f"{plan_}.leaf")))
+    x = x.withColumn(hash_, _hash(seed, f"{plan_}.copies", id_col))
+    bucket, last = _bucket(hash_, f"{plan_}.buckets"), F.col(f"{plan_}.edge")
+    more = (F.col(f"{plan_}.rest") > 0) & (last.isNull() | (bucket < last) | ((bucket == last) & (F.struct(F.col(hash_).alias("h"), F.col(id_col).alias("id")) <= F.col(f"{plan_}.cut"))))
+    x = x.withColumn(take, F.col(f"{plan_}.copies") + F.when(more, 1).otherwise(0))
+    return x.where(F.col(take) > 0).drop(leaf_, plan_, hash_)
 
 
 def select(docs: DataFrame, levels: Mapping[str, Column], **options) -> DataFrame:
     """The chosen documents, each once and with its own columns."""
-    return choose(docs, levels, max_epochs=1, **options).drop(_TAKE)
+    take = fresh("take", docs)
+    return choose(docs, levels, max_epochs=1, take=take, **options).drop(take)
 
 
 #: Of the synthetic corpus: sources fall into four domains by their number; half of each domain's tokens are to be English.
@@ -139,4 +139,4 @@ def corpus_levels() -> dict[str, Column]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = corpus_levels()
     got = choose(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), levels, weights=WEIGHTS)
-    return got.select("doc_id", F.explode(F.sequence(F.lit(0), F.col(_TAKE) - 1)).alias("epoch"), levels["domain"].alias("domain"), "lang", "source", words(F.col("text")).alias("n_tokens"))
+    return got.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("take") - 1)).alias("epoch"), levels["domain"].alias("domain"), "lang", "source", words(F.col("text")).alias("n_tokens"))

@@ -6,7 +6,8 @@ permuted inside their partition, dealt out by the matrix, and permuted again ins
 functions touch rows; the matrix (at most MAX_PARTITIONS x shards numbers) is drawn on the driver.
 
 Edge cases: null and empty texts have size 1 and checksum 0; null and repeated ids are rows like others; an empty
-table gives an empty result; extra columns are ignored. The same files and seed give the same shards.
+table gives an empty result; other columns pass through, whatever they are called. The same files and seed give the
+same shards.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 #: A partition, and a hash range inside a shard, aims at so many rows; there are at most MAX_PARTITIONS of either.
 PART_ROWS, MAX_PARTITIONS = 2_000, 4_096
@@ -62,33 +63,35 @@ def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def shard(rows: DataFrame, shards: int = 16, seed: int = 23) -> DataFrame:
     """``rows`` with shard (0..shards-1, counts at most one apart) and slot (gapless from 0 in each shard).
 
-    Two shuffles of ``rows``; give it narrow rows. Columns whose names start with ``_s_`` are reserved.
+    Two shuffles of ``rows``; give it narrow rows. Columns of ``rows`` that are called shard or slot stay as they are,
+    and the added ones then have underscores before their names (``common.fresh``).
     """
     spark = rows.sparkSession
-    mine = rows.columns
-    x = materialize(rows.withColumn("_s_row", F.monotonically_increasing_id()), "rows")
+    shard_, slot_, given = fresh("shard", rows), fresh("slot", rows), fresh("given", rows)
+    x = materialize(rows.select(F.struct("*").alias(given), F.monotonically_increasing_id().alias("row")), "rows").withColumnRenamed(given, "given")
     n = x.count()
     parts = min(MAX_PARTITIONS, max(16, n // PART_ROWS))
-    x = x.withColumn("_s_part", F.pmod(F.xxhash64(F.lit(seed), "_s_row"), F.lit(parts)).cast("int"))
-    counts = {r["_s_part"]: r["count"] for r in x.groupBy("_s_part").count().collect()}
+    x = x.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(parts)).cast("int"))
+    counts = {r["part"]: r["count"] for r in x.groupBy("part").count().collect()}
     names = sorted(counts)
     matrix = communication_matrix([counts[p] for p in names], [n // shards + (s < n % shards) for s in range(shards)], seed)
-    plan = _inline(spark, [{"_s_part": p, "_s_upto": np.cumsum(m).tolist()} for p, m in zip(names, matrix)], "_s_part:int,_s_upto:array<bigint>")
+    plan = _inline(spark, [{"part": p, "upto": np.cumsum(m).tolist()} for p, m in zip(names, matrix)], "part:int,upto:array<bigint>")
     # the first permutation; rank r goes to the first shard whose running count exceeds it
-    rank = F.row_number().over(Window.partitionBy("_s_part").orderBy(F.xxhash64(F.lit(seed + 1), "_s_row"), "_s_row")) - 1
-    x = x.withColumn("_s_rank", rank).join(F.broadcast(plan), "_s_part")
-    x = x.withColumn("shard", F.size(F.filter("_s_upto", lambda t: t <= F.col("_s_rank"))).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "row"), "row")) - 1
+    x = x.withColumn("rank", rank).join(F.broadcast(plan), "part")
+    x = x.withColumn("shard", F.size(F.filter("upto", lambda t: t <= F.col("rank"))).cast("int"))
     # the second one, by hash ranges that tasks can sort on their own
     ranges = min(MAX_PARTITIONS, max(1, n // shards // PART_ROWS))
-    x = x.withColumn("_s_h", F.xxhash64(F.lit(seed + 2), "_s_row"))
-    x = x.withColumn("_s_range", F.shiftrightunsigned(F.shiftrightunsigned("_s_h", 32) * F.lit(ranges).cast("long"), 32).cast("int"))
-    x = materialize(x.select(*mine, "shard", "_s_row", "_s_h", "_s_range"), "dealt")
-    sums = x.groupBy("shard", "_s_range").agg(F.count(F.lit(1)).alias("_s_n"))
-    before = F.coalesce(F.sum("_s_n").over(Window.partitionBy("shard").orderBy("_s_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("shard", "_s_range", before.alias("_s_before"))
-    place = F.row_number().over(Window.partitionBy("shard", "_s_range").orderBy("_s_h", "_s_row")) - 1
+    x = x.withColumn("h", F.xxhash64(F.lit(seed + 2), "row"))
+    x = x.withColumn("range", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(ranges).cast("long"), 32).cast("int"))
+    x = materialize(x.select("given", "shard", "row", "h", "range"), "dealt")
+    sums = x.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("shard", "range", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("shard", "range").orderBy("h", "row")) - 1
     # at most shards x MAX_PARTITIONS rows are broadcast
-    return x.withColumn("_s_place", place).join(F.broadcast(sums), ["shard", "_s_range"]).select(*mine, "shard", (F.col("_s_before") + F.col("_s_place")).alias("slot"))
+    x = x.withColumn("place", place).join(F.broadcast(sums), ["shard", "range"])
+    return x.select(*(F.col("given")[c].alias(c) for c in rows.columns), F.col("shard").alias(shard_), (F.col("before") + F.col("place")).alias(slot_))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -425,10 +425,10 @@ def test_license_scan_of_a_file_that_quotes_every_template(spark):
         start += len(t.split())
 
 
-def brute_licenses(words):
+def brute_licenses(words, templates=licenses.TEMPLATES):
     """Every template at every place where its key phrase stands whole and enough of its words agree."""
     out = set()
-    for t in licenses.templates():
+    for t in licenses.parsed(templates):
         n = len(t["words"])
         for start in range(-n, len(words) + 1):
             agree = [0 <= start + k < len(words) and words[start + k] == v for k, v in enumerate(t["words"])]
@@ -444,7 +444,7 @@ def test_license_scan_misses_no_template(spark):
         for _ in range(rng.randint(1, 6)):
             words = rng.choice(licenses.TEMPLATES)[1].split()
             for _ in range(rng.randint(0, 3)):
-                words[rng.randrange(len(words))] = rng.choice([*licenses.VOCABULARY, "zz"])
+                words[rng.randrange(len(words))] = rng.choice([*sorted({w for t in licenses.TEMPLATES for w in t[1].split()}), "zz"])
             parts += words[rng.randint(0, 3) if rng.random() < 0.2 else 0 :]
         rows.append((k, " ".join(parts)))
     rows.append((900, "mit license " * 8_000))
@@ -452,6 +452,26 @@ def test_license_scan_misses_no_template(spark):
     assert got == {k: brute_licenses(t.split()) for k, t in rows}
 
 
+def test_license_scan_of_many_templates(spark):
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(60)]
+    templates = []
+    for k in range(200):
+        words = rng.choices(pool, k=rng.randint(4, 40))
+        at = rng.randrange(len(words) - 2)
+        templates.append((f"label{k % 30}", " ".join(words), " ".join(words[at : at + rng.randint(1, 3)])))
+    rows = []
+    for k in range(60):
+        parts = [w for _ in range(5) for w in (rng.choice(templates)[1].split() if rng.random() < 0.7 else rng.choices(pool, k=9))]
+        rows.append((k, " ".join(parts[rng.randrange(3) :])))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates)
+    got = {r.doc_id: {(f.label, f.start, round(f.share, 9)) for f in r.found} for r in found.collect()}
+    assert got == {k: brute_licenses(t.split(), templates) for k, t in rows}
+    # the plan is the same for one template
+    nodes = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert nodes(found) == nodes(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates[:1]))
+
+
 def test_license_scan_matches_brute_force(spark, docs):
     more = [(500, "x MIT-License y apache license GNU General Public License, version 3."), (501, "Licensed under CC BY-NC 4.0."), (502, "general public licence"), (503, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (504, "MİT license"), (505, "all rights"), (506, "This work is licensed under the GNU General Public License, version 3.")]
     x = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
@@ -578,3 +598,36 @@ def test_empty_tables(spark, docs):
     assert none.select(token_counts.token_counts(F.col("text"))).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert none.select(classifier.score(F.col("text"), classifier.fit(none, labels))).count() == 0
+
+
+def test_quality_scores_are_the_average_and_softmax(spark):
+    """Without caches, scores come from the averaged vectors and the softmax themselves."""
+    docs = spark.createDataFrame(corpus(80, seed=12) + [(500, "x", "en", "s", 1), (501, "Ünï 漢字 漢字 漢字 漢字", "en", "s", 1), (502, "a b c " * 300, "en", "s", 1)], SCHEMA)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = classifier.fit(docs, labels)
+    for r in docs.select("text", classifier.score(docs["text"], model).alias("score")).collect():
+        words = (r.text or "").split()
+        rows = [model.vectors[b] for w in words for b in classifier.features(w)]
+        grams = list(zip(words, words[1:], words[2:]))
+        new = len(set(grams))
+        rows += [model.vectors[classifier.NEW]] * (classifier.NGRAM_WEIGHT * new) + [model.vectors[classifier.AGAIN]] * (classifier.NGRAM_WEIGHT * (len(grams) - new))
+        z = model.bias.astype(float) + (model.output.astype(float) @ np.mean(rows, axis=0, dtype=float) if rows else 0)
+        assert abs(r.score - np.exp(z[1] - z.max()) / np.exp(z - z.max()).sum()) < 1e-5
+
+
+def test_shards_are_a_uniform_shuffle(spark):
+    n, shards, blocks = 20_000, 8, 20
+    got = sharding.shard(spark.range(n).repartition(4), shards).collect()
+    counts, slots = np.zeros((blocks, shards)), np.zeros((blocks, blocks))
+    for r in got:
+        counts[r.id * blocks // n, r["shard"]] += 1
+        slots[r.id * blocks // n, r.slot * blocks // (n // shards)] += 1
+    for table, free in ((counts, (blocks - 1) * (shards - 1)), (slots, (blocks - 1) ** 2)):
+        mean = table.sum() / table.size
+        chi = ((table - mean) ** 2 / mean).sum()
+        assert abs(chi - free) < 5 * (2 * free) ** 0.5
+    where = {r.id: r["shard"] for r in got}
+    together = sum(where[k] == where[k + 1] for k in range(n - 1))
+    assert abs(together - n / shards) < 5 * (n / shards) ** 0.5
+    # the assignment follows from the seed alone
+    assert {r.id: (r["shard"], r.slot) for r in sharding.shard(spark.range(n).coalesce(2), shards, seed=1).collect()} != {r.id: (r["shard"], r.slot) for r in got}

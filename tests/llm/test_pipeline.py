@@ -65,3 +65,18 @@ def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
     for r in out["packing"].select("sequence_id", "length").collect():
         packed[r.sequence_id] = packed.get(r.sequence_id, 0) + r.length
     assert max(packed.values()) <= 4096
+
+
+def test_stages_chained_without_writing(spark, tmp_path):
+    docs, folder = spark.createDataFrame(corpus(60, seed=3), SCHEMA), str(tmp_path)
+    written = {name: sorted(r.doc_id for r in x.select("doc_id").collect()) for name, x in run_stages(spark, docs, folder).items()}
+    # every result is lazy and stays readable beside others
+    chained, results = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        chained = results[name] = stage(spark, chained, folder)
+    again = corpus_pipeline.quality(spark, docs, folder)
+    for name, x in results.items():
+        assert sorted(r.doc_id for r in x.select("doc_id").collect()) == written[name]
+    assert sorted(r.doc_id for r in again.select("doc_id").collect()) == written["quality rules"]
+    for x in (*results.values(), again):
+        corpus_pipeline.release(x)

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrid.llm import licenses, near_dup, packing, quality_rules
+from loomgrid.llm import alignment, ann, classifier, fingerprints, licenses, mixing, near_dup, packing, pii, quality_rules, sharding, token_counts
 from loomgrid.llm.queries import QUERIES
 
 from .test_corpus_operators import SCHEMA, brute_base, brute_measures, corpus, shingles, words_of
@@ -166,3 +166,23 @@ def test_clashing_columns_and_repeated_rows(spark, tables):
     assert near_dup.deduplicate(twice, percent=80).columns == docs.columns
     assert packing.pack_documents(twice).select("doc_id").distinct().count() == docs.count()
     assert licenses.scan(twice).count() == twice.count()
+
+
+def test_clashing_columns_of_the_other_operators(spark, tables):
+    names = ("shard", "slot", "given", "row", "part", "h", "take", "_take", "mix_leaf", "mix_plan", "mix_hash", "leaf", "tokens", "id", "_id", "_text", "b", "n_a", "links", "score", "rank", "query_id", "cell")
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet").withColumns({c: F.lit(7) for c in names})
+    twice = docs.unionByName(docs.where("doc_id < 10"))
+    n = twice.count()
+    sharded = sharding.shard(twice, 4)
+    assert sharded.columns == [*docs.columns, "_shard", "_slot"] and sharded.where("shard = 7 AND slot = 7 AND h = 7").count() == n and sharded.select("_shard", "_slot").distinct().count() == n
+    mixed = mixing.select(twice, mixing.corpus_levels(), weights=mixing.WEIGHTS)
+    assert mixed.columns == docs.columns and 0 < mixed.where("take = 7 AND mix_leaf = 7 AND mix_plan = 7").count() == mixed.count()
+    for column in (pii.redact(F.col("text")), token_counts.token_counts(F.col("text")), alignment.align(F.col("text"))):
+        assert twice.withColumn("added", column).where("row = 7").count() == n
+    model = classifier.fit(twice, spark.read.parquet(f"{tables[0]}/labels.parquet").withColumn("_id", F.lit(7)))
+    assert twice.withColumn("added", classifier.score(F.col("text"), model)).where("added BETWEEN 0 AND 1 AND score = 7").count() == n
+    ranks = fingerprints.corpus_ranks(twice)
+    assert fingerprints.compare_with_next(twice, ranks).count() == n
+    vectors = spark.read.parquet(f"{tables[0]}/embeddings.parquet")
+    more = vectors.withColumns({c: F.lit(7) for c in ("query_id", "rank", "score", "cell", "codes", "unit")})
+    assert ann.search(more, F.col("vec_id") % 100 == 0).count() == ann.search(vectors, F.col("vec_id") % 100 == 0).count() > 0
