@@ -7,6 +7,10 @@ called; texts of any length are worked on whole; rows that repeat a document are
 an id stay or go together. Null and empty texts fail the quality rules. A null id is in no near-duplicate group, so
 its row stays, and is packed as any other. A null source is a host of its own, and null sources and languages are
 leaves of their own in the mix. Of equal documents the one of smallest id stays.
+
+A stage's result reads tables below the shared folder and is lazy: stages can be chained without writing in between,
+and several results used at once. ``run`` deletes a stage's tables once the next one's input is written; whoever
+calls stages by themselves may call ``release`` then.
 """
 
 from __future__ import annotations
@@ -24,24 +28,22 @@ from loomgrid.llm.common import Scratch, delete_table, materialize, table
 BUDGET_SHARE = 0.9
 
 
-#: Tables that stages have left for their results, by application; the next stage deletes them, as results are written by then.
-_LEFT: dict[str, list[Scratch]] = {}
-
-
 def _stage(of: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(of)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
-        while left:
-            left.pop().delete()
         with Scratch(spark, delete=False) as made:
             out = of(spark, docs, sf_dir)
-        left.append(made)
+        out._loomgrid_scratch = made
         return out
 
     return run
 
 
+def release(result: DataFrame) -> None:
+    """Delete the tables that a stage's result reads, once it (and all that was made from it) is written."""
+    result._loomgrid_scratch.delete()
+
+
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
@@ -88,7 +90,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        result = stage(spark, docs, sf_dir)
+        docs = materialize(result, name.replace(" ", "_"))
+        release(result)
         if before:
             delete_table(spark, before)
         before = docs._loomgrid_table
