@@ -631,3 +631,20 @@ def test_shards_are_a_uniform_shuffle(spark):
     assert abs(together - n / shards) < 5 * (n / shards) ** 0.5
     # the assignment follows from the seed alone
     assert {r.id: (r["shard"], r.slot) for r in sharding.shard(spark.range(n).coalesce(2), shards, seed=1).collect()} != {r.id: (r["shard"], r.slot) for r in got}
+
+
+def test_breeding_beats_best_fit_decreasing():
+    """Items that fill bins in threes, on which best-fit decreasing isn't optimal."""
+    bred = plain = 0
+    for seed in range(4):
+        rng, sizes = np.random.default_rng(seed), []
+        for _ in range(60):
+            a = int(rng.integers(1000, 1800))
+            b = int(rng.integers(1000, 4096 - a - 700))
+            sizes += [a, b, 4096 - a - b]
+        plain += len(packing.Packing([], []).put(sorted(range(180), key=sizes.__getitem__, reverse=True), sizes).bins)
+        islands = [packing.evolve(sizes, [seed, k, 0]) for k in range(2)]
+        best = packing.evolve(sizes, [seed, 0, 1], islands[0] + islands[1][:1])[0]
+        assert sorted(i for x in best.bins for i in x) == list(range(180)) and max(best.fills) <= 4096
+        bred += len(best.bins)
+    assert bred < plain
