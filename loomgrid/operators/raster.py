@@ -95,6 +95,11 @@ def label_components(mask: np.ndarray, eight: bool = True) -> np.ndarray:
     return out
 
 
+def _same(column: pd.Series, n: int) -> np.ndarray:
+    """The column's one value, ``n`` times, as objects: a frame's string column isn't one Arrow array."""
+    return np.repeat(column.to_numpy(dtype=object)[:1], n)
+
+
 def components(elem: DataFrame, width: int, height: int, eight: bool = True, least_area: int = 0) -> DataFrame:
     """(case_id, set_id, component, e) of each set's connected components; smaller ones than ``least_area`` are dropped."""
     kinds = dict(elem.dtypes)
@@ -105,7 +110,7 @@ def components(elem: DataFrame, width: int, height: int, eight: bool = True, lea
         lab = label_components(m.reshape(height, width), eight).ravel()
         e = np.flatnonzero(m)
         keep = np.bincount(lab)[lab[e]] >= least_area
-        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "set_id": t["set_id"].iloc[0], "component": lab[e][keep], "e": e[keep]})
+        return pd.DataFrame({"case_id": _same(t["case_id"], keep.sum()), "set_id": _same(t["set_id"], keep.sum()), "component": lab[e][keep], "e": e[keep]})
 
     return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, component int, e long")
 
@@ -142,7 +147,7 @@ def _each_set(elem: DataFrame, width: int, height: int, of, columns: str) -> Dat
         m = np.zeros(width * height, bool)
         m[t["e"].to_numpy()] = True
         e, values = of(m.reshape(height, width))
-        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "set_id": t["set_id"].iloc[0], "e": e, **values})
+        return pd.DataFrame({"case_id": _same(t["case_id"], len(e)), "set_id": _same(t["set_id"], len(e)), "e": e, **values})
 
     return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, e long, {columns}")
 
@@ -222,7 +227,7 @@ def clean_labels(owners: DataFrame, fallback: dict[int, int], width: int, height
             if not changed:
                 break
         e = np.flatnonzero(a.ravel())
-        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "e": e, "label": a.ravel()[e]})
+        return pd.DataFrame({"case_id": _same(t["case_id"], len(e)), "e": e, "label": a.ravel()[e]})
 
     return owners.select("case_id", "e", "label").groupBy("case_id").applyInPandas(one, f"case_id {kinds['case_id']}, e long, label long")
 
@@ -252,7 +257,7 @@ def merge_regions(regions: DataFrame, shared: DataFrame, least: float) -> DataFr
                     del near[c][b]
                     near[a][c] = near[c][a] = near[a].get(c, 0) + n
             group = {k: a if g == b else g for k, g in group.items()}
-        return pd.DataFrame({"case_id": key[0], "region": list(group), "merged": list(group.values())})
+        return pd.DataFrame({"case_id": np.array([key[0]] * len(group), object), "region": np.array(list(group), object), "merged": np.array(list(group.values()), object)})
 
     return regions.select("case_id", "region", "perimeter").groupBy("case_id").cogroup(shared.select(F.col("case_id").alias("case_id"), "a", "b", "length").groupBy("case_id")).applyInPandas(one, f"case_id {kinds['case_id']}, region {kinds['region']}, merged {kinds['region']}")
 
@@ -375,7 +380,7 @@ def pack_bits(elem: DataFrame, width: int, height: int) -> DataFrame:
     def one(t: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros(width * height, np.uint8)
         m[t["e"].to_numpy()] = 1
-        return pd.DataFrame({"case_id": [t["case_id"].iloc[0]], "set_id": [t["set_id"].iloc[0]], "bits": [np.packbits(m.reshape(height, width), axis=1).tobytes()]})
+        return pd.DataFrame({"case_id": _same(t["case_id"], 1), "set_id": _same(t["set_id"], 1), "bits": [np.packbits(m.reshape(height, width), axis=1).tobytes()]})
 
     return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, bits binary")
 
@@ -402,7 +407,7 @@ def tidy(elem: DataFrame, width: int, height: int, hole: int, least: int) -> Dat
         m = np.zeros(width * height, bool)
         m[t["e"].to_numpy()] = True
         e, _ = of(m.reshape(height, width))
-        return pd.DataFrame({"case_id": t["case_id"].iloc[0], "set_id": t["set_id"].iloc[0], "e": e})
+        return pd.DataFrame({"case_id": _same(t["case_id"], len(e)), "set_id": _same(t["set_id"], len(e)), "e": e})
 
     return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, e long")
 

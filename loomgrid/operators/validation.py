@@ -45,7 +45,7 @@ def differing_runs(first: DataFrame, second: DataFrame) -> DataFrame:
     return x.select("path", state.alias("state")).where("state IS NOT NULL")
 
 
-def ladder(rules: list[tuple[str, Column]], otherwise: str) -> Column:
+def ladder(rules: list[tuple[str, Column]], otherwise: str | None) -> Column:
     """The first rule that holds."""
     out = None
     for name, c in rules:
