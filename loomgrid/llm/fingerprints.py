@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean_batches, materialize, table
+from .common import lean_batches, materialize, table
 
 WINDOW, VOTERS = 64, 64
 #: Votes that select a feature: the first number that enough features have, or the last.
@@ -307,5 +307,4 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    with Scratch(spark) as made:
-        return made.keep(materialize(compare_with_next(docs, corpus_ranks(docs)), "fingerprints", compact=True))
+    return compare_with_next(docs, corpus_ranks(docs))
