@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import partition
+from ..operators import envelopes, partition, tiles
 from ..storage import table
 from .catalog import named, r6
 
@@ -85,3 +85,59 @@ def face_merges(spark, d):
     """GR12: projected faces and their bodies; chains of faces and weaker bodies don't count."""
     q = partition.face_reason(_surfaces(spark, d), seeded=True)
     return q.select("case_id", "a", "b", "reason", *(r6(F.col(c)).alias(c) for c in ("contact_ratio", "lab_distance", "support")), "accepted")
+
+
+_ROWS = f"{drawn_sql()}, rw AS (SELECT c, s, y, min(x) a, max(x) b FROM px GROUP BY 1, 2, 3)"
+_HULL = f"""{_ROWS}, hl AS (SELECT p.c, p.s, t.y, ceil(min(CASE WHEN q.y = p.y THEN p.a ELSE (p.a * (q.y - t.y) + q.a * (t.y - p.y)) / (q.y - p.y) END) - 1e-9)::BIGINT a, floor(max(CASE WHEN q.y = p.y THEN p.b ELSE (p.b * (q.y - t.y) + q.b * (t.y - p.y)) / (q.y - p.y) END) + 1e-9)::BIGINT b
+ FROM rw p JOIN rw q ON q.c = p.c AND q.s = p.s AND q.y >= p.y, LATERAL (SELECT unnest(range(p.y, q.y + 1)) y) t GROUP BY 1, 2, 3)"""
+
+
+@named(f"WITH {_HULL} SELECT c AS case_id, s AS set_id, count(*) AS hull_rows, sum(b - a + 1)::BIGINT AS area, min(a) AS leftmost, max(b) AS rightmost FROM hl GROUP BY 1, 2")
+def convex_hulls(spark, d):
+    """RX12: convex hulls of sets, as rows of pixels."""
+    r = envelopes.convex_rows(drawn(spark, d), W)
+    return r.groupBy("case_id", "set_id").agg(F.count(F.lit(1)).alias("hull_rows"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("leftmost"), F.max("x1").alias("rightmost"))
+
+
+@named(f"WITH {_HULL}, n AS (SELECT c, s, count(*) n FROM px GROUP BY 1, 2) SELECT px.c AS case_id, px.s AS set_id, hl.s AS host, round(count(*) / any_value(n.n), 6) AS share FROM px JOIN hl ON hl.c = px.c AND hl.y = px.y AND px.x BETWEEN a AND b JOIN n ON n.c = px.c AND n.s = px.s WHERE hl.s <> px.s GROUP BY 1, 2, 3")
+def envelope_shares(spark, d):
+    """PF16: how much of a set lies in the envelopes of the others of its image."""
+    x = drawn(spark, d)
+    return envelopes.envelope_shares(x, x.withColumnRenamed("set_id", "host"), W).where("host <> set_id").select("case_id", "set_id", "host", r6(F.col("share")).alias("share"))
+
+
+@named()
+def completed_sets(spark, d):
+    """RX12: partly hidden sets, completed from six candidates; tested by brute force."""
+    o = owners(spark, d)
+    _, x = envelopes.complete(o, o, W, H)
+    return x.select("case_id", "set_id", "visible", "added", "touching", r6(F.col("confidence")).alias("confidence"))
+
+
+#: A smaller image for values: every customer has one.
+VW, VH = 24, 16
+
+
+@named(f"""WITH px AS (SELECT c_custkey c, x, y, (x * (c_custkey % 13) + y * 7 + c_nationkey) % 97::DOUBLE l, (x * y + c_custkey) % 31::DOUBLE a FROM customer, range(0, {VW}) q(x), range(0, {VH}) w(y)),
+kr AS (SELECT k, exp(-(k * k) / (2 * 0.65::DOUBLE * 0.65)) / (SELECT sum(exp(-(j * j) / (2 * 0.65::DOUBLE * 0.65))) FROM range(-2, 3) z(j)) v FROM range(-2, 3) z(k)),
+hx AS (SELECT c, x, y, sum(l * v) l, sum(a * v) a FROM (SELECT p.c, t.x, p.y, p.l, p.a, kr.v FROM range(0, {VW}) t(x) CROSS JOIN kr JOIN px p ON p.x = CASE WHEN abs(t.x + k) >= {VW} THEN 2 * ({VW} - 1) - (t.x + k) ELSE abs(t.x + k) END) GROUP BY 1, 2, 3),
+bl AS (SELECT c, x, y, sum(l * v) l, sum(a * v) a FROM (SELECT p.c, p.x, t.y, p.l, p.a, kr.v FROM range(0, {VH}) t(y) CROSS JOIN kr JOIN hx p ON p.y = CASE WHEN abs(t.y + k) >= {VH} THEN 2 * ({VH} - 1) - (t.y + k) ELSE abs(t.y + k) END) GROUP BY 1, 2, 3),
+sb AS (SELECT c, x, y, sqrt(sum(l * i * (2 - abs(j))) ** 2 + sum(l * j * (2 - abs(i))) ** 2) gl, sqrt(sum(a * i * (2 - abs(j))) ** 2 + sum(a * j * (2 - abs(i))) ** 2) ga FROM (SELECT p.c, t.x, u.y, p.l, p.a, i, j FROM range(0, {VW}) t(x) CROSS JOIN range(0, {VH}) u(y) CROSS JOIN range(-1, 2) q(i) CROSS JOIN range(-1, 2) w(j)
+ JOIN bl p ON p.x = CASE WHEN abs(t.x + i) >= {VW} THEN 2 * ({VW} - 1) - (t.x + i) ELSE abs(t.x + i) END AND p.y = CASE WHEN abs(u.y + j) >= {VH} THEN 2 * ({VH} - 1) - (u.y + j) ELSE abs(u.y + j) END) GROUP BY 1, 2, 3),
+st AS (SELECT c, x, y, greatest(gl, ga) g FROM sb), tp AS (SELECT c, quantile_cont(g, 0.9) t FROM st GROUP BY 1),
+se AS (SELECT DISTINCT o_custkey c, o_orderkey % 2 s, x0 + dx x, y0 + dy y FROM (SELECT *, o_orderkey * 7 % {VW} x0, o_orderkey * 5 % {VH} y0 FROM orders), range(0, 6) a(dx), range(0, 5) b(dy) WHERE x0 + dx < {VW} AND y0 + dy < {VH}),
+ou AS (SELECT c, s, x + i x, y + j y, count(*) n FROM se, range(-1, 2) q(i), range(-1, 2) w(j) WHERE x + i BETWEEN 0 AND {VW - 1} AND y + j BETWEEN 0 AND {VH - 1} GROUP BY 1, 2, 3, 4),
+ol AS (SELECT * FROM ou WHERE n < (1 + (x > 0)::INT + (x < {VW - 1})::INT) * (1 + (y > 0)::INT + (y < {VH - 1})::INT))
+SELECT k.c AS case_id, k.s AS set_id, round(coalesce(least(m / t, 1), 0), 4) AS alignment FROM (SELECT DISTINCT c, s FROM se) k LEFT JOIN (SELECT ol.c, ol.s, avg(g) m FROM ol JOIN st USING (c, x, y) GROUP BY 1, 2) USING (c, s) JOIN tp ON tp.c = k.c""")
+def aligned_outlines(spark, d):
+    """RX9: how well outlines follow an image's edges; tiles of ten pixels, so stencils cross borders."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    p = table(spark, d, "customer").select(c, n, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VW * VH - 1).cast("long"))).alias("e"))
+    x, y = F.col("e") % VW, F.floor(F.col("e") / VW)
+    p = p.select(c.alias("case_id"), "e", ((x * (c % 13) + y * 7 + n) % 97).alias("l"), ((x * y + c) % 31).alias("a"))
+    strength = tiles.to_pixels(tiles.edge_strength(tiles.to_tiles(p, ["l", "a"], VW, VH, 10), 2, VW, VH, 10), VW, 10)
+    k = F.col("o_orderkey")
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), (k % 2).alias("set_id"), (k * 7 % VW).alias("x"), (k * 5 % VH).alias("y"))
+    s = s.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(4)))).where((F.col("x") + F.col("dx") < VW) & (F.col("y") + F.col("dy") < VH))
+    s = s.select("case_id", "set_id", ((F.col("y") + F.col("dy")) * VW + F.col("x") + F.col("dx")).cast("long").alias("e")).distinct()
+    return tiles.boundary_alignment(strength, s, VW, VH).select("case_id", "set_id", F.round("alignment", 4).alias("alignment"))
