@@ -18,7 +18,6 @@ table gives an empty result; other columns pass through ``fingerprint`` and are
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -172,11 +171,11 @@ def prints(texts: list[bytes], ranks: np.ndarray) -> list[Print]:
 
 
 def encode(p: Print) -> str:
-    return ".".join(base64.b64encode(c.tobytes()).decode() for c in p) if any(map(len, p)) else ""
+    return ".".join(c.tobytes().hex() for c in p) if any(map(len, p)) else ""
 
 
 def decode(fingerprint: str) -> Print:
-    return tuple(np.frombuffer(base64.b64decode(c), np.uint8).reshape(-1, FILTER_BITS // 8) for c in (fingerprint or ".").split("."))
+    return tuple(np.frombuffer(bytes.fromhex(c), np.uint8).reshape(-1, FILTER_BITS // 8) for c in (fingerprint or ".").split("."))
 
 
 def likeness(a: Print, b: Print) -> float:
@@ -232,7 +231,9 @@ def fingerprint(text: Column, ranks: np.ndarray) -> Column:
     return F.arrow_udf(lambda texts: pa.array([encode(p) for p in prints(_raw(texts), ranks)], pa.string()), "string")(text)
 
 
-_FIGURES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What is written of a document: bytes, which become text in the result.
+_FIGURES = {"n_chars": pa.int64(), "sha256": pa.binary(), "own_long": pa.binary(), "own_short": pa.binary(), "new_long": pa.binary(), "new_short": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_KINDS = {pa.int64(): "long", pa.binary(): "binary", pa.float64(): "double"}
 
 
 def edited(text: str, following: str) -> str:
@@ -246,7 +247,7 @@ def _figures(texts: list[str], own: list[Print], ranks: np.ndarray) -> list[tupl
     changed = [edited(x, y) for x, y in zip(texts, texts[1:])]
     raw = [x.encode() for x in changed]
     return [
-        (len(t), hashlib.sha256(r).hexdigest(), encode(a), encode(c), likeness(a, c), likeness(a, b))
+        (len(t), hashlib.sha256(r).digest(), *(x.tobytes() for x in (*a, *c)), likeness(a, c), likeness(a, b))
         for t, r, a, b, c in zip(texts, raw, own, own[1:], prints(raw, ranks))
     ]
 
@@ -263,13 +264,14 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
     x = x.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("row")]
     x = x.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
-    schema = f"id {kind}, {_FIGURES}, part int, edge string, text string"
-    arrow = pa.schema([("id", pa.null()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+    figures = f"id {kind}, " + ", ".join(f"{c} {_KINDS[t]}" for c, t in _FIGURES.items())
+    none = [(None,) * len(_FIGURES)]
 
-    def table_of(ids: pa.Array, figures: list[tuple], part: int, edge: str | None = None, text: str | None = None) -> pa.RecordBatch:
-        columns = [ids] + [pa.array([f[k] for f in figures], arrow.field(k + 1).type) for k in range(6)]
-        columns += [pa.array([v] * len(ids), t) for v, t in ((part, pa.int32()), (edge, pa.string()), (text, pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=arrow.names)
+    def table_of(ids: pa.Array, rows: list[tuple], *edge) -> pa.RecordBatch:
+        """Figures of documents; with their range's number, and which end of it they are, where these are given."""
+        columns = [ids] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(_FIGURES.values())]
+        columns += [pa.array([v] * len(ids), t) for v, t in zip(edge, (pa.int32(), pa.string(), pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", *_FIGURES, *["part", "edge", "text"][: len(edge)]])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, waiting = TaskContext.get().partitionId(), None
@@ -279,16 +281,16 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
                 continue
             own = prints([t.encode() for t in texts], ranks)
             if waiting:
-                yield table_of(waiting[0], _figures([waiting[1], texts[0]], [waiting[2], own[0]], ranks), part)
+                yield table_of(waiting[0], _figures([waiting[1], texts[0]], [waiting[2], own[0]], ranks), part, None, None)
             else:
-                yield table_of(ids[:1], [(None,) * 6], part, "first", texts[0])
+                yield table_of(ids[:1], none, part, "first", texts[0])
             if len(texts) > 1:
-                yield table_of(ids[:-1], _figures(texts, own, ranks), part)
+                yield table_of(ids[:-1], _figures(texts, own, ranks), part, None, None)
             waiting = (ids[-1:], texts[-1], own[-1])
         if waiting:
-            yield table_of(waiting[0], [(None,) * 6], part, "last", waiting[1])
+            yield table_of(waiting[0], none, part, "last", waiting[1])
 
-    done = materialize(x.mapInArrow(stream, schema), "compared")
+    done = materialize(x.mapInArrow(stream, f"{figures}, part int, edge string, text string"), "compared")
     parts = sorted(r["part"] for r in done.where("edge = 'first'").select("part").collect())
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
     first = done.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
@@ -297,12 +299,12 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            figures = [_figures([a, b], prints([a.encode(), b.encode()], ranks), ranks)[0] for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = [batch.column(0)] + [pa.array([f[k] for f in figures], arrow.field(k + 1).type) for k in range(6)]
-            yield pa.RecordBatch.from_arrays(columns, names=arrow.names[:7])
+            rows = [_figures([a, b], prints([a.encode(), b.encode()], ranks), ranks)[0] for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield table_of(batch.column(0), rows)
 
-    whole = done.where("edge IS NULL").drop("part", "edge", "text").unionByName(ends.mapInArrow(close, f"id {kind}, {_FIGURES}"))
-    return whole.withColumnRenamed("id", id_col)
+    whole = done.where("edge IS NULL").drop("part", "edge", "text").unionByName(ends.mapInArrow(close, figures))
+    spelt = lambda k: F.when((F.octet_length(f"{k}_long") == 0) & (F.octet_length(f"{k}_short") == 0), "").otherwise(F.concat(F.lower(F.hex(f"{k}_long")), F.lit("."), F.lower(F.hex(f"{k}_short"))))
+    return whole.select(F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha256")).alias("edited_sha256"), spelt("own").alias("fingerprint"), spelt("new").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
