@@ -33,8 +33,13 @@ def encode_runs(elem: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def dilate(elem: DataFrame, width: int, height: int, radius: int = 1) -> DataFrame:
-    """Sets grown by a square of side 2 * radius + 1, cut at the border."""
+    """Sets grown by a square of side 2 * radius + 1, cut at the border; wide squares along rows first, then along columns."""
     d = F.sequence(F.lit(-radius), F.lit(radius))
+    if radius > 1:
+        x = elem.withColumn("x", F.col("e") % width).withColumn("dx", F.explode(d)).where((F.col("x") + F.col("dx")).between(0, width - 1))
+        x = x.select("case_id", "set_id", (F.col("e") + F.col("dx")).alias("e")).distinct()
+        x = x.withColumn("y", F.floor(F.col("e") / width)).withColumn("dy", F.explode(d)).where((F.col("y") + F.col("dy")).between(0, height - 1))
+        return x.select("case_id", "set_id", (F.col("e") + F.col("dy") * width).alias("e")).distinct()
     x = elem.withColumn("x", F.col("e") % width).withColumn("y", F.floor(F.col("e") / width)).withColumn("dx", F.explode(d)).withColumn("dy", F.explode(d))
     x = x.withColumn("x", F.col("x") + F.col("dx")).withColumn("y", F.col("y") + F.col("dy"))
     inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)

@@ -1,4 +1,7 @@
-"""Queries of raster operators: orders are pixels of a small image, their priority is the set that they belong to."""
+"""Queries of raster operators: every customer is an image, on which orders draw rectangles; priorities are sets.
+
+Images are of one size and as many as the table has customers; all orders are drawn.
+"""
 
 from __future__ import annotations
 
@@ -6,136 +9,130 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parents, raster, regions
-from ..storage import table
+from ..storage import materialize, table
 from .catalog import named, r6
+from .drawings import NEAR, OWNERS, H, W, drawn, drawn_sql, owners, rectangles_sql, runs_sql
 
-W, H = 64, 48
-
-
-def pixels(spark: SparkSession, d: str, status: str = "F") -> DataFrame:
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    x = table(spark, d, "orders").where((F.col("o_orderstatus") == status) & (o % 3 == 0))
-    return x.select(F.lit(0).alias("case_id"), F.substring("o_orderpriority", 1, 1).cast("long").alias("set_id"), ((c % H) * W + o * 7 % W).alias("e")).distinct()
-
-
-def _px(name: str = "px", status: str = "F") -> str:
-    return f"{name} AS (SELECT DISTINCT substr(o_orderpriority, 1, 1)::BIGINT s, o_orderkey * 7 % {W} x, o_custkey % {H} y FROM orders WHERE o_orderstatus = '{status}' AND o_orderkey % 3 = 0)"
+_KEY = ["case_id", "set_id"]
+#: Sets drawn by orders of even and of odd number.
+_EVEN, _ODD = "o_orderkey % 2 = 0", "o_orderkey % 2 = 1"
+_ER = "er AS (SELECT c, s, x, y FROM (SELECT p.c, p.s, p.x, p.y, count(*) n FROM px p CROSS JOIN nb JOIN px q ON q.c = p.c AND q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3, 4) WHERE n = 9)"
 
 
-_D = "dd(dx) AS (VALUES (-1), (0), (1)), dy_(dy) AS (VALUES (-1), (0), (1))"
-_ER = f"er AS (SELECT s, x, y FROM (SELECT p.s, p.x, p.y, count(*) n FROM px p, dd, dy_ JOIN px q ON q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3) WHERE n = 9)".replace("FROM px p, dd, dy_ JOIN px q ON", "FROM px p CROSS JOIN dd CROSS JOIN dy_ JOIN px q ON")
-
-
-@named(f"WITH {_px()}, {_D} SELECT s AS set_id, count(DISTINCT (y + dy) * {W} + x + dx) AS grown FROM px, dd, dy_ WHERE x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1} GROUP BY 1")
+@named(f"WITH {drawn_sql()}, {NEAR} SELECT c AS case_id, s AS set_id, count(DISTINCT (y + dy) * {W} + x + dx) AS grown FROM px, nb WHERE x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1} GROUP BY 1, 2")
 def dilation(spark, d):
     """RX2: sets grown by a pixel."""
-    return raster.dilate(pixels(spark, d), W, H).groupBy("set_id").agg(F.count(F.lit(1)).alias("grown"))
-
-
-def _solid(spark: SparkSession, d: str) -> DataFrame:
-    return raster.dilate(pixels(spark, d), W, H)
+    return raster.dilate(drawn(spark, d), W, H).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("grown"))
 
 
-_SOLID = f"{_px('p0')}, {_D}, px AS (SELECT DISTINCT s, x + dx x, y + dy y FROM p0, dd, dy_ WHERE x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1})"
-
-
-@named(f"WITH {_SOLID}, {_ER} SELECT s AS set_id, count(*) AS inside FROM er GROUP BY 1")
+@named(f"WITH {drawn_sql()}, {NEAR}, {_ER} SELECT c AS case_id, s AS set_id, count(*) AS inside FROM er GROUP BY 1, 2")
 def erosion(spark, d):
     """RX2: pixels whose neighbourhood is inside."""
-    return raster.erode(_solid(spark, d), W, H).groupBy("set_id").agg(F.count(F.lit(1)).alias("inside"))
+    return raster.erode(drawn(spark, d), W, H).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("inside"))
 
 
-@named(f"""WITH RECURSIVE {_px()}, {_D}, l AS (SELECT p.s, p.y * {W} + p.x a, q.y * {W} + q.x b FROM px p CROSS JOIN dd CROSS JOIN dy_ JOIN px q ON q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy), r AS (SELECT s, a, a b FROM l UNION SELECT r.s, r.a, l.b FROM r JOIN l ON l.s = r.s AND l.a = r.b),
-c AS (SELECT s, a, min(b) c FROM r GROUP BY 1, 2), g AS (SELECT s, c, count(*) n FROM c GROUP BY 1, 2) SELECT s AS set_id, count(*) AS components, max(n) AS largest, count(*) FILTER (n >= 3) AS of_three FROM g GROUP BY 1""")
+@named(f"""WITH RECURSIVE {rectangles_sql()}, l AS (SELECT p.c, p.s, p.k a, q.k b FROM rc p JOIN rc q ON q.c = p.c AND q.s = p.s AND p.x0 <= q.x1 + 1 AND q.x0 <= p.x1 + 1 AND p.y0 <= q.y1 + 1 AND q.y0 <= p.y1 + 1),
+r AS (SELECT c, s, a, b FROM l UNION SELECT r.c, r.s, r.a, l.b FROM r JOIN l ON l.a = r.b AND l.c = r.c AND l.s = r.s), m AS (SELECT a k, min(b) m FROM r GROUP BY 1),
+g AS (SELECT c, s, m, count(DISTINCT yy * {W} + xx) n FROM (SELECT c, s, m, x0 + dx xx, y0 + dy yy FROM rc JOIN m USING (k), range(0, 12) a(dx), range(0, 9) b(dy) WHERE x0 + dx <= x1 AND y0 + dy <= y1) GROUP BY 1, 2, 3)
+SELECT c AS case_id, s AS set_id, count(*) AS components, max(n) AS largest, count(*) FILTER (n >= 60) AS of_sixty FROM g GROUP BY 1, 2""")
 def pixel_components(spark, d):
-    """RX1: eight-connected components."""
-    c = raster.components(pixels(spark, d), W, H).groupBy("set_id", "component").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("set_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") >= 3).alias("of_three"))
+    """RX1: eight-connected components; the SQL joins rectangles that touch."""
+    c = raster.components(drawn(spark, d), W, H).groupBy(*_KEY, "component").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") >= 60).alias("of_sixty"))
 
 
-_OUT = f"ou AS (SELECT s, x, y FROM (SELECT DISTINCT s FROM px), range(0, {W}) a(x), range(0, {H}) b(y) WHERE (s, x, y) NOT IN (SELECT (s, x, y) FROM px))"
+#: The nearest pixel outside is a neighbour of the set.
+_DT = f"""{drawn_sql()}, {NEAR}, ou AS (SELECT DISTINCT c, s, x + dx x, y + dy y FROM px, nb WHERE x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1} EXCEPT SELECT * FROM px),
+dt AS (SELECT p.c, p.s, p.x, p.y, min((p.x - o.x) ** 2 + (p.y - o.y) ** 2) q FROM px p JOIN ou o ON o.c = p.c AND o.s = p.s GROUP BY 1, 2, 3, 4)"""
 
 
-@named(f"WITH {_SOLID}, {_OUT}, dt AS (SELECT p.s, p.x, p.y, min((p.x - o.x) ** 2 + (p.y - o.y) ** 2) q FROM px p JOIN ou o ON o.s = p.s GROUP BY 1, 2, 3) SELECT s AS set_id, round(max(sqrt(q)), 6) AS deepest, round(avg(sqrt(q)), 6) AS mean FROM dt GROUP BY 1")
+@named(f"WITH {_DT} SELECT c AS case_id, s AS set_id, round(max(sqrt(q)), 6) AS deepest, round(avg(sqrt(q)), 6) AS mean FROM dt GROUP BY 1, 2")
 def pixel_depth(spark, d):
     """RX3: exact distance of pixels from the outside."""
-    return raster.depth(_solid(spark, d), W, H).groupBy("set_id").agg(r6(F.max("distance")).alias("deepest"), r6(F.avg("distance")).alias("mean"))
+    return raster.depth(drawn(spark, d), W, H).groupBy(*_KEY).agg(r6(F.max("distance")).alias("deepest"), r6(F.avg("distance")).alias("mean"))
 
 
-@named(f"""WITH {_SOLID}, {_OUT}, dt AS (SELECT p.s, p.x, p.y, min((p.x - o.x) ** 2 + (p.y - o.y) ** 2) q FROM px p JOIN ou o ON o.s = p.s GROUP BY 1, 2, 3), k AS (SELECT s, greatest(1, sqrt(count(*)) * 0.08) k FROM px GROUP BY 1) SELECT dt.s AS set_id, round(avg(0.52 + 0.48 * least(sqrt(q) / k, 1)), 6) AS inside FROM dt JOIN k ON k.s = dt.s GROUP BY 1""")
+@named(f"WITH {_DT}, k AS (SELECT c, s, greatest(1, sqrt(count(*)) * 0.08) k FROM px GROUP BY 1, 2) SELECT dt.c AS case_id, dt.s AS set_id, round(avg(0.52 + 0.48 * least(sqrt(q) / k, 1)), 6) AS inside FROM dt JOIN k ON k.c = dt.c AND k.s = dt.s GROUP BY 1, 2")
 def soft_membership(spark, d):
     """RX4: ownership likelihood inside the sets."""
-    e = _solid(spark, d)
-    return raster.soft_membership(e, W, H).join(e, ["case_id", "set_id", "e"], "left_semi").groupBy("set_id").agg(r6(F.avg("p")).alias("inside"))
+    e = drawn(spark, d)
+    return raster.soft_membership(e, W, H).join(e, [*_KEY, "e"], "left_semi").groupBy(*_KEY).agg(r6(F.avg("p")).alias("inside"))
 
 
-@named(f"""WITH {_px('a0')}, {_px('b0', 'O')}, m AS (SELECT a.s x, b.s y, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2) q FROM a0 a, b0 b GROUP BY 1, 2) SELECT x AS set_id, y AS other, round(sqrt(q), 6) AS distance FROM m""")
+@named(f"""WITH {rectangles_sql('ra', _EVEN)}, {rectangles_sql('rb', _ODD)} SELECT a.c AS case_id, a.s AS set_id, b.s AS other,
+ round(sqrt(min(greatest(0, b.x0 - a.x1, a.x0 - b.x1) ** 2 + greatest(0, b.y0 - a.y1, a.y0 - b.y1) ** 2)), 6) AS distance FROM ra a JOIN rb b ON a.c = b.c GROUP BY 1, 2, 3""")
 def pixel_reach(spark, d):
-    """RX3: least distance of sets from other sets."""
-    return raster.reach(pixels(spark, d), pixels(spark, d, "O"), W, H).select("set_id", "other", r6(F.col("distance")).alias("distance"))
+    """RX3: least distance of sets from other sets; the SQL measures rectangles."""
+    return raster.reach(drawn(spark, d, where=_EVEN), drawn(spark, d, where=_ODD), W, H).select(*_KEY, "other", r6(F.col("distance")).alias("distance"))
 
 
-def _bf(name: str, status: str) -> str:
-    return f"""{name}0 AS (SELECT DISTINCT s, x + dx x, y + dy y FROM ({_px('q', status).split(' AS ', 1)[1][1:-1]}), dd, dy_ WHERE x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1}),
-{name}e AS (SELECT p.s, p.x, p.y FROM {name}0 p CROSS JOIN dd CROSS JOIN dy_ JOIN {name}0 q ON q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3 HAVING count(*) = 9), {name} AS (SELECT * FROM {name}0 EXCEPT SELECT * FROM {name}e)"""
+def _edge(name: str, where: str) -> str:
+    return f"""{drawn_sql(name + '0', where=where)}, {name}e AS (SELECT p.c, p.s, p.x, p.y FROM {name}0 p CROSS JOIN nb JOIN {name}0 q ON q.c = p.c AND q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3, 4 HAVING count(*) = 9),
+{name} AS (SELECT * FROM {name}0 EXCEPT SELECT * FROM {name}e), {name}g AS (SELECT DISTINCT c, s, x + dx x, y + dy y FROM {name}, nb)"""
 
 
-@named(f"""WITH {_D}, {_bf('a', 'F')}, {_bf('b', 'O')}, p AS (SELECT a.s, avg((EXISTS (SELECT 1 FROM b WHERE b.s = a.s AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1))::INT) v FROM a GROUP BY 1), r AS (SELECT b.s, avg((EXISTS (SELECT 1 FROM a WHERE b.s = a.s AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1))::INT) v FROM b GROUP BY 1)
-SELECT p.s AS case_id, round(2 * p.v * r.v / greatest(p.v + r.v, 1e-12), 6) AS boundary_f1 FROM p JOIN r USING (s)""")
+@named(f"""WITH {NEAR}, {_edge('a', _EVEN)}, {_edge('b', _ODD)}, p AS (SELECT c, s, avg((bg.x IS NOT NULL)::INT) v FROM a LEFT JOIN bg USING (c, s, x, y) GROUP BY 1, 2), r AS (SELECT c, s, avg((ag.x IS NOT NULL)::INT) v FROM b LEFT JOIN ag USING (c, s, x, y) GROUP BY 1, 2)
+SELECT c * 10 + s AS case_id, round(2 * coalesce(p.v, 0) * coalesce(r.v, 0) / greatest(coalesce(p.v, 0) + coalesce(r.v, 0), 1e-12), 6) AS boundary_f1 FROM p FULL JOIN r USING (c, s)""")
 def boundary_scores(spark, d):
     """RX7: boundaries within a tolerance of each other."""
-    own = lambda x: raster.dilate(x, W, H).select(F.col("set_id").alias("case_id"), "set_id", "e")
-    x = raster.boundary_f1(own(pixels(spark, d)), own(pixels(spark, d, "O")), W, H, 1)
-    return x.select("case_id", r6(F.col("boundary_f1")).alias("boundary_f1"))
-
-
-def _owners(spark: SparkSession, d: str) -> DataFrame:
-    return _solid(spark, d).groupBy("case_id", "e").agg(F.min("set_id").alias("set_id"))
+    own = lambda w: drawn(spark, d, where=w).select((F.col("case_id") * 10 + F.col("set_id")).alias("case_id"), "set_id", "e")
+    return raster.boundary_f1(own(_EVEN), own(_ODD), W, H, 1).select("case_id", r6(F.col("boundary_f1")).alias("boundary_f1"))
 
 
-_OWN = f"{_SOLID}, ow AS (SELECT x, y, min(s) s FROM px GROUP BY 1, 2)"
-_ADJ = f"{_OWN}, ad AS (SELECT least(p.s, q.s) a, greatest(p.s, q.s) b, count(*) n FROM ow p JOIN ow q ON ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) AND p.s <> q.s GROUP BY 1, 2)"
+_ADJ = f"{OWNERS}, ad AS (SELECT p.c, least(p.s, q.s) a, greatest(p.s, q.s) b, count(*) n FROM ow p JOIN ow q ON p.c = q.c AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) AND p.s <> q.s GROUP BY 1, 2, 3)"
 
 
-@named(f"WITH {_ADJ} SELECT a, b, n AS length FROM ad")
+@named(f"WITH {_ADJ} SELECT c AS case_id, a, b, n AS length FROM ad")
 def adjacency(spark, d):
     """JN25: shared boundary lengths."""
-    return raster.adjacency(_owners(spark, d), W).select("a", "b", "length")
+    return raster.adjacency(owners(spark, d), W).select("case_id", "a", "b", "length")
 
 
-@named(f"""WITH RECURSIVE {_OWN}, l AS (SELECT p.s, p.y * {W} + p.x a, q.y * {W} + q.x b FROM ow p CROSS JOIN dd CROSS JOIN dy_ JOIN ow q ON q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy WHERE p.s >= 3), r AS (SELECT s, a, a b FROM l UNION SELECT r.s, r.a, l.b FROM r JOIN l ON l.s = r.s AND l.a = r.b), c AS (SELECT s, a, count(*) n FROM r GROUP BY 1, 2) SELECT s AS label, count(*) AS pixels FROM c WHERE n >= 6 GROUP BY 1""")
+@named(f"""WITH RECURSIVE {OWNERS}, {runs_sql('ow')}, g AS (SELECT c, s, m, sum(n) n FROM co GROUP BY 1, 2, 3) SELECT c AS case_id, s AS label, sum(n)::BIGINT AS pixels FROM g WHERE n >= 25 GROUP BY 1, 2""")
 def clean_labels(spark, d):
-    """RX5: small components of labels go. Labels of three and more, which fall back to nothing."""
-    o = _owners(spark, d).where("set_id >= 3").select("case_id", "e", F.col("set_id").alias("label"))
-    return raster.clean_labels(o, {}, W, H, 6).groupBy("label").agg(F.count(F.lit(1)).alias("pixels"))
+    """RX5: small components of labels go; labels fall back to nothing here, and their repair by neighbours is tested by brute force."""
+    o = owners(spark, d).select("case_id", "e", F.col("set_id").alias("label"))
+    return raster.clean_labels(o, {}, W, H, 25).groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@named(f"""WITH {_ADJ}, pe AS (SELECT s, count(*) FILTER (n < 9) p FROM (SELECT p.s, p.x, p.y, count(q.s) n FROM ow p CROSS JOIN dd CROSS JOIN dy_ LEFT JOIN ow q ON q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3) GROUP BY 1), ra AS (SELECT a, b, n / greatest(1, least(x.p, y.p)) v FROM ad JOIN pe x ON x.s = a JOIN pe y ON y.s = b),
-be AS (SELECT a, b FROM ra WHERE v >= 0.05 ORDER BY v DESC, a, b LIMIT 1) SELECT (SELECT a FROM be) AS first_kept, (SELECT b FROM be) AS first_joined""")
+def _merges(steps: int) -> str:
+    """CTEs g0..g<steps> (c, s, g): groups after each merge; of five labels four at most can join others."""
+    out = "g0 AS (SELECT c, s, s g FROM pe)"
+    for k in range(steps):
+        out += f""", z{k} AS (SELECT c, g, sum(p) - 2 * coalesce((SELECT sum(ad.n) FROM ad JOIN g{k} x ON x.c = ad.c AND x.s = ad.a JOIN g{k} y ON y.c = ad.c AND y.s = ad.b WHERE ad.c = t.c AND x.g = t.g AND y.g = t.g), 0) p FROM (SELECT g{k}.c, g, p FROM g{k} JOIN pe USING (c, s)) t GROUP BY 1, 2),
+o{k} AS (SELECT ad.c, least(x.g, y.g) a, greatest(x.g, y.g) b, sum(n) n FROM ad JOIN g{k} x ON x.c = ad.c AND x.s = ad.a JOIN g{k} y ON y.c = ad.c AND y.s = ad.b WHERE x.g <> y.g GROUP BY 1, 2, 3),
+b{k} AS (SELECT * FROM (SELECT o.c, a, b, n / greatest(1, least(greatest(1, u.p), greatest(1, v.p))) v, row_number() OVER (PARTITION BY o.c ORDER BY n / greatest(1, least(greatest(1, u.p), greatest(1, v.p))) DESC, a, b) r FROM o{k} o JOIN z{k} u ON u.c = o.c AND u.g = a JOIN z{k} v ON v.c = o.c AND v.g = b) WHERE r = 1 AND v >= 0.2),
+g{k + 1} AS (SELECT g{k}.c, s, CASE WHEN g = b THEN a ELSE g END g FROM g{k} LEFT JOIN b{k} ON b{k}.c = g{k}.c)"""
+    return out
+
+
+@named(f"""WITH {_ADJ}, {NEAR}, pe AS (SELECT c, s, count(*) p FROM (SELECT p.c, p.s, p.x, p.y, count(q.s) n FROM ow p CROSS JOIN nb LEFT JOIN ow q ON q.c = p.c AND q.s = p.s AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3, 4 HAVING n < 9) GROUP BY 1, 2), {_merges(4)}
+SELECT c AS case_id, s AS region, g AS merged FROM g4""")
 def merged_regions(spark, d):
-    """GR11: which regions join first by their share of common boundary; the joining itself is tested by brute force."""
-    o = _owners(spark, d)
-    inner = raster.boundary(o, W, H).groupBy("case_id", F.col("set_id").alias("region")).agg(F.count(F.lit(1)).alias("perimeter"))
-    shared = raster.adjacency(o, W)
-    p = {s: inner.select("case_id", F.col("region").alias(s), F.col("perimeter").alias(f"p{s}")) for s in "ab"}
-    best = shared.join(p["a"], ["case_id", "a"]).join(p["b"], ["case_id", "b"]).withColumn("v", F.col("length") / F.greatest(F.lit(1), F.least("pa", "pb"))).where("v >= 0.05")
-    first = best.agg(F.min(F.struct((-F.col("v")).alias("v"), "a", "b")).alias("m"))
-    m = raster.merge_regions(inner, shared, 0.05).where("region <> merged").agg(F.count(F.lit(1)).alias("n"))
-    return first.join(F.broadcast(m)).select(F.when(F.col("n") > 0, F.col("m.a")).alias("first_kept"), F.when(F.col("n") > 0, F.col("m.b")).alias("first_joined"))
-
-
-@named(f"WITH {_px()} SELECT s AS set_id, count(*) AS n, sum(y * {W} + x)::BIGINT AS total FROM px GROUP BY 1")
+    """GR11: regions that join, best share of common boundary first."""
+    o = materialize(owners(spark, d), "owners")
+    around = raster.boundary(o, W, H).groupBy("case_id", F.col("set_id").alias("region")).agg(F.count(F.lit(1)).alias("perimeter"))
+    return raster.merge_regions(around, raster.adjacency(o, W), 0.2)
+
+
+@named(f"""WITH {drawn_sql()}, p AS (SELECT c, s, x * {H} + y p, x * {H} + y - row_number() OVER (PARTITION BY c, s ORDER BY x * {H} + y) g FROM px), r AS (SELECT c, s, min(p) st, count(*) n FROM p GROUP BY c, s, g),
+q AS (SELECT *, st - coalesce(lag(st + n) OVER (PARTITION BY c, s ORDER BY st), 0) gap FROM r), t AS (SELECT c, s, max(st + n) e, string_agg(gap::VARCHAR || ',' || n::VARCHAR, ',' ORDER BY st) k, sum(n) n FROM q GROUP BY 1, 2)
+SELECT t.c AS case_id, t.s AS set_id, k || CASE WHEN e < {W * H} THEN ',' || ({W * H} - e)::VARCHAR ELSE '' END AS runs, t.n::BIGINT AS n, u.total FROM t JOIN (SELECT c, s, sum(y * {W} + x)::BIGINT total FROM px GROUP BY 1, 2) u ON u.c = t.c AND u.s = t.s""")
 def run_lengths(spark, d):
-    """SC5, WN10: sets as compressed run lengths and back."""
-    runs = raster.encode_runs(pixels(spark, d), W, H)
-    again = runs.select("case_id", "set_id", raster.counts_of_text(raster.text_of_counts(F.col("counts"))).alias("counts"), F.lit(W).alias("width"))
-    return raster.decode_runs(again, "counts", F.lit(H)).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("total"))
+    """SC5, WN10: sets as run lengths, compressed, and what comes back."""
+    runs = materialize(raster.encode_runs(drawn(spark, d), W, H), "runs")
+    packed = runs.select(*_KEY, raster.counts_of_text(raster.text_of_counts(F.col("counts"))).alias("counts"), F.lit(W).alias("width"))
+    back = raster.decode_runs(packed, "counts", F.lit(H)).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("total"))
+    return runs.select(*_KEY, F.array_join(F.col("counts").cast("array<string>"), ",").alias("runs")).join(back, _KEY)
 
 
-@named(f"WITH {_px()} SELECT s AS set_id, count(*) AS n, sum(y * {W} + x)::BIGINT AS total FROM px GROUP BY 1")
+@named(f"""WITH {drawn_sql()}, b AS (SELECT c, s, y * {-(-W // 8)} + x // 8 k, sum(1 << (7 - x % 8)::INT) v FROM px GROUP BY 1, 2, 3), a AS (SELECT c, s, count(*) n, sum(y * {W} + x)::BIGINT total FROM px GROUP BY 1, 2)
+SELECT a.c AS case_id, a.s AS set_id, md5(string_agg(printf('%02x', coalesce(v, 0)::INT), '' ORDER BY t.k)) AS bits, any_value(n) AS n, any_value(total) AS total FROM a CROSS JOIN range(0, {-(-W // 8) * H}) t(k) LEFT JOIN b ON b.c = a.c AND b.s = a.s AND b.k = t.k GROUP BY 1, 2""")
 def packed_bits(spark, d):
-    """SC8: sets as packed bits and back."""
-    return raster.unpack_bits(raster.pack_bits(pixels(spark, d), W, H), W).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("total"))
+    """SC8: sets as packed bits, and what comes back."""
+    bits = materialize(raster.pack_bits(drawn(spark, d), W, H), "bits")
+    back = raster.unpack_bits(bits, W).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("total"))
+    return bits.select(*_KEY, F.md5(F.lower(F.hex("bits")).cast("binary")).alias("bits")).join(back, _KEY)
 
 
 @named(f"""WITH b AS (SELECT p_partkey k, p_partkey % 20 x, p_size % 20 y, p_partkey % 7 w, p_size % 5 h FROM part) SELECT k % 9 AS set_id, count(DISTINCT yy * {W} + xx) AS n FROM b, range(0, 40) a(xx), range(0, 40) c(yy) WHERE xx BETWEEN x AND x + w AND yy BETWEEN y AND y + h GROUP BY 1""")
@@ -151,24 +148,25 @@ def polygons(spark, d):
 _PAL = [(0, 0, 0), (200, 30, 30), (30, 200, 30), (30, 30, 200)]
 
 
-@named(f"""WITH p AS (SELECT DISTINCT o_custkey % {H} * {W} + o_orderkey * 7 % {W} e, (o_orderkey * 7 % {W}) * 4 r, (o_custkey % {H}) * 5 g, ((o_orderkey * 7 % {W}) * (o_custkey % {H})) % 256 b FROM orders), k(i, r, g, b) AS (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(_PAL))}),
-l AS (SELECT e, arg_min(i, ((p.r - k.r) ** 2 + (p.g - k.g) ** 2 + (p.b - k.b) ** 2, i)) c FROM p, k GROUP BY 1) SELECT c AS class, count(*) AS pixels FROM l GROUP BY 1""")
+@named(f"""WITH {OWNERS}, p AS (SELECT c, x, y, x * 4 r, y * 5 g, (x * y + s * 40) % 256 b FROM ow), k(i, r, g, b) AS (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(_PAL))}),
+l AS (SELECT c, x, y, arg_min(i, ((p.r - k.r) ** 2 + (p.g - k.g) ** 2 + (p.b - k.b) ** 2, i)) n FROM p, k GROUP BY 1, 2, 3) SELECT c AS case_id, n AS class, count(*) AS pixels FROM l GROUP BY 1, 2""")
 def palette_labels(spark, d):
     """SC2, SC3: pixels by the nearest palette colour, classes checked."""
-    x, y = F.col("o_orderkey") * 7 % W, F.col("o_custkey") % H
-    p = table(spark, d, "orders").select((y * W + x).alias("e"), (x * 4).alias("r"), (y * 5).alias("g"), (x * y % 256).alias("b")).distinct()
+    x, y = F.col("e") % W, F.floor(F.col("e") / W)
+    p = owners(spark, d).select("case_id", "e", (x * 4).alias("r"), (y * 5).alias("g"), ((x * y + F.col("set_id") * 40) % 256).alias("b"))
     c = regions.nearest_colour(F.col("r"), F.col("g"), F.col("b"), _PAL)
-    return regions.known_classes(p.withColumn("class", c), "class", len(_PAL)).groupBy("class").agg(F.count(F.lit(1)).alias("pixels"))
+    return regions.known_classes(p.withColumn("class", c), "class", len(_PAL)).groupBy("case_id", "class").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@named(f"""WITH {_OWN}, v AS (SELECT * FROM ow WHERE s = 1), c1 AS (SELECT o.s k, count(DISTINCT o.y * {W} + o.x) n FROM ow o JOIN v ON abs(o.x - v.x) <= 1 AND abs(o.y - v.y) <= 1 WHERE o.s <> 1 GROUP BY 1), c2 AS (SELECT o.s k, count(DISTINCT o.y * {W} + o.x) n FROM ow o JOIN v ON abs(o.x - v.x) <= 5 AND abs(o.y - v.y) <= 5 WHERE o.s <> 1 GROUP BY 1), a AS (SELECT s, count(*) n FROM ow GROUP BY 1),
-h AS (SELECT c1.k, c1.n / greatest(1, sqrt(va.n * oa.n)) * (0.65 + 0.35 * least(1, c2.n / greatest(1, va.n * 0.35))) v FROM c1 JOIN c2 USING (k) JOIN a oa ON oa.s = c1.k JOIN a va ON va.s = 1 WHERE c1.n >= greatest(3, round_even(sqrt(va.n) * 0.08, 0)) AND c2.n >= greatest(8, round_even(va.n * 0.003, 0)))
-SELECT k AS other, round(v, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY v DESC, k) rank FROM h) WHERE rank <= 3""")
+@named(f"""WITH {OWNERS}, ar AS (SELECT c, s, count(*) n FROM ow GROUP BY 1, 2), z AS (SELECT v.c, v.s, o.s k, o.x, o.y, min(greatest(abs(o.x - v.x), abs(o.y - v.y))) m FROM ow v JOIN ow o ON o.c = v.c AND o.s <> v.s AND o.x BETWEEN v.x - 5 AND v.x + 5 AND o.y BETWEEN v.y - 5 AND v.y + 5 GROUP BY 1, 2, 3, 4, 5),
+c2 AS (SELECT c, s, k, count(*) FILTER (m <= 1) n1, count(*) n5 FROM z GROUP BY 1, 2, 3 HAVING n1 > 0),
+h AS (SELECT c2.c, c2.s, k, n1 / greatest(1, sqrt(va.n * oa.n)) * (0.65 + 0.35 * least(1, n5 / greatest(1, va.n * 0.35))) v FROM c2 JOIN ar va ON va.c = c2.c AND va.s = c2.s JOIN ar oa ON oa.c = c2.c AND oa.s = k WHERE n1 >= greatest(3, round_even(sqrt(va.n) * 0.08, 0)) AND n5 >= greatest(8, round_even(va.n * 0.003, 0)))
+SELECT c AS case_id, s AS set_id, k AS other, round(v, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY c, s ORDER BY round(v, 9) DESC, k) rank FROM h) WHERE rank <= 3""")
 def occluder_ranks(spark, d):
     """JN22: the three neighbours that most likely hide a set."""
-    o = _owners(spark, d)
-    x = raster.contacts(o.where("set_id = 1"), o, W, H, 1, 5)
-    return regions.occluders(x).select("other", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+    o = materialize(owners(spark, d), "owners")
+    x = raster.contacts(o, o, W, H, 1, 5)
+    return regions.occluders(x).select(*_KEY, "other", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @named("""WITH g AS (SELECT l_orderkey k, l_linenumber n, l_tax * 20 q, 0.7::DOUBLE + l_discount * 3 r, 0.6::DOUBLE + l_tax * 5 p, l_quantity a, 40 + l_partkey % 60 v, 0.7::DOUBLE + l_discount * 3 la, 1.0::DOUBLE + l_tax * 5 sp FROM lineitem), s AS (SELECT *, greatest(6, round_even(v * 0.003, 0)) m, least(greatest(q * r * p * la * least(1, 1.3 / sp) * least(1, a / greatest(1, greatest(6, round_even(v * 0.003, 0)) * 4)), 0), 1) sc FROM g)

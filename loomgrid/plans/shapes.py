@@ -1,42 +1,14 @@
-"""Queries of partitions, envelopes and completions: every customer is an image, on which each order draws a rectangle.
-
-Images are of one size and hold the few orders of a customer; their number grows with the table, and all rows are read.
-"""
+"""Queries of partitions, envelopes, completions and outlines on the images of ``drawings``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import envelopes, partition, tiles
 from ..storage import table
 from .catalog import named, r6
-
-W, H = 64, 48
-
-
-def drawn(spark: SparkSession, d: str, of: Column | None = None) -> DataFrame:
-    """(case_id, set_id, e): the union of each set's rectangles. of: the set that an order belongs to, else by its priority."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    x, y, w, h = k * 7 % (W - 12), (k * 3 + c) % (H - 10), 5 + k % 8, 4 + F.floor(k / 8) % 6
-    o = table(spark, d, "orders").select(c.alias("case_id"), (F.substring("o_orderpriority", 1, 1).cast("long") if of is None else of).alias("set_id"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
-    o = o.withColumn("xx", F.explode(F.sequence("x", F.col("x") + F.col("w") - 1))).withColumn("yy", F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)))
-    return o.select("case_id", "set_id", (F.col("yy") * W + F.col("xx")).cast("long").alias("e")).distinct()
-
-
-def drawn_sql(name: str = "px", of: str = "substr(o_orderpriority, 1, 1)::BIGINT") -> str:
-    return f"""{name} AS (SELECT DISTINCT c, s, x + dx x, y + dy y FROM (SELECT o_custkey c, {of} s, o_orderkey * 7 % {W - 12} x, (o_orderkey * 3 + o_custkey) % {H - 10} y, 5 + o_orderkey % 8 w, 4 + (o_orderkey // 8) % 6 h FROM orders),
- range(0, 12) a(dx), range(0, 9) b(dy) WHERE dx < w AND dy < h)"""
-
-
-OWNERS = f"{drawn_sql()}, ow AS (SELECT c, x, y, min(s) s FROM px GROUP BY 1, 2, 3)"
-NEAR = "nb(dx, dy) AS (SELECT a.a, b.b FROM (VALUES (-1), (0), (1)) a(a), (VALUES (-1), (0), (1)) b(b))"
-
-
-def owners(spark: SparkSession, d: str) -> DataFrame:
-    """Exclusive maps (case_id, set_id, e): a pixel of several sets belongs to the smallest."""
-    return drawn(spark, d).groupBy("case_id", "e").agg(F.min("set_id").alias("set_id"))
-
+from .drawings import NEAR, OWNERS, H, W, drawn, drawn_sql, owners
 
 @named()
 def shape_bottlenecks(spark, d):
