@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,18 +12,26 @@ from ..storage import materialize, table
 from .catalog import named, r6, seconds
 
 
+#: So many suppliers are the candidates of one case.
+CASE = 25
+
+
+def case_of(s: Column) -> Column:
+    return F.floor(s / CASE).cast("long")
+
+
 def elements(spark: SparkSession, d: str) -> DataFrame:
     """Parts (e) that a supplier (set_id) delivers in large enough lots; lot sizes differ by supplier, so sets do in size."""
     x = table(spark, d, "lineitem").where(F.col("l_quantity") > F.col("l_suppkey") % 45)
-    return x.select(F.lit(0).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e")).distinct()
+    return x.select(case_of(F.col("l_suppkey")).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e")).distinct()
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s_suppkey")
     x = table(spark, d, "supplier").select(
-        F.lit(0).alias("case_id"), s.alias("set_id"), F.concat(F.lit("n"), s % 6).alias("name"), F.concat(F.lit("n"), s % 3).alias("parent"),
+        case_of(s).alias("case_id"), s.alias("set_id"), F.concat(F.lit("n"), s % 6).alias("name"), F.concat(F.lit("n"), s % 3).alias("parent"),
         F.when(s % 4 != 0, F.concat(F.lit("r"), s % 2)).alias("root"), scores.clip(F.col("s_acctbal") / 10000, 0.0, 1.0).alias("score"), (0.5 + (s % 5) / 10).alias("reliability"),
-        (s % 3 == 0).alias("confirmed"), F.concat(F.lit("f"), s % 4).alias("family"), (s % 5 == 0).alias("generic"), s.alias("key"), F.floor(s / 2).cast("long").alias("parent_key"),
+        (s % 3 == 0).alias("confirmed"), F.concat(F.lit("f"), s % 4).alias("family"), (s % 5 == 0).alias("generic"), s.alias("key"), (case_of(s) * CASE + F.floor(s % CASE / 2)).cast("long").alias("parent_key"),
     )
     area = elements(spark, d).groupBy("set_id").agg(F.count(F.lit(1)).alias("area"))
     return x.join(area, "set_id")
@@ -38,10 +46,10 @@ def geometry(spark: SparkSession, d: str) -> DataFrame:
 
 
 _E = "e AS (SELECT DISTINCT l_suppkey s, l_partkey e FROM lineitem WHERE l_quantity > l_suppkey % 45), z AS (SELECT s, count(*) n FROM e GROUP BY 1)"
-_P = f"{_E}, p AS (SELECT a, b, i, x.n na, y.n nb, i / (x.n + y.n - i) iou, i / least(x.n, y.n) con, least(x.n, y.n) / greatest(x.n, y.n) coh FROM (SELECT a.s a, b.s b, count(*) i FROM e a JOIN e b ON a.e = b.e AND a.s < b.s GROUP BY 1, 2) JOIN z x ON x.s = a JOIN z y ON y.s = b)"
+_P = f"{_E}, p AS (SELECT a, b, i, x.n na, y.n nb, i / (x.n + y.n - i) iou, i / least(x.n, y.n) con, least(x.n, y.n) / greatest(x.n, y.n) coh FROM (SELECT a.s a, b.s b, count(*) i FROM e a JOIN e b ON a.e = b.e AND a.s < b.s AND a.s // {CASE} = b.s // {CASE} GROUP BY 1, 2) JOIN z x ON x.s = a JOIN z y ON y.s = b)"
 _B = f"{_P}, q AS (SELECT a x, b y, i, na nx, nb ny, iou, con, coh FROM p UNION ALL SELECT b, a, i, nb, na, iou, con, coh FROM p)"
-_C = """c AS (SELECT s_suppkey s, 'n' || s_suppkey % 6 name, 'n' || s_suppkey % 3 parent, CASE WHEN s_suppkey % 4 <> 0 THEN 'r' || s_suppkey % 2 END root, least(greatest(s_acctbal / 10000, 0), 1) score,
- 0.5::DOUBLE + (s_suppkey % 5) / 10 rel, s_suppkey % 3 = 0 conf, 'f' || s_suppkey % 4 family, s_suppkey % 5 = 0 generic, s_suppkey // 2 parent_key, n area FROM supplier JOIN z ON z.s = s_suppkey)"""
+_C = f"""c AS (SELECT s_suppkey s, 'n' || s_suppkey % 6 name, 'n' || s_suppkey % 3 parent, CASE WHEN s_suppkey % 4 <> 0 THEN 'r' || s_suppkey % 2 END root, least(greatest(s_acctbal / 10000, 0), 1) score,
+ 0.5::DOUBLE + (s_suppkey % 5) / 10 rel, s_suppkey % 3 = 0 conf, 'f' || s_suppkey % 4 family, s_suppkey % 5 = 0 generic, s_suppkey // {CASE} * {CASE} + s_suppkey % {CASE} // 2 parent_key, n area FROM supplier JOIN z ON z.s = s_suppkey)"""
 _G = "gm AS (SELECT s, count(*) area, min(e % 64) x0, min(e // 64) y0, max(e % 64) + 1 x1, max(e // 64) + 1 y1, avg(e % 64) cx, avg(e // 64) cy FROM e GROUP BY 1)"
 
 
@@ -97,11 +105,11 @@ def dedup_groups(spark, d):
     return c.join(kept.select(F.col("item").alias("set_id"), "kept"), "set_id").select("set_id", r6(F.col("quality")).alias("quality"), "kept")
 
 
-@named(f"""WITH {_E}, {_C}, w AS (SELECT name, s FROM c UNION SELECT k.parent, m.s FROM c k JOIN c m ON m.s = k.parent_key WHERE k.name <> k.parent AND NOT EXISTS (SELECT 1 FROM c o WHERE o.name = k.parent AND o.root IS NOT DISTINCT FROM k.root))
-SELECT name, count(DISTINCT e.e) AS support FROM w JOIN e ON e.s = w.s GROUP BY 1""")
+@named(f"""WITH {_E}, {_C}, w AS (SELECT name, s, s // {CASE} q FROM c UNION SELECT k.parent, m.s, k.s // {CASE} FROM c k JOIN c m ON m.s = k.parent_key WHERE k.name <> k.parent AND NOT EXISTS (SELECT 1 FROM c o WHERE o.name = k.parent AND o.root IS NOT DISTINCT FROM k.root AND o.s // {CASE} = k.s // {CASE}))
+SELECT q AS case_id, name, count(DISTINCT e.e) AS support FROM w JOIN e ON e.s = w.s GROUP BY 1, 2""")
 def parent_support(spark, d):
     """JN5: a child without a parent of its root names its parent by key."""
-    return hypotheses.parent_support(candidates(spark, d), elements(spark, d)).groupBy("name").agg(F.count(F.lit(1)).alias("support"))
+    return hypotheses.parent_support(candidates(spark, d), elements(spark, d)).groupBy("case_id", "name").agg(F.count(F.lit(1)).alias("support"))
 
 
 @named(f"""WITH {_B}, {_C}, h AS (SELECT * FROM c WHERE ((name = parent AND root IS NOT NULL) OR s % 7 = 1) AND NOT generic)
@@ -138,7 +146,7 @@ _H = "j AS (SELECT a, b FROM p JOIN gm x ON x.s = a JOIN gm y ON y.s = b WHERE i
 
 
 @named(f"""WITH RECURSIVE {_P}, {_G}, {_H}, l AS (SELECT a, b FROM j UNION SELECT b, a FROM j UNION SELECT s, s FROM z), t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), k AS (SELECT a s, min(b) c FROM t GROUP BY 1),
-n AS (SELECT c, row_number() OVER (ORDER BY min('f::' || s), c) n FROM k GROUP BY 1) SELECT s AS set_id, 'physical:' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS "group" FROM k JOIN n USING (c)""")
+n AS (SELECT c, row_number() OVER (PARTITION BY c // {CASE} ORDER BY min('f::' || s), c) n FROM k GROUP BY 1) SELECT s AS set_id, 'physical:' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS "group" FROM k JOIN n USING (c)""")
 def physical_groups(spark, d):
     """JN11, GR1: candidates that show one physical object, numbered by their smallest key."""
     same = roots.physical_hypotheses(pairs(spark, d), geometry(spark, d), F.lit(70.0), iou=0.16, containment=0.36, box_ratio=0.9, box_distance=0.005)
@@ -197,7 +205,7 @@ def _root_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_R = f"""{_E}, {_C}, {_G}, b AS (SELECT gm.*, c.name, c.score sc, CASE WHEN gm.s % 3 <> 0 THEN c.rel ELSE 0.5 END mq, greatest(max(y1) OVER (), 8) h, 64 w FROM gm JOIN c USING (s)),
+_R = f"""{_E}, {_C}, {_G}, b AS (SELECT gm.*, c.name, c.score sc, CASE WHEN gm.s % 3 <> 0 THEN c.rel ELSE 0.5 END mq, greatest(max(y1) OVER (PARTITION BY gm.s // {CASE}), 8) h, 64 w FROM gm JOIN c USING (s)),
 v AS (SELECT *, area / (w * h) af, (x1 - x0) * (y1 - y0) / (w * h) bf, least(greatest(sc / 0.65, 0), 1) det, least(greatest((x1 - x0) / w, (y1 - y0) / h), 1) ext, least(greatest(1 - sqrt(((cx / w - 0.5) / 0.5) ** 2 + ((cy / h - 0.5) / 0.5) ** 2) / sqrt(2.0), 0), 1) ce,
  least(0.65 * (s % 5) / 10 + 0.35 * (s % 9) / 20, 1) ch, (x0 <= 1)::INT + (y0 <= 1)::INT + (x1 >= w - 1)::INT + (y1 >= h - 1)::INT si, least((s % 4) / area / 0.035, 1) * 0.08 + least(0.10, 0.025 * ((x0 <= 1)::INT + (y0 <= 1)::INT + (x1 >= w - 1)::INT + (y1 >= h - 1)::INT)) bp FROM b),
 rt AS (SELECT *, least(sqrt(af / 0.20), 1) asal, least(sqrt(bf / 0.20), 1) bsal, 0.14 * det + 0.12 * mq + 0.15 * least(sqrt(af / 0.20), 1) + 0.14 * least(sqrt(bf / 0.20), 1) + 0.07 * ce + 0.12 * (s % 10) / 10 + 0.12 * (s % 7) / 7 + 0.07 * ext + 0.07 * (s % 6) / 6 - bp - 0.24 * least(greatest((af - 0.82) / 0.18, 0), 1) sal,
@@ -216,10 +224,10 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumns({"origin": F.concat(F.lit("o"), k % 2), "contrast": F.when(k % 3 != 0, (k % 5) / 10), "profile_score": (k % 4) / 10, "specificity": (k % 9) / 9, "profile_specificity": (k % 8) / 8, "priority": (k % 5) / 5})
 
 
-_A = f"""{_R}, gr AS (SELECT *, s % 8 g, CASE WHEN s % 4 <> 1 THEN (s % 11) / 11 + 0.5 * CASE WHEN s % 3 <> 0 THEN (s % 5) / 10 ELSE 0 END END ev, (s % 9) / 9 sp, (s % 8) / 8 pf, (s % 5) / 5 pr FROM rt),
-er AS (SELECT *, CASE WHEN ev IS NULL OR max(ev) OVER w - min(ev) OVER w < 1e-6 THEN 0.5 ELSE (ev - min(ev) OVER w) / (max(ev) OVER w - min(ev) OVER w) END er, af / max(af) OVER w cov, CASE WHEN min(s % 2) OVER n = max(s % 2) OVER n THEN 0.20 ELSE 0.18 END cw FROM gr WINDOW w AS (PARTITION BY g), n AS (PARTITION BY g, name)),
+_A = f"""{_R}, gr AS (SELECT *, s // {CASE} cs, s % 8 g, CASE WHEN s % 4 <> 1 THEN (s % 11) / 11 + 0.5 * CASE WHEN s % 3 <> 0 THEN (s % 5) / 10 ELSE 0 END END ev, (s % 9) / 9 sp, (s % 8) / 8 pf, (s % 5) / 5 pr FROM rt),
+er AS (SELECT *, CASE WHEN ev IS NULL OR max(ev) OVER w - min(ev) OVER w < 1e-6 THEN 0.5 ELSE (ev - min(ev) OVER w) / (max(ev) OVER w - min(ev) OVER w) END er, af / max(af) OVER w cov, CASE WHEN min(s % 2) OVER n = max(s % 2) OVER n THEN 0.20 ELSE 0.18 END cw FROM gr WINDOW w AS (PARTITION BY cs, g), n AS (PARTITION BY cs, g, name)),
 ar AS (SELECT *, 0.26 * greatest(det, (s % 4) / 10 / 0.65) + 0.30 * er + 0.16 * sp + 0.10 * pf + 0.04 * ch + 0.14 * pr arb, 0.27 * sal + cw * cov + 0.14 * pf + 0.06 * sp + 0.08 * det + 0.09 * mq + 0.04 * er + 0.14 * pr rep FROM er),
-be AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cl DESC, name, rep DESC, rs DESC, s) = 1 best FROM (SELECT *, max(arb) OVER (PARTITION BY g, name) cl FROM ar))"""
+be AS (SELECT *, row_number() OVER (PARTITION BY cs, g ORDER BY cl DESC, name, rep DESC, rs DESC, s) = 1 best FROM (SELECT *, max(arb) OVER (PARTITION BY cs, g, name) cl FROM ar))"""
 
 
 @named(f"WITH {_A} SELECT s AS root, round(arb, 6) AS arbitration, round(rep, 6) AS representation, best FROM be")
@@ -236,26 +244,26 @@ def _group_rows(spark: SparkSession, d: str) -> DataFrame:
                     (k % 2 == 0).alias("has_global"), (k % 3 == 0).alias("accepted"), (0.6 + (k % 5) / 10).alias("global_priority"), (F.col("area_share") / 3).alias("global_area"), F.col("salience").alias("global_physical"))
 
 
-_S = f"""{_A}, gg AS (SELECT 'physical:0' || g "group", s, name, area, w * h ia, cx, cy, rs score, sal + 0.3 ph, af, ext, bsal, asal, s % 2 = 0 hg, s % 3 = 0 acc, 0.6::DOUBLE + (s % 5) / 10 gp, af / 3 ga, sal gph FROM be WHERE best)"""
+_S = f"""{_A}, gg AS (SELECT cs, 'physical:0' || g "group", s, name, area, w * h ia, cx, cy, rs score, sal + 0.3 ph, af, ext, bsal, asal, s % 2 = 0 hg, s % 3 = 0 acc, 0.6::DOUBLE + (s % 5) / 10 gp, af / 3 ga, sal gph FROM be WHERE best)"""
 
 
-@named(f"""WITH {_S}, sm AS (SELECT *, hg AND ga <= 0.18 AND NOT (acc AND ga >= 0.10 AND gph >= 0.55) AND EXISTS (SELECT 1 FROM gg o WHERE o."group" <> gg."group" AND o.ph >= 0.72 AND o.ext >= 0.55 AND o.af >= greatest(0.30, 2.5 * gg.ga) AND o.score >= gg.score - 0.12) sub FROM gg),
-el AS (SELECT *, NOT sub OR (SELECT bool_and(sub) FROM sm) eli FROM sm), tp AS (SELECT *, (SELECT max(score) FROM el WHERE eli) - score gap FROM el)
-SELECT "group", eli AS eligible, eli AND gap <= 0.015 AS competitive, eli AND hg AND gp >= 0.65 AND ph >= 0.45 AND gap <= CASE WHEN acc THEN 0.23 ELSE 0.18 END AND (acc OR ext >= 0.80 OR (bsal >= 0.95 AND asal >= 0.70) OR (gap <= 0.06 AND ext >= 0.72 AND asal >= 0.55)) AS owned FROM tp""")
+@named(f"""WITH {_S}, sm AS (SELECT *, hg AND ga <= 0.18 AND NOT (acc AND ga >= 0.10 AND gph >= 0.55) AND EXISTS (SELECT 1 FROM gg o WHERE o.cs = gg.cs AND o."group" <> gg."group" AND o.ph >= 0.72 AND o.ext >= 0.55 AND o.af >= greatest(0.30, 2.5 * gg.ga) AND o.score >= gg.score - 0.12) sub FROM gg),
+el AS (SELECT *, NOT sub OR (SELECT bool_and(sub) FROM sm z WHERE z.cs = sm.cs) eli FROM sm), tp AS (SELECT *, (SELECT max(score) FROM el z WHERE eli AND z.cs = el.cs) - score gap FROM el)
+SELECT cs AS case_id, "group", eli AS eligible, eli AND gap <= 0.015 AS competitive, eli AND hg AND gp >= 0.65 AND ph >= 0.45 AND gap <= CASE WHEN acc THEN 0.23 ELSE 0.18 END AND (acc OR ext >= 0.80 OR (bsal >= 0.95 AND asal >= 0.70) OR (gap <= 0.06 AND ext >= 0.72 AND asal >= 0.55)) AS owned FROM tp""")
 def salient_group(spark, d):
     """TK15, TK17: which physical groups compete for the primary object, and which the global proposal owns."""
-    return roots.salient_group(_group_rows(spark, d)).select("group", "eligible", "competitive", "owned")
+    return roots.salient_group(_group_rows(spark, d)).select("case_id", "group", "eligible", "competitive", "owned")
 
 
-@named(f"""WITH {_A}, qp AS (SELECT x.s x, y.s y, count(*) / least(max(x.n), max(y.n)) con FROM (SELECT e.s, e.e, z.n FROM e JOIN z USING (s)) x JOIN (SELECT e.s, e.e, z.n FROM e JOIN z USING (s)) y ON x.e = y.e AND x.s <> y.s GROUP BY 1, 2),
-rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY (s % 6) / 6 DESC, rs DESC, s) k FROM be WHERE s % 3 <> 0) WHERE k = 1 AND (s % 6) / 6 >= 0.5 AND af <= 0.72 AND si <= 4),
-su AS (SELECT rp.s, rp.g, rp.bf, rp.sal, (SELECT count(*) FROM qp WHERE qp.x = rp.s AND qp.con >= 0.2 AND qp.y IN (SELECT s FROM rp)) n FROM rp), sp AS (SELECT *, 0.5 * (s % 6) / 6 + 0.28 * least(1, bf / 0.55) + 0.22 * sal span FROM su)
-SELECT 'physical:0' || g AS "group", s AS set_id, n AS supports, round(span, 6) AS span, row_number() OVER (ORDER BY n DESC, span DESC, (s % 6) / 6 DESC, g) = 1 AND n >= 2 AS selected FROM sp""".replace("rp AS (SELECT * FROM (SELECT *, row_number()", "rp AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number()"))
+@named(f"""WITH {_A}, qp AS (SELECT x.s x, y.s y, count(*) / least(max(x.n), max(y.n)) con FROM (SELECT e.s, e.e, z.n FROM e JOIN z USING (s)) x JOIN (SELECT e.s, e.e, z.n FROM e JOIN z USING (s)) y ON x.e = y.e AND x.s <> y.s AND x.s // {CASE} = y.s // {CASE} GROUP BY 1, 2),
+rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cs, g ORDER BY (s % 6) / 6 DESC, rs DESC, s) k FROM be WHERE s % 3 <> 0) WHERE k = 1 AND (s % 6) / 6 >= 0.5 AND af <= 0.72 AND si <= 4),
+su AS (SELECT rp.s, rp.cs, rp.g, rp.bf, rp.sal, (SELECT count(*) FROM qp WHERE qp.x = rp.s AND qp.con >= 0.2 AND qp.y IN (SELECT s FROM rp)) n FROM rp), sp AS (SELECT *, 0.5 * (s % 6) / 6 + 0.28 * least(1, bf / 0.55) + 0.22 * sal span FROM su)
+SELECT cs AS case_id, 'physical:0' || g AS "group", s AS set_id, n AS supports, round(span, 6) AS span, row_number() OVER (PARTITION BY cs ORDER BY n DESC, span DESC, (s % 6) / 6 DESC, g) = 1 AND n >= 2 AS selected FROM sp""".replace("rp AS (SELECT * FROM (SELECT *, row_number()", "rp AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number()"))
 def prompt_consensus(spark, d):
     """TK18: the group that other groups' fragments support."""
     x = _grouped(spark, d).select("case_id", "group", "set_id", (F.col("root") % 3 != 0).alias("direct"), "probability", "routing_score", "area_share", (F.col("touched_sides") - 2).alias("touched_sides"), "box_share", F.col("salience").alias("group_score"))
     p = pairs(spark, d).withColumn("containment", F.col("containment") + 0.18)
-    return roots.prompt_consensus(x, p).select("group", "set_id", "supports", r6(F.col("span")).alias("span"), "selected")
+    return roots.prompt_consensus(x, p).select("case_id", "group", "set_id", "supports", r6(F.col("span")).alias("span"), "selected")
 
 
 @named("""WITH g AS (SELECT o_orderkey k, o_custkey % 50 c, CASE WHEN o_orderkey % 9 = 0 THEN 'terrain' ELSE 'n' || o_orderkey % 4 END name, (o_totalprice / 100)::BIGINT area, o_orderkey % 100 / 100 sc, o_orderkey % 37 cy, o_orderkey % 41 cx FROM orders),

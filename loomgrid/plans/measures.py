@@ -265,7 +265,7 @@ def representatives(spark, d):
     return regions.representatives(x).select("cluster", "item", r6(F.col("value")).alias("value"))
 
 
-@named(f"""WITH {hy._E}, {hy._G}, r AS (SELECT min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1, sum(area) a FROM gm) SELECT s AS set_id, round(((gm.x0 + gm.x1) / 2 - r.x0) / (r.x1 - r.x0), 6) AS rel_cx, round((gm.y1 - gm.y0) / greatest(r.y1 - r.y0, 1), 6) AS rel_h, round(area / r.a, 6) AS rel_area FROM gm, r""")
+@named(f"""WITH {hy._E}, {hy._G}, r AS (SELECT s // {hy.CASE} q, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1, sum(area) a FROM gm GROUP BY 1) SELECT s AS set_id, round(((gm.x0 + gm.x1) / 2 - r.x0) / (r.x1 - r.x0), 6) AS rel_cx, round((gm.y1 - gm.y0) / greatest(r.y1 - r.y0, 1), 6) AS rel_h, round(area / r.a, 6) AS rel_area FROM gm JOIN r ON r.q = gm.s // {hy.CASE}""")
 def relative_geometry(spark, d):
     """AG6: geometry of parts inside their root."""
     g = hy.geometry(spark, d)
@@ -450,12 +450,12 @@ def component_support(spark, d):
     return evaluation.component_support(x).select("case_id", "component", "supported")
 
 
-@named(f"""WITH {hy._E}, {hy._C}, u AS (SELECT s % 5 k, count(DISTINCT e) a FROM e GROUP BY 1), g AS (SELECT s % 5 k, count(*) m, max(score) c FROM c GROUP BY 1), x AS (SELECT k, m, a, 3 * m + c + 2 * sqrt(a / 3000) v FROM g JOIN u USING (k)) SELECT k AS cluster, m AS members, a AS area, round(v, 6) AS score, row_number() OVER (ORDER BY v DESC, k) = 1 AS selected FROM x""")
+@named(f"""WITH {hy._E}, {hy._C}, u AS (SELECT s // {hy.CASE} q, s % 5 k, count(DISTINCT e) a FROM e GROUP BY 1, 2), g AS (SELECT s // {hy.CASE} q, s % 5 k, count(*) m, max(score) c FROM c GROUP BY 1, 2), x AS (SELECT q, k, m, a, 3 * m + c + 2 * sqrt(a / 3000) v FROM g JOIN u USING (q, k)) SELECT q AS case_id, k AS cluster, m AS members, a AS area, round(v, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY v DESC, k) = 1 AS selected FROM x""")
 def consensus_seed(spark, d):
     """AG26: the cluster that most routes confirm."""
     c = hy.candidates(spark, d)
     x = evaluation.consensus_seed(c.select("case_id", "set_id", F.col("score").alias("confidence")), c.select("case_id", "set_id", (F.col("set_id") % 5).alias("cluster")), hy.elements(spark, d), c.select("case_id").distinct().withColumn("area", F.lit(3000)))
-    return x.select("cluster", "members", "area", r6(F.col("score")).alias("score"), "selected")
+    return x.select("case_id", "cluster", "members", "area", r6(F.col("score")).alias("score"), "selected")
 
 
 # -- validation --
