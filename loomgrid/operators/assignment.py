@@ -1,4 +1,4 @@
-"""Optimal assignment and what is evaluated with it. Groups are cases, whose sets are few; each is one Arrow batch."""
+"""Optimal assignment and what is evaluated with it. Cases of few pairs are one Arrow batch each; larger ones are split into what their pairs connect."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import two_digits
+from ..storage import materialize, small
+from .graph import connected_components
 from .overlap import cross_overlap
 
 #: The IoU thresholds of the evaluation.
@@ -44,6 +46,28 @@ def solve(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
+#: Cases of more pairs are split into connected components.
+LARGE = 10_000
+
+
+def units(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with unit: rows of different units of a case share no member, so a case's best matching is that of its units together.
+
+    A case of at most LARGE pairs is one unit; of a larger one, what its pairs connect is.
+    """
+    pairs = materialize(pairs, "pairs")
+    large = pairs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("case_id")
+    if large.isEmpty():
+        return pairs.withColumn("unit", F.lit("").cast("string"))
+    large = small(materialize(large, "large", compact=True), 100_000)
+    split = pairs.join(large, "case_id", "left_semi")
+    node = lambda side: F.struct("case_id", F.lit(side).alias("side"), F.col(side).cast("string").alias("member"))
+    found = connected_components(split.select(node(left).alias("a"), node(right).alias("b")))
+    found = found.where(F.col("id.side") == left).select("id.case_id", F.col("id.member").alias("_member"), F.concat("component.side", F.lit(":"), "component.member").alias("unit"))
+    split = split.withColumn("_member", F.col(left).cast("string")).join(found, ["case_id", "_member"]).drop("_member")
+    return split.unionByName(pairs.join(large, "case_id", "left_anti").withColumn("unit", F.lit("").cast("string")))
+
+
 def assign(pairs: DataFrame, score: str, least: float = 0.0) -> DataFrame:
     """(case_id, a, b, score) of the one-to-one matching of greatest total score per case; pairs below ``least`` are
     left out afterwards. ``pairs`` holds the non-zero scores (case_id, a, b, score)."""
@@ -56,7 +80,7 @@ def assign(pairs: DataFrame, score: str, least: float = 0.0) -> DataFrame:
         out = [(t["case_id"].iloc[0], a[i], b[j], m[i, j]) for i, j in solve(-m) if m[i, j] > 0 and m[i, j] >= least]
         return pd.DataFrame(out, columns=["case_id", "a", "b", score])
 
-    return pairs.select("case_id", "a", "b", score).groupBy("case_id").applyInPandas(one, f"case_id {kinds['case_id']}, a {kinds['a']}, b {kinds['b']}, {score} double")
+    return units(pairs.select("case_id", "a", "b", score), "a", "b").groupBy("case_id", "unit").applyInPandas(one, f"case_id {kinds['case_id']}, a {kinds['a']}, b {kinds['b']}, {score} double")
 
 
 def threshold_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -102,7 +126,7 @@ def assign_plans(pairs: DataFrame, plans: DataFrame, least: float) -> DataFrame:
         out = [(t["case_id"].iloc[0], a[r], b[c], m[r, c]) for r, c in solve(-m) if c < len(b) and m[r, c] >= least]
         return pd.DataFrame(out, columns=["case_id", "plan", "region", "score"])
 
-    got = pairs.select("case_id", "plan", "region", "score").groupBy("case_id").applyInPandas(one, f"case_id {kinds['case_id']}, plan {kinds['plan']}, region {kinds['region']}, score double")
+    got = units(pairs.select("case_id", "plan", "region", "score"), "plan", "region").groupBy("case_id", "unit").applyInPandas(one, f"case_id {kinds['case_id']}, plan {kinds['plan']}, region {kinds['region']}, score double")
     return plans.select("case_id", "plan").join(got, ["case_id", "plan"], "left")
 
 

@@ -227,7 +227,7 @@ def stable_ids(spark, d):
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    x = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e"), (F.month("l_shipdate") <= 6).alias("first"))
+    x = table(spark, d, "lineitem").select(F.floor(F.col("l_suppkey") / 10).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e"), (F.month("l_shipdate") <= 6).alias("first"))
     return x.where("first").drop("first").distinct(), x.where("NOT first").drop("first").distinct()
 
 

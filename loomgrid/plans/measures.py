@@ -429,16 +429,16 @@ def determinism_audit(spark, d):
 @named()
 def semantic_thresholds(spark, d):
     """EV1: precision, recall and F1 at eleven thresholds, under names."""
-    x = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.concat(F.lit("n"), F.col("l_suppkey") % 4).alias("name"), F.col("l_partkey").alias("e"), (F.month("l_shipdate") <= 6).alias("first")).distinct()
+    x = table(spark, d, "lineitem").select(F.floor(F.col("l_suppkey") / 10).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.concat(F.lit("n"), F.col("l_suppkey") % 4).alias("name"), F.col("l_partkey").alias("e"), (F.month("l_shipdate") <= 6).alias("first")).distinct()
     return assignment.semantic_threshold_scores(x.where("NOT first").drop("first"), x.where("first").drop("first"))
 
 
 @named()
 def package_layers(spark, d):
     """EV3: the fine and the group layer of a package against the truth."""
-    x = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e"), (F.month("l_shipdate") <= 6).alias("first")).distinct()
+    x = table(spark, d, "lineitem").select(F.floor(F.col("l_suppkey") / 10).alias("case_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("e"), (F.month("l_shipdate") <= 6).alias("first")).distinct()
     p = x.where("NOT first").drop("first")
-    return assignment.layer_scores(x.where("first").drop("first"), {"parts": p, "groups": p.withColumn("set_id", F.col("set_id") % 20).distinct()})
+    return assignment.layer_scores(x.where("first").drop("first"), {"parts": p, "groups": p.withColumn("set_id", F.floor(F.col("set_id") / 2)).distinct()})
 
 
 @named("""WITH o AS (SELECT l_suppkey % 10 c, l_suppkey s, 200 ar, l_partkey k, 'f' || l_partkey % 3 f, 'n' || l_partkey % 5 n, l_partkey % 9 = 0 se, sum(l_quantity) i FROM lineitem GROUP BY 1, 2, 4) SELECT c AS case_id, s AS component, coalesce(bool_or(i / ar >= 0.35 AND se), false) OR count(DISTINCT CASE WHEN i / ar >= 0.35 THEN f END) >= 2 AS supported FROM o GROUP BY 1, 2""")
@@ -594,8 +594,15 @@ def json_safe(spark, d):
     return j.select(F.from_json("json", "p_partkey long, price double, name string").alias("j")).select("j.*")
 
 
-@named("""WITH q AS (SELECT l_suppkey % 10 c, l_suppkey p, l_returnflag r, l_linenumber = 1 f FROM lineitem) SELECT DISTINCT c AS case_id, p AS plan, NULL::VARCHAR AS region FROM q WHERE p % 10 = 3""")
+@named("""WITH s AS (SELECT l_suppkey // 4 c, l_suppkey % 4 k, l_suppkey p, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END r, round((avg(l_discount) - 0.0495) * 1000, 6)::DOUBLE v FROM lineitem GROUP BY 1, 2, 3, 4),
+q AS (SELECT i.r i, j.r j, m.r m, n.r n FROM range(0, 4) i(r), range(0, 4) j(r), range(0, 4) m(r), range(0, 4) n(r) WHERE (i.r = 0 OR i.r NOT IN (j.r, m.r, n.r)) AND (j.r = 0 OR j.r NOT IN (m.r, n.r)) AND (m.r = 0 OR m.r <> n.r)),
+t AS (SELECT c.c, q.*, CASE WHEN i = 0 THEN 0 ELSE coalesce(a.v, -1e9) END + CASE WHEN j = 0 THEN 0 ELSE coalesce(b.v, -1e9) END + CASE WHEN m = 0 THEN 0 ELSE coalesce(d.v, -1e9) END + CASE WHEN n = 0 THEN 0 ELSE coalesce(e.v, -1e9) END v
+ FROM (SELECT DISTINCT c FROM s) c CROSS JOIN q LEFT JOIN s a ON a.c = c.c AND a.k = 0 AND a.r = i LEFT JOIN s b ON b.c = c.c AND b.k = 1 AND b.r = j LEFT JOIN s d ON d.c = c.c AND d.k = 2 AND d.r = m LEFT JOIN s e ON e.c = c.c AND e.k = 3 AND e.r = n),
+x AS (SELECT c, arg_max([i, j, m, n], v) z FROM t GROUP BY 1)
+SELECT p.c AS case_id, p.p AS plan, CASE WHEN s.v >= 0.4 THEN (['A', 'N', 'R'])[s.r] END AS region, CASE WHEN s.v >= 0.4 THEN round(s.v, 6) END AS score FROM (SELECT DISTINCT c, k, p FROM s) p JOIN x ON x.c = p.c LEFT JOIN s ON s.c = p.c AND s.k = p.k AND s.r = z[p.k + 1]""")
 def unmatched_plans(spark, d):
-    """JN17: plans without a good enough region stay alone."""
-    x = table(spark, d, "lineitem").where("l_suppkey % 10 = 3").select((F.col("l_suppkey") % 10).alias("case_id"), F.col("l_suppkey").alias("plan"), F.col("l_returnflag").alias("region"), F.lit(0.1).alias("score")).distinct()
-    return assignment.assign_plans(x, x.select("case_id", "plan").distinct(), 0.5).select("case_id", "plan", "region")
+    """JN17: plans take regions so that scores add up to most; those without a good enough region stay alone."""
+    k = F.col("l_suppkey")
+    score = F.round((F.avg("l_discount") - 0.0495) * 1000, 6).cast("double")
+    x = table(spark, d, "lineitem").groupBy(F.floor(k / 4).alias("case_id"), k.alias("plan"), F.col("l_returnflag").alias("region")).agg(score.alias("score"))
+    return assignment.assign_plans(x, x.select("case_id", "plan").distinct(), 0.4).select("case_id", "plan", "region", r6(F.col("score")).alias("score"))

@@ -207,3 +207,20 @@ def test_component_scores_of_small_maps(spark):
     r = assignment.component_scores(*x, 32, 32, small=0.15).first()
     # three true parts, three found under true labels, two match; the missed one is small
     assert (round(r.precision, 6), round(r.recall, 6), r.small_recall, r.count_error) == (round(2 / 3, 6), round(2 / 3, 6), 0.0, 2)
+
+
+def test_large_cases_are_matched_by_what_their_pairs_connect(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(c, f"a{g}.{i}", 100 * g + j, float(rng.random())) for c in (1, 2) for g in range(12) for i in range(int(rng.integers(1, 5))) for j in range(int(rng.integers(1, 5))) if rng.random() < 0.8]
+    pairs = spark.createDataFrame(rows, "case_id int, a string, b int, score double")
+    total = lambda x: {r.case_id: round(r.s, 9) for r in x.groupBy("case_id").agg(F.sum("score").alias("s")).collect()}
+    whole = assignment.assign(pairs, "score").collect()
+    monkeypatch.setattr(assignment, "LARGE", 5)
+    split = assignment.units(pairs, "a", "b")
+    assert split.count() == len(rows) and split.select("case_id", "unit").distinct().count() > 10
+    again = assignment.assign(pairs, "score")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole))
+    plans = pairs.select("case_id", F.col("a").alias("plan"), F.col("b").alias("region"), (F.col("score") - 0.3).alias("score"))
+    alone = assignment.assign_plans(plans, plans.select("case_id", "plan").distinct(), 0.0)
+    monkeypatch.setattr(assignment, "LARGE", 10_000)
+    assert total(alone) == total(assignment.assign_plans(plans, plans.select("case_id", "plan").distinct(), 0.0))
