@@ -101,30 +101,25 @@ def beta_prior(hosts: int, docs: float, fails: float, docs2: float, fails2_per_d
     return m * strength, (1 - m) * strength
 
 
-def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000, out: str = "quality_rules", texts: bool = True) -> DataFrame:
-    """``docs`` with a struct column ``out``: the measures, base_failed, host_rate (of rejected hosts, else null) and kept.
-
-    Texts are read and measured once; the measured rows are written (without the text column unless ``texts``), and
-    both the pooling by host (partial aggregation, so hot hosts cost one row per task) and the verdicts start from
-    there. If more than ``broadcast_hosts`` hosts are rejected, rows meet them by host and salt.
-    """
-    m, h, s = (fresh(k, docs) for k in ("measures", "host_", "salt_"))
-    rate_ = fresh("host_rate_", docs)
-    measured = docs.withColumn(m, measure(F.col(text_col)))
-    measured = materialize(measured if texts else measured.drop(text_col), "measured")
+def _bad_hosts(measured: DataFrame, m: str, host_col: str, max_host_rate: float) -> DataFrame:
+    """(host, rate) of hosts whose shrunken failure rate is above the limit; partial sums, so a hot host costs one row per task."""
     hosts = materialize(measured.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(rule_failed(m).cast("long")).alias("fails")), "hosts", compact=True)
     t = hosts.agg(
         F.count(F.lit(1)).alias("hosts"),
         *(F.coalesce(F.sum(e).cast("double"), F.lit(0.0)).alias(k) for k, e in (("docs", F.col("docs")), ("fails", F.col("fails")), ("docs2", F.col("docs").cast("double") ** 2), ("fails2_per_doc", F.col("fails").cast("double") ** 2 / F.col("docs")))),
     ).first()
     a, b = beta_prior(**t.asDict())
-    rate = (F.col("fails") + a) / (F.col("docs") + a + b)
-    bad = hosts.select(F.col("host").alias(h), rate.alias(rate_)).where(F.col(rate_) > max_host_rate)
+    return hosts.select("host", ((F.col("fails") + a) / (F.col("docs") + a + b)).alias("rate")).where(F.col("rate") > max_host_rate)
+
+
+def _judged(measured: DataFrame, m: str, bad: DataFrame, host_col: str, broadcast_hosts: int, out: str) -> DataFrame:
+    """``measured`` with a struct ``out`` in place of its measures ``m``. More than ``broadcast_hosts`` rejected hosts meet rows by host and salt."""
+    h, s, rate_, mine = (fresh(k, measured) for k in ("host_", "salt_", "host_rate_", "salt"))
+    bad = bad.select(F.col("host").alias(h), F.col("rate").alias(rate_))
     same = F.col(host_col).eqNullSafe(F.col(h))
     if bad.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
         judged = measured.join(F.broadcast(bad), same, "left")
     else:
-        mine = fresh("salt", docs)
         salted = bad.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         judged = measured.withColumn(mine, F.pmod(F.xxhash64(m, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(mine) == F.col(s)), "left").drop(mine, s)
     failed = base_failed(m)
@@ -134,10 +129,26 @@ def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
     ).drop(m, h, rate_)
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    out = fresh("quality_rules", docs)
-    return assess(docs, text_col, host_col, out=out).where(F.col(f"{out}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000, out: str = "quality_rules", texts: bool = True) -> DataFrame:
+    """``docs``, without its texts unless ``texts``, with a struct column ``out``: the measures, base_failed, host_rate (of rejected hosts, else null) and kept.
+
+    Texts are read and measured once; the measured rows are written, and the pooling by host and the verdicts start from there.
+    """
+    m = fresh("measures", docs)
+    measured = docs.withColumn(m, measure(F.col(text_col)))
+    measured = materialize(measured if texts else measured.drop(text_col), "measured")
+    return _judged(measured, m, _bad_hosts(measured, m, host_col, max_host_rate), host_col, broadcast_hosts, out)
+
+
+def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000) -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    Texts are measured twice, for the hosts and for the verdicts: a copy of all texts would cost more than that.
+    """
+    m, out = fresh("measures", docs), fresh("quality_rules", docs)
+    measured = docs.withColumn(m, measure(F.col(text_col)))
+    bad = _bad_hosts(measured.select(host_col, m), m, host_col, max_host_rate)
+    return _judged(measured, m, bad, host_col, broadcast_hosts, out).where(F.col(f"{out}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
