@@ -273,17 +273,18 @@ def relative_geometry(spark, d):
     return ownership.relative_geometry(g, r).select("set_id", *(r6(F.col(k)).alias(k) for k in ("rel_cx", "rel_h", "rel_area")))
 
 
-@named("""WITH a AS (SELECT p_type n, count(*) / 1000 p, count(DISTINCT p_brand) s, list(p_partkey ORDER BY p_partkey)[1:3] l FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_type n, count(*) / 900 p, count(DISTINCT p_size) s, list(p_partkey ORDER BY p_partkey)[1:3] l FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@named("""WITH a AS (SELECT p_type n, count(*) / (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) p, count(DISTINCT p_brand) s, list(p_partkey ORDER BY p_partkey)[1:3] l FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_type n, count(*) / (SELECT count(*) FROM part WHERE p_partkey % 3 = 0) p, count(DISTINCT p_size) s, list(p_partkey ORDER BY p_partkey)[1:3] l FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
 SELECT coalesce(a.n, b.n) AS name, round(greatest(a.p, b.p), 6) AS prevalence, greatest(a.s, b.s) AS support, array_to_string(list_concat(coalesce(a.l, []), list_filter(coalesce(b.l, []), lambda x: NOT list_contains(coalesce(a.l, []), x))), ',') AS samples FROM a FULL JOIN b ON a.n = b.n""")
 def merged_priors(spark, d):
     """AG8: priors of two sources."""
     p = table(spark, d, "part")
 
-    def side(rows: DataFrame, of: int, key: str) -> DataFrame:
+    def side(rows: DataFrame, key: str) -> DataFrame:
+        of = max(rows.count(), 1)
         first = F.slice(F.sort_array(F.collect_list("p_partkey")), 1, 3)
         return rows.groupBy(F.col("p_type").alias("name")).agg((F.count(F.lit(1)) / of).alias("prevalence"), F.countDistinct(key).alias("support"), first.alias("samples"))
 
-    m = priors.merge(side(p.where("p_partkey % 2 = 0"), 1000, "p_brand"), side(p.where("p_partkey % 3 = 0"), 900, "p_size"))
+    m = priors.merge(side(p.where("p_partkey % 2 = 0"), "p_brand"), side(p.where("p_partkey % 3 = 0"), "p_size"))
     return m.select("name", r6(F.col("prevalence")).alias("prevalence"), "support", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 

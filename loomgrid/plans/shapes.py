@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import envelopes, partition, tiles
+from ..operators import envelopes, palette, partition, raster, tiles
 from ..storage import table
 from .catalog import named, r6
 from .drawings import NEAR, OWNERS, H, W, drawn, drawn_sql, owners
@@ -113,3 +115,15 @@ def aligned_outlines(spark, d):
     s = s.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(4)))).where((F.col("x") + F.col("dx") < VW) & (F.col("y") + F.col("dy") < VH))
     s = s.select("case_id", "set_id", ((F.col("y") + F.col("dy")) * VW + F.col("x") + F.col("dx")).cast("long").alias("e")).distinct()
     return tiles.boundary_alignment(strength, s, VW, VH).select("case_id", "set_id", F.round("alignment", 4).alias("alignment"))
+
+
+#: Fixed values of the query: colours of equal lightness steps around the hue circle.
+PALETTE = [(35.0 + 10 * k, 60 * math.cos(2.4 * k), 60 * math.sin(2.4 * k)) for k in range(6)]
+
+
+@named()
+def contrast_palette(spark, d):
+    """SC17: colours of an image's sets that differ most between neighbours; tested by brute force."""
+    o = owners(spark, d)
+    names = o.select("case_id", F.col("set_id").alias("region")).distinct()
+    return palette.contrast_colours(names, raster.adjacency(o, W), PALETTE)

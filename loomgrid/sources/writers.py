@@ -34,18 +34,29 @@ def json_safe(rows: DataFrame, name: str = "json") -> DataFrame:
 
 
 def summary(rows: DataFrame, folder: str, key: str = "case_id") -> DataFrame:
-    """All cases of a benchmark after this run: the folder's rows, with ``rows`` in place of those of the same key. Written beside and then moved in."""
+    """All cases of a benchmark after this run: the folder's rows, with ``rows`` in place of those of the same key.
+
+    Written beside; then the old folder is moved aside, the new one moved in and the old one deleted, so that at any time
+    one of them is whole. What a failed run has left aside is read if the folder isn't there.
+    """
     spark = rows.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = lambda suffix: spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + suffix)
+    new, old = path("-new"), path("-old")
+    if not fs.exists(at) and fs.exists(old):
+        fs.rename(old, at)
     out = rows
     if fs.exists(at):
         before = spark.read.parquet(folder)
         out = before.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-    new = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "-new")
     out.write.mode("overwrite").parquet(new.toString())
-    fs.delete(at, True)
-    fs.rename(new, at)
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"could not move {folder} aside")
+    if not fs.rename(new, at):
+        raise OSError(f"could not move the new rows to {folder}")
+    fs.delete(old, True)
     return spark.read.parquet(folder)
 
 
