@@ -56,13 +56,28 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return _measures(x.select("case_id", "a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter")))
 
 
-def set_pairs(sets: DataFrame, min_iou: float) -> DataFrame:
-    """Measures of set pairs a < b that reach ``min_iou`` > 0; ``sets`` as from ``gather``.
+def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row of each group of equal sets of a case, the smallest set_id's, and (case_id, a, b) of the others' links to it; None if all differ.
+
+    Equal sets are told by their size and 128 bits of their sorted elements.
+    """
+    order = F.sort_array("s")
+    keys = ["case_id", "n", "k1", "k2"]
+    keyed = materialize(sets.select("case_id", "set_id", "n", "s", F.xxhash64(order).alias("k1"), F.xxhash64(F.lit(1), order).alias("k2")), "sets")
+    groups = materialize(keyed.groupBy(*keys).agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "equal", compact=True)
+    if groups.isEmpty():
+        return keyed.drop("k1", "k2"), None
+    links = materialize(meet(keyed.select("case_id", "set_id", "n", "k1", "k2"), groups, keys).where("set_id <> a").select("case_id", "a", F.col("set_id").alias("b")), "copies")
+    once = keyed.join(links.select("case_id", F.col("b").alias("set_id")), ["case_id", "set_id"], "left_anti")
+    return materialize(once.drop("k1", "k2"), "distinct"), links
+
+
+def _class_pairs(sets: DataFrame, min_iou: float) -> DataFrame:
+    """Measures of pairs of different sets that reach ``min_iou``.
 
     A set of n elements only reaches t with one that meets its first n - ceil(t * n) + 1. At the first element that
     two sets share, what is left of both must still reach the overlap that t asks for.
     """
-    sets = materialize(sets, "sets")
     need = F.ceil(min_iou * F.col("n") - 1e-9)
     # elements of its own come first, so of the m shared ones a set offers m - need + 1
     p = materialize(_ranked(sets, _frequencies(sets), F.col("m") - need + 1), "prefixes")
@@ -74,6 +89,39 @@ def set_pairs(sets: DataFrame, min_iou: float) -> DataFrame:
     return _verified(c, sets, sets).where(F.col("iou") >= min_iou - 1e-12)
 
 
+def set_links(sets: DataFrame, min_iou: float) -> DataFrame:
+    """(case_id, a, b): pairs of different sets that reach ``min_iou`` > 0, by one set of each group of equal ones, and each other one's link to it.
+
+    What is connected is the same as by ``set_pairs``, and n copies are n - 1 links.
+    """
+    once, copies = distinct_sets(sets)
+    found = _class_pairs(once, min_iou).select("case_id", "a", "b")
+    return found if copies is None else found.unionByName(copies)
+
+
+def set_pairs(sets: DataFrame, min_iou: float) -> DataFrame:
+    """Measures of all set pairs a < b that reach ``min_iou`` > 0; ``sets`` as from ``gather``.
+
+    Equal sets meet others as one; their pairs are then spelled out, so the work beyond the result is that of the
+    distinct sets. Where only connections count, ``set_links`` doesn't spell them out.
+    """
+    once, copies = distinct_sets(sets)
+    found = _class_pairs(once, min_iou)
+    if copies is None:
+        return found
+    alike = copies.select("case_id", "a", F.col("b").alias("copy")).unionByName(copies.select("case_id", "a", F.col("a").alias("copy")).distinct())
+    for side in ("a", "b"):
+        of = alike.select("case_id", F.col("a").alias(side), F.col("copy").alias(f"{side}_"))
+        found = found.join(of, ["case_id", side], "left").withColumn(f"{side}_", F.coalesce(f"{side}_", side))
+    turned = F.col("a_") > F.col("b_")
+    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    found = found.select("case_id", F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"), "inter")
+    size = once.select("case_id", F.col("set_id").alias("a"), F.col("n").alias("na"))
+    x, y = alike.withColumnRenamed("copy", "x"), alike.withColumnRenamed("copy", "y")
+    equal = x.join(y, ["case_id", "a"]).where("x < y").join(size, ["case_id", "a"]).select("case_id", F.col("x").alias("a"), F.col("y").alias("b"), "na", F.col("na").alias("nb"), F.col("na").alias("inter"))
+    return _measures(found.unionByName(equal))
+
+
 def overlap_pairs(elem: DataFrame, min_iou: float = 0.0) -> DataFrame:
     """(case_id, a, b, inter, na, nb, iou, containment, area_coherence) of set pairs a < b that share an element.
 

@@ -94,7 +94,7 @@ def hierarchy_duplicates(spark, d):
 @named(f"""WITH RECURSIVE {_W}, l AS (SELECT a, b FROM m WHERE iou >= 0.82 UNION SELECT b, a FROM m WHERE iou >= 0.82),
 r AS (SELECT a, a b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
 def components(spark, d):
-    return graph.connected_components(overlap.set_pairs(word_sets(spark, d), 0.82))
+    return graph.connected_components(overlap.set_links(word_sets(spark, d), 0.82))
 
 
 @named(f"""WITH RECURSIVE {_W}, it AS (SELECT doc_id id, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) place FROM documents), cf AS (SELECT CASE WHEN x.place < y.place THEN a ELSE b END f, CASE WHEN x.place < y.place THEN b ELSE a END s FROM m JOIN it x ON x.id = a JOIN it y ON y.id = b WHERE iou >= 0.82 AND x.lang = y.lang),

@@ -224,3 +224,21 @@ def test_large_cases_are_matched_by_what_their_pairs_connect(spark, monkeypatch)
     alone = assignment.assign_plans(plans, plans.select("case_id", "plan").distinct(), 0.0)
     monkeypatch.setattr(assignment, "LARGE", 10_000)
     assert total(alone) == total(assignment.assign_plans(plans, plans.select("case_id", "plan").distinct(), 0.0))
+
+
+def test_equal_sets_meet_others_once(spark):
+    rng = np.random.default_rng(7)
+    sets = {(c, k): frozenset(rng.choice(30, int(rng.integers(1, 9)), replace=False).tolist()) for c in (1, 2) for k in range(12)}
+    for c in (1, 2):
+        for k in range(12, 30):
+            sets[c, k] = sets[c, int(rng.integers(0, 12))]
+    w = overlap.with_sizes(spark.createDataFrame([(c, k, list(map(int, rng.permutation(list(s))))) for (c, k), s in sets.items()], "case_id int, set_id int, s array<long>"))
+    for t in (0.3, 0.6, 1.0):
+        want = {(c, a, b): (len(x & y), len(x), len(y), round(len(x & y) / len(x | y), 9)) for (c, a), x in sets.items() for (e, b), y in sets.items() if c == e and a < b and len(x & y) >= t * len(x | y) - 1e-12}
+        got = overlap.set_pairs(w, t).collect()
+        assert {(r.case_id, r.a, r.b): (r.inter, r.na, r.nb, round(r.iou, 9)) for r in got} == want and len(got) == len(want)
+        one = w.where("case_id = 1")
+        parts = lambda x: {r.id: r.component for r in graph.connected_components(x).collect()}
+        assert parts(overlap.set_links(one, t)) == parts(overlap.set_pairs(one, t))
+    copies = overlap.with_sizes(spark.range(5_000).select(F.lit(1).alias("case_id"), F.col("id").alias("set_id"), F.array(*(F.lit(k).cast("long") for k in range(20))).alias("s")))
+    assert overlap.set_links(copies, 0.5).count() == 4_999
