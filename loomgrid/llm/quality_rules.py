@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, fresh, materialize, table
+from .common import WordCache, fresh, materialize, small, table
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _SYMBOLS = b"#*$%&|<>"
@@ -140,15 +140,18 @@ def assess(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
     return _judged(measured, m, _bad_hosts(measured, m, host_col, max_host_rate), host_col, broadcast_hosts, out)
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000) -> DataFrame:
+def keep_clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, broadcast_hosts: int = 50_000, broadcast_keys: int = 2_000_000) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    Texts are measured twice, for the hosts and for the verdicts: a copy of all texts would cost more than that.
+    A verdict follows from text and host, so rejected ones are told by 128 bits of these, and no copy of the texts is written.
     """
-    m, out = fresh("measures", docs), fresh("quality_rules", docs)
-    measured = docs.withColumn(m, measure(F.col(text_col)))
-    bad = _bad_hosts(measured.select(host_col, m), m, host_col, max_host_rate)
-    return _judged(measured, m, bad, host_col, broadcast_hosts, out).where(F.col(f"{out}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col)
+    keys = [F.xxhash64(F.lit(seed), text, host.isNull(), F.coalesce(host.cast("string"), F.lit(""))) for seed in (1, 2)]
+    measured = materialize(docs.select(host.alias("host"), *(k.alias(n) for k, n in zip(keys, ("k1", "k2"))), measure(F.col(text_col)).alias("m")), "measured")
+    judged = _judged(measured, "m", _bad_hosts(measured, "m", "host", max_host_rate), "host", broadcast_hosts, "verdict")
+    one, two = fresh("key_one", docs), fresh("key_two", docs)
+    gone = materialize(judged.where(~F.col("verdict.kept")).select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct(), "rejected", compact=True)
+    return docs.join(small(gone, broadcast_keys), (keys[0] == F.col(one)) & (keys[1] == F.col(two)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
