@@ -55,12 +55,12 @@ def convex_rows(elem: DataFrame, width: int) -> DataFrame:
     x = F.col("e") % width
     ends = elem.groupBy("case_id", "set_id", F.floor(F.col("e") / width).alias("y")).agg(F.min(x).alias("x0"), F.max(x).alias("x1"))
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        rows = hull_rows(list(zip(t["y"].tolist(), t["x0"].tolist(), t["x1"].tolist())))
-        y, a, b = zip(*rows)
-        return pd.DataFrame({"case_id": raster._same(t["case_id"], len(rows)), "set_id": raster._same(t["set_id"], len(rows)), "y": y, "x0": a, "x1": b})
+    def run(batches):
+        for t in batches:
+            out = [(case, name, *r) for case, name, *rows in zip(t["case_id"], t["set_id"], t["y"], t["x0"], t["x1"]) for r in hull_rows(list(zip(*(a.tolist() for a in rows))))]
+            yield pd.DataFrame(out, columns=["case_id", "set_id", "y", "x0", "x1"])
 
-    return ends.groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, y long, x0 long, x1 long")
+    return raster.gathered(ends, "case_id", "set_id", y="y", x0="x0", x1="x1").mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, y long, x0 long, x1 long")
 
 
 def convex_hull(elem: DataFrame, width: int) -> DataFrame:
@@ -71,11 +71,27 @@ def convex_hull(elem: DataFrame, width: int) -> DataFrame:
 
 def envelope_shares(elem: DataFrame, hosts: DataFrame, width: int) -> DataFrame:
     """(case_id, set_id, host, share): how much of each set lies in the convex hulls of its case's hosts (case_id, host, e), where any does."""
-    size = elem.groupBy("case_id", "set_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = convex_rows(hosts.withColumnRenamed("host", "set_id"), width).withColumnRenamed("set_id", "host")
-    p = elem.select("case_id", "set_id", (F.col("e") % width).alias("x"), F.floor(F.col("e") / width).alias("y"))
-    held = p.join(rows, ["case_id", "y"]).where("x BETWEEN x0 AND x1").groupBy("case_id", "set_id", "host").agg(F.count(F.lit(1)).alias("held"))
-    return held.join(size, ["case_id", "set_id"]).select("case_id", "set_id", "host", (F.col("held") / F.col("n")).alias("share"))
+    kinds = dict(elem.dtypes) | {"host": dict(hosts.dtypes)["host"]}
+    hulls = convex_rows(hosts.withColumnRenamed("host", "set_id"), width).withColumnRenamed("set_id", "host")
+    rows = raster.together(sets=raster.gathered(elem, "case_id", "set_id", e="e"), hulls=raster.gathered(hulls, "case_id", "host", y="y", x0="x0", x1="x1")).where("sets IS NOT NULL AND hulls IS NOT NULL")
+
+    def run(batches):
+        for t in batches:
+            out = []
+            for case, sets, hulls in zip(t["case_id"], t["sets"], t["hulls"]):
+                points = [(s["set_id"], *np.divmod(np.asarray(s["e"], int), width)) for s in sets]
+                height = 1 + max(int(max(y.max() for _, y, _ in points)), *(int(np.max(h["y"])) for h in hulls))
+                for h in hulls:
+                    # rows without a part of the hull have none between their ends
+                    a, b = np.ones(height, int), np.zeros(height, int)
+                    a[h["y"]], b[h["y"]] = h["x0"], h["x1"]
+                    for name, y, x in points:
+                        held = int(((a[y] <= x) & (x <= b[y])).sum())
+                        if held:
+                            out.append((case, name, h["host"], held / len(x)))
+            yield pd.DataFrame(out, columns=["case_id", "set_id", "host", "share"])
+
+    return rows.mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, host {kinds['host']}, share double")
 
 
 # -- completion --
@@ -156,15 +172,18 @@ def completion_candidates(elem: DataFrame, width: int, height: int) -> DataFrame
     """(case_id, set_id, kind, e): the candidates of each set, limited in size; a set of an image at a time."""
     kinds = dict(elem.dtypes)
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros(width * height, bool)
-        mask[t["e"].to_numpy()] = True
-        mask = mask.reshape(height, width)
-        found = {k: np.flatnonzero(limited(c, mask)) for k, c in candidates_of(mask).items()}
-        n = sum(map(len, found.values()))
-        return pd.DataFrame({"case_id": raster._same(t["case_id"], n), "set_id": raster._same(t["set_id"], n), "kind": np.repeat(np.array(list(found), object), [len(v) for v in found.values()]), "e": np.concatenate(list(found.values()))})
+    def run(batches):
+        for t in batches:
+            for case, name, e in zip(t["case_id"], t["set_id"], t["e"]):
+                mask = np.zeros(width * height, bool)
+                mask[np.asarray(e, int)] = True
+                mask = mask.reshape(height, width)
+                found = {k: np.flatnonzero(limited(c, mask)) for k, c in candidates_of(mask).items()}
+                n = sum(map(len, found.values()))
+                of = lambda v: np.repeat(np.array([v], object), n)
+                yield pd.DataFrame({"case_id": of(case), "set_id": of(name), "kind": np.repeat(np.array(list(found), object), [len(v) for v in found.values()]), "e": np.concatenate(list(found.values()))})
 
-    return elem.select("case_id", "set_id", "e").groupBy("case_id", "set_id").applyInPandas(one, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, kind string, e long")
+    return raster.gathered(elem, "case_id", "set_id", e="e").mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, kind string, e long")
 
 
 def complete(elem: DataFrame, occupied: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
@@ -180,13 +199,13 @@ def complete(elem: DataFrame, occupied: DataFrame, width: int, height: int) -> t
     own = materialize(elem.select(*on, "e").distinct(), "visible")
     other = occupied.select("case_id", F.col("set_id").alias("owner"), "e")
     size = own.groupBy(*on).agg(F.count(F.lit(1)).alias("visible"))
-    ring = raster.dilate(own, width, height, 2).join(own, [*on, "e"], "left_anti").join(other, ["case_id", "e"]).where("owner <> set_id")
+    ring = raster.dilate(own, width, height, 2).join(own.hint("merge"), [*on, "e"], "left_anti").join(other.hint("merge"), ["case_id", "e"]).where("owner <> set_id")
     touching = size.join(ring.groupBy(*on).agg(F.count(F.lit(1)).alias("touching")), on, "left").na.fill(0, ["touching"])
     open_ = touching.where(F.col("touching") >= F.greatest(F.lit(3), F.bround(F.col("visible") * 0.002)))
     found = materialize(completion_candidates(own.join(open_.select(*on), on), width, height), "candidates")
     held = other.withColumn("set_id", F.col("owner")).select("case_id", "e", F.col("set_id").alias("owner"))
-    votes = found.groupBy(*on, "e").agg(F.count(F.lit(1)).alias("votes")).join(own.withColumn("own", F.lit(True)), [*on, "e"], "left").where("own IS NULL").drop("own")
-    votes = votes.join(held, ["case_id", "e"], "left").withColumn("held", (F.col("owner").isNotNull() & (F.col("owner") != F.col("set_id"))).cast("int")).drop("owner")
+    votes = found.groupBy(*on, "e").agg(F.count(F.lit(1)).alias("votes")).join(own.withColumn("own", F.lit(True)).hint("merge"), [*on, "e"], "left").where("own IS NULL").drop("own")
+    votes = votes.join(held.hint("merge"), ["case_id", "e"], "left").withColumn("held", (F.col("owner").isNotNull() & (F.col("owner") != F.col("set_id"))).cast("int")).drop("owner")
     # within the disc: some element of the set is in one of its rows; rows of elements are few
     far = disc(31)
     half = {dy: max(dx for a, dx in far if a == dy) for dy in range(-15, 16)}
@@ -198,12 +217,12 @@ def complete(elem: DataFrame, occupied: DataFrame, width: int, height: int) -> t
     spans = rows.select(*on, "y", (F.col("ox") - F.col("half")).alias("lo"), (F.col("ox") + F.col("half")).alias("hi"))
     spans = spans.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(1 << 30))) + 1).cast("int"))
     spans = spans.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*on, "y", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    agreed = votes.where("votes >= 3").withColumns({"x": F.col("e") % width, "y": F.floor(F.col("e") / width)}).join(spans, [*on, "y"]).where("x BETWEEN lo AND hi").select(*on, "e", "held")
+    agreed = votes.where("votes >= 3").withColumns({"x": F.col("e") % width, "y": F.floor(F.col("e") / width)}).join(spans.hint("merge"), [*on, "y"]).where("x BETWEEN lo AND hi").select(*on, "e", "held")
     agreed = materialize(agreed, "agreed")
     # sets on which nothing is agreed take their best candidate
     rest = open_.join(agreed.select(*on).distinct(), on, "left_anti").select(*on, "visible")
     order = {k: n for n, k in enumerate(("closed", "widely closed", "convex", "ellipse", "mirrored"))}
-    extra = found.where("kind <> 'visible'").join(rest, on).join(votes.select(*on, "e", "held"), [*on, "e"], "left")
+    extra = found.where("kind <> 'visible'").join(rest, on).join(votes.select(*on, "e", "held").hint("merge"), [*on, "e"], "left")
     sums = extra.groupBy(*on, "kind", "visible").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("added"), F.coalesce(F.sum("held"), F.lit(0)).alias("hits"))
     score = F.col("hits") / F.greatest(F.lit(1), F.col("added")) - 0.15 * F.abs(F.col("n") / F.col("visible") - 1.35)
     place = F.element_at(F.create_map(*(F.lit(v) for kv in order.items() for v in kv)), F.col("kind"))

@@ -55,18 +55,24 @@ def stencil(tiles: DataFrame, of: Callable[[np.ndarray], np.ndarray], margin: in
         k = np.abs(k) % max(1, 2 * (n - 1))
         return np.where(k >= n, 2 * (n - 1) - k, k)
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        y0, y1, x0, x1 = box(int(t["ty"].iloc[0]), int(t["tx"].iloc[0]))
+    def one(ty: int, tx: int, strips) -> np.ndarray:
+        y0, y1, x0, x1 = box(ty, tx)
         top, left = y0 - margin, x0 - margin
         a = np.zeros((channels, y1 - y0 + 2 * margin, x1 - x0 + 2 * margin), np.float32)
-        for y, x, rows, v in zip(t["y"], t["x"], t["rows"], t["values"]):
-            part = np.asarray(v, np.float32).reshape(channels, rows, -1)
+        for s in strips:
+            y, x, rows = s["y"], s["x"], s["rows"]
+            part = np.asarray(s["values"], np.float32).reshape(channels, rows, -1)
             a[:, y - top : y - top + rows, x - left : x - left + part.shape[2]] = part
         a = a[:, mirrored(np.arange(top, y1 + margin), height) - top][:, :, mirrored(np.arange(left, x1 + margin), width) - left]
-        return pd.DataFrame({"case_id": t["case_id"].to_numpy(dtype=object)[:1], "ty": t["ty"].iloc[:1].to_numpy(), "tx": t["tx"].iloc[:1].to_numpy(), "values": [of(a).astype(np.float32).ravel()]})
+        return of(a).astype(np.float32).ravel()
+
+    def run(batches):
+        for t in batches:
+            yield t[["case_id", "ty", "tx"]].assign(values=[one(ty, tx, s) for ty, tx, s in zip(t["ty"], t["tx"], t["strips"])])
 
     strips = tiles.select("case_id", "ty", "tx", "values").mapInPandas(send, f"case_id {kinds['case_id']}, ty int, tx int, y int, x int, rows int, values array<float>")
-    return strips.groupBy("case_id", "ty", "tx").applyInPandas(one, f"case_id {kinds['case_id']}, ty int, tx int, values array<float>")
+    strips = strips.groupBy("case_id", "ty", "tx").agg(F.collect_list(F.struct("y", "x", "rows", "values")).alias("strips"))
+    return strips.mapInPandas(run, f"case_id {kinds['case_id']}, ty int, tx int, values array<float>")
 
 
 def to_pixels(tiles: DataFrame, width: int, size: int = TILE, name: str = "value") -> DataFrame:
@@ -110,7 +116,7 @@ def boundary_alignment(strength: DataFrame, elem: DataFrame, width: int, height:
     strength: (case_id, e, value). A set without an outline, or in an image without edges, has 0.
     """
     top = strength.groupBy("case_id").agg(F.percentile("value", F.lit(0.9)).alias("top"))
-    mean = outlines(elem, width, height).join(strength, ["case_id", "e"]).groupBy("case_id", "set_id").agg(F.avg(F.col("value").cast("double")).alias("mean"))
+    mean = outlines(elem, width, height).hint("merge").join(strength, ["case_id", "e"]).groupBy("case_id", "set_id").agg(F.avg(F.col("value").cast("double")).alias("mean"))
     x = elem.select("case_id", "set_id").distinct().join(mean, ["case_id", "set_id"], "left").join(top, "case_id", "left")
     share = F.when((F.col("top") > 1e-6) & F.col("mean").isNotNull(), F.least(F.col("mean") / F.col("top"), F.lit(1.0)))
     return x.select("case_id", "set_id", F.coalesce(share, F.lit(0.0)).alias("alignment"))
