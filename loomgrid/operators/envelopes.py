@@ -174,14 +174,14 @@ def completion_candidates(elem: DataFrame, width: int, height: int) -> DataFrame
 
     def run(batches):
         for t in batches:
-            for case, name, e in zip(t["case_id"], t["set_id"], t["e"]):
+            found = []
+            for e in t["e"]:
                 mask = np.zeros(width * height, bool)
                 mask[np.asarray(e, int)] = True
                 mask = mask.reshape(height, width)
-                found = {k: np.flatnonzero(limited(c, mask)) for k, c in candidates_of(mask).items()}
-                n = sum(map(len, found.values()))
-                of = lambda v: np.repeat(np.array([v], object), n)
-                yield pd.DataFrame({"case_id": of(case), "set_id": of(name), "kind": np.repeat(np.array(list(found), object), [len(v) for v in found.values()]), "e": np.concatenate(list(found.values()))})
+                found.append({k: np.flatnonzero(limited(c, mask)) for k, c in candidates_of(mask).items()})
+            kinds_of = [np.repeat(np.array(list(f), object), list(map(len, f.values()))) for f in found]
+            yield raster.spread(t, list(map(len, kinds_of)), kind=kinds_of, e=[np.concatenate(list(f.values())) for f in found])
 
     return raster.gathered(elem, "case_id", "set_id", e="e").mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, kind string, e long")
 
