@@ -53,8 +53,13 @@ def root_parent(parts: DataFrame, supports: DataFrame, marker: str = "/visual-re
     """(case_id, part, parent) by the key before ``marker``: of the supports (case_id, key, asset, root, support, part) with that
     key and asset, and the part's root unless that is null, the one of most support (ties: smaller part)."""
     p = parts.where(F.contains("key", F.lit(marker))).select("case_id", F.col("part").alias("child"), F.substring_index("key", marker, 1).alias("key"), "asset", F.col("root").alias("wanted"))
-    x = p.join(supports, ["case_id", "key", "asset"]).where(F.col("wanted").isNull() | (F.col("wanted") == F.col("root")))
-    return x.groupBy("case_id", F.col("child").alias("part")).agg(F.min(F.struct((-F.col("support")).alias("s"), "part")).alias("m")).select("case_id", "part", F.col("m.part").alias("parent"))
+    # a key's supports meet its parts as the best one of each root, and the best of all
+    best = supports.groupBy("case_id", "key", "asset", "root").agg(F.min(F.struct((-F.col("support")).alias("s"), "part")).alias("m"))
+    best = best.groupBy("case_id", "key", "asset").agg(F.min("m").alias("m"), F.collect_list(F.struct("root", "m")).alias("roots"))
+    own = F.get(F.filter("roots", lambda r: r["root"] == F.col("wanted")), F.lit(0))
+    x = p.join(best, ["case_id", "key", "asset"]).withColumn("m", F.when(F.col("wanted").isNull(), F.col("m")).otherwise(own["m"]))
+    x = x.where("m IS NOT NULL").groupBy("case_id", F.col("child").alias("part")).agg(F.min("m").alias("m"))
+    return x.select("case_id", "part", F.col("m.part").alias("parent"))
 
 
 def root_scores(roots: DataFrame) -> DataFrame:

@@ -40,3 +40,30 @@ def test_whole_cases_agree(spark, name):
 
 def test_namespaces_number_all_roots_of_a_name(spark):
     agrees(spark, "namespaces")
+
+
+def test_pairs_are_not_shuffled_one_by_one(spark):
+    from loomgrid.operators import overlap
+
+    e = spark.range(300).selectExpr("0L AS case_id", "id % 20 AS set_id", "id % 7 AS e")
+    got = overlap.overlap_pairs(e)
+    shuffled = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(case_id" in x]
+    assert not any("REPARTITION" not in x and "a#" in x and "b#" in x for x in shuffled)
+    sets = {}
+    for r in e.collect():
+        sets.setdefault(r.set_id, set()).add(r.e)
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert {(r.a, r.b): r.inter for r in got.collect()} == want
+
+
+def test_supports_of_a_hot_key_meet_as_one_row(spark):
+    from pyspark.sql import functions as F
+
+    from loomgrid.operators import roots
+
+    n = spark.range(4000)
+    parts = n.select(F.lit(0).alias("case_id"), F.col("id").alias("part"), F.lit("k/visual-region:1").alias("key"), F.lit(1).alias("asset"), F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("root"))
+    supports = n.select(F.lit(0).alias("case_id"), F.lit("k").alias("key"), F.lit(1).alias("asset"), (F.col("id") % 3).alias("root"), (F.col("id") % 100).cast("double").alias("support"), F.col("id").alias("part"))
+    got = {r.part: r.parent for r in roots.root_parent(parts, supports).collect()}
+    best = lambda ok: min((-(k % 100), k) for k in range(4000) if ok(k % 3))[1]
+    assert got == {p: best(lambda r: p % 2 or r == p % 3) for p in range(4000)}
