@@ -67,3 +67,8 @@ def test_supports_of_a_hot_key_meet_as_one_row(spark):
     got = {r.part: r.parent for r in roots.root_parent(parts, supports).collect()}
     best = lambda ok: min((-(k % 100), k) for k in range(4000) if ok(k % 3))[1]
     assert got == {p: best(lambda r: p % 2 or r == p % 3) for p in range(4000)}
+
+
+def test_supplied_elements_are_dealt_once(spark):
+    x = catalog.supplied(spark, DATA).groupBy("case_id", "e").count()
+    assert x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
