@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
 from .graph import descendants
 
+#: Records of a block; a pair of blocks is made at once. Pairs of a task.
+BLOCK, PAIRS = 2_000, 20_000_000
+
 
 def best_parent(pairs: DataFrame, least_overlap: float = 0.02, most_distance: float = 0.25) -> DataFrame:
     """(case_id, child, parent) from pairs (case_id, child, parent, tier, overlap, distance, support).
@@ -49,8 +53,22 @@ def non_occluders(records: DataFrame, links: DataFrame) -> DataFrame:
     """
     one = links.groupBy("semantic").agg(F.min("parent").alias("parent"))
     up = descendants(one.select("parent", F.col("semantic").alias("child")), on_cycle="stop").select(F.col("descendant").alias("semantic"), F.col("ancestor").alias("above"))
-    other = records.select(F.col("item").alias("other"), F.col("semantic").alias("above"))
-    above = records.select("item", "semantic").join(up, "semantic").join(other, "above").select("item", "other")
-    own = records.select("item", F.col("item").alias("other"))
-    assembled = records.where("assembly_parent IS NOT NULL").select("item", F.col("assembly_parent").alias("other"))
-    return above.unionByName(own).unionByName(assembled).distinct()
+    x = materialize(records.select("item", "semantic").distinct(), "records", compact=True)
+    blocks = x.groupBy("semantic").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    side = lambda s: blocks.select(F.col("semantic").alias(s), F.col("n").alias(f"n_{s}"), F.col("blocks").alias(f"b_{s}"))
+    up = materialize(up.join(side("semantic"), "semantic").join(side("above"), "above"), "semantics", compact=True)
+    pairs = up.agg(F.coalesce(F.sum(F.col("n_semantic") * F.col("n_above")), F.lit(0))).first()[0]
+    parts = max(records.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS)
+    # both sides are dealt to blocks, so the pairs are made where blocks meet and aren't shuffled
+    keys, block = ["semantic", "above", "i", "j"], lambda c, n: F.pmod(F.xxhash64(c), n)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = x.join(up, "semantic").select("item", "semantic", "above", block("item", F.col("b_semantic")).alias("i"), all_of("b_above").alias("j")).repartition(parts, *keys)
+    other = x.select(F.col("item").alias("other"), F.col("semantic").alias("above"))
+    right = other.join(up, "above").select("other", "semantic", "above", all_of("b_semantic").alias("i"), block("other", F.col("b_above")).alias("j")).repartition(parts, *keys)
+    above = left.join(right, keys).select("item", "other")
+    own = records.select("item", F.col("item").alias("other")).distinct()
+    assembled = records.where("assembly_parent IS NOT NULL AND NOT item <=> assembly_parent").select("item", "semantic", F.col("assembly_parent").alias("other")).distinct()
+    assembled = assembled.join(other, "other", "left").join(up, ["semantic", "above"], "left_anti").select("item", "other")
+    if not x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # else no pair comes twice
+        return above.unionByName(own).unionByName(assembled).distinct()
+    return above.unionByName(own).unionByName(assembled)
