@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgrid.operators import parents
+from loomgrid.operators import parents, raster
 
 
 def plan(df):
@@ -36,3 +36,11 @@ def test_pairs_of_items_that_do_not_hide_are_not_shuffled(spark, monkeypatch):
     twice = records + [(5, "c", None)]
     rows = [tuple(r) for r in of(twice).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(twice, links)
+
+
+def test_a_polygon_of_a_set_is_drawn_once(spark):
+    square = [1.0, 1.0, 3.0, 1.0, 3.0, 2.0, 1.0, 2.0]
+    rows = spark.range(3000).select(F.lit(0).alias("case_id"), (F.col("id") % 3).alias("set_id"), F.array(*map(F.lit, square)).alias("polygon"))
+    x = raster.decode_polygons(rows.unionByName(spark.createDataFrame([(0, 2, [0.0] * 6)], rows.schema)), 8, 8)
+    assert plan(x).split("MapInPandas")[1].count("HashAggregate") >= 1
+    assert sorted((r.set_id, r.e) for r in x.collect()) == sorted([(s, y * 8 + x_) for s in range(3) for y in (1, 2) for x_ in (1, 2, 3)] + [(2, 0)])
