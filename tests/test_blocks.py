@@ -1,5 +1,6 @@
 """Work that is dealt to tasks in proportion to the rows: pairs of blocks, keys, runs and polygons."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgrid.operators import parents, raster
@@ -38,6 +39,21 @@ def test_pairs_of_items_that_do_not_hide_are_not_shuffled(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == brute(twice, links)
 
 
+def test_runs_are_taken_apart_row_by_row(spark):
+    rng = np.random.default_rng(3)
+    masks = [rng.random(63) < p for p in (0.1, 0.5, 0.9, 1.0)] + [np.arange(63) == k for k in (0, 62)]
+    rows = [(0, k, int(e)) for k, m in enumerate(masks) for e in np.flatnonzero(m)]
+    runs = raster.encode_runs(spark.createDataFrame(rows, "case_id long, set_id long, e long"), 9, 7)
+    for r in runs.collect():
+        flat = masks[r.set_id].reshape(7, 9).T.ravel()
+        assert sum(r.counts) == 63 and min(r.counts[1:], default=1) > 0
+        assert (np.repeat(np.arange(len(r.counts)) % 2 == 1, r.counts) == flat).all()
+    kept = spark.createDataFrame([(tuple(r)) for r in runs.collect()], "case_id long, set_id long, counts array<long>").withColumn("width", F.lit(9))
+    back = raster.decode_runs(kept, "counts", F.lit(7))
+    assert "Exchange" not in plan(back)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
 def test_a_polygon_of_a_set_is_drawn_once(spark):
     square = [1.0, 1.0, 3.0, 1.0, 3.0, 2.0, 1.0, 2.0]
     rows = spark.range(3000).select(F.lit(0).alias("case_id"), (F.col("id") % 3).alias("set_id"), F.array(*map(F.lit, square)).alias("polygon"))
