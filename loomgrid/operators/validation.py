@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a partition of keys.
+DEALT = 1_000_000
+
+
+def _parts(rows: DataFrame) -> int:
+    """Partitions for keys of ``rows``: no fewer than cores, and DEALT rows each in large tables."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // DEALT)
+
 
 def duplicate_keys(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
     """(rule, key, rows) of keys that stand more than once or are null."""
     key = F.to_json(F.struct(*keys))
     null = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | null).select(F.lit(rule).alias("rule"), key.alias("key"), "rows")
+    dealt = rows.select(*keys).repartition(_parts(rows), *keys)
+    return dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | null).select(F.lit(rule).alias("rule"), key.alias("key"), "rows")
 
 
 def orphans(rows: DataFrame, key: str, parent: DataFrame, parent_key: str, rule: str) -> DataFrame:
     """(rule, key, rows) of non-null foreign keys without a parent row."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("rows"))
-    lost = counts.join(parent.select(F.col(parent_key).alias("_k")).distinct(), "_k", "left_anti")
+    parts = _parts(rows)
+    counts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k")).repartition(parts, "_k").groupBy("_k").agg(F.count(F.lit(1)).alias("rows"))
+    lost = counts.join(parent.select(F.col(parent_key).alias("_k")).repartition(parts, "_k").distinct(), "_k", "left_anti")
     return lost.select(F.lit(rule).alias("rule"), F.col("_k").cast("string").alias("key"), "rows")
 
 

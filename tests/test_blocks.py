@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgrid.operators import parents, raster
+from loomgrid.operators import parents, raster, validation
 
 
 def plan(df):
@@ -39,6 +39,16 @@ def test_pairs_of_items_that_do_not_hide_are_not_shuffled(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == brute(twice, links)
 
 
+def test_keys_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(validation, "DEALT", 100)
+    x = spark.range(2000).select((F.col("id") % 1990).alias("k"))
+    found = validation.duplicate_keys(x, ["k"], "r")
+    lost = validation.orphans(x, "k", spark.range(1980).withColumnRenamed("id", "p"), "p", "r")
+    assert "hashpartitioning(k" in plan(found) and ", 20), REPARTITION" in plan(found) and ", 20), REPARTITION" in plan(lost)
+    assert {(r.key, r.rows) for r in found.collect()} == {(f'{{"k":{k}}}', 2) for k in range(10)}
+    assert {(r.key, r.rows) for r in lost.collect()} == {(str(k), 1) for k in range(1980, 1990)}
+
+
 def test_runs_are_taken_apart_row_by_row(spark):
     rng = np.random.default_rng(3)
     masks = [rng.random(63) < p for p in (0.1, 0.5, 0.9, 1.0)] + [np.arange(63) == k for k in (0, 62)]
