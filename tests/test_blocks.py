@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgrid.operators import parents, raster, validation
+from loomgrid.operators import overlap, parents, raster, validation
 
 
 def plan(df):
@@ -70,3 +70,34 @@ def test_a_polygon_of_a_set_is_drawn_once(spark):
     x = raster.decode_polygons(rows.unionByName(spark.createDataFrame([(0, 2, [0.0] * 6)], rows.schema)), 8, 8)
     assert plan(x).split("MapInPandas")[1].count("HashAggregate") >= 1
     assert sorted((r.set_id, r.e) for r in x.collect()) == sorted([(s, y * 8 + x_) for s in range(3) for y in (1, 2) for x_ in (1, 2, 3)] + [(2, 0)])
+
+
+def word_sets(spark):
+    """Sets of random words, small ones inside others, near and equal ones."""
+    rng = np.random.default_rng(11)
+    sets = [set(map(int, rng.zipf(1.3, rng.integers(1, 60)) % 300)) for _ in range(120)]
+    sets += [set(s) for s in sets[:20]] + [set(sorted(s)[: max(1, len(s) // 2)]) for s in sets[20:50]] + [s | {1000 + k} for k, s in enumerate(sets[50:60])] + [{5000}, set(range(40)), set(range(40))]
+    rows = [(k % 2, k, sorted(s)) for k, s in enumerate(sets)]
+    return sets, overlap.with_sizes(spark.createDataFrame(rows, "case_id int, set_id long, s array<long>"))
+
+
+def test_pairs_are_those_of_brute_force(spark):
+    sets, x = word_sets(spark)
+    inter = {(a, b): len(sets[a] & sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets)) if a % 2 == b % 2}
+    for t in (0.3, 0.82):
+        want = {(a, b, i, len(sets[a]), len(sets[b])) for (a, b), i in inter.items() if i / len(sets[a] | sets[b]) >= t - 1e-12}
+        got = [(r.a, r.b, r.inter, r.na, r.nb) for r in overlap.set_pairs(x, t).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    want = {(a, b, i) for (a, b), i in inter.items() if i >= 0.9 * min(len(sets[a]), len(sets[b])) - 1e-9}
+    assert {(r.a, r.b, r.inter) for r in overlap.contained_pairs(x, 0.9).collect()} == want
+
+
+def test_sets_are_not_written_and_meet_by_shared_elements(spark, monkeypatch):
+    _, x = word_sets(spark)
+    written = []
+    put = overlap.materialize
+    monkeypatch.setattr(overlap, "materialize", lambda df, label, **k: written.append((label, put(df, label, **k))) or written[-1][1])
+    overlap.set_pairs(x, 0.5)
+    arrays = [(n, t) for n, t in written if "s" in t.columns]
+    assert [n for n, _ in arrays] == ["shared"]
+    assert arrays[0][1].where("array_contains(s, 5000)").isEmpty()
