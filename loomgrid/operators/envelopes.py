@@ -8,9 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..storage import materialize
 from . import raster
 
 
@@ -168,22 +166,109 @@ def limited(candidate: np.ndarray, mask: np.ndarray, ratio: float = 2.5) -> np.n
     return (out & allowed.reshape(mask.shape)) | mask
 
 
-def completion_candidates(elem: DataFrame, width: int, height: int) -> DataFrame:
-    """(case_id, set_id, kind, e): the candidates of each set, limited in size; a set of an image at a time."""
-    kinds = dict(elem.dtypes)
+def _disc_grown(masks: np.ndarray, size: int) -> np.ndarray:
+    """Masks (n, h, w) grown by ``disc(size)``; beyond the border is nothing."""
+    n, h, w = masks.shape
+    half: dict[int, int] = {}
+    for dy, dx in disc(size):
+        half[dy] = max(half.get(dy, 0), dx)
+    wide, rows = {0: masks}, masks
+    for k in range(1, max(half.values()) + 1):
+        rows = rows.copy()
+        rows[:, :, k:] |= masks[:, :, : max(0, w - k)]
+        rows[:, :, : max(0, w - k)] |= masks[:, :, k:]
+        wide[k] = rows
+    out = np.zeros_like(masks)
+    for dy, dx in half.items():
+        if abs(dy) < h:
+            out[:, max(0, -dy) : h - max(0, dy)] |= wide[dx][:, max(0, dy) : h + min(0, dy)]
+    return out
 
-    def run(batches):
-        for t in batches:
-            found = []
-            for e in t["e"]:
-                mask = np.zeros(width * height, bool)
-                mask[np.asarray(e, int)] = True
-                mask = mask.reshape(height, width)
-                found.append({k: np.flatnonzero(limited(c, mask)) for k, c in candidates_of(mask).items()})
-            kinds_of = [np.repeat(np.array(list(f), object), list(map(len, f.values()))) for f in found]
-            yield raster.spread(t, list(map(len, kinds_of)), kind=kinds_of, e=[np.concatenate(list(f.values())) for f in found])
 
-    return raster.gathered(elem, "case_id", "set_id", e="e").mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, kind string, e long")
+def _closed_masks(masks: np.ndarray, size: int) -> np.ndarray:
+    return ~_disc_grown(~_disc_grown(masks, size), size)
+
+
+#: Candidates but the set itself, in the order in which equally good ones are taken.
+KINDS = ("closed", "widely closed", "convex", "ellipse", "mirrored")
+
+
+def candidates_of_masks(masks: np.ndarray) -> np.ndarray:
+    """(len(KINDS), masks, h, w): ``candidates_of`` of many non-empty masks, each limited in size by ``limited``."""
+    n, h, w = masks.shape
+    out = np.broadcast_to(masks, (len(KINDS), n, h, w)).copy()
+    ys, xs = np.mgrid[0:h, 0:w]
+    cols, rows = masks.any(1), masks.any(2)
+    span = lambda a: a.shape[1] - a[:, ::-1].argmax(1) - a.argmax(1)
+    radius = [max(2, round(int(k) * 0.10)) for k in np.minimum(span(cols), span(rows))]
+    for at, factor in enumerate((1.0, 1.8)):
+        sizes = np.array([max(3, 2 * round(r * factor) + 1) for r in radius])
+        for size in np.unique(sizes):
+            of = sizes == size
+            out[at, of] = _closed_masks(masks[of], int(size))
+    first, last = masks.argmax(2), w - 1 - masks[:, :, ::-1].argmax(2)
+    area = masks.sum((1, 2))
+    for k, m in enumerate(masks):
+        there = np.flatnonzero(rows[k])
+        for r, a, b in hull_rows(list(zip(there.tolist(), first[k, there].tolist(), last[k, there].tolist()))):
+            out[2, k, r, a : b + 1] = True
+        if area[k] < 8:
+            continue
+        y, x = np.nonzero(m)
+        centre, values, vectors = _axes(x, y)
+        if area[k] >= 12:
+            along = np.tensordot(vectors.T, np.stack([xs - centre[0], ys - centre[1]]), 1)
+            reach = np.maximum(1.0, 2.45 * np.sqrt(np.maximum(values, 1.0)))
+            out[3, k] |= ((along / reach[:, None, None]) ** 2).sum(0) <= 1
+        p = np.stack([x, y]).T - centre
+        q = np.rint(centre + 2 * (p @ vectors[:, 1:]) * vectors[:, 1] - p).astype(int)
+        q = q[(q >= 0).all(1) & (q[:, 0] < w) & (q[:, 1] < h)]
+        out[4, k, q[:, 1], q[:, 0]] = True
+    many = area >= 8
+    out[4, many] = ~raster.grown(~raster.grown(out[4, many], 1), 1)
+    out |= masks
+    # what is too large keeps what is among so many pixels nearest to the set
+    most = np.array([round(int(a) * 2.5) for a in area])
+    large = out.sum((2, 3)) > most
+    some = np.flatnonzero(large.any(0))
+    if len(some):
+        d = raster.squared_distances(~masks[some]).reshape(len(some), -1)
+        for k, own in zip(some, d):
+            allowed = np.zeros(h * w, bool)
+            allowed[np.argsort(own, kind="stable")[: most[k]]] = True
+            out[large[:, k], k] &= allowed.reshape(h, w) | masks[k]
+    return out
+
+
+def _completed(masks: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+    """Pixels that each mask gains and its measures; ``other``: what others occupy of each one's image."""
+    n = len(masks)
+    visible = masks.sum((1, 2))
+    touching = (raster.grown(masks, 2) & ~masks & other).sum((1, 2))
+    open_ = touching >= np.maximum(3, np.rint(visible * 0.002))
+    added, sure = np.zeros_like(masks), np.ones(n)
+    at = np.flatnonzero(open_)
+    if len(at):
+        own, held = masks[at], other[at]
+        found = candidates_of_masks(own)
+        votes = found.sum(0, dtype=np.int8)
+        votes[own] = 0
+        gains = (votes >= 3) & _disc_grown(own, 31)
+        # sets on which nothing is agreed take their best candidate
+        rest = np.flatnonzero(~gains.any((1, 2)))
+        if len(rest):
+            extra = found[:, rest] & ~own[rest]
+            hits, more, area = (extra & held[rest]).sum((2, 3)), extra.sum((2, 3)), visible[at][rest]
+            score = hits / np.maximum(1, more) - 0.15 * np.abs((more + area) / area - 1.35)
+            gains[rest] = extra[np.round(score, 12).argmax(0), np.arange(len(rest))]
+        # the variance of six votes of 0 or 1, over pixels that any candidate adds
+        counts = np.stack([(votes == k).sum((1, 2)) for k in range(1, 6)])
+        share = np.arange(1, 6) / 6
+        spread = (counts * (share * (1 - share))[:, None]).sum(0) / np.maximum(1, counts.sum(0))
+        supported = (gains & held).sum((1, 2)) / np.maximum(1, gains.sum((1, 2)))
+        sure[at] = np.clip(0.70 * (1 - 4 * spread) + 0.30 * supported, 0.05, 0.95)
+        added[at] = gains
+    return added, pd.DataFrame({"visible": visible, "added": added.sum((1, 2)), "touching": touching, "confidence": sure})
 
 
 def complete(elem: DataFrame, occupied: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
@@ -194,46 +279,28 @@ def complete(elem: DataFrame, occupied: DataFrame, width: int, height: int) -> t
     and that lie within a disc of 31 of the set are added; if there are none, the candidate is taken whose additions are
     occupied most, for a size near 1.35 times the set's (ties: in the order of ``candidates_of``). Confidence falls with
     the candidates' disagreement and grows with the share of added pixels that are occupied. Fixed values: the numbers.
+    An image's sets meet its map as one row; only what a set gains leaves the kernel.
     """
-    on = ["case_id", "set_id"]
-    own = materialize(elem.select(*on, "e").distinct(), "visible")
-    other = occupied.select("case_id", F.col("set_id").alias("owner"), "e")
-    size = own.groupBy(*on).agg(F.count(F.lit(1)).alias("visible"))
-    ring = raster.dilate(own, width, height, 2).join(own.hint("merge"), [*on, "e"], "left_anti").join(other.hint("merge"), ["case_id", "e"]).where("owner <> set_id")
-    touching = size.join(ring.groupBy(*on).agg(F.count(F.lit(1)).alias("touching")), on, "left").na.fill(0, ["touching"])
-    open_ = touching.where(F.col("touching") >= F.greatest(F.lit(3), F.bround(F.col("visible") * 0.002)))
-    found = materialize(completion_candidates(own.join(open_.select(*on), on), width, height), "candidates")
-    held = other.withColumn("set_id", F.col("owner")).select("case_id", "e", F.col("set_id").alias("owner"))
-    votes = found.groupBy(*on, "e").agg(F.count(F.lit(1)).alias("votes")).join(own.withColumn("own", F.lit(True)).hint("merge"), [*on, "e"], "left").where("own IS NULL").drop("own")
-    votes = votes.join(held.hint("merge"), ["case_id", "e"], "left").withColumn("held", (F.col("owner").isNotNull() & (F.col("owner") != F.col("set_id"))).cast("int")).drop("owner")
-    # within the disc: some element of the set is in one of its rows; rows of elements are few
-    far = disc(31)
-    half = {dy: max(dx for a, dx in far if a == dy) for dy in range(-15, 16)}
-    rows = own.select(*on, (F.col("e") % width).alias("ox"), F.floor(F.col("e") / width).alias("oy")).withColumn("dy", F.explode(F.array(*(F.lit(k) for k in half))))
-    rows = rows.select(*on, (F.col("oy") + F.col("dy")).alias("y"), F.col("ox"), F.element_at(F.create_map(*(F.lit(v) for kv in half.items() for v in kv)), F.col("dy")).alias("half"))
-    rows = rows.groupBy(*on, "y", "ox").agg(F.max("half").alias("half")).where(F.col("y").between(0, height - 1))
-    # of a row, the intervals around elements as their union
-    w = Window.partitionBy(*on, "y").orderBy("lo", "hi")
-    spans = rows.select(*on, "y", (F.col("ox") - F.col("half")).alias("lo"), (F.col("ox") + F.col("half")).alias("hi"))
-    spans = spans.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(1 << 30))) + 1).cast("int"))
-    spans = spans.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*on, "y", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    agreed = votes.where("votes >= 3").withColumns({"x": F.col("e") % width, "y": F.floor(F.col("e") / width)}).join(spans.hint("merge"), [*on, "y"]).where("x BETWEEN lo AND hi").select(*on, "e", "held")
-    agreed = materialize(agreed, "agreed")
-    # sets on which nothing is agreed take their best candidate
-    rest = open_.join(agreed.select(*on).distinct(), on, "left_anti").select(*on, "visible")
-    order = {k: n for n, k in enumerate(("closed", "widely closed", "convex", "ellipse", "mirrored"))}
-    extra = found.where("kind <> 'visible'").join(rest, on).join(votes.select(*on, "e", "held").hint("merge"), [*on, "e"], "left")
-    sums = extra.groupBy(*on, "kind", "visible").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("added"), F.coalesce(F.sum("held"), F.lit(0)).alias("hits"))
-    score = F.col("hits") / F.greatest(F.lit(1), F.col("added")) - 0.15 * F.abs(F.col("n") / F.col("visible") - 1.35)
-    place = F.element_at(F.create_map(*(F.lit(v) for kv in order.items() for v in kv)), F.col("kind"))
-    best = sums.withColumn("k", F.row_number().over(Window.partitionBy(*on).orderBy(F.round(score, 12).desc(), place))).where("k = 1").select(*on, "kind")
-    taken = extra.join(best, [*on, "kind"]).where("held IS NOT NULL").select(*on, "e", "held")
-    added = materialize(agreed.unionByName(taken), "added")
-    # the variance of six votes of 0 or 1, over pixels that any candidate adds
-    share = F.col("votes") / 6
-    spread = votes.groupBy(*on).agg(F.avg(share * (1 - share)).alias("spread"))
-    gains = added.groupBy(*on).agg(F.count(F.lit(1)).alias("added"), F.avg(F.col("held").cast("double")).alias("supported"))
-    x = touching.join(gains, on, "left").join(spread, on, "left").join(open_.select(*on).withColumn("open", F.lit(True)), on, "left")
-    sure = 0.70 * (1 - 4 * F.coalesce("spread", F.lit(0.0))) + 0.30 * F.coalesce("supported", F.lit(0.0))
-    x = x.select(*on, "visible", F.coalesce("added", F.lit(0)).alias("added"), "touching", F.when(F.col("open"), F.least(F.greatest(sure, F.lit(0.05)), F.lit(0.95))).otherwise(1.0).alias("confidence"))
-    return own.unionByName(added.select(*on, "e")), x
+    kinds = dict(elem.dtypes)
+    own = raster.gathered(elem.select("case_id", "set_id", "e").distinct(), "case_id", "set_id", e="e")
+    rows = raster.together(own=own, other=raster.gathered(occupied, "case_id", "set_id", e="e")).where("own IS NOT NULL")
+    most = max(1, raster.AT_ONCE // (8 * width * height))
+
+    def run(batches):
+        for t in batches:
+            sets = [(case, s["set_id"], s["e"], other) for case, own, other in zip(t["case_id"], t["own"], t["other"]) for s in own]
+            for k in range(0, len(sets), most):
+                part = sets[k : k + most]
+                held = np.zeros((len(part), height * width), bool)
+                for h, (_, name, _, other) in zip(held, part):
+                    for o in () if other is None else other:
+                        if o["set_id"] != name:
+                            h[np.asarray(o["e"], int)] = True
+                added, x = _completed(raster.masks_of(pd.Series([e for _, _, e, _ in part]), width, height), held.reshape(-1, height, width))
+                x.insert(0, "case_id", [r[0] for r in part])
+                x.insert(1, "set_id", [r[1] for r in part])
+                yield x.assign(gained=[np.flatnonzero(m) for m in added])
+
+    x = rows.mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, visible long, added long, touching long, confidence double, gained array<long>")
+    full = elem.select("case_id", "set_id", "e").distinct().unionByName(x.select("case_id", "set_id", F.explode("gained").alias("e")))
+    return full, x.drop("gained")

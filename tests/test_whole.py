@@ -1,5 +1,8 @@
 """Queries on small tables of their own: results that don't depend on the order of rows, and pixels that aren't shuffled."""
 
+import numpy as np
+
+from loomgrid.operators import envelopes
 from loomgrid.plans import catalog, measures, rasters, shapes  # noqa: F401  (register their queries)
 
 
@@ -12,3 +15,43 @@ def test_plans_scores_are_exact_means(spark, tmp_path):
         got = {r.plan: r.score for r in measures.unmatched_plans(spark, str(tmp_path / f"{n}")).collect()}
         # of one region the best plan takes it: 1361 * 10 / 256 - 49.5 = 3.6640625
         assert got == {0: None, 1: None, 2: 3.664063, 3: None}
+
+
+def fail(*_, **__):
+    raise AssertionError("a table is written")
+
+
+def shuffles(df):
+    """Columns of the shuffles of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("Exchange ")[1] for x in plan.splitlines() if "Exchange " in x and "Reused" not in x]
+
+
+def drawings(rng, n, h=48, w=64):
+    masks = np.zeros((n, h, w), bool)
+    for k, m in enumerate(masks):
+        for _ in range(1 + k % 4):
+            y, x = rng.integers(0, h - 9), rng.integers(0, w - 12)
+            m[y : y + rng.integers(1, 10), x : x + rng.integers(1, 13)] = True
+        if k % 9 == 0:
+            m |= rng.random((h, w)) < 0.01
+    return masks
+
+
+def test_candidates_of_many_masks_are_those_of_each():
+    masks = drawings(np.random.default_rng(1), 60)
+    masks[:3] = False
+    for k in range(3):
+        masks[k, 4, 5 : 6 + 4 * k] = True
+    found = envelopes.candidates_of_masks(masks)
+    for k, m in enumerate(masks):
+        want = envelopes.candidates_of(m)
+        for at, kind in enumerate(envelopes.KINDS):
+            assert (found[at, k] == envelopes.limited(want[kind], m)).all()
+
+
+def test_completion_neither_writes_nor_shuffles_pixels(spark, monkeypatch):
+    monkeypatch.setattr(envelopes, "materialize", fail, raising=False)
+    got = shapes.completed_sets(spark, "/root/testdata/sf0.001")
+    assert got.count() > 500
+    assert not [x for x in shuffles(got) if "e#" in x]
