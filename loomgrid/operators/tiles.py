@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import raster
+
 TILE = 64
 
 
@@ -25,6 +27,12 @@ def to_tiles(pixels: DataFrame, channels: list[str], width: int, height: int, si
     return p.select("case_id", "ty", "tx", F.concat(*(F.col(f"p.{c}") for c in channels)).alias("values"))
 
 
+def mirrored(k: np.ndarray, n: int) -> np.ndarray:
+    """Places inside 0 to n - 1 of those mirrored about the outermost ones."""
+    k = np.abs(k) % max(1, 2 * (n - 1))
+    return np.where(k >= n, 2 * (n - 1) - k, k)
+
+
 def stencil(tiles: DataFrame, of: Callable[[np.ndarray], np.ndarray], margin: int, channels: int, width: int, height: int, size: int = TILE) -> DataFrame:
     """Tiles of ``of``, which takes an array (channels, h + 2 * margin, w + 2 * margin) and gives (channels', h, w).
 
@@ -51,10 +59,6 @@ def stencil(tiles: DataFrame, of: Callable[[np.ndarray], np.ndarray], margin: in
                             out.append((case, ty + dy, tx + dx, r0, c0, r1 - r0, a[:, r0 - y0 : r1 - y0, c0 - x0 : c1 - x0].ravel()))
             yield pd.DataFrame(out, columns=["case_id", "ty", "tx", "y", "x", "rows", "values"])
 
-    def mirrored(k: np.ndarray, n: int) -> np.ndarray:
-        k = np.abs(k) % max(1, 2 * (n - 1))
-        return np.where(k >= n, 2 * (n - 1) - k, k)
-
     def one(ty: int, tx: int, strips) -> np.ndarray:
         y0, y1, x0, x1 = box(ty, tx)
         top, left = y0 - margin, x0 - margin
@@ -82,22 +86,28 @@ def to_pixels(tiles: DataFrame, width: int, size: int = TILE, name: str = "value
     return p.select("case_id", ((F.col("ty") * size + F.floor(F.col("k") / w)) * width + F.col("tx") * size + F.col("k") % w).cast("long").alias("e"), name)
 
 
-def edge_strength(tiles: DataFrame, channels: int, width: int, height: int, size: int = TILE, sigma: float = 0.65) -> DataFrame:
-    """Tiles of the greatest gradient of any channel, after a Gaussian blur of five pixels (fixed values: its width, the Sobel weights)."""
+def gradients(sigma: float = 0.65) -> Callable[[np.ndarray], np.ndarray]:
+    """Greatest gradient of any channel of arrays (..., channels, h + 6, w + 6), after a Gaussian blur of five pixels (fixed values: its width, the Sobel weights)."""
     at = np.arange(-2, 3)
     kernel = np.exp(-(at**2) / (2 * sigma * sigma))
     kernel /= kernel.sum()
 
     def along(a: np.ndarray, weights, axis: int) -> np.ndarray:
         n = a.shape[axis] - len(weights) + 1
-        return sum(w * a.take(range(k, k + n), axis=axis) for k, w in enumerate(weights))
+        part = lambda k: a[..., k : k + n] if axis == -1 else a[..., k : k + n, :]
+        return sum(w * part(k) for k, w in enumerate(weights))
 
     def of(a: np.ndarray) -> np.ndarray:
-        a = along(along(a.astype(np.float64), kernel, 1), kernel, 2)
-        dx, dy = along(along(a, (-1, 0, 1), 2), (1, 2, 1), 1), along(along(a, (-1, 0, 1), 1), (1, 2, 1), 2)
-        return np.hypot(dx, dy).max(axis=0, keepdims=True)
+        a = along(along(a.astype(np.float64), kernel, -2), kernel, -1)
+        dx, dy = along(along(a, (-1, 0, 1), -1), (1, 2, 1), -2), along(along(a, (-1, 0, 1), -2), (1, 2, 1), -1)
+        return np.hypot(dx, dy).max(axis=-3, keepdims=True)
+
+    return of
 
-    return stencil(tiles, of, 3, channels, width, height, size)
+
+def edge_strength(tiles: DataFrame, channels: int, width: int, height: int, size: int = TILE, sigma: float = 0.65) -> DataFrame:
+    """Tiles of ``gradients``."""
+    return stencil(tiles, gradients(sigma), 3, channels, width, height, size)
 
 
 def outlines(elem: DataFrame, width: int, height: int) -> DataFrame:
@@ -120,3 +130,35 @@ def boundary_alignment(strength: DataFrame, elem: DataFrame, width: int, height:
     x = elem.select("case_id", "set_id").distinct().join(mean, ["case_id", "set_id"], "left").join(top, "case_id", "left")
     share = F.when((F.col("top") > 1e-6) & F.col("mean").isNotNull(), F.least(F.col("mean") / F.col("top"), F.lit(1.0)))
     return x.select("case_id", "set_id", F.coalesce(share, F.lit(0.0)).alias("alignment"))
+
+
+def image_alignment(images: DataFrame, elem: DataFrame, channels: int, width: int, height: int) -> DataFrame:
+    """``boundary_alignment`` of images that are one tile each, (case_id, values), by a kernel of many images at a time.
+
+    An image meets its sets as one row and neither pixels nor strengths are shuffled; larger images are for ``edge_strength``.
+    """
+    kinds, of = dict(elem.dtypes), gradients()
+    sets = raster.gathered(raster.gathered(elem.select("case_id", "set_id", "e"), "case_id", "set_id", e="e"), "case_id", set_id="set_id", e="e")
+    rows = sets.hint("merge").join(images.select("case_id", "values"), "case_id", "left")
+    pixels, place = width * height, 0.9 * (width * height - 1)
+
+    def run(batches):
+        ys, xs = mirrored(np.arange(-3, height + 3), height), mirrored(np.arange(-3, width + 3), width)
+        for t in batches:
+            for part in raster._runs_of(t, 4 * channels * pixels):
+                there = part["values"].notna().to_numpy()
+                strength, top = np.zeros((len(part), pixels)), np.zeros(len(part))
+                if there.any():
+                    a = np.stack([np.asarray(v, np.float32) for v in part["values"][there]]).reshape(-1, channels, height, width)
+                    strength[there] = of(a[:, :, ys][:, :, :, xs]).astype(np.float32).reshape(len(a), pixels)
+                    low = np.sort(strength, axis=1)
+                    lo, hi = low[:, int(place)], low[:, min(pixels - 1, int(place) + 1)]
+                    top = lo + (place - int(place)) * (hi - lo)
+                k = np.repeat(np.arange(len(part)), part["set_id"].map(len).to_numpy())
+                m = raster.masks_of(pd.Series([e for row in part["e"] for e in row]), width, height)
+                line = (raster.grown(m, 1) & raster.grown(~m, 1)).reshape(len(m), pixels)
+                mean = (strength[k] * line).sum(1) / np.maximum(1, line.sum(1))
+                share = np.where(top[k] > 1e-6, np.minimum(mean / np.maximum(top[k], 1e-6), 1.0), 0.0)
+                yield pd.DataFrame({"case_id": part["case_id"].to_numpy()[k], "set_id": np.concatenate([np.asarray(s) for s in part["set_id"]]), "alignment": share})
+
+    return rows.mapInPandas(run, f"case_id {kinds['case_id']}, set_id {kinds['set_id']}, alignment double")

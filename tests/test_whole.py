@@ -67,3 +67,25 @@ def test_pairs_of_surfaces_leave_one_kernel(spark, monkeypatch, name):
     # pixels are shuffled as orders only, and one table of pairs is written
     assert [label for label, _ in written] == ["surfaces"]
     assert not [x for x in written[0][1] if ", e#" in x or "(e#" in x]
+
+
+def test_alignment_shuffles_rows_of_tables_only(spark):
+    got = shapes.aligned_outlines(spark, "/root/testdata/sf0.001")
+    assert got.count() > 100
+    # once customers, once orders
+    assert len(shuffles(got)) == 2
+
+
+def test_alignment_of_images_is_that_of_tiles(spark):
+    from loomgrid.operators import tiles
+
+    rng = np.random.default_rng(2)
+    w, h, size = 23, 17, 9
+    values = {c: rng.random((2, h, w)).astype(np.float32) * (c > 0) for c in range(4)}
+    sets = {(c, s): rng.random(h * w) < p for c in range(4) for s, p in enumerate((0.02, 0.5, 1.0))}
+    elem = spark.createDataFrame([(c, s, int(e)) for (c, s), m in sets.items() for e in np.flatnonzero(m)], "case_id int, set_id int, e long")
+    pixels = spark.createDataFrame([(c, k, *map(float, v.reshape(2, -1)[:, k])) for c, v in values.items() for k in range(h * w)], "case_id int, e long, p double, q double")
+    images = spark.createDataFrame([(c, v.ravel().tolist()) for c, v in values.items()], "case_id int, values array<float>")
+    strength = tiles.to_pixels(tiles.edge_strength(tiles.to_tiles(pixels, ["p", "q"], w, h, size), 2, w, h, size), w, size)
+    want = {(r.case_id, r.set_id): round(r.alignment, 9) for r in tiles.boundary_alignment(strength, elem, w, h).collect()}
+    assert {(r.case_id, r.set_id): round(r.alignment, 9) for r in tiles.image_alignment(images, elem, 2, w, h).collect()} == want
