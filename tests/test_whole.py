@@ -89,3 +89,21 @@ def test_alignment_of_images_is_that_of_tiles(spark):
     strength = tiles.to_pixels(tiles.edge_strength(tiles.to_tiles(pixels, ["p", "q"], w, h, size), 2, w, h, size), w, size)
     want = {(r.case_id, r.set_id): round(r.alignment, 9) for r in tiles.boundary_alignment(strength, elem, w, h).collect()}
     assert {(r.case_id, r.set_id): round(r.alignment, 9) for r in tiles.image_alignment(images, elem, 2, w, h).collect()} == want
+
+
+def test_shapes_of_whole_sets_are_those_of_joins(spark, monkeypatch):
+    masks = drawings(np.random.default_rng(4), 40, 30, 40)
+    masks[0], masks[1] = True, False
+    masks[1, 3, 4:9] = True
+    elem = spark.createDataFrame([(k // 2, k % 2, int(e)) for k, m in enumerate(masks) for e in np.flatnonzero(m)], "case_id int, set_id int, e long")
+    seen = elem.selectExpr("case_id", "set_id", "e % 40 div 12 AS visual", "e")
+    written = []
+    keep = partition.materialize
+    with monkeypatch.context() as m:
+        m.setattr(partition, "materialize", lambda df, label, **k: written.append(label) or keep(df, label, **k))
+        got = [sorted(map(tuple, partition.shape_regions(elem, 40, 30, v).collect())) for v in (None, seen)]
+    assert written == ["large"] * 2
+    monkeypatch.setattr(partition, "FLOOD_WHOLE", 100)
+    want = [sorted(map(tuple, partition.shape_regions(elem, 40, 30, v).collect())) for v in (None, seen)]
+    near = lambda rows: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows]
+    assert list(map(near, got)) == list(map(near, want)) and got[0]
