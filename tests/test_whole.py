@@ -107,3 +107,12 @@ def test_shapes_of_whole_sets_are_those_of_joins(spark, monkeypatch):
     want = [sorted(map(tuple, partition.shape_regions(elem, 40, 30, v).collect())) for v in (None, seen)]
     near = lambda rows: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows]
     assert list(map(near, got)) == list(map(near, want)) and got[0]
+
+
+def test_agreement_counts_pairs_of_any_overlap(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    # a short text inside a long one, of IoU below 0.3, and two that share one shingle of many
+    rows = [(0, " ".join(words), "en", "a"), (1, " ".join(words[:6]), "en", "b"), (2, "w0 w1 w2 x1 x2 x3 x4 x5 x6 x7 x8 x9", "en", "a"), (3, " ".join(words), "de", "c"), (4, "y1 y2 y3", None, "c"), (5, "y1 y2 y3", None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.set_id: r.agreement for r in catalog.agreement(spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 0.25, 3: 0.0, 4: 0.0, 5: 0.0}
